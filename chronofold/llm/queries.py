@@ -6,19 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import near_dup
+from chronofold.llm import chat, language, mixing, near_dup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    formatted = chat.format_chats(chat.pack(rows.unionByName(more)))
+    return formatted.withColumn("d", chat.digests()).select("conv_id", "d.*")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_docs(spark, sf_dir), weights=(5, 2, 1), most=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_docs(spark, sf_dir), words=3, percent=85)
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_minhash": op8_minhash}
+    found = [op3_chat, op4_mixing, op8_minhash, op10_language]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
