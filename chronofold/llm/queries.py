@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import chat, language, mixing, near_dup, toxicity
+from chronofold.llm import chat, decontaminate, language, line_dedup, mixing, near_dup, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.duplicate_lines(_docs(spark, sf_dir))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -34,12 +38,16 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_docs(spark, sf_dir), words=3, percent=85)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_docs(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op3_chat, op4_mixing, op8_minhash, op10_language]
+    found = [op1_toxicity, op2_lines, op3_chat, op4_mixing, op8_minhash, op9_decontaminate, op10_language]
     return {f.__name__: f for f in found}
 
 
