@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import chat, decontaminate, language, line_dedup, mixing, near_dup, suffixes, toxicity
+from chronofold.llm import chat, decontaminate, language, line_dedup, mixing, near_dup, simhash, suffixes, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare(_docs(spark, sf_dir))
+
+
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.remove_repeats(_docs(spark, sf_dir), width=200))
 
@@ -51,7 +55,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_lines, op3_chat, op4_mixing, op6_suffixes, op8_minhash, op9_decontaminate, op10_language]
+    found = [op1_toxicity, op2_lines, op3_chat, op4_mixing, op5_simhash, op6_suffixes, op8_minhash, op9_decontaminate, op10_language]
     return {f.__name__: f for f in found}
 
 
