@@ -8,8 +8,8 @@ key are near by construction and the earliest of them can be found by a
 pre-aggregated minimum: no pair is emitted, however many lines share a key. The edit distance
 to the earliest is verified on the texts.
 
-To keep the variants few, lines are first compared with whole parts deleted (halves, then
-sixteenths): lines one edit apart agree in all parts but one. What shares no such key has no
+To keep the variants few, lines are first compared with whole parts deleted (halves, sixteenths,
+then finer ones): lines one edit apart agree in all parts but one. What shares no such key has no
 near line and emits no variants.
 """
 
@@ -26,7 +26,7 @@ from chronofold.llm import kernels as K
 from chronofold.llm.runtime import cut
 
 MIN_CHARS = 10
-PARTS = 16
+PARTS = (16, 128)
 
 
 def _keys(line: Column, n: Column, parts: int) -> Column:
@@ -46,15 +46,15 @@ def _sharing(rows: DataFrame, keys: Column) -> DataFrame:
     """(cid) of the lines of which a key is shared by another line."""
     k = rows.select("cid", F.explode(keys).alias("k"))
     shared = k.groupBy("k").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x <> y").select("k")
-    return k.join(shared, "k").select("cid").distinct()
+    return k.join(shared.hint("merge"), "k").select("cid").distinct()
 
 
 def _variants(rows: DataFrame) -> DataFrame:
-    """(key, role, cid, pos): role 0 and 1 are the two sides of an insertion, 2 a substitution."""
+    """(k, cid): hashed variants of the lines; the two low bits of k are 0 and 1 for the sides of an insertion, 2 for a substitution."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cid, doc_id, line_no, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for cid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 c = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
                 n = len(c)
                 power, inverse = K.powers(K.BASE, n + 1)
@@ -65,13 +65,12 @@ def _variants(rows: DataFrame) -> DataFrame:
                 insert = np.unique(K.mix(without + np.uint64(n - 1)))
                 change = K.mix(without ^ K.mix(place * K.BASE2 + np.uint64(n)))
                 own = K.mix(sums[-1:] + np.uint64(n))
-                keys = np.concatenate([own, insert, change]).view(np.int64)
-                role = np.concatenate([np.zeros(1), np.ones(len(insert)), np.full(n, 2)]).astype(np.int8)
-                size = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(role), pa.array(np.full(size, cid)), pa.array([doc_id] * size, pa.int64()), pa.array(np.full(size, line_no, dtype=np.int32))], ["k", "role", "cid", "doc_id", "line_no"])
+                keys = np.concatenate([own, insert, change]) & ~np.uint64(3)
+                keys[1 : 1 + len(insert)] |= np.uint64(1)
+                keys[1 + len(insert) :] |= np.uint64(2)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), cid))], ["k", "cid"])
 
-    made = rows.select("cid", "doc_id", "line_no", "line").mapInArrow(run, "k long, role byte, cid long, doc_id long, line_no int")
-    return made.select("k", "role", "cid", F.struct("doc_id", "line_no").alias("pos"))
+    return rows.select("cid", "line").mapInArrow(run, "k long, cid long")
 
 
 def duplicate_lines(docs: DataFrame, bound: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,33 +94,36 @@ def duplicate_lines(docs: DataFrame, bound: int = 1, min_chars: int = MIN_CHARS,
     if near is None:
         known = classes.withColumn("near", F.lit(None).cast(classes.schema["pos"].dataType))
     else:
-        known = classes.join(near, "cid", "left")
+        known = classes.join(near.hint("merge"), "cid", "left")
     known = known.where("copies > 1 or near < pos").select("h1", "h2", "pos", "near")
     best = F.least("pos", "near")
-    out = hashed.select("doc_id", "line_no", "h1", "h2").join(known, ["h1", "h2"]).where(F.struct("doc_id", "line_no") > best)
+    out = hashed.select("doc_id", "line_no", "h1", "h2").join(known.hint("merge"), ["h1", "h2"]).where(F.struct("doc_id", "line_no") > best)
     return out.select("doc_id", "line_no", best["doc_id"].alias("kept_doc_id"), best["line_no"].alias("kept_line_no"), (F.coalesce(F.col("near") < F.col("pos"), F.lit(False))).cast("int").alias("distance"))
 
 
 def _near(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(cid, near): the place of the earliest line one edit away from the line of a class, if it comes before the class."""
     some = cut(_sharing(classes, F.col("halves")), "ld-halves")
-    wanted = classes.join(some, "cid").groupBy("pos.doc_id").agg(F.collect_list(F.struct(F.col("pos.line_no").alias("line_no"), "cid")).alias("wanted"))
-    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id)).select(docs.doc_id, F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+    wanted = classes.join(some.hint("merge"), "cid").groupBy("pos.doc_id").agg(F.collect_list(F.struct(F.col("pos.line_no").alias("line_no"), "cid")).alias("wanted"))
+    texts = docs.join(wanted.hint("merge"), docs.doc_id.eqNullSafe(wanted.doc_id)).select(docs.doc_id, F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
     texts = texts.select("doc_id", F.col("w.line_no").alias("line_no"), F.col("w.cid").alias("cid"), F.trim(F.get("lines", F.col("w.line_no"))).alias("line"))
     # A doc_id that repeats with other texts gives lines of other classes here; the hash tells.
-    texts = texts.join(classes.select("cid", "h1"), "cid").where(F.xxhash64("line") == F.col("h1")).select("cid", "doc_id", "line_no", "line")
+    texts = texts.join(classes.select("cid", "h1").hint("merge"), "cid").where(F.xxhash64("line") == F.col("h1")).select("cid", "doc_id", "line_no", "line")
     texts = cut(texts.dropDuplicates(["cid"]), "ld-texts")
-    close = cut(_sharing(texts, _keys(F.col("line"), F.length("line"), PARTS)), "ld-parts")
-    texts = cut(texts.join(close, "cid"), "ld-close")
+    for parts in PARTS:
+        close = cut(_sharing(texts, _keys(F.col("line"), F.length("line"), parts)), "ld-parts")
+        texts = cut(texts.join(close.hint("merge"), "cid"), "ld-close")
+    # From here on ids follow the places of the lines, so the least id is the earliest line.
+    placed = texts.repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no")
+    texts = cut(placed.select(F.monotonically_increasing_id().alias("cid"), F.col("cid").alias("was"), "doc_id", "line_no", "line"), "ld-placed")
     made = _variants(texts)
-    first = made.groupBy("k", "role").agg(F.min("pos").alias("pos"), F.min_by("cid", "pos").alias("cid2"))
-    side = F.when(F.col("role") == 2, F.lit(2)).otherwise(1 - F.col("role")).cast("byte")
-    first = first.select("k", side.alias("role"), F.col("pos").alias("near"), "cid2")
-    pairs = made.join(first, ["k", "role"]).where("near < pos").groupBy("cid").agg(F.min("near").alias("near"), F.min_by("cid2", "near").alias("cid2"))
-    own = texts.select("cid", "line")
-    other = texts.select(F.col("cid").alias("cid2"), F.col("line").alias("line2"))
-    checked = pairs.join(own, "cid").join(other, "cid2").where(F.levenshtein("line", "line2", 1) >= 0)
-    return checked.select("cid", "near")
+    first = made.groupBy("k").agg(F.min("cid").alias("near"))
+    other_side = F.when(F.col("k").bitwiseAND(F.lit(2)) == 0, F.col("k").bitwiseXOR(F.lit(1))).otherwise(F.col("k"))
+    first = first.select(other_side.alias("k"), "near")
+    pairs = made.join(first.hint("merge"), "k").where("near < cid").groupBy("cid").agg(F.min("near").alias("near"))
+    other = texts.select(F.col("cid").alias("near"), F.struct("doc_id", "line_no").alias("place"), F.col("line").alias("line2"))
+    checked = pairs.join(texts.select("cid", "was", "line"), "cid").join(other, "near").where(F.levenshtein("line", "line2", 1) >= 0)
+    return checked.select(F.col("was").alias("cid"), F.col("place").alias("near"))
 
 
 def drop_lines(docs: DataFrame, **options) -> DataFrame:
