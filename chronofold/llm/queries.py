@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import chat, decontaminate, language, line_dedup, mixing, near_dup, simhash, suffixes, toxicity
+from chronofold.llm import chat, decontaminate, language, line_dedup, mixing, near_dup, pii, simhash, suffixes, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.remove_repeats(_docs(spark, sf_dir), width=200))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_docs(spark, sf_dir)))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_docs(spark, sf_dir), words=3, percent=85)
 
@@ -55,7 +59,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_lines, op3_chat, op4_mixing, op5_simhash, op6_suffixes, op8_minhash, op9_decontaminate, op10_language]
+    found = [op1_toxicity, op2_lines, op3_chat, op4_mixing, op5_simhash, op6_suffixes, op7_pii, op8_minhash, op9_decontaminate, op10_language]
     return {f.__name__: f for f in found}
 
 
