@@ -56,7 +56,9 @@ def fresh(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def one_of(held: Column, modulus: int, remainder: int) -> Column:
+def one_of(held: Column | str, modulus: int, remainder: int) -> Column:
+    """Whether crc32 of a value as text leaves the remainder; null for null."""
+    held = F.col(held) if isinstance(held, str) else held
     return F.pmod(F.crc32(held.cast("string")), F.lit(modulus)) == remainder
 
 
