@@ -11,8 +11,11 @@ significant digits on and drop what stands alone:
 2. Digit two is all bytes that the windows of one anchor span. Anchors equal in both digits
    have all their windows in common; those bytes are covered.
 3. What remains are anchors of one first digit with different second ones: edges of repeats. One
-   anchor of each such group (equal ones give equal windows) is spread into its windows
-   of ``width`` bytes, and windows that two groups share are covered.
+   anchor of each such group (equal ones give equal windows) goes on with the bytes around it.
+   Its windows are taken in blocks of ``BLOCK`` starts, at fixed distances from the anchor. Every
+   window of a block holds the block's core; blocks whose core no other group has end here,
+   and where all blocks of one core span equal bytes, those are covered.
+4. The other blocks are spread into windows, and windows that two groups share are covered.
 
 Digits are compared by 64-bit hashes of different bases, two of which stand for the full depth.
 Counts are pre-aggregated; no group is ever gathered in one task.
@@ -31,14 +34,16 @@ from chronofold.llm import kernels as K
 from chronofold.llm.runtime import cut
 
 SEED = 64
+BLOCK = 8
 
 
 def _anchors(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """(row, first start, last start, hash of digit one, hash of digit two) of each anchor; starts count in the chunk."""
+    """(row, first start, last start, anchor, hash of digit one, hash of digit two) of each anchor; places count in the chunk."""
     none = np.zeros(0, dtype=np.int64)
+    nothing = (none,) * 6
     seed = min(SEED, width)
     if len(raw) < width:
-        return none, none, none, none, none
+        return nothing
     h = K.windows(raw, seed)
     keyed = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     anchor = (K.sliding_min(keyed, width - seed + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -46,47 +51,103 @@ def _anchors(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
     row = np.repeat(np.arange(len(lengths)), lengths)[: len(anchor)]
     start = np.flatnonzero(np.arange(len(anchor)) + width <= offsets[row + 1])
     if not len(start):
-        return none, none, none, none, none
+        return nothing
     new = np.ones(len(start), dtype=bool)
     new[1:] = (anchor[start[1:]] != anchor[start[:-1]]) | (row[start[1:]] != row[start[:-1]])
     lo = start[new]
     hi = start[np.append(np.flatnonzero(new)[1:], len(start)) - 1]
     sums = K.prefix_hash(raw, K.BASE2)
     two = K.mix(K.span_hash(sums, K.BASE2, lo, hi + width) + (anchor[lo] - lo).astype(np.uint64))
-    return row[lo], lo, hi, h[anchor[lo]].view(np.int64), two.view(np.int64)
+    return row[lo], lo, hi, anchor[lo], h[anchor[lo]].view(np.int64), two.view(np.int64)
 
 
 def anchors(docs: DataFrame, width: int) -> DataFrame:
-    """(one, two, doc_id, mark, lo, n): both digits, the text and the run of window starts lo .. lo + n."""
+    """(one, two, doc_id, mark, lo, n, ahead): both digits, the text, the run of window starts lo .. lo + n and how far from lo the anchor is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, raw, offsets in K.chunks(batch, "text"):
-                row, lo, hi, one, two = _anchors(raw, offsets, width)
+                row, lo, hi, anchor, one, two = _anchors(raw, offsets, width)
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), rows.column(0).take(at), rows.column(1).take(at), pa.array((lo - offsets[row]).astype(np.int32)), pa.array((hi - lo).astype(np.int32))], ["one", "two", "doc_id", "mark", "lo", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), rows.column(0).take(at), rows.column(1).take(at), pa.array((lo - offsets[row]).astype(np.int32)), pa.array((hi - lo).astype(np.int32)), pa.array((anchor - lo).astype(np.int32))], ["one", "two", "doc_id", "mark", "lo", "n", "ahead"])
 
-    return docs.select("doc_id", "mark", "text").mapInArrow(run, "one long, two long, doc_id long, mark long, lo int, n int")
+    return docs.select("doc_id", "mark", "text").mapInArrow(run, "one long, two long, doc_id long, mark long, lo int, n int, ahead int")
 
 
-def _windows(rows: DataFrame, width: int) -> DataFrame:
-    """(w1, w2, gid, start) for each window of the wanted runs; rows: text, wanted array<struct<gid, lo, n>>."""
+def _contexts(rows: DataFrame, width: int) -> DataFrame:
+    """(gid, c, lo, n, ahead, doc_id, mark, bytes) with the bytes that the windows of each wanted run span; rows: doc_id, mark, text, wanted."""
+    fields = "gid long, c long, lo int, n int, ahead int"
+    names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(1)
             for i in range(batch.num_rows):
-                raw, _ = K.buffers(batch.column(0).slice(i, 1))
-                runs = wanted[i].values
-                lo, n = runs.field("lo").to_numpy().astype(np.int64), runs.field("n").to_numpy().astype(np.int64) + 1
-                first = np.cumsum(n) - n
-                start = np.repeat(lo - first, n) + np.arange(n.sum())
-                digits = [K.span_hash(K.prefix_hash(raw, b), b, start, start + width).view(np.int64) for b in (K.BASE, K.BASE2)]
-                for a in range(0, len(start), 1 << 16):
-                    part = slice(a, a + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(digits[0][part]), pa.array(digits[1][part]), pa.array(np.repeat(runs.field("gid").to_numpy(), n)[part]), pa.array(start[part].astype(np.int32))], ["w1", "w2", "gid", "start"])
+                raw, _ = K.buffers(batch.column(2).slice(i, 1))
+                data, runs = raw.tobytes(), batch.column(3)[i].values
+                lo, n = runs.field("lo").to_pylist(), runs.field("n").to_pylist()
+                part = [data[a : a + b + width] for a, b in zip(lo, n, strict=True)]
+                same = [pa.repeat(batch.column(c)[i], len(lo)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(runs.field(f) for f in names), *same, pa.array(part, pa.binary())], [*names, "doc_id", "mark", "bytes"])
+
+    return rows.select("doc_id", "mark", "text", "wanted").mapInArrow(run, f"{fields}, doc_id long, mark long, bytes binary")
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Row values of batches of contexts, with prefix sums of their bytes by both bases."""
+    for batch in batches:
+        cols = [c.to_pylist() for c in batch.columns]
+        for *rest, data in zip(*cols, strict=True):
+            raw = np.frombuffer(data, dtype=np.uint8)
+            yield rest, [K.prefix_hash(raw, b) for b in (K.BASE, K.BASE2)]
+
+
+ROWS = 1 << 16
+
+
+def _gathered(parts: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for p in parts:
+        held.append(p)
+        size += len(p[0])
+        if size >= ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+
+
+def _blocks(edges: DataFrame, width: int) -> DataFrame:
+    """(gid, block, core, whole): blocks of windows by their distance from the anchor; whole is 0 where windows are missing, else a hash of all bytes."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        for (gid, n, ahead), (a, b) in _each(batches):
+            block = np.arange((ahead - n) // BLOCK, ahead // BLOCK + 1)
+            near = ahead - block * BLOCK
+            far = near - (BLOCK - 1)
+            place = block.astype(np.uint64)
+            core = K.mix(K.span_hash(a, K.BASE, near, far + width) + place) ^ K.span_hash(b, K.BASE2, near, far + width)
+            full = (far >= 0) & (near <= n)
+            whole = K.span_hash(b, K.BASE2, np.maximum(far, 0), np.minimum(near, n) + width)
+            yield [np.full(len(block), gid), block.astype(np.int32), core.view(np.int64), np.where(full, whole.view(np.int64), 0)]
+
+    names = ["gid", "block", "core", "whole"]
+    return edges.select("gid", "n", "ahead", "bytes").mapInArrow(lambda b: _gathered(made(b), names), "gid long, block int, core long, whole long")
+
+
+def _windows(rows: DataFrame, width: int) -> DataFrame:
+    """(w1, w2, gid, start) for each window of the wanted blocks; rows: gid, lo, n, ahead, blocks, bytes."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        for (gid, lo, n, ahead, blocks), (a, b) in _each(batches):
+            near = ahead - np.asarray(blocks) * BLOCK
+            start = (near[:, None] - np.arange(BLOCK)[None, :]).ravel()
+            start = start[(start >= 0) & (start <= n)]
+            digits = [K.span_hash(s, base, start, start + width).view(np.int64) for s, base in ((a, K.BASE), (b, K.BASE2))]
+            yield [*digits, np.full(len(start), gid), (start + lo).astype(np.int32)]
 
-    return rows.select("text", "wanted").mapInArrow(run, "w1 long, w2 long, gid long, start int")
+    names = ["w1", "w2", "gid", "start"]
+    return rows.select("gid", "lo", "n", "ahead", "blocks", "bytes").mapInArrow(lambda b: _gathered(made(b), names), "w1 long, w2 long, gid long, start int")
 
 
 def covered(docs: DataFrame, width: int = 200) -> DataFrame:
@@ -94,20 +155,25 @@ def covered(docs: DataFrame, width: int = 200) -> DataFrame:
     found = anchors(docs, width)
     often = found.groupBy("one").agg(F.count("*").alias("c")).where("c > 1").select("one")
     hits = cut(found.join(often, "one"), "sx-hits")
-    groups = hits.groupBy("one", "two").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "mark", "lo", "n")).alias("at"))
+    groups = hits.groupBy("one", "two").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "mark", "lo", "n", "ahead")).alias("at"))
     groups = cut(groups.withColumn("gid", F.monotonically_increasing_id()), "sx-groups")
-    whole = hits.join(groups.where("c > 1").select("one", "two"), ["one", "two"]).select("doc_id", "mark", "lo", "n")
+    spans = hits.join(groups.where("c > 1").select("one", "two"), ["one", "two"]).select("doc_id", "mark", "lo", "n")
     mixed = groups.groupBy("one").agg(F.count("*").alias("k")).where("k > 1").select("one")
-    edges = groups.join(mixed, "one").select("gid", "c", "at.doc_id", "at.mark", "at.lo", "at.n")
-    edges = cut(edges, "sx-edges")
-    wanted = edges.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("gid", "lo", "n")).alias("wanted"))
+    wanted = groups.join(mixed, "one").groupBy("at.doc_id", "at.mark").agg(F.collect_list(F.struct("gid", "c", "at.lo", "at.n", "at.ahead")).alias("wanted"))
+    wanted = wanted.withColumnRenamed("doc_id", "_id").withColumnRenamed("mark", "_mark")
     texts = docs.dropDuplicates(["doc_id", "mark"]) if _repeats(docs) else docs
-    same = texts.doc_id.eqNullSafe(wanted.doc_id) & (texts.mark == wanted.mark)
-    spread = cut(_windows(texts.join(wanted, same).select("text", "wanted"), width), "sx-windows")
-    shared = spread.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
-    alone = edges.where("c = 1").select("gid", "doc_id", "mark")
-    single = spread.join(shared, ["w1", "w2"]).select("gid", "start").join(alone, "gid")
-    return whole.unionByName(single.select("doc_id", "mark", F.col("start").alias("lo"), F.lit(0).alias("n")))
+    edges = cut(_contexts(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))), width), "sx-edges")
+    blocks = cut(_blocks(edges, width), "sx-blocks")
+    cores = blocks.groupBy("core").agg(F.count("*").alias("k"), F.min("whole").alias("x"), F.max("whole").alias("y")).where("k > 1")
+    met = cut(blocks.join(cores.select("core", ((F.col("x") == F.col("y")) & (F.col("x") != 0)).alias("equal")), "core").select("gid", "block", "equal"), "sx-met")
+    alone = edges.where("c = 1")
+    first = F.col("lo") + F.col("ahead") - F.col("block") * BLOCK - (BLOCK - 1)
+    equal = met.where("equal").join(alone.select("gid", "doc_id", "mark", "lo", "ahead"), "gid").select("doc_id", "mark", first.cast("int").alias("lo"), F.lit(BLOCK - 1).alias("n"))
+    open_blocks = met.where("not equal").groupBy("gid").agg(F.collect_list("block").alias("blocks"))
+    spread = cut(_windows(edges.join(open_blocks, "gid"), width), "sx-windows")
+    shared = spread.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").select("w1", "w2")
+    single = spread.join(shared, ["w1", "w2"]).select("gid", "start").join(alone.select("gid", "doc_id", "mark"), "gid")
+    return spans.unionByName(equal).unionByName(single.select("doc_id", "mark", F.col("start").alias("lo"), F.lit(0).alias("n")))
 
 
 def _repeats(docs: DataFrame) -> bool:
