@@ -1,0 +1 @@
+"""Bitemporal analytics on Spark: declarative plans over append-only facts."""
