@@ -1,11 +1,414 @@
-"""Every query of the library by name, with the SQL it is checked against."""
+"""Every query of the library by name, with the SQL it is checked against.
+
+A query is a thin composition of operators over the projections; points in time, clocks and bounds are literals.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronofold.functions import personal, text
+from chronofold.operators import analytics, dashboard, documents, entities, ingest, quality, temporal
+from chronofold.plans.views import collapsed, sql
+from chronofold.schemas import REGISTRY
+from chronofold.sources import projections as P
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+PIT = "2000-06-15 12:00:00"
+EVENT_PIT = "2024-01-15 12:00:00"
+NOW = "2024-01-20 00:00:00"
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if oracle:
+            _oracles[f.__name__] = sql(oracle)
+        return f
+
+    return keep
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_oracles)
+
+
+def _pit_query(name: str, columns: list[str], at: str, ties: str = "row_no DESC", live: str = "TRUE") -> None:
+    fact = REGISTRY[name]
+
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        return temporal.pit(P.ALL[name](spark, d), name, at).select(*columns)
+
+    f.__name__ = f"pit_{name}"
+    query(collapsed(name, ", ".join(fact.key), f"as_of DESC, {ties}", f"as_of <= TIMESTAMP '{at}' AND ({live})", ", ".join(columns)))(f)
+
+
+# Point-in-time reads
+_pit_query("observation", ["series_id", "ts", "as_of", "value"], EVENT_PIT, "event_id DESC")
+_pit_query("financial_line_item", ["entity_id", "filing_id", "statement_type", "line_code", "consolidation", "period_end", "as_of", "value"], PIT)
+_pit_query("canonical_financial", ["entity_id", "canonical_code", "period_end", "currency_code", "restatement_basis", "mapping_version", "as_of", "value"], PIT)
+_pit_query("entity_quality_score", ["entity_id", "period_end", "restatement_basis", "mapping_version", "score", "as_of"], PIT)
+_pit_query("entity_version", ["entity_id", "legal_name", "event_kind", "as_of"], PIT, live="event_kind <> 'deleted'")
+_pit_query("entity_lineage", ["event_kind", "from_entity_id", "into_entity_id", "event_at", "as_of"], PIT)
+_pit_query("filing_event", ["filing_id", "event_type", "event_seq", "entity_id", "as_of"], PIT, live=f"superseded_at IS NULL OR superseded_at > TIMESTAMP '{PIT}'")
+_pit_query("disclosures_version", ["disclosure_id", "entity_id", "event_kind", "as_of"], PIT, live="event_kind <> 'deleted'")
+
+
+@query(f"SELECT identifier_id, entity_id, namespace, value FROM identifier WHERE valid_from <= DATE '2000-06-15' AND valid_to > DATE '2000-06-15'")
+def pit_identifier(spark, d):
+    return temporal.valid_at(P.identifier(spark, d), "2000-06-15").select("identifier_id", "entity_id", "namespace", "value")
+
+
+@query(collapsed("filing_event", "filing_id, event_type, event_seq", "as_of DESC, row_no DESC", "superseded_at IS NULL", "filing_id, event_type, event_seq, as_of"))
+def filing_event_current(spark, d):
+    return temporal.current(P.filing_event(spark, d), "filing_event").select("filing_id", "event_type", "event_seq", "as_of")
+
+
+@query("SELECT * FROM (" + collapsed("entity_version", "entity_id", "as_of DESC, row_no DESC", f"as_of <= TIMESTAMP '{PIT}'", "entity_id, event_kind, as_of") + ") WHERE event_kind <> 'deleted'")
+def pit_entity_hide_deleted(spark, d):
+    return temporal.pit(P.entity_version(spark, d), "entity_version", PIT, hide_deleted=True).select("entity_id", "event_kind", "as_of")
+
+
+@query("SELECT series_id, ts, as_of, value FROM observation WHERE as_of >= TIMESTAMP '2024-01-10 00:00:00' AND as_of < TIMESTAMP '2024-01-12 00:00:00'")
+def interval_observation(spark, d):
+    x = temporal.interval(P.observation(spark, d), "observation", "2024-01-10 00:00:00", "2024-01-12 00:00:00")
+    return x.orderBy(*temporal.chain_order("observation")).select("series_id", "ts", "as_of", "value")
+
+
+@query(collapsed("observation", "series_id", "ts DESC, as_of DESC, event_id DESC", f"as_of <= TIMESTAMP '{EVENT_PIT}'", "series_id, ts, as_of, value"))
+def latest_observation(spark, d):
+    return temporal.latest(P.observation(spark, d), EVENT_PIT).select("series_id", "ts", "as_of", "value")
+
+
+@query(collapsed("observation", "series_id, ts", "as_of DESC, event_id DESC", f"as_of <= TIMESTAMP '{EVENT_PIT}' AND ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-14 00:00:00'", "series_id, ts, value"))
+def range_observation(spark, d):
+    return temporal.series_range(P.observation(spark, d), "2024-01-05 00:00:00", "2024-01-14 00:00:00", EVENT_PIT).select("series_id", "ts", "value")
+
+
+@query(collapsed("disclosures_version", "disclosure_id", "as_of DESC NULLS LAST, row_no DESC", f"(as_of <= TIMESTAMP '{PIT}' OR provenance = 'pre_bitemporal_unknown') AND event_kind <> 'deleted'", "disclosure_id, form_type, provenance, as_of"))
+def pit_disclosures_pre_bitemporal(spark, d):
+    return temporal.pit(P.disclosures_version(spark, d), "disclosures_version", PIT, keep_unknown="provenance = 'pre_bitemporal_unknown'").select("disclosure_id", "form_type", "provenance", "as_of")
+
+
+@query("SELECT a.series_id, a.ts, a.value AS before, b.value AS after FROM (" + collapsed("observation", "series_id, ts", "as_of DESC, event_id DESC", "as_of <= TIMESTAMP '2024-01-15 09:00:00'") + ") a JOIN (" + collapsed("observation", "series_id, ts", "as_of DESC, event_id DESC", "as_of <= TIMESTAMP '2024-01-15 21:00:00'") + ") b USING (series_id, ts) WHERE a.value IS DISTINCT FROM b.value")
+def amended_observations(spark, d):
+    return temporal.amended(P.observation(spark, d), "observation", "2024-01-15 09:00:00", "2024-01-15 21:00:00").select("series_id", "ts", "before", "after")
+
+
+@query("SELECT entity_id, row_no, l_event_kind, l_from_entity_id, l_into_entity_id, l_event_at, l_as_of FROM (SELECT v.entity_id, v.row_no, l.event_kind AS l_event_kind, l.from_entity_id AS l_from_entity_id, l.into_entity_id AS l_into_entity_id, l.event_at AS l_event_at, l.as_of AS l_as_of, row_number() OVER (PARTITION BY v.entity_id, v.as_of, v.row_no, l.event_kind, l.from_entity_id, l.into_entity_id, l.event_at ORDER BY l.as_of DESC, l.row_no DESC) AS rk FROM entity_version v JOIN entity_lineage l ON (l.from_entity_id = v.entity_id OR l.into_entity_id = v.entity_id) AND l.as_of <= v.as_of) WHERE rk = 1")
+def lineage_as_of_versions(spark, d):
+    return temporal.lineage_as_of(P.entity_version(spark, d), P.entity_lineage(spark, d)).select("entity_id", "row_no", "l_event_kind", "l_from_entity_id", "l_into_entity_id", "l_event_at", "l_as_of")
+
+
+@query("SELECT coalesce(n.entity_id, o.entity_id) AS entity_id, CASE WHEN o.entity_id IS NULL THEN 'created' WHEN n.entity_id IS NULL THEN 'deleted' WHEN n.status = 'merged' AND o.status <> 'merged' THEN 'merged' WHEN n.legal_name <> o.legal_name THEN 'renamed' ELSE 'updated' END AS event_kind FROM (SELECT * FROM entity WHERE entity_id % 5 <> 0) o FULL JOIN (SELECT entity_id, CASE WHEN entity_id % 4 = 0 THEN legal_name || ' AS' ELSE legal_name END AS legal_name, CASE WHEN entity_id % 6 = 0 THEN 'merged' ELSE status END AS status FROM entity WHERE entity_id % 9 <> 0) n USING (entity_id) WHERE o.entity_id IS NULL OR n.entity_id IS NULL OR n.status <> o.status OR n.legal_name <> o.legal_name")
+def capture_entity_changes(spark, d):
+    e = P.entity(spark, d).select("entity_id", "legal_name", "status")
+    new = e.where("entity_id % 9 <> 0").withColumn("legal_name", F.when(F.col("entity_id") % 4 == 0, F.concat("legal_name", F.lit(" AS"))).otherwise(F.col("legal_name"))).withColumn("status", F.when(F.col("entity_id") % 6 == 0, "merged").otherwise(F.col("status")))
+    return temporal.capture(e.where("entity_id % 5 <> 0"), new, "entity_id", temporal.entity_kind(), NOW).select("entity_id", "event_kind")
+
+
+@query("SELECT entity_id, legal_name, 'created' AS event_kind, created_at AS as_of FROM entity UNION ALL SELECT entity_id, legal_name, 'updated', updated_at FROM entity WHERE updated_at > created_at")
+def backfill_entity_history(spark, d):
+    return temporal.backfill(P.entity(spark, d))
+
+
+# Analytics
+_BEST = "as_of DESC, row_no DESC"
+_CANON = "restatement_basis = 'as_reported'"
+
+
+@query("SELECT entity_id, period_end, canonical_code, value, score FROM (SELECT *, dense_rank() OVER (PARTITION BY entity_id ORDER BY period_end DESC) AS dr FROM (" + collapsed("canonical_financial", "entity_id, canonical_code, period_end", f"mapping_version DESC, {_BEST}", f"{_CANON} AND canonical_code LIKE 'is.%'") + ")) c LEFT JOIN (" + collapsed("entity_quality_score", "entity_id, period_end", f"mapping_version DESC, {_BEST}", _CANON, "entity_id, period_end, score") + ") s USING (entity_id, period_end) WHERE dr <= 4")
+def entity_financials(spark, d):
+    x = analytics.entity_financials(P.canonical_financial(spark, d), P.entity_quality_score(spark, d), statement="is", limit=4)
+    return x.select("entity_id", "period_end", F.explode("lines").alias("canonical_code", "value"), "score")
+
+
+_ASKED = "SELECT unnest([1, 2, 3, 5, 999999]) AS entity_id"
+
+
+@query(f"SELECT a.entity_id, p.period_end, p.value FROM ({_ASKED}) a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY period_end DESC) AS n FROM (" + collapsed("canonical_financial", "entity_id, period_end", f"mapping_version DESC, {_BEST}", f"{_CANON} AND canonical_code = 'is.1'") + ")) p ON p.entity_id = a.entity_id AND n <= 5")
+def compare_metric(spark, d):
+    x = analytics.compare_metric(P.canonical_financial(spark, d), [1, 2, 3, 5, 999999], "is.1", limit=5)
+    return x.select("entity_id", F.explode_outer("points").alias("p")).select("entity_id", "p.period_end", "p.value")
+
+
+def _side(basis: str) -> str:
+    return collapsed("canonical_financial", "entity_id, period_end, period_type", f"mapping_version DESC, {_BEST}", f"restatement_basis = '{basis}' AND canonical_code = 'is.1'")
+
+
+@query(f"SELECT entity_id, period_end, period_type, r.value AS reported, n.value AS normalized, CASE WHEN n.cpi_base_date <> DATE '9999-01-01' THEN n.cpi_base_date END AS cpi_base_date FROM ({_side('as_reported')}) r FULL JOIN ({_side('cpi_normalized')}) n USING (entity_id, period_end, period_type)")
+def metric_dual_series(spark, d):
+    return analytics.dual_series(P.canonical_financial(spark, d), "is.1")
+
+
+@query(f"SELECT entity_id, period_end, period_type, CAST(NULL AS DOUBLE) AS reported, value AS normalized FROM ({_side('cpi_normalized')})")
+def metric_single_series(spark, d):
+    return analytics.single_series(P.canonical_financial(spark, d), "is.1", "cpi_normalized")
+
+
+@query("SELECT entity_id, CAST(ts AS DATE) AS day, " + ", ".join(f"min_by(coalesce(value, 0), ts) FILTER (metric = '{m}') AS {m}" for m in ("price_open", "price_high", "price_low", "price_close", "volume")) + " FROM price WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' GROUP BY ALL")
+def prices_ohlcv(spark, d):
+    return analytics.ohlcv(P.price(spark, d), "2024-01-05", "2024-01-25")
+
+
+@query("SELECT entity_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, event_id DESC) AS n FROM price WHERE metric = 'volume') WHERE n <= 50 AND value IS NOT NULL")
+def nav_series(spark, d):
+    return analytics.metric_series(P.price(spark, d), "volume", 50)
+
+
+@query("SELECT entity_id, replace(metric, 'price_', '') AS name, ts, value FROM (" + collapsed("price", "entity_id, metric", "ts DESC, event_id DESC", "metric LIKE 'price_%'") + ") WHERE value IS NOT NULL")
+def fundamentals_snapshot(spark, d):
+    return analytics.fundamentals(P.price(spark, d))
+
+
+@query("SELECT series_id, CAST(date_trunc('month', ts) AS TIMESTAMP) AS month, arg_max(value, as_of) AS last_value, round(avg(value), 6) AS avg_value, min(value) AS min_value, max(value) AS max_value, count(*) AS n FROM observation WHERE value IS NOT NULL GROUP BY 1, 2")
+def monthly_rollup(spark, d):
+    return analytics.monthly_rollup(P.observation(spark, d)).withColumn("avg_value", F.round("avg_value", 6))
+
+
+@query("SELECT entity_id, period_end, score, unnest(['balance', 'coverage']) AS check_name, unnest([state, 'unknown']) AS state, unnest([CAST(delta AS DOUBLE), NULL]) AS delta_pct FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY period_end DESC, as_of DESC, row_no DESC) AS n FROM entity_quality_score) WHERE n <= 3")
+def quality_history(spark, d):
+    x = analytics.quality_history(P.entity_quality_score(spark, d), 3)
+    return x.select("entity_id", "period_end", "score", F.explode("checks").alias("check_name", "c")).select("entity_id", "period_end", "score", "check_name", "c.state", "c.delta_pct")
+
+
+@query("SELECT e.entity_id, legal_name, ticker, last_period, n_lines, avg_score FROM (SELECT * FROM entity WHERE legal_name ILIKE '%01%') e LEFT JOIN (SELECT DISTINCT entity_id, value AS ticker FROM identifier WHERE namespace = 'ticker') t USING (entity_id) JOIN (SELECT entity_id, max(period_end) AS last_period, count(*) AS n_lines FROM canonical_financial GROUP BY 1) c USING (entity_id) LEFT JOIN (SELECT entity_id, CAST(round(avg(score)) AS INT) AS avg_score FROM entity_quality_score GROUP BY 1) s USING (entity_id)")
+def entity_list(spark, d):
+    return analytics.entity_overview(P.entity(spark, d), P.identifier(spark, d), P.canonical_financial(spark, d), P.entity_quality_score(spark, d), search="01")
+
+
+@query("SELECT count(*) AS total FROM entity WHERE entity_id IN (SELECT entity_id FROM canonical_financial)")
+def entity_total(spark, d):
+    return analytics.count_with(P.entity(spark, d), P.canonical_financial(spark, d))
+
+
+@query("SELECT e.entity_id, legal_name, ticker, last_filing, coalesce(filings_30d, 0) AS filings_30d FROM entity e LEFT JOIN (" + collapsed("identifier", "entity_id", "is_primary DESC, identifier_id DESC", "namespace = 'ticker' AND DATE '2000-06-15' BETWEEN valid_from AND valid_to", "entity_id, value AS ticker") + ") t USING (entity_id) LEFT JOIN (SELECT entity_id, max(published_at) AS last_filing, count(*) FILTER (CAST(published_at AS DATE) > DATE '2000-06-15' - 30 AND CAST(published_at AS DATE) <= DATE '2000-06-15') AS filings_30d FROM disclosures_version GROUP BY 1) f USING (entity_id)")
+def entity_snapshot(spark, d):
+    return analytics.snapshot(P.entity(spark, d), P.identifier(spark, d), P.disclosures_version(spark, d), "2000-06-15")
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
+def latency_percentiles(spark, d):
+    return analytics.latency_percentiles(P.table(spark, d, "events"), "event_type", "value").select("event_type", F.round("p50", 6).alias("p50"), F.round("p99", 6).alias("p99"))
+
+
+@query(f"SELECT filing_id, event_type, event_seq, '<REDACTED:counterparty>' AS counterparty, CAST(l_partkey AS VARCHAR) AS amount FROM (" + collapsed("filing_event", "filing_id, event_type, event_seq", "as_of DESC, row_no DESC", f"as_of <= TIMESTAMP '{PIT}' AND (superseded_at IS NULL OR superseded_at > TIMESTAMP '{PIT}')") + ")")
+def events_masked(spark, d):
+    x = temporal.pit(P.filing_event(spark, d), "filing_event", PIT).withColumn("p", analytics.masked(F.col("payload"), ["counterparty"]))
+    return x.select("filing_id", "event_type", "event_seq", F.get_json_object("p", "$.counterparty").alias("counterparty"), F.get_json_object("p", "$.amount").alias("amount"))
+
+
+# Registry
+@query("SELECT a.namespace, a.value, a.identifier_id AS id_a, b.identifier_id AS id_b FROM identifier a JOIN identifier b ON a.namespace = b.namespace AND a.value = b.value AND a.identifier_id < b.identifier_id AND a.valid_from < b.valid_to AND b.valid_from < a.valid_to WHERE a.valid_from < a.valid_to AND b.valid_from < b.valid_to")
+def identifier_overlaps(spark, d):
+    return entities.overlaps(P.identifier(spark, d))
+
+
+@query("SELECT namespace, value, count(*) AS n FROM (SELECT *, max(valid_to) OVER (PARTITION BY namespace, value ORDER BY valid_from, identifier_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM identifier WHERE valid_from < valid_to) WHERE valid_from < reach GROUP BY 1, 2")
+def identifier_shared_values(spark, d):
+    return entities.overlapping_values(P.identifier(spark, d))
+
+
+@query(collapsed("identifier", "namespace, value", "is_primary DESC, identifier_id DESC", "valid_from <= DATE '2000-06-15' AND valid_to > DATE '2000-06-15'", "namespace, value, entity_id, identifier_id"))
+def resolve_identifiers(spark, d):
+    return entities.resolve(P.identifier(spark, d), "2000-06-15")
+
+
+@query(collapsed("identifier", "entity_id, namespace", "is_primary DESC, identifier_id DESC", "valid_from <= DATE '2000-06-15' AND valid_to > DATE '2000-06-15'", "entity_id, namespace, value"))
+def entity_names_by_namespace(spark, d):
+    return entities.names_by_namespace(P.identifier(spark, d), "2000-06-15")
+
+
+_GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+@query(f"SELECT entity_id, legal_name, round(similarity, 6) AS similarity FROM (SELECT entity_id, legal_name, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS similarity FROM (SELECT entity_id, legal_name, {_GRAMS.format('legal_name')} AS a, {_GRAMS.format(chr(39) + 'customer 000000042' + chr(39))} AS b FROM entity)) WHERE round(similarity, 6) >= 0.3 ORDER BY round(similarity, 6) DESC, legal_name, entity_id LIMIT 20")
+def entity_search(spark, d):
+    return entities.search(P.entity(spark, d), "customer 000000042")
+
+
+@query("SELECT entity_id, CASE WHEN o.entity_type IS NULL THEN 'created' WHEN o.entity_type = n.entity_type THEN 'unchanged' ELSE 'changed' END AS outcome FROM (SELECT entity_id, CASE WHEN entity_id % 4 = 0 THEN 'fund' ELSE entity_type END AS entity_type FROM entity) n LEFT JOIN (SELECT entity_id, entity_type FROM entity WHERE entity_id % 5 <> 0) o USING (entity_id)")
+def upsert_outcomes(spark, d):
+    e = P.entity(spark, d).select("entity_id", "entity_type")
+    new = e.withColumn("entity_type", F.when(F.col("entity_id") % 4 == 0, "fund").otherwise(F.col("entity_type")))
+    return entities.changes(e.where("entity_id % 5 <> 0"), new, ["entity_id"])
+
+
+@query("SELECT offer_id, CASE WHEN n = 0 THEN 'insert' WHEN n = 1 AND NOT coalesce(foreign_held, FALSE) THEN 'existing' ELSE 'merge_required' END AS outcome, CASE WHEN n = 1 THEN entity_id END AS entity_id FROM (SELECT o.offer_id, count(DISTINCT i.entity_id) AS n, min(i.entity_id) AS entity_id, bool_or(i.held_by <> o.source_id) AS foreign_held FROM (SELECT c_custkey AS offer_id, 'src' || (c_custkey % 2) AS source_id, 'T' || (c_custkey % 500) AS value FROM customer) o LEFT JOIN (SELECT DISTINCT value, entity_id, 'src' || (entity_id % 2) AS held_by FROM identifier WHERE namespace = 'ticker' AND entity_id % 3 = 0) i USING (value) GROUP BY o.offer_id, o.source_id)")
+def match_offered_entities(spark, d):
+    offers = P.table(spark, d, "customer").select(F.col("c_custkey").alias("offer_id"), F.concat(F.lit("src"), F.col("c_custkey") % 2).alias("source_id"), F.lit("ticker").alias("namespace"), F.concat(F.lit("T"), F.col("c_custkey") % 500).alias("value"))
+    known = P.identifier(spark, d).where("namespace = 'ticker' AND entity_id % 3 = 0").withColumn("source_id", F.concat(F.lit("src"), F.col("entity_id") % 2)).select("namespace", "value", "entity_id", "source_id").distinct()
+    return entities.match_entities(offers, known)
+
+
+# Quality and derivation
+_INVARIANTS = {
+    "duplicate_observation": "SELECT 1 FROM observation GROUP BY series_id, ts, as_of HAVING count(*) > 1",
+    "duplicate_disclosures_version": "SELECT 1 FROM disclosures_version GROUP BY disclosure_id, as_of HAVING count(*) > 1",
+    "duplicate_entity_version": "SELECT 1 FROM entity_version GROUP BY entity_id, as_of HAVING count(*) > 1",
+    "identifier_overlap": "SELECT 1 FROM identifier a JOIN identifier b ON a.namespace = b.namespace AND a.value = b.value AND a.identifier_id < b.identifier_id AND a.valid_from < b.valid_to AND b.valid_from < a.valid_to WHERE a.valid_from < a.valid_to AND b.valid_from < b.valid_to",
+}
+
+
+@query("SELECT *, CASE WHEN violations = 0 THEN 'ok' ELSE 'FAIL' END AS status FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS name, (SELECT count(*) FROM ({q})) AS violations" for n, q in _INVARIANTS.items()) + ")")
+def invariant_report(spark, d):
+    facts = {n: (P.ALL[n](spark, d), REGISTRY[n]) for n in ("observation", "disclosures_version", "entity_version")}
+    return quality.invariants(facts, P.identifier(spark, d))
+
+
+@query("SELECT entity_id, filing_id, line_code, row_no, measuring_unit_date, CASE WHEN ex THEN 'P0_exempt' WHEN mo THEN 'P1_monetary_line' WHEN inf THEN 'P2_inflation_tag' WHEN period_end >= DATE '2000-12-31' THEN 'P3_period' ELSE 'P4_no_evidence' END AS derivation_reason, CASE WHEN ex THEN 'as_reported' WHEN mo OR inf OR period_end >= DATE '2000-12-31' THEN 'cpi_normalized' ELSE 'as_reported' END AS restatement_basis FROM (SELECT *, entity_id % 50 = 0 AS ex, max(period_end) OVER w AS measuring_unit_date, bool_or(line_code = 'is.7') OVER w AS mo, bool_or(line_code LIKE 'cf.1%') OVER w AS inf FROM financial_line_item WINDOW w AS (PARTITION BY filing_id))")
+def restatement_derivation(spark, d):
+    exempt = P.entity(spark, d).where("entity_id % 50 = 0").select("entity_id")
+    x = quality.derive_basis(P.financial_line_item(spark, d), exempt, "is.7", "cf.1%", "2000-12-31")
+    return x.select("entity_id", "filing_id", "line_code", "row_no", "measuring_unit_date", "derivation_reason", "restatement_basis")
+
+
+@query("SELECT DISTINCT user_id AS series_id FROM events WHERE user_id % 4 = 0")
+def orphan_series(spark, d):
+    child = P.observation(spark, d).select("series_id").distinct()
+    return quality.orphans(child, P.series_catalog(spark, d).where("series_id % 4 <> 0"), ["series_id"])
+
+
+# Ingest
+_BATCH = "SELECT *, sha256(CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)) AS payload_hash FROM observation"
+
+
+@query(f"SELECT series_id, ts, as_of, CASE WHEN event_id % 3 = 0 THEN 'inserted' WHEN event_id % 7 = 0 THEN 'conflict' ELSE 'unchanged' END AS action FROM ({_BATCH})")
+def ingest_actions(spark, d):
+    batch, stored = _batch(spark, d)
+    return ingest.compare(batch, stored, ("series_id", "ts", "as_of")).select("series_id", "ts", "as_of", "action")
+
+
+def _batch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    batch = P.observation(spark, d).withColumn("payload_hash", F.sha2(F.round(F.col("value") * 100).cast("long").cast("string"), 256))
+    stored = batch.where("event_id % 3 <> 0").withColumn("payload_hash", F.when(F.col("event_id") % 7 == 0, F.lit("other")).otherwise(F.col("payload_hash")))
+    return batch.unionByName(batch.where("event_id % 10 = 0")), stored
+
+
+@query("SELECT count(*) AS batch_size, count(*) FILTER (event_id % 3 = 0) AS inserted, count(*) FILTER (event_id % 3 <> 0 AND event_id % 7 <> 0) AS unchanged, min(ts) AS min_ts, max(ts) AS max_ts, min(as_of) AS min_as_of, max(as_of) AS max_as_of FROM observation")
+def ingest_audit(spark, d):
+    batch, stored = _batch(spark, d)
+    return ingest.batch_audit(ingest.compare(batch, stored, ("series_id", "ts", "as_of")))
+
+
+# Documents
+_STORED = "(SELECT *, row_number() OVER (PARTITION BY source_id, source_ref ORDER BY offer_id) AS revision_no, lag(offer_id) OVER (PARTITION BY source_id, source_ref ORDER BY offer_id) AS previous_id FROM (" + collapsed("filing", "source_id, sha256", "offer_id") + "))"
+
+
+@query(f"SELECT offer_id, source_id, source_ref, sha256, revision_no, previous_id, revision_no > 1 AS is_amendment, coalesce(n, 0) AS n_aliases FROM {_STORED} LEFT JOIN (SELECT source_id, sha256, count(DISTINCT source_ref) AS n FROM filing f WHERE source_ref <> (SELECT arg_min(g.source_ref, g.offer_id) FROM filing g WHERE g.source_id = f.source_id AND g.sha256 = f.sha256) GROUP BY 1, 2) USING (source_id, sha256)")
+def stored_filings(spark, d):
+    x = documents.put_filings(P.filing(spark, d))
+    return x.select("offer_id", "source_id", "source_ref", "sha256", "revision_no", "previous_id", "is_amendment", F.size("aliases").cast("long").alias("n_aliases"))
+
+
+@query(f"SELECT source_id, source_ref AS ref, arg_max(offer_id, revision_no) AS offer_id FROM {_STORED} WHERE offer_id % 2 >= 0 GROUP BY 1, 2 UNION ALL SELECT source_id, ref, arg_max(offer_id, revision_no * 1000000000 + offer_id) FROM (SELECT DISTINCT f.source_id, f.source_ref AS ref, s.offer_id, s.revision_no FROM filing f JOIN {_STORED} s ON f.source_id = s.source_id AND f.sha256 = s.sha256 AND f.source_ref <> s.source_ref) WHERE (source_id, ref) NOT IN (SELECT (source_id, source_ref) FROM {_STORED}) GROUP BY 1, 2")
+def filings_by_reference(spark, d):
+    return documents.find_by_ref(documents.put_filings(P.filing(spark, d)))
+
+
+@query(f"SELECT offer_id FROM {_STORED} WHERE offer_id NOT IN (SELECT previous_id FROM {_STORED} WHERE previous_id IS NOT NULL)")
+def releasable_filings(spark, d):
+    return documents.releasable(documents.put_filings(P.filing(spark, d))).select("offer_id")
+
+
+# Text and personal data
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS n_emails, sha256(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED:Art.17:email]', 'g')) AS scrubbed FROM documents")
+def scrubbed_documents(spark, d):
+    x = P.table(spark, d, "documents")
+    return x.select("doc_id", personal.n_emails(F.col("text")).cast("long").alias("n_emails"), F.sha2(personal.scrubbed_emails(F.col("text")), 256).alias("scrubbed"))
+
+
+@query("SELECT c_custkey, CASE WHEN length(d) = 10 THEN d END AS tax, upper(trim(c_mktsegment)) AS ticker, CASE WHEN length(trim(c_mktsegment)) = 12 THEN upper(trim(c_mktsegment)) END AS isin FROM (SELECT *, regexp_replace(c_name || '9', '[^0-9]', '', 'g') AS d FROM customer)")
+def normalized_identifiers(spark, d):
+    x = P.table(spark, d, "customer")
+    return x.select("c_custkey", text.tax_number(F.concat("c_name", F.lit("9"))).alias("tax"), text.ticker(F.col("c_mktsegment")).alias("ticker"), text.isin(F.col("c_mktsegment")).alias("isin"))
+
+
+@query("SELECT event_id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' WHEN s < 86400 THEN (s // 3600) || 'h' ELSE (s // 86400) || 'd' END AS age, CASE WHEN event_type IN ('view', 'click') THEN event_type WHEN starts_with(event_type, 'pur') THEN 'sale' ELSE 'other' END AS label, '10.' || (user_id % 256) || '.' || (event_id % 256) || '.0/24' AS ip FROM (SELECT *, CAST(event_id * 37 AS BIGINT) AS s FROM events)")
+def formatted_events(spark, d):
+    x = P.table(spark, d, "events")
+    ip = F.concat(F.lit("10."), F.col("user_id") % 256, F.lit("."), F.col("event_id") % 256, F.lit(".7"))
+    return x.select("event_id", text.age(F.col("event_id") * 37).alias("age"), text.label(F.col("event_type"), ["view", "click"], {"pur": "sale"}).alias("label"), text.truncated_ip(ip).alias("ip"))
+
+
+@query("SELECT event_id, (event_id * 7) || '-' || (event_id % 3 + 1) AS next_id FROM events")
+def next_message_ids(spark, d):
+    x = P.table(spark, d, "events")
+    return x.select("event_id", text.next_message_id(F.concat_ws("-", (F.col("event_id") * 7).cast("string"), (F.col("event_id") % 3).cast("string"))).alias("next_id"))
+
+
+# Dashboards
+@query(f"SELECT count(*) FILTER (schema_version <> 1) AS pending, coalesce(date_diff('microsecond', min(produced_at) FILTER (schema_version <> 1), TIMESTAMP '{NOW}') / 1e6, 0) AS oldest_age_s, count(*) FILTER (produced_at > TIMESTAMP '{NOW}' - INTERVAL 15 MINUTE AND produced_at <= TIMESTAMP '{NOW}') AS last_15m, count(*) FILTER (produced_at > TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND produced_at <= TIMESTAMP '{NOW}') AS last_24h, count(*) FILTER (produced_at > TIMESTAMP '{NOW}' - INTERVAL 60 MINUTE AND produced_at <= TIMESTAMP '{NOW}') / 60.0 AS per_minute FROM outbox")
+def dashboard_overview(spark, d):
+    return dashboard.overview(P.outbox(spark, d), F.col("schema_version") == 1, NOW)
+
+
+@query(f"SELECT c.series_id, series_code, coalesce(last_24h, 0) AS last_24h, last_ts FROM series_catalog c LEFT JOIN (SELECT series_id, count(*) FILTER (as_of > TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND as_of <= TIMESTAMP '{NOW}') AS last_24h, max(ts) AS last_ts FROM observation GROUP BY 1) o USING (series_id)")
+def dashboard_series(spark, d):
+    return dashboard.series_activity(P.series_catalog(spark, d), P.observation(spark, d), NOW)
+
+
+@query("SELECT message_id, has_index, CASE WHEN NOT has_index THEN 'MISSING_INDEX' WHEN breaker OR length IS NULL THEN 'UNKNOWN' WHEN length = 0 THEN 'TRIMMED' ELSE 'PRESENT' END AS state FROM (SELECT event_id AS message_id, event_id % 3 <> 0 AS has_index, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 4 END AS length, event_id % 11 = 0 AS breaker FROM events WHERE event_type = 'error')")
+def dashboard_dead_letters(spark, d):
+    e = P.table(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("message_id"))
+    x = dashboard.dead_letters(e, e.where("message_id % 3 <> 0"))
+    length = F.when(F.col("message_id") % 5 != 0, F.col("message_id") % 4)
+    return x.select("message_id", "has_index", dashboard.dead_letter_state(F.col("has_index"), F.col("message_id"), length, F.col("message_id") % 11 == 0).alias("state"))
+
+
+@query("SELECT source_id, frequency, count(*) AS n FROM series_catalog GROUP BY 1, 2")
+def catalog_counts(spark, d):
+    return dashboard.counts(P.series_catalog(spark, d), "source_id", "frequency")
+
+
+@query("SELECT user_id, time_bucket(INTERVAL 60 MINUTE, ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2")
+def rate_limit_windows(spark, d):
+    return dashboard.rate_windows(P.table(spark, d, "events"), "user_id", "ts", 60)
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS run_id, o_orderpriority AS job, o_orderstatus AS status, CASE WHEN o_orderstatus <> 'P' THEN (o_orderkey % 500) * 60.0 END AS duration_s, CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 4 END AS n_events FROM orders")
+def dashboard_ingestion(spark, d):
+    o = P.table(spark, d, "orders")
+    done = F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate") + F.make_dt_interval(mins=(F.col("o_orderkey") % 500).cast("int")))
+    return dashboard.ingestion(o.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("job"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("started_at"), done.alias("finished_at"), (F.col("o_custkey") % 4).alias("n_events")))
+
+
+# Streams, as batches
+@query("SELECT event_id, kind, CASE WHEN schema_version > 1 THEN 'too_new' WHEN schema_version < 1 THEN 'too_old' ELSE 'ok' END AS outcome FROM (SELECT DISTINCT event_id, kind, schema_version FROM outbox)")
+def stream_gate(spark, d):
+    x = P.outbox(spark, d).dropDuplicates(["event_id"])
+    return x.select("event_id", "kind", F.when(F.col("schema_version") > 1, "too_new").when(F.col("schema_version") < 1, "too_old").otherwise("ok").alias("outcome"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 50 = 0 THEN '{\"redacted\":true}' ELSE props END AS payload, event_id % 50 = 0 AS is_redacted FROM events")
+def stream_redaction(spark, d):
+    from chronofold.streaming import events
+
+    e = P.table(spark, d, "events").select("event_id", F.col("props").alias("payload"))
+    put = F.lit('{"redacted":true}')
+    return events.redacted(e, e.where("event_id % 50 = 0").select("event_id", put.alias("replacement"), F.sha2(put, 256).alias("sha256")))
+
+
+@query(f"SELECT kind, round(avg(date_diff('microsecond', produced_at, TIMESTAMP '2024-02-01 00:00:00') / 1e6), 3) AS mean_lag_s, round(max(date_diff('microsecond', produced_at, TIMESTAMP '2024-02-01 00:00:00') / 1e6), 3) AS max_lag_s FROM outbox GROUP BY 1")
+def stream_lag(spark, d):
+    from chronofold.streaming import events
+
+    return events.lag(P.outbox(spark, d), "2024-02-01 00:00:00").select("kind", F.round("mean_lag_s", 3).alias("mean_lag_s"), F.round("max_lag_s", 3).alias("max_lag_s"))
+
+
+@query("SELECT event_id AS message_id, 'log_without_copy' AS problem FROM events WHERE event_id % 3 <> 0 AND event_id % 2 = 0 UNION ALL SELECT event_id, 'copy_without_log' FROM events WHERE event_id % 3 = 0 AND event_id % 2 <> 0 UNION ALL SELECT event_id, 'copy_trimmed' FROM events WHERE event_id % 3 = 0 AND event_id % 5 <> 0")
+def stream_reconciliation(spark, d):
+    from chronofold.streaming import events
+
+    e = P.table(spark, d, "events").select(F.col("event_id").alias("message_id"))
+    return events.reconcile(e.where("message_id % 2 = 0"), e.where("message_id % 3 = 0"), e.where("message_id % 5 = 0"))
