@@ -96,7 +96,7 @@ def full_sets(docs: DataFrame, words: int, text_col: str = "text") -> DataFrame:
 def _across(percent: int):
     """Links between components in one block pair of a list, as component pairs."""
 
-    def run(key, members: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
         same = key[1] == key[2]
         members = members.sort_values("cid")
         sets = [np.asarray(x) for x in members["set"]]

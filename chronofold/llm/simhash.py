@@ -126,11 +126,12 @@ def compare(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col:
     within ``radius`` bits. Equal texts have equal fingerprints; rows that repeat are returned each.
     """
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    rows = edits(source)
-    both = rows.select("doc_id", "mark", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("sha"), F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))).alias("x"))
-    both = both.select("doc_id", "mark", "next_id", "n_chars", "sha", "x.which", F.when(F.trim("x.t") == "", F.lit("\u0000")).otherwise(F.col("x.t")).alias("t"))
-    made = fingerprints(both, ["doc_id", "mark", "next_id", "n_chars", "sha", "which"], "t")
-    made = made.groupBy("doc_id", "mark", "next_id", "n_chars", "sha").agg(F.max(F.when(F.col("which") == 0, F.col("bits"))).alias("bits"), F.max(F.when(F.col("which") == 1, F.col("bits"))).alias("ebits"))
+    # Ids tell equal rows apart; two of them may trade ids without any effect.
+    rows = edits(source).withColumn("rid", F.monotonically_increasing_id())
+    both = rows.select("rid", "doc_id", "mark", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("sha"), F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))).alias("x"))
+    both = both.select("rid", "doc_id", "mark", "next_id", "n_chars", "sha", "x.which", F.when(F.trim("x.t") == "", F.lit("\u0000")).otherwise(F.col("x.t")).alias("t"))
+    made = fingerprints(both, ["rid", "doc_id", "mark", "next_id", "n_chars", "sha", "which"], "t")
+    made = made.groupBy("rid", "doc_id", "mark", "next_id", "n_chars", "sha").agg(F.max(F.when(F.col("which") == 0, F.col("bits"))).alias("bits"), F.max(F.when(F.col("which") == 1, F.col("bits"))).alias("ebits"))
     made = cut(made, "sh-made")
     nexts = made.groupBy("doc_id").agg(F.min_by("bits", "mark").alias("nbits")).select(F.col("doc_id").alias("_next"), "nbits")
     pairs = within(made, radius)
