@@ -29,22 +29,47 @@ MIN_CHARS = 10
 PARTS = (16, 128)
 
 
-def _keys(line: Column, n: Column, parts: int) -> Column:
-    """Hashes of the line without each of ``parts`` parts, as the shorter and as the longer of two lines."""
+def _halves(line: Column) -> Column:
+    """Hashes of the line without either half, as the shorter and as the longer of two lines."""
+    n = F.length(line)
 
-    def key(s: Column, m: Column, more: int) -> Column:
-        a = F.floor(m * s / parts).cast("int")
-        b = F.floor(m * (s + 1) / parts).cast("int")
-        return F.xxhash64(m, s, F.substring(line, F.lit(1), a), F.substring(line, b + 1 + more, F.lit(1 << 30)))
+    def key(m: Column, more: int, first: bool) -> Column:
+        h = F.floor(m / 2).cast("int")
+        return F.xxhash64(m, F.substring(line, F.lit(1), h)) if first else F.xxhash64(m, F.lit(1), F.substring(line, h + 1 + more, F.lit(1 << 30)))
 
-    whole = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda s: key(s, n, 0))
-    longer = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda s: key(s, n - 1, 1))
-    return F.array_distinct(F.concat(whole, longer))
+    return F.array(key(n, 0, True), key(n, 0, False), key(n - 1, 0, True), key(n - 1, 1, False))
 
 
-def _sharing(rows: DataFrame, keys: Column) -> DataFrame:
-    """(cid) of the lines of which a key is shared by another line."""
-    k = rows.select("cid", F.explode(keys).alias("k"))
+def _part_keys(rows: DataFrame, parts: int) -> DataFrame:
+    """(cid, k): hashes of each line without each of ``parts`` parts, as the shorter and as the longer of two lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = np.arange(parts)
+        for batch in batches:
+            for cid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums, inverse = _prefix(text)
+                found = []
+                for more in (0, 1):
+                    m = len(sums) - 1 - more
+                    a, b = m * part // parts, m * (part + 1) // parts + more
+                    found.append(K.mix(sums[a] + (sums[-1] - sums[b]) * inverse[b - a] + part.astype(np.uint64)) ^ np.uint64(m))
+                keys = np.unique(np.concatenate(found).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), cid)), pa.array(keys)], ["cid", "k"])
+
+    return rows.select("cid", "line").mapInArrow(run, "cid long, k long")
+
+
+def _prefix(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the polynomial hash of a line's code points, and the inverse powers of its base."""
+    c = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+    power, inverse = K.powers(K.BASE, len(c) + 1)
+    sums = np.zeros(len(c) + 1, dtype=np.uint64)
+    np.cumsum(c * power[: len(c)], out=sums[1:])
+    return sums, inverse
+
+
+def _sharing(k: DataFrame) -> DataFrame:
+    """(cid) of the lines of which a key is shared by another line, from (cid, k)."""
     shared = k.groupBy("k").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x <> y").select("k")
     return k.join(shared.hint("merge"), "k").select("cid").distinct()
 
@@ -55,11 +80,8 @@ def _variants(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                c = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
-                n = len(c)
-                power, inverse = K.powers(K.BASE, n + 1)
-                sums = np.zeros(n + 1, dtype=np.uint64)
-                np.cumsum(c * power[:n], out=sums[1:])
+                sums, inverse = _prefix(text)
+                n = len(sums) - 1
                 without = sums[:-1] + (sums[-1] - sums[1:]) * inverse[1]
                 place = np.arange(n, dtype=np.uint64)
                 insert = np.unique(K.mix(without + np.uint64(n - 1)))
@@ -85,8 +107,7 @@ def duplicate_lines(docs: DataFrame, bound: int = 1, min_chars: int = MIN_CHARS,
     line = F.trim(F.col("raw"))
     lines = docs.select(col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(col(text_col), "\n")).alias("line_no", "raw"))
     lines = lines.select("doc_id", "line_no", line.alias("line")).where(F.length("line") >= min_chars)
-    n = F.length("line")
-    hashed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), _keys(F.col("line"), n, 2).alias("halves"))
+    hashed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), _halves(F.col("line")).alias("halves"))
     hashed = cut(hashed, "ld-lines")
     classes = hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("pos"), F.count("*").alias("copies"), F.any_value("halves").alias("halves"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "ld-classes")
@@ -103,7 +124,7 @@ def duplicate_lines(docs: DataFrame, bound: int = 1, min_chars: int = MIN_CHARS,
 
 def _near(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(cid, near): the place of the earliest line one edit away from the line of a class, if it comes before the class."""
-    some = cut(_sharing(classes, F.col("halves")), "ld-halves")
+    some = cut(_sharing(classes.select("cid", F.explode("halves").alias("k"))), "ld-halves")
     wanted = classes.join(some.hint("merge"), "cid").groupBy("pos.doc_id").agg(F.collect_list(F.struct(F.col("pos.line_no").alias("line_no"), "cid")).alias("wanted"))
     texts = docs.join(wanted.hint("merge"), docs.doc_id.eqNullSafe(wanted.doc_id)).select(docs.doc_id, F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
     texts = texts.select("doc_id", F.col("w.line_no").alias("line_no"), F.col("w.cid").alias("cid"), F.trim(F.get("lines", F.col("w.line_no"))).alias("line"))
@@ -111,7 +132,7 @@ def _near(docs: DataFrame, classes: DataFrame) -> DataFrame:
     texts = texts.join(classes.select("cid", "h1").hint("merge"), "cid").where(F.xxhash64("line") == F.col("h1")).select("cid", "doc_id", "line_no", "line")
     texts = cut(texts.dropDuplicates(["cid"]), "ld-texts")
     for parts in PARTS:
-        close = cut(_sharing(texts, _keys(F.col("line"), F.length("line"), parts)), "ld-parts")
+        close = cut(_sharing(_part_keys(texts, parts)), "ld-parts")
         texts = cut(texts.join(close.hint("merge"), "cid"), "ld-close")
     # From here on ids follow the places of the lines, so the least id is the earliest line.
     placed = texts.repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no")
