@@ -88,7 +88,7 @@ class Blobs:
 
     def __init__(self, spark: SparkSession, root: str):
         jvm = spark.sparkContext._jvm
-        self._path = lambda key: jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{key}")
+        self._path = lambda key: jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{key}".rstrip("/"))
         self._fs = self._path("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._spark, self._root = spark, root
 
@@ -105,7 +105,11 @@ class Blobs:
         return self._fs.delete(self._path(key), False)
 
     def scan(self) -> DataFrame:
-        return self._spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self._root)
+        """All blobs. Paths are listed first, since readers skip folders that begin with an underscore."""
+        found, it = [], self._fs.listFiles(self._path(""), True)
+        while it.hasNext():
+            found.append(it.next().getPath().toString())
+        return self._spark.read.format("binaryFile").load(found)
 
     def release(self, keys: list[str]) -> int:
         """Delete all keys of a manifest; the number that stayed."""
