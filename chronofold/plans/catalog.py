@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chronofold.functions import personal, text
 from chronofold.operators import analytics, dashboard, documents, entities, ingest, quality, temporal
+from chronofold.plans import research
 from chronofold.plans.views import collapsed, sql
 from chronofold.schemas import REGISTRY
 from chronofold.sources import projections as P
@@ -383,6 +384,54 @@ def dashboard_ingestion(spark, d):
     return dashboard.ingestion(o.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("job"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("started_at"), done.alias("finished_at"), (F.col("o_custkey") % 4).alias("n_events")))
 
 
+# Research reads
+@query("SELECT series_id, series_code, ts, as_of, value FROM (" + collapsed("observation", "series_id, ts", "as_of DESC, event_id DESC", f"as_of <= TIMESTAMP '{EVENT_PIT}' AND ts >= TIMESTAMP '2024-01-03' AND ts <= TIMESTAMP '2024-01-10'") + ") JOIN series_catalog USING (series_id) WHERE series_code = 'S7'")
+def research_observations(spark, d):
+    q = research.Read(as_of=EVENT_PIT, closed={"ts": ("2024-01-03", "2024-01-10")})
+    return research.observations(P.observation(spark, d), P.series_catalog(spark, d), q, "S7").select("series_id", "series_code", "ts", "as_of", "value")
+
+
+@query("SELECT entity_id, canonical_code, period_end, restatement_basis, value FROM (SELECT *, row_number() OVER (ORDER BY period_end DESC NULLS LAST, canonical_code, restatement_basis, entity_id, period_type, consolidation, currency_code, accounting_standard, cpi_base_date, mapping_version, as_of, row_no) AS n FROM (" + collapsed("canonical_financial", "entity_id, canonical_code, period_end, period_type, consolidation, currency_code, accounting_standard, restatement_basis, cpi_base_date, mapping_version", _BEST, f"as_of <= TIMESTAMP '{PIT}' AND entity_id = 7") + ")) WHERE n <= 50")
+def research_canonical(spark, d):
+    rows, _ = research.canonical(P.canonical_financial(spark, d), 7, research.Read(as_of=PIT, limit=50))
+    return rows.select("entity_id", "canonical_code", "period_end", "restatement_basis", "value")
+
+
+@query("SELECT entity_id, filing_id, line_code, as_of, value FROM financial_line_item WHERE as_of >= TIMESTAMP '1999-01-01' AND as_of < TIMESTAMP '1999-07-01' AND statement_type = 'bs' AND consolidation = 'solo' AND period_end >= DATE '1999-03-31'")
+def research_line_item_versions(spark, d):
+    q = research.Read(between=("1999-01-01 00:00:00", "1999-07-01 00:00:00"), equal={"statement_type": "bs", "consolidation": "solo", "filing_id": None}, closed={"period_end": ("1999-03-31", None)})
+    return research.read(P.financial_line_item(spark, d), "financial_line_item", q).select("entity_id", "filing_id", "line_code", "as_of", "value")
+
+
+def _lineage(kind: str, key: str, other: str, where: str) -> str:
+    known = collapsed("entity_lineage", "event_kind, from_entity_id, into_entity_id, event_at", "as_of DESC, row_no DESC", f"as_of <= TIMESTAMP '{PIT}'")
+    return collapsed(f"(SELECT * EXCLUDE rk FROM (SELECT *, 1 AS rk FROM ({known})) WHERE event_kind = '{kind}' AND {where})", key, "event_at DESC, row_no DESC", "TRUE", f"{key} AS entity_id, {other}")
+
+
+@query("SELECT entity_id, event_kind, as_of, merged_into, split_from FROM (" + collapsed("entity_version", "entity_id", _BEST, f"as_of <= TIMESTAMP '{PIT}' AND event_kind <> 'deleted'") + f") LEFT JOIN ({_lineage('merged', 'from_entity_id', 'into_entity_id AS merged_into', 'TRUE')}) USING (entity_id) LEFT JOIN ({_lineage('split', 'into_entity_id', 'from_entity_id AS split_from', 'TRUE')}) USING (entity_id)")
+def research_entities(spark, d):
+    return research.entities_with_lineage(P.entity_version(spark, d), P.entity_lineage(spark, d), PIT).select("entity_id", "event_kind", "as_of", "merged_into", "split_from")
+
+
+@query("SELECT offer_id, source_id, kind FROM filing JOIN (SELECT DISTINCT source_id, CASE WHEN length(source_id) = 4 THEN 'exchange' ELSE 'regulator' END AS kind FROM filing) USING (source_id) WHERE kind = 'exchange'")
+def research_filings(spark, d):
+    f = P.filing(spark, d)
+    sources = f.select("source_id").distinct().withColumn("kind", F.when(F.length("source_id") == 4, "exchange").otherwise("regulator"))
+    return research.filings(f, sources, "exchange").select("offer_id", "source_id", "kind")
+
+
+@query("SELECT entity_id, period_end, restatement_basis, score FROM (" + collapsed("entity_quality_score", "entity_id, period_end, period_type, consolidation, currency_code, accounting_standard, restatement_basis, cpi_base_date, mapping_version", _BEST, f"as_of <= TIMESTAMP '{PIT}' AND period_end BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'") + ") WHERE restatement_basis = 'as_reported'")
+def research_quality(spark, d):
+    q = research.Read(as_of=PIT, equal={"restatement_basis": "as_reported"}, closed={"period_end": ("1997-01-01", "1999-12-31")})
+    return research.read(P.entity_quality_score(spark, d), "entity_quality_score", q).select("entity_id", "period_end", "restatement_basis", "score")
+
+
+@query("SELECT filing_id, event_type, event_seq, entity_id, '<REDACTED:counterparty>' AS counterparty FROM (" + collapsed("filing_event", "filing_id, event_type, event_seq", "as_of DESC, row_no DESC", f"as_of <= TIMESTAMP '{PIT}' AND (superseded_at IS NULL OR superseded_at > TIMESTAMP '{PIT}') AND event_type = 'A'") + ") WHERE entity_id = 7")
+def research_events(spark, d):
+    x = research.events(P.filing_event(spark, d), research.Read(as_of=PIT, equal={"event_type": "A", "entity_id": 7}))
+    return x.select("filing_id", "event_type", "event_seq", "entity_id", F.get_json_object("payload", "$.counterparty").alias("counterparty"))
+
+
 # Streams, as batches
 @query("SELECT event_id, kind, CASE WHEN schema_version > 1 THEN 'too_new' WHEN schema_version < 1 THEN 'too_old' ELSE 'ok' END AS outcome FROM (SELECT DISTINCT event_id, kind, schema_version FROM outbox)")
 def stream_gate(spark, d):

@@ -118,7 +118,7 @@ class Blobs:
 
 def envelope(df: DataFrame, metadata: dict) -> dict:
     """A page of rows with metadata and an entity tag; for results that a limit bounds."""
-    data = [json.loads(x) for x in df.toJSON().collect()]
+    data = [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"))).collect()]
     body = json.dumps({"data": data, "metadata": metadata}, sort_keys=True, default=str)
     return {"data": data, "metadata": metadata, "etag": hashlib.sha256(body.encode()).hexdigest()[:32]}
 
