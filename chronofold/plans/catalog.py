@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.functions import personal, text
-from chronofold.operators import analytics, dashboard, documents, entities, ingest, quality, temporal
+from chronofold.operators import analytics, audit, dashboard, documents, entities, ingest, quality, series, temporal
 from chronofold.plans import research
 from chronofold.plans.views import collapsed, sql
 from chronofold.schemas import REGISTRY
@@ -461,3 +461,65 @@ def stream_reconciliation(spark, d):
 
     e = P.table(spark, d, "events").select(F.col("event_id").alias("message_id"))
     return events.reconcile(e.where("message_id % 2 = 0"), e.where("message_id % 3 = 0"), e.where("message_id % 5 = 0"))
+
+
+@query("SELECT kind, count(*) AS pending, min(produced_at) AS oldest FROM outbox WHERE event_id % 4 <> 0 GROUP BY 1")
+def stream_pending(spark, d):
+    from chronofold.streaming import events
+
+    x = P.outbox(spark, d)
+    return events.pending(x, x.where("event_id % 4 = 0").select("event_id").distinct())
+
+
+@query("SELECT message_id FROM (SELECT (event_id // 3) || '-' || (event_id % 3) AS message_id, event_id FROM events) WHERE event_id > 301 AND event_id <= 900 ORDER BY event_id LIMIT 100")
+def stream_page(spark, d):
+    from chronofold.streaming import events
+
+    x = P.table(spark, d, "events").select(F.concat_ws("-", F.floor(F.col("event_id") / 3).cast("string"), (F.col("event_id") % 3).cast("string")).alias("message_id"))
+    return events.between_ids(x, "100-1", "300-0", 100)
+
+
+@query("SELECT DISTINCT event_id, 'events.' || kind AS stream, CAST(copy AS VARCHAR) AS message_id FROM outbox")
+def stream_copy_index(spark, d):
+    from chronofold.streaming import events
+
+    return events.copy_index(P.outbox(spark, d).select("event_id", F.concat(F.lit("events."), "kind").alias("stream"), F.col("copy").cast("string").alias("message_id")))
+
+
+# Catalog, audit, documents
+@query("SELECT series_id, series_code, frequency FROM series_catalog WHERE source_id = 'bist' ORDER BY series_code LIMIT 30")
+def series_listing(spark, d):
+    return series.listing(P.series_catalog(spark, d), limit=30, source_id="bist", frequency=None).select("series_id", "series_code", "frequency")
+
+
+@query("SELECT series_id, series_code, coalesce(n, 0) AS n_subjects, first_subject FROM series_catalog LEFT JOIN (SELECT user_id AS series_id, count(*) AS n, min(event_type) AS first_subject FROM (SELECT DISTINCT user_id, event_type FROM events WHERE value > 90) GROUP BY 1) USING (series_id)")
+def series_with_subjects(spark, d):
+    subjects = P.table(spark, d, "events").where("value > 90").select(F.col("user_id").alias("series_id"), F.col("event_type").alias("subject_id"), F.lit("owner").alias("role")).distinct()
+    x = series.with_subjects(P.series_catalog(spark, d), subjects)
+    return x.select("series_id", "series_code", F.size("subjects").cast("long").alias("n_subjects"), F.get("subjects", F.lit(0))["subject_id"].alias("first_subject"))
+
+
+@query("SELECT event_id, ts AS occurred_at, CASE WHEN event_id % 3 = 0 THEN '<no client_ip>' ELSE '10.0.' || (user_id % 256) || '.0/24' END AS client_net, len(json_keys(props)) AS n_keys FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
+def audit_recent(spark, d):
+    e = P.table(spark, d, "events")
+    ip = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("10.0."), F.col("user_id") % 256, F.lit(".9")))
+    return audit.recent(e.select("event_id", F.col("ts").alias("occurred_at"), ip.alias("client_ip"), F.col("props").alias("metadata"))).withColumn("n_keys", F.col("n_keys").cast("long"))
+
+
+@query("SELECT offer_id, source_id, offer_id % 4 AS copies, CASE WHEN offer_id % 4 = 0 THEN 0 ELSE (offer_id % 4 + 1) // 2 END AS redacted FROM filing")
+def documents_with_copies(spark, d):
+    f = P.filing(spark, d)
+    copies = f.where("offer_id % 4 > 0").select("offer_id", F.explode(F.sequence(F.lit(1), F.col("offer_id") % 4)).alias("i")).select("offer_id", F.when(F.col("i") % 2 == 1, F.lit("x")).alias("redacted_at"))
+    return dashboard.documents_with_copies(f, copies)
+
+
+@query("SELECT source_ref AS filing_id, sha256, min(offer_id) AS seq FROM filing WHERE offer_id % 5 <> 0 OR TRUE GROUP BY 1, 2 HAVING (source_ref, sha256) NOT IN (SELECT (source_ref, sha256) FROM filing WHERE offer_id % 5 = 0)")
+def new_attachments(spark, d):
+    f = P.filing(spark, d).select(F.col("source_ref").alias("filing_id"), "sha256", F.col("offer_id").alias("seq"), F.col("source_id").alias("filename"))
+    return documents.attach(f.where("seq % 5 = 0"), f).select("filing_id", "sha256", "seq")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (rule = 'one_value') AS one_value, count(*) FILTER (rule = 'quality_flag') AS quality_flag FROM (SELECT CASE WHEN (event_id % 5 = 0) = (event_id % 7 <> 0) THEN 'one_value' WHEN event_id % 9 = 0 THEN 'quality_flag' END AS rule FROM events) WHERE rule IS NOT NULL")
+def ingest_violations(spark, d):
+    x = P.observation(spark, d).select("series_id", "ts", "as_of", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"), F.when(F.col("event_id") % 7 == 0, F.lit("x")).alias("value_text"), F.when(F.col("event_id") % 9 == 0, -1).otherwise(0).alias("quality_flag"))
+    return ingest.violations(x).agg(F.count("*").alias("n"), F.count_if(F.col("rule") == "one_value").alias("one_value"), F.count_if(F.col("rule") == "quality_flag").alias("quality_flag"))

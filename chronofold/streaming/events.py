@@ -123,3 +123,37 @@ def lag(events: DataFrame, now: str) -> DataFrame:
     """Seconds between production and ``now``: mean and most per kind."""
     late = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("produced_at").cast("timestamp"))) / 1e6
     return events.groupBy("kind").agg(F.avg(late).alias("mean_lag_s"), F.max(late).alias("max_lag_s"))
+
+
+def publish(rows: DataFrame, run_id: int, context_actor: str) -> tuple[DataFrame, DataFrame]:
+    """(outbox rows, one audit row) of a batch of events; an event_id that comes twice is an error before anything is written."""
+    if not rows.groupBy("event_id").count().where("count > 1").isEmpty():
+        raise ValueError("an event_id comes twice in the batch")
+    out = rows.withColumn("stream", F.concat(F.lit("events."), "kind")).withColumn("producer_run_id", F.lit(run_id)).withColumn("actor_id", F.lit(context_actor))
+    audit = out.agg(F.count("*").alias("n_events"), F.array_sort(F.collect_set("stream")).alias("streams"), F.first("actor_id").alias("actor_id"))
+    return out, audit
+
+
+def between_ids(messages: DataFrame, after: str | None, upto: str, limit: int = 1000) -> DataFrame:
+    """A page of messages after one id and up to another, by id."""
+    from chronofold.functions.text import message_order
+
+    at = message_order(F.col("message_id"))
+    x = messages.where(at <= message_order(F.lit(upto)))
+    x = x if after is None else x.where(at > message_order(F.lit(after)))
+    return x.orderBy(at).limit(limit)
+
+
+def copy_index(messages: DataFrame) -> DataFrame:
+    """Every physical copy of an event: ids collide across streams, so the key is all three columns."""
+    return messages.select("event_id", "stream", "message_id").distinct()
+
+
+def pending(outbox: DataFrame, published: DataFrame) -> DataFrame:
+    """Outbox rows not yet published, with how many there are per kind and the oldest."""
+    return outbox.join(published.select("event_id"), "event_id", "left_anti").groupBy("kind").agg(F.count("*").alias("pending"), F.min("produced_at").alias("oldest"))
+
+
+def retry(dead: DataFrame, message_ids: list[str]) -> DataFrame:
+    """Messages of the dead-letter table to put back into the source."""
+    return dead.where(F.col("message_id").isin(message_ids)).select("message_id", "payload")
