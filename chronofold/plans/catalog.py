@@ -134,7 +134,7 @@ def entity_financials(spark, d):
     return x.select("entity_id", "period_end", F.explode("lines").alias("canonical_code", "value"), "score")
 
 
-_ASKED = "SELECT unnest([1, 2, 3, 5, 999999]) AS entity_id"
+_ASKED = "SELECT unnest(CAST([1, 2, 3, 5, 999999] AS BIGINT[])) AS entity_id"
 
 
 @query(f"SELECT a.entity_id, p.period_end, p.value FROM ({_ASKED}) a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY period_end DESC) AS n FROM (" + collapsed("canonical_financial", "entity_id, period_end", f"mapping_version DESC, {_BEST}", f"{_CANON} AND canonical_code = 'is.1'") + ")) p ON p.entity_id = a.entity_id AND n <= 5")
@@ -377,7 +377,7 @@ def rate_limit_windows(spark, d):
     return dashboard.rate_windows(P.table(spark, d, "events"), "user_id", "ts", 60)
 
 
-@query("SELECT CAST(o_orderkey AS BIGINT) AS run_id, o_orderpriority AS job, o_orderstatus AS status, CASE WHEN o_orderstatus <> 'P' THEN (o_orderkey % 500) * 60.0 END AS duration_s, CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 4 END AS n_events FROM orders")
+@query("SELECT CAST(o_orderkey AS BIGINT) AS run_id, o_orderpriority AS job, o_orderstatus AS status, CASE WHEN o_orderstatus <> 'P' THEN CAST((o_orderkey % 500) * 60 AS DOUBLE) END AS duration_s, CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 4 END AS n_events FROM orders")
 def dashboard_ingestion(spark, d):
     o = P.table(spark, d, "orders")
     done = F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate") + F.make_dt_interval(mins=(F.col("o_orderkey") % 500).cast("int")))
