@@ -1,7 +1,7 @@
 """Personal data by regular patterns and by bootstrapped contextual extraction, in DataFrame operations only.
 
-Base patterns give spans of four kinds. They seed a bootstrap over identifier-like tokens (those with a
-digit or an @): the words before a token are its lexical pattern, the token is an instance. Patterns
+Base patterns give spans of four kinds. They seed a bootstrap over identifier-like candidates: the two words
+before a span or candidate are its lexical pattern, its text is an instance. Patterns
 and instances form a bipartite graph, aggregated before any join. In each round a
 pattern is scored for a kind by the share of its different instances that are known to be of that kind;
 confident patterns with enough support make their other instances known, which scores further patterns.
@@ -29,7 +29,8 @@ PATTERNS = {
     "card": rf"(?<![0-9{SEP}])[0-9](?:{SEP}?[0-9]){{11,18}}(?![0-9{SEP}])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Candidates: numbers with separators between digits, or words with a digit, an @ or an opening bracket.
+TOKEN = r"(?<![\w@.+-])\+?\(?[0-9](?:[ ().-]{0,2}[0-9])*+(?![\w@])|(?<!\S)[^\s0-9@\[({]*+[0-9@\[({]\S*+"
 TRIM = ".,;:!?\"'()<>[]{}"
 ROUNDS = 3
 SPAN = "struct<start:bigint,end:bigint,found:string,before:string>"
@@ -92,24 +93,32 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
+def _words_before(text: Column) -> Column:
+    """The last two words of a text: the lexical pattern of what follows."""
+    return F.lower(F.substring_index(F.trim(F.translate(F.right(text, F.lit(200)), "\n\t\r", "   ")), " ", -2))
+
+
 def tokens(text: Column, base: Column) -> Column:
-    """Array of identifier-like tokens: start and end without punctuation around, token, pattern, known kind (or null)."""
+    """Array of instances with their patterns: the base spans with their kinds, and candidates that overlap none, without a kind."""
+
+    def seed(b: Column) -> Column:
+        found = F.substring(text, (b["start"] + 1).cast("int"), (b["end"] - b["start"]).cast("int"))
+        before = _words_before(F.left(text, b["start"].cast("int")))
+        return F.struct(b["start"].alias("start"), b["end"].alias("end"), F.lower(found).alias("instance"), before.alias("pattern"), b["kind"].alias("kind"))
 
-    def one(x: Column) -> Column:
-        lead = F.length(x["found"]) - F.length(F.ltrim(x["found"], F.lit(TRIM)))
+    def candidate(x: Column) -> Column:
+        start = x["start"] + F.length(x["found"]) - F.length(F.ltrim(x["found"], F.lit(TRIM)))
         bare = F.btrim(x["found"], F.lit(TRIM))
-        before = F.substring_index(F.trim(F.translate(F.right(x["before"], F.lit(200)), "\n\t\r", "   ")), " ", -2)
-        kinds = F.transform(F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])), lambda b: b["kind"])
-        start = x["start"] + lead
-        return F.struct(start.alias("start"), (start + F.length(bare)).alias("end"), F.lower(bare).alias("instance"), F.lower(before).alias("pattern"), F.get(kinds, F.lit(0)).alias("kind"))
+        return F.struct(start.alias("start"), (start + F.length(bare)).alias("end"), F.lower(bare).alias("instance"), _words_before(x["before"]).alias("pattern"), F.lit(None).cast("int").alias("kind"))
 
-    return F.transform(_spans(text, TOKEN), one)
+    apart = F.filter(_spans(text, TOKEN), lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    return F.concat(F.transform(base, seed), F.transform(apart, candidate))
 
 
 def _suits(kind: Column, instance: Column) -> Column:
     """Whether a token has the shape of a kind, loosely: an address has an @ or a spelt-out one, the others enough digits."""
     digits = F.length(F.regexp_replace(instance, "[^0-9]", ""))
-    return F.when(kind == 0, instance.rlike(r"@|\(at\)|\[at\]")).when(kind == 1, instance.rlike(r"^[0-9a-f]{1,4}([.:][0-9a-f]{0,4}){3,7}$")).when(kind == 2, digits.between(12, 19)).otherwise(digits.between(7, 15))
+    return F.when(kind == 0, instance.rlike(r"@|[\[({ ]at[\])} ]")).when(kind == 1, instance.rlike(r"^[0-9a-f]{1,4}([.:][0-9a-f]{0,4}){3,7}$")).when(kind == 2, digits.between(12, 19)).otherwise(digits.between(7, 15))
 
 
 def bootstrap(graph: DataFrame, support: int = 3, confidence: float = 0.8, rounds: int = ROUNDS) -> DataFrame:
