@@ -63,5 +63,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_CONTROL = r"<\|turn\|>|<\|says\|>|<\|end\|>|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|</s>|<s>"
+_WIDTH = "length({0}) + length({0}) - length(replace({0}, '\\', '')) + len(regexp_extract_all({0}, '" + _CONTROL + "'))"
+
+_CHAT = f"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(23 + {_WIDTH.format("role")} + {_WIDTH.format("text")}) AS BIGINT) AS formatted_chars
+FROM rows_ GROUP BY conv_id"""
+
+_NEAR = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 2], chr(1))) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+links AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN sizes m ON m.doc_id = p.a JOIN sizes n ON n.doc_id = p.b WHERE 100 * c >= 85 * (m.n + n.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id, min(b) = a AS kept
+FROM reach LEFT JOIN sizes ON sizes.doc_id = reach.a GROUP BY a"""
+
+
+_REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 400)) AS m FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 199, 0))) AS p FROM d)),
+dup AS (SELECT doc_id, p FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+runs AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS g
+  FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM dup)),
+spans AS (SELECT doc_id, g, min(p) AS a, max(p) + 200 AS b FROM runs GROUP BY 1, 2),
+pieces AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM spans
+  UNION ALL SELECT d.doc_id, coalesce(max(b), 0), n FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id, n)
+SELECT doc_id, n AS n_bytes, n - CAST(sum(y - x) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans, sha256(unhex(string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x))) AS kept_sha256
+FROM d JOIN pieces USING (doc_id) GROUP BY doc_id, n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that SQL can express on whole tables; tests hold the others against brute force."""
+    return {"op3_chat": _CHAT, "op6_suffixes": _REPEATS, "op8_minhash": _NEAR}
