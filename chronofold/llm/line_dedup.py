@@ -98,7 +98,7 @@ def _variants(rows: DataFrame) -> DataFrame:
 def duplicate_lines(docs: DataFrame, bound: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no, distance) for each line to drop.
 
-    Lines end at \\n and are compared without white space at either end; those of fewer than ``min_chars``
+    Lines end at \\n and are compared without blanks at either end; those of fewer than ``min_chars``
     characters are never dropped. A line is dropped if an earlier one, by doc_id (null first)
     and line number, is equal or, with ``bound`` 1, one edit away; ``kept_*`` names the earliest such line.
     Lines of rows that repeat a doc_id have the same place and don't drop each other. Null texts have no lines.
