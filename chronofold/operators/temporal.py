@@ -22,11 +22,15 @@ MAX_WIDTH = dt.timedelta(days=5 * 365)
 PAGE = 500
 
 
+def _text(value: str | dt.datetime) -> str:
+    """A time in UTC without zone; text that isn't a time is an error."""
+    value = dt.datetime.fromisoformat(value) if isinstance(value, str) else value
+    return (value.astimezone(dt.UTC) if value.tzinfo else value).strftime("%Y-%m-%d %H:%M:%S.%f")
+
+
 def moment(value: str | dt.datetime | None) -> Column:
     """A literal timestamp without zone, as the tables store it in UTC."""
-    if isinstance(value, dt.datetime):
-        value = (value.astimezone(dt.UTC) if value.tzinfo else value).strftime("%Y-%m-%d %H:%M:%S.%f")
-    return F.lit(value).cast("timestamp_ntz")
+    return F.lit(None if value is None else _text(value)).cast("timestamp_ntz")
 
 
 def first_per_key(df: DataFrame, key: Sequence[str], *order: Column) -> DataFrame:
@@ -48,7 +52,7 @@ def pit(df: DataFrame, fact: Fact | str, at: str | dt.datetime | None, *, hide_d
         df = df.where(known | F.expr(keep_unknown) if keep_unknown else known)
     live = None
     if fact.live:
-        now = f"TIMESTAMP_NTZ '{at}'" if at is not None else None
+        now = f"TIMESTAMP_NTZ '{_text(at)}'" if at is not None else None
         live = F.expr(fact.live.replace(":p", now) if now else re.sub(r" OR [a-z_]+ > :p", "", fact.live))
         df = df if hide_deleted else df.where(live)
     df = first_per_key(df, fact.key, F.col(fact.as_of).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in fact.ties])

@@ -29,6 +29,16 @@ def test_pit_takes_the_version_known_then(spark):
     assert at("2024-08-03 00:00:00") == [200.0] and at("2024-07-01 00:00:00") == [] and at("2024-08-05 11:00:00") == [300.0] and at(None) == [300.0]
 
 
+def test_pit_takes_times_with_a_zone(spark):
+    rows = [(1, "A", 1, t("2024-01-01T10:00:00"), t("2024-01-01T12:30:00"), 1)]
+    df = spark.createDataFrame(rows, "filing_id long, event_type string, event_seq int, as_of timestamp_ntz, superseded_at timestamp_ntz, row_no long")
+    at = dt.datetime(2024, 1, 1, 15, tzinfo=dt.timezone(dt.timedelta(hours=3)))
+    assert temporal.pit(df, "filing_event", at).count() == 1
+    assert temporal.pit(df, "filing_event", at + dt.timedelta(hours=1)).count() == 0
+    with pytest.raises(ValueError):
+        temporal.pit(df, "filing_event", "' OR 1=1")
+
+
 def test_pit_splits_at_the_microsecond(spark):
     df = observations(spark, [("2024-08-01", "2024-08-01T00:00:00.654320", 1.0), ("2024-08-01", "2024-08-01T00:00:00.654321", 2.0)])
     assert temporal.pit(df, "observation", "2024-08-01 00:00:00.654320").first()["value"] == 1.0
