@@ -152,7 +152,7 @@ def drop_lines(docs: DataFrame, **options) -> DataFrame:
     gone = duplicate_lines(docs, **options).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
     gone = cut(gone.withColumnRenamed("doc_id", "_id"), "ld-gone")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -157,7 +157,7 @@ def link_classes(classes: DataFrame, sets_of, percent: int, k: int) -> DataFrame
     near = cut(near, "nd-near")
     candidates = lists.select("cid").distinct()
     sets = cut(sets_of(candidates), "nd-sets")
-    pairs = near.join(sets, "cid").join(sets.select(F.col("cid").alias("centre"), F.col("set").alias("set2")), "centre")
+    pairs = near.join(sets.hint("merge"), "cid").join(sets.select(F.col("cid").alias("centre"), F.col("set").alias("set2")).hint("merge"), "centre")
     inter = F.size(F.array_intersect("set", "set2"))
     linked = pairs.where(inter * 100 >= (F.size("set") + F.size("set2") - inter) * percent)
     links = cut(linked.select(F.col("cid").alias("a"), F.col("centre").alias("b")), "nd-links")
@@ -168,7 +168,7 @@ def link_classes(classes: DataFrame, sets_of, percent: int, k: int) -> DataFrame
     placed = placed.join(split, "v")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = placed.withColumn("b", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.join(sets, "cid").select("v", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "b", "cid", "comp", "set")
+    placed = placed.join(sets.hint("merge"), "cid").select("v", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "b", "cid", "comp", "set")
     more = placed.groupBy("v", "b1", "b2").applyInPandas(_across(percent), "a long, b long").distinct()
     more = cut(more, "nd-more")
     joined = components(more)
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
 
     def sets_of(cids: DataFrame) -> DataFrame:
         rows = source.select(F.col(f"`{id_col}`").cast("long").alias("cid"), F.col(f"`{text_col}`").alias(text_col))
-        return full_sets(rows.join(cids, "cid"), words, text_col)
+        return full_sets(rows.join(cids.hint("merge"), "cid"), words, text_col)
 
     one = classes.groupBy("cid").agg(F.max_by("n", F.struct("n", "s1", "s2")).alias("n"), F.max_by("sketch", F.struct("n", "s1", "s2")).alias("sketch")) if _repeats(sk) else classes
     comps = link_classes(one.select("cid", "n", "sketch"), sets_of, percent, k)
