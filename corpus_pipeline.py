@@ -31,13 +31,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the least doc_id stays."""
     gone = near_dup.near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(cut(gone, "pipeline-near"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(cut(gone, "pipeline-near").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item, in whatever order of its passages, go."""
     found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(cut(found.select("doc_id").distinct(), "pipeline-leaks"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(cut(found.select("doc_id").distinct(), "pipeline-leaks").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
