@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
 

@@ -92,13 +92,19 @@ def _contexts(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("doc_id", "mark", "text", "wanted").mapInArrow(run, f"{fields}, doc_id long, mark long, bytes binary")
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Row values of batches of contexts, with prefix sums of their bytes by both bases."""
+PART = 512
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[np.ndarray]]]:
+    """Runs of contexts with where the bytes of each begin, and prefix sums of all their bytes by both bases."""
     for batch in batches:
-        cols = [c.to_pylist() for c in batch.columns]
-        for *rest, data in zip(*cols, strict=True):
-            raw = np.frombuffer(data, dtype=np.uint8)
-            yield rest, [K.prefix_hash(raw, b) for b in (K.BASE, K.BASE2)]
+        for a in range(0, batch.num_rows, PART):
+            part = batch.slice(a, PART)
+            data = part.column(part.num_columns - 1).cast(pa.large_binary())
+            _, off, raw = data.buffers()
+            offsets = np.frombuffer(off, dtype=np.int64)[data.offset : data.offset + len(data) + 1]
+            held = np.frombuffer(raw, dtype=np.uint8)[offsets[0] : offsets[-1]]
+            yield part, offsets[:-1] - offsets[0], [K.prefix_hash(held, b) for b in (K.BASE, K.BASE2)]
 
 
 ROWS = 1 << 16
@@ -121,15 +127,18 @@ def _blocks(edges: DataFrame, width: int) -> DataFrame:
     """(gid, block, core, whole): blocks of windows by their distance from the anchor; whole is 0 where windows are missing, else a hash of all bytes."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-        for (gid, n, ahead), (a, b) in _each(batches):
-            block = np.arange((ahead - n) // BLOCK, ahead // BLOCK + 1)
-            near = ahead - block * BLOCK
-            far = near - (BLOCK - 1)
-            place = block.astype(np.uint64)
-            core = K.mix(K.span_hash(a, K.BASE, near, far + width) + place) ^ K.span_hash(b, K.BASE2, near, far + width)
-            full = (far >= 0) & (near <= n)
-            whole = K.span_hash(b, K.BASE2, np.maximum(far, 0), np.minimum(near, n) + width)
-            yield [np.full(len(block), gid), block.astype(np.int32), core.view(np.int64), np.where(full, whole.view(np.int64), 0)]
+        for part, begin, (a, b) in _parts(batches):
+            gid, n, ahead = (part.column(c).to_numpy().astype(np.int64) for c in range(3))
+            first = (ahead - n) // BLOCK
+            count = ahead // BLOCK - first + 1
+            row = np.repeat(np.arange(len(gid)), count)
+            block = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(row))
+            near = ahead[row] - block * BLOCK
+            far, at, last = near - (BLOCK - 1), begin[row], n[row]
+            core = K.mix(K.span_hash(a, K.BASE, at + near, at + far + width) + block.astype(np.uint64)) ^ K.span_hash(b, K.BASE2, at + near, at + far + width)
+            full = (far >= 0) & (near <= last)
+            whole = K.span_hash(b, K.BASE2, at + np.maximum(far, 0), at + np.minimum(near, last) + width)
+            yield [gid[row], block.astype(np.int32), core.view(np.int64), np.where(full, whole.view(np.int64), 0)]
 
     names = ["gid", "block", "core", "whole"]
     return edges.select("gid", "n", "ahead", "bytes").mapInArrow(lambda b: _gathered(made(b), names), "gid long, block int, core long, whole long")
@@ -139,12 +148,17 @@ def _windows(rows: DataFrame, width: int) -> DataFrame:
     """(w1, w2, gid, start) for each window of the wanted blocks; rows: gid, lo, n, ahead, blocks, bytes."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-        for (gid, lo, n, ahead, blocks), (a, b) in _each(batches):
-            near = ahead - np.asarray(blocks) * BLOCK
-            start = (near[:, None] - np.arange(BLOCK)[None, :]).ravel()
-            start = start[(start >= 0) & (start <= n)]
-            digits = [K.span_hash(s, base, start, start + width).view(np.int64) for s, base in ((a, K.BASE), (b, K.BASE2))]
-            yield [*digits, np.full(len(start), gid), (start + lo).astype(np.int32)]
+        for part, begin, (a, b) in _parts(batches):
+            gid, lo, n, ahead = (part.column(c).to_numpy().astype(np.int64) for c in range(4))
+            lists = part.column(4)
+            row = np.repeat(np.arange(len(gid)), lists.value_lengths().to_numpy().astype(np.int64))
+            start = (ahead[row] - lists.flatten().to_numpy().astype(np.int64) * BLOCK)[:, None] - np.arange(BLOCK)[None, :]
+            row, start = np.repeat(row, BLOCK), start.ravel()
+            keep = (start >= 0) & (start <= n[row])
+            row, start = row[keep], start[keep]
+            at = begin[row] + start
+            digits = [K.span_hash(s, base, at, at + width).view(np.int64) for s, base in ((a, K.BASE), (b, K.BASE2))]
+            yield [*digits, gid[row], (start + lo[row]).astype(np.int32)]
 
     names = ["w1", "w2", "gid", "start"]
     return rows.select("gid", "lo", "n", "ahead", "blocks", "bytes").mapInArrow(lambda b: _gathered(made(b), names), "w1 long, w2 long, gid long, start int")
