@@ -95,19 +95,23 @@ def _variants(rows: DataFrame) -> DataFrame:
     return rows.select("cid", "line").mapInArrow(run, "k long, cid long")
 
 
-def duplicate_lines(docs: DataFrame, bound: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, bound: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", min_equal: int | None = None) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no, distance) for each line to drop.
 
     Lines end at \\n and are compared without blanks at either end; those of fewer than ``min_chars``
-    characters are never dropped. A line is dropped if an earlier one, by doc_id (null first)
+    characters are not compared by edits, and those of fewer than ``min_equal`` (``min_chars`` unless given)
+    not at all. With ``min_equal``, lines of white space only are never dropped. A line is dropped if an earlier one, by doc_id (null first)
     and line number, is equal or, with ``bound`` 1, one edit away; ``kept_*`` names the earliest such line.
     Lines of rows that repeat a doc_id have the same place and don't drop each other. Null texts have no lines.
     """
     col = lambda c: F.col(f"`{c}`")
     line = F.trim(F.col("raw"))
     lines = docs.select(col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(col(text_col), "\n")).alias("line_no", "raw"))
-    lines = lines.select("doc_id", "line_no", line.alias("line")).where(F.length("line") >= min_chars)
-    hashed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), _halves(F.col("line")).alias("halves"))
+    lines = lines.select("doc_id", "line_no", line.alias("line")).where(F.length("line") >= (min_chars if min_equal is None else min(min_equal, min_chars)))
+    if min_equal is not None:
+        lines = lines.where(F.col("line").rlike(r"[^\s\p{Z}]"))
+    halves = F.when(F.length("line") >= min_chars, _halves(F.col("line")))
+    hashed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), halves.alias("halves"))
     hashed = cut(hashed, "ld-lines")
     classes = hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("pos"), F.count("*").alias("copies"), F.any_value("halves").alias("halves"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "ld-classes")
