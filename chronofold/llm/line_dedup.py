@@ -11,15 +11,23 @@ to the earliest is verified on the texts.
 To keep the variants few, lines are first compared with whole parts deleted (halves, sixteenths,
 then finer ones): lines one edit apart agree in all parts but one. What shares no such key has no
 near line and emits no variants.
+
+For bounds of 2 and 3 whole parts are deleted instead of characters. All lines are compared by an end, or
+what stands beside it; few lines of one end are paired, many first compared by two of d + 2 parts at once, which
+d edits leave whole and move by no more than the edits before them. Pairs are verified on the texts.
+The edits allowed grow with the shorter line: one
+for each ``CHARS_PER_EDIT`` characters, at least 1, at most the bound.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.llm import kernels as K
@@ -27,6 +35,9 @@ from chronofold.llm.runtime import cut
 
 MIN_CHARS = 10
 PARTS = (16, 128)
+BOUND = 3
+CHARS_PER_EDIT = 10
+FEW = 64
 
 
 def _halves(line: Column) -> Column:
@@ -101,29 +112,36 @@ def duplicate_lines(docs: DataFrame, bound: int = 1, min_chars: int = MIN_CHARS,
     Lines end at \\n and are compared without blanks at either end; those of fewer than ``min_chars``
     characters are not compared by edits, and those of fewer than ``min_equal`` (``min_chars`` unless given)
     not at all. With ``min_equal``, lines of white space only are never dropped. A line is dropped if an earlier one, by doc_id (null first)
-    and line number, is equal or, with ``bound`` 1, one edit away; ``kept_*`` names the earliest such line.
+    and line number, is equal or within the edits that ``bound`` (0 to 3) allows; ``kept_*`` names the earliest such line.
     Lines of rows that repeat a doc_id have the same place and don't drop each other. Null texts have no lines.
     """
+    if bound not in range(BOUND + 1):
+        raise ValueError(f"bound {bound} is not one of 0 to {BOUND}")
     col = lambda c: F.col(f"`{c}`")
     line = F.trim(F.col("raw"))
     lines = docs.select(col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(col(text_col), "\n")).alias("line_no", "raw"))
     lines = lines.select("doc_id", "line_no", line.alias("line")).where(F.length("line") >= (min_chars if min_equal is None else min(min_equal, min_chars)))
     if min_equal is not None:
         lines = lines.where(F.col("line").rlike(r"[^\s\p{Z}]"))
-    halves = F.when(F.length("line") >= min_chars, _halves(F.col("line")))
+    compared = F.length("line") >= min_chars
+    halves = F.when(compared & F.lit(bound == 1), _halves(F.col("line")))
     hashed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), halves.alias("halves"))
     hashed = cut(hashed, "ld-lines")
     classes = hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("pos"), F.count("*").alias("copies"), F.any_value("halves").alias("halves"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "ld-classes")
-    near = _near(docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")), classes) if bound else None
-    if near is None:
-        known = classes.withColumn("near", F.lit(None).cast(classes.schema["pos"].dataType))
-    else:
+    if bound == 0:
+        known = classes.withColumns({"near": F.lit(None).cast(classes.schema["pos"].dataType), "edits": F.lit(None).cast("int")})
+    elif bound == 1:
+        near = _near(docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")), classes).withColumn("edits", F.lit(1))
         known = classes.join(near.hint("merge"), "cid", "left")
-    known = known.where("copies > 1 or near < pos").select("h1", "h2", "pos", "near")
+    else:
+        texts = lines.where(compared).groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.any_value("line").alias("line"))
+        near = _near_by_parts(texts, bound)
+        known = classes.join(near.hint("merge"), ["h1", "h2"], "left")
+    known = known.where("copies > 1 or near < pos").select("h1", "h2", "pos", "near", "edits")
     best = F.least("pos", "near")
     out = hashed.select("doc_id", "line_no", "h1", "h2").join(known.hint("merge"), ["h1", "h2"]).where(F.struct("doc_id", "line_no") > best)
-    return out.select("doc_id", "line_no", best["doc_id"].alias("kept_doc_id"), best["line_no"].alias("kept_line_no"), (F.coalesce(F.col("near") < F.col("pos"), F.lit(False))).cast("int").alias("distance"))
+    return out.select("doc_id", "line_no", best["doc_id"].alias("kept_doc_id"), best["line_no"].alias("kept_line_no"), F.when(F.col("near") < F.col("pos"), F.col("edits")).otherwise(0).alias("distance"))
 
 
 def _near(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -151,6 +169,103 @@ def _near(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return checked.select(F.col("was").alias("cid"), F.col("place").alias("near"))
 
 
+def _allowed(n: Column, bound: int) -> Column:
+    """Edits allowed between lines of which the shorter has ``n`` characters."""
+    return F.least(F.lit(bound), F.greatest(F.lit(1), F.floor(n / CHARS_PER_EDIT).cast("int")))
+
+
+def _moves(bound: int) -> list[list[list[int]]]:
+    """For each number d of edits: (u, part, shift, part, shift), how a line longer by u than another can hold two of its d + 2 parts.
+
+    The shifts cost edits: the first, what lies between the two, and what leads from the last to u.
+    """
+    out = []
+    for d in range(1, bound + 1):
+        shifts = range(-d, d + 1)
+        parts = list(itertools.combinations(range(d + 2), 2))
+        out.append([[u, i, s, j, t] for u in range(d + 1) for i, j in parts for s in shifts for t in shifts if abs(s) + abs(t - s) + abs(u - t) <= d])
+    return out
+
+
+def _longer(rows: DataFrame, bound: int) -> DataFrame:
+    """``rows`` for each length m that a line in reach and no longer may have; u is what it lacks, d the edits it allows."""
+    n = F.length("line")
+    rows = rows.select("cid", "line", n.alias("n"), F.explode(F.sequence(F.lit(0), _allowed(n, bound))).alias("u"))
+    return rows.withColumn("m", F.col("n") - F.col("u")).withColumn("d", _allowed(F.col("m"), bound)).where("m >= 0 and u <= d")
+
+
+def _end_keys(rows: DataFrame, bound: int) -> DataFrame:
+    """(k, cid, n, own): hashes of an end of each line, or of what stands beside a changed end; own where a shorter line has them so.
+
+    Of up to three edits at most one lies in the first half or in the second, so its outer quarter is
+    whole, or the inner one is and moved by one at most, seen from that end. Under 20 characters
+    one edit leaves a half whole. Lengths are rounded down, so lines in reach mostly have the same quarters.
+    """
+    rounded = lambda m: m - m % F.when(m < 2 * CHARS_PER_EDIT, 1).when(m < 64, 4).when(m < 128, 16).otherwise(32)
+    rows = _longer(rows, bound).withColumn("r", rounded(F.col("m"))).where((F.col("u") == 0) | (F.col("r") != rounded(F.col("m") + 1)))
+    some = F.when(F.col("r") < 2 * CHARS_PER_EDIT, F.array(F.lit(0), F.lit(4))).otherwise(F.sequence(F.lit(0), F.lit(7)))
+    rows = rows.select("cid", "line", "n", "u", "r", F.explode(some).alias("x"))
+    q = F.floor(F.col("r") / F.when(F.col("r") < 2 * CHARS_PER_EDIT, 2).otherwise(4)).cast("int")
+    inner = (F.col("x") % 4 != 0).cast("int")
+    shift = F.when(inner == 1, F.col("x") % 4 - 2).otherwise(0)
+    start = F.when(F.col("x") < 4, inner * q + shift).otherwise(F.col("n") - q - inner * q + shift)
+    key = F.xxhash64("r", inner, F.col("x") < 4, F.substring("line", start + 1, q))
+    return rows.select(key.alias("k"), "cid", "n", ((F.col("u") == 0) & (shift == 0)).alias("own"))
+
+
+def _part_pair_keys(rows: DataFrame, bound: int) -> DataFrame:
+    """(k, cid, n, own): hashes of two parts of each line; own where the parts are the line's and not where a shorter line's may be."""
+    moves = F.from_json(F.lit(json.dumps(_moves(bound))), "array<array<array<int>>>")
+    fits = F.filter(F.get(moves, F.col("d") - 1), lambda x: F.get(x, F.lit(0)) == F.col("u"))
+    rows = _longer(rows, bound).select("cid", "line", "n", "m", "u", "d", F.explode(fits).alias("x"))
+    at = lambda i: F.get("x", F.lit(i))
+
+    def part(j: Column, t: Column) -> Column:
+        start = F.floor(F.col("m") * j / (F.col("d") + 2)).cast("int")
+        end = F.floor(F.col("m") * (j + 1) / (F.col("d") + 2)).cast("int")
+        return F.when(start + t >= 0, F.substring("line", start + t + 1, end - start))
+
+    own = (F.col("u") == 0) & (at(2) == 0) & (at(4) == 0)
+    key = F.xxhash64("m", at(1), at(3), part(at(1), at(2)), part(at(3), at(4)))
+    return rows.select(key.alias("k"), "cid", "n", own.alias("own"))
+
+
+def _shared(keys: DataFrame, name: str) -> DataFrame:
+    """(k, cid, n, own, size) of the keys that a line has as its own and another has too; size counts a key's rows."""
+    by_key = Window.partitionBy("k")
+    over = [F.min("cid").over(by_key).alias("x"), F.max("cid").over(by_key).alias("y"), F.max("own").over(by_key).alias("any_own"), F.count("*").over(by_key).alias("size")]
+    return cut(keys.select("*", *over).where("x <> y and any_own").drop("x", "y", "any_own"), name)
+
+
+def _pairs(shared: DataFrame, bound: int) -> DataFrame:
+    """(a, b): lines that share a key and are about as long."""
+    one = shared.where("own").select("k", F.col("cid").alias("a"), F.col("n").alias("n1"))
+    two = shared.select("k", F.col("cid").alias("b"), F.col("n").alias("n2"))
+    pairs = one.join(two.hint("merge"), "k").where((F.col("a") != F.col("b")) & (F.abs(F.col("n1") - F.col("n2")) <= bound))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _near_by_parts(texts: DataFrame, bound: int) -> DataFrame:
+    """(h1, h2, near, edits): the earliest earlier line within the edits allowed, from different lines (h1, h2, place, line)."""
+    texts = cut(texts.withColumn("cid", F.monotonically_increasing_id()), "ld-texts")
+    ends = _shared(_end_keys(texts, bound), "ld-ends")
+    texts = cut(texts.join(ends.select("cid").distinct().hint("merge"), "cid"), "ld-near")
+    # Lines of a common end are told apart by two parts at once before they are paired.
+    often = texts.join(ends.where(F.col("size") > FEW).select("cid").distinct().hint("merge"), "cid")
+    parts = _shared(_part_pair_keys(often, bound), "ld-parts")
+    pairs = _pairs(ends.where(F.col("size") <= FEW), bound).union(_pairs(parts, bound)).distinct()
+    pairs = cut(pairs, "ld-pairs")
+    one = texts.select(F.col("cid").alias("a"), F.col("place").alias("p1"), F.col("line").alias("line1"))
+    two = texts.select(F.col("cid").alias("b"), F.col("place").alias("p2"), F.col("line").alias("line2"))
+    checked = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").withColumn("edits", F.levenshtein("line1", "line2", bound))
+    shorter = F.least(F.length("line1"), F.length("line2"))
+    checked = checked.where((F.col("edits") >= 0) & (F.col("edits") <= _allowed(shorter, bound)) & (F.col("p1") != F.col("p2")))
+    first = F.struct(F.least("p1", "p2").alias("near"), "edits")
+    checked = checked.select(F.when(F.col("p1") < F.col("p2"), F.col("b")).otherwise(F.col("a")).alias("cid"), first.alias("first"))
+    earliest = checked.groupBy("cid").agg(F.min("first").alias("first"))
+    return texts.select("cid", "h1", "h2").join(earliest.hint("merge"), "cid").select("h1", "h2", "first.near", "first.edits")
+
+
 def drop_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the lines to drop; n_chars (if there is one) follows. Texts without such lines stay as they are."""
     gone = duplicate_lines(docs, **options).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))

@@ -18,7 +18,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.duplicate_lines(_docs(spark, sf_dir), min_equal=1)
+    return line_dedup.duplicate_lines(_docs(spark, sf_dir), bound=3, min_equal=1)
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines with an equal or almost equal earlier line are cut out of the texts; every document stays."""
-    return line_dedup.drop_lines(docs, min_equal=1)
+    return line_dedup.drop_lines(docs, bound=3, min_equal=1)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

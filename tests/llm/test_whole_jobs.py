@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 
+import random
+
+import pytest
 from llm_tables import table
 
 from chronofold.llm import line_dedup, queries
@@ -12,3 +15,47 @@ def test_lines_short_copies(spark, tmp_path):
     table(spark, ["Of.\nlong enough a line", " Of. \n\n \r\n\r\nOg.", "Of.\n\t\n\t"]).write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r["doc_id"], r["line_no"]): (r["kept_doc_id"], r["kept_line_no"], r["distance"]) for r in queries.op2_lines(spark, str(tmp_path)).collect()}
     assert got == {(1, 0): (0, 0, 0), (2, 0): (0, 0, 0)}
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize(("bound", "few"), [(2, 64), (3, 64), (3, 0)])
+def test_lines_edit_bounds_brute_force(spark, monkeypatch, bound, few):
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    rng = random.Random(12)
+    pool = ["".join(rng.choice("abc é") for _ in range(rng.choice([8, 12, 25, 32, 40, 61, 66, 130]))).strip() for _ in range(25)]
+
+    def line():
+        x = list(rng.choice(pool))
+        for _ in range(rng.choice([0, 1, 2, 3, 4])):
+            i = rng.randrange(len(x))
+            rng.choice([lambda: x.pop(i), lambda: x.insert(i, "z"), lambda: x.__setitem__(i, "q")])()
+        return "".join(x)
+
+    texts = ["\n".join(line() for _ in range(rng.randrange(1, 9))) for _ in range(50)]
+    lines = [(i, j, x.strip(" ")) for i, t in enumerate(texts) for j, x in enumerate(t.split("\n")) if x.strip(" ")]
+    expected = {}
+    for n, (i, j, x) in enumerate(lines):
+        for a, b, y in lines[:n]:
+            short = min(len(x), len(y))
+            d = edit_distance(x, y)
+            if d == 0 or (short >= 10 and d <= min(bound, max(1, short // 10))):
+                expected[i, j] = (a, b, d)
+                break
+    got = {(r["doc_id"], r["line_no"]): (r["kept_doc_id"], r["kept_line_no"], r["distance"]) for r in line_dedup.duplicate_lines(table(spark, texts), bound=bound, min_equal=1).collect()}
+    assert got == expected
+    assert {d for _, _, d in expected.values()} == set(range(bound + 1))
+
+
+def test_lines_bound_must_be_implemented(spark):
+    for bound in (-1, 4):
+        with pytest.raises(ValueError):
+            line_dedup.duplicate_lines(table(spark, ["a"]), bound=bound)
