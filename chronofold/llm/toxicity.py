@@ -42,19 +42,27 @@ PREFIX = (4, 10)
 Z = 2.0
 
 
-def _table() -> dict[int, str | None]:
-    table: dict[int, str | None] = {}
-    for i in [*range(0x20), *range(0x20, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000), *range(0xFF01, 0xFF5F)]:
-        low = unicodedata.normalize("NFKD", chr(i).lower())
-        out = "".join(LOOKALIKES.get(c, c) for c in low if not unicodedata.combining(c))
-        out = "".join(DIGITS.get(c, c) for c in out)
-        table[i] = "".join(c if c.isalnum() else " " for c in out)
-    for i in [*range(0x300, 0x370), 0x200B, 0x200C, 0x200D, 0x2060, 0xAD, 0xFEFF]:
-        table[i] = None
-    return table
-
-
-TABLE = _table()
+# Armenian, and Cherokee capitals, which are lower-cased first.
+LOOKALIKES |= {c.lower(): x for c, x in zip("օոսհցզյᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏴ", "onuhgqjdrtiyajewmhygzbrwsvslcpkdb", strict=True)}
+
+
+class _Table(dict):
+    """What each code point folds to, made when it is first met."""
+
+    def __missing__(self, i: int) -> str | None:
+        c = chr(i)
+        if unicodedata.category(c) in ("Mn", "Me", "Cf"):
+            out = None
+        else:
+            low = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", c.lower()).lower())
+            out = "".join(LOOKALIKES.get(x, x) for x in low if not unicodedata.combining(x))
+            out = "".join(DIGITS.get(x, x) for x in out)
+            out = "".join(x if x.isalnum() else " " for x in out)
+        self[i] = out
+        return out
+
+
+TABLE = _Table()
 
 
 def fold(text: str | None) -> str:

@@ -8,7 +8,7 @@ import random
 import pytest
 from llm_tables import table
 
-from chronofold.llm import line_dedup, queries
+from chronofold.llm import line_dedup, queries, toxicity
 
 
 def test_lines_short_copies(spark, tmp_path):
@@ -59,3 +59,10 @@ def test_lines_bound_must_be_implemented(spark):
     for bound in (-1, 4):
         with pytest.raises(ValueError):
             line_dedup.duplicate_lines(table(spark, ["a"]), bound=bound)
+
+
+def test_toxicity_folds_every_code_point(spark):
+    words = [f"{c}idiot" for c in "\u2018\u201c\u2013\u2014\u2026\u2022\u3001\u300c\U0001f600"] + ["\U0001d408\U0001d41d\U0001d422\U0001d428\U0001d42d", "id\u0269\u0585t", "\u13a5\u13e7iot", "id\ufe0fiot"]
+    assert all(f" {toxicity.fold(w).strip()} " == " idiot " for w in words)
+    got = toxicity.score(table(spark, [f"you {w}" for w in words] + ["you idiot"]), toxicity.default_model()).collect()
+    assert len({r["score"] for r in got}) == 1 and got[0]["score"] > 0.5
