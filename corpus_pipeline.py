@@ -1,13 +1,14 @@
 """From raw documents to a training mixture: five stages, each one operator of ``chronofold.llm``.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns a DataFrame; all but the
-last return the columns of ``docs``. Rows with a null doc_id are kept by every filter that goes
-by doc_id; further columns pass through.
+last return the columns of ``docs``. The filters judge each row by itself, whatever its doc_id: null and repeated
+ones too. Further columns pass through.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronofold.llm import decontaminate, line_dedup, mixing, near_dup, toxicity
 from chronofold.llm.runtime import cut, one_of
@@ -28,16 +29,30 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return line_dedup.drop_lines(docs, bound=3, min_equal=1)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row id, written, so that rows of null or repeated doc_id can be told apart."""
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the least doc_id stays."""
-    gone = near_dup.near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(cut(gone, "pipeline-near").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicate rows (five-word shingles, similarity 0.8) the one of the least doc_id stays, null last, then of the least row id."""
+    rows = _numbered(docs)
+    found = cut(near_dup.near_duplicates(rows, words=5, percent=80, id_col="_row"), "pipeline-found")
+    groups = found.where("not kept").select("component_id").distinct()
+    members = found.join(groups.hint("merge"), "component_id").select("_row", "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    members = members.join(rows.select("_row", place.alias("place")).hint("merge"), "_row")
+    stays = members.groupBy("component_id").agg(F.min("place").alias("best"))
+    gone = members.join(stays.hint("merge"), "component_id").where("place <> best").select("_row")
+    return rows.join(cut(gone, "pipeline-near").hint("merge"), "_row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item, in whatever order of its passages, go."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(cut(found.select("doc_id").distinct(), "pipeline-leaks").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Rows that contain a benchmark item, in whatever order of its passages, go."""
+    rows = _numbered(docs)
+    found = decontaminate.contaminated(rows.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = found.select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(cut(gone, "pipeline-leaks").hint("merge"), "_row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

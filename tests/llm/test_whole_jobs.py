@@ -8,6 +8,7 @@ import random
 import pytest
 from llm_tables import table
 
+import corpus_pipeline as pipeline
 from chronofold.llm import line_dedup, queries, toxicity
 
 
@@ -66,3 +67,14 @@ def test_toxicity_folds_every_code_point(spark):
     assert all(f" {toxicity.fold(w).strip()} " == " idiot " for w in words)
     got = toxicity.score(table(spark, [f"you {w}" for w in words] + ["you idiot"]), toxicity.default_model()).collect()
     assert len({r["score"] for r in got}) == 1 and got[0]["score"] > 0.5
+
+
+def test_pipeline_rows_of_null_and_repeated_ids(spark, tmp_path):
+    text = lambda name: " ".join(f"{name}{j}" for j in range(30))
+    leak = text("question")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = table(spark, [text("a"), text("a"), text("b"), text("b"), text("c"), text("c"), text("d"), text("a")], [None, 5, 6, 6, None, None, 5, 9])
+    left = [(r["doc_id"], r["text"][0]) for r in pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()]
+    assert sorted(left, key=str) == [(5, "a"), (5, "d"), (6, "b"), (None, "c")]
+    docs = table(spark, [leak, leak, text("e"), text("f")], [None, 7, 7, None])
+    assert {(r["doc_id"], r["text"][0]) for r in pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()} == {(7, "e"), (None, "f")}
