@@ -184,11 +184,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     Links join documents whose shingle sets have Jaccard similarity of at least
     ``percent`` / 100. The component is the least id reachable. Null and empty texts and texts
     without words have an empty set and link with nothing. Rows that share an id count as one
-    document; every such row is returned, all with one component. A row with a null id gets a null
+    document and so link what each of them links with; every such row is returned, all with one component. A row with a null id gets a null
     component, is kept and links with nothing. Further columns are ignored.
     """
     source = fresh(docs, id_col, text_col)
     sk = cut(sketches(source, words, k, id_col, text_col), "nd-sketch")
+    if _repeats(sk):
+        return _of_rows(source, words, percent, k, id_col, text_col)
     live = sk.where("n > 0 and id is not null")
     classes = live.groupBy("n", "s1", "s2").agg(F.min("id").alias("cid"), F.min_by("sketch", "id").alias("sketch"))
     classes = cut(classes, "nd-classes")
@@ -197,14 +199,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
         rows = source.select(F.col(f"`{id_col}`").cast("long").alias("cid"), F.col(f"`{text_col}`").alias(text_col))
         return full_sets(rows.join(cids.hint("merge"), "cid"), words, text_col)
 
-    one = classes.groupBy("cid").agg(F.max_by("n", F.struct("n", "s1", "s2")).alias("n"), F.max_by("sketch", F.struct("n", "s1", "s2")).alias("sketch")) if _repeats(sk) else classes
-    comps = link_classes(one.select("cid", "n", "sketch"), sets_of, percent, k)
+    comps = link_classes(classes.select("cid", "n", "sketch"), sets_of, percent, k)
     members = sk.select("id", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "cid"), ["n", "s1", "s2"], "left")
     members = members.join(comps, F.col("cid") == F.col("node"), "left")
     top = F.when(F.col("id").isNotNull(), F.coalesce("component", "cid", "id"))
     return members.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), top.alias("component_id"), F.coalesce(F.col("id") == top, F.lit(True)).alias("kept"))
 
 
+def _of_rows(source: DataFrame, words: int, percent: int, k: int, id_col: str, text_col: str) -> DataFrame:
+    """``near_duplicates`` where an id comes with several sets: rows are compared by ids of their own, then the groups that share an id join."""
+    rows = cut(source.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), "nd-rows")
+    found = near_duplicates(rows.where("id is not null").select("row", "text"), words, percent, k, "row", "text")
+    found = cut(found.join(rows.select("row", "id").hint("merge"), "row").select("id", "n_shingles", F.col("component_id").alias("comp")), "nd-of-rows")
+    least = found.groupBy("id").agg(F.min("comp").alias("a"))
+    joined = components(found.join(least.hint("merge"), "id").where("a <> comp").select("a", F.col("comp").alias("b")).distinct())
+    found = found.join(joined.hint("merge"), found.comp == joined.node, "left").select("id", "n_shingles", F.coalesce("component", "comp").alias("comp"))
+    top = found.groupBy("comp").agg(F.min("id").alias("top"))
+    out = found.join(top.hint("merge"), "comp").select("id", "n_shingles", "top")
+    nulls = sketches(rows.where("id is null"), words, k, "id", "text").select("id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("top"))
+    return out.unionByName(nulls).select(F.col("id").alias(id_col), "n_shingles", F.col("top").alias("component_id"), F.coalesce(F.col("id") == F.col("top"), F.lit(True)).alias("kept"))
+
+
 def _repeats(sk: DataFrame) -> bool:
     """Whether an id comes with more than one set."""
-    return not sk.where("id is not null and n > 0").groupBy("id").agg(F.min(F.struct("n", "s1", "s2")).alias("x"), F.max(F.struct("n", "s1", "s2")).alias("y")).where("x <> y").isEmpty()
+    return not sk.where("id is not null").groupBy("id").agg(F.min(F.struct("n", "s1", "s2")).alias("x"), F.max(F.struct("n", "s1", "s2")).alias("y")).where("x <> y").isEmpty()

@@ -9,7 +9,7 @@ import pytest
 from llm_tables import table
 
 import corpus_pipeline as pipeline
-from chronofold.llm import line_dedup, queries, toxicity
+from chronofold.llm import line_dedup, near_dup, queries, toxicity
 
 
 def test_lines_short_copies(spark, tmp_path):
@@ -78,3 +78,10 @@ def test_pipeline_rows_of_null_and_repeated_ids(spark, tmp_path):
     assert sorted(left, key=str) == [(5, "a"), (5, "d"), (6, "b"), (None, "c")]
     docs = table(spark, [leak, leak, text("e"), text("f")], [None, 7, 7, None])
     assert {(r["doc_id"], r["text"][0]) for r in pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()} == {(7, "e"), (None, "f")}
+
+
+def test_near_duplicates_all_texts_of_an_id_link(spark):
+    text = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    docs = table(spark, [text("a", 50), text("b", 30), text("b", 30) + " more", text("a", 50) + " more", text("c", 9), "", None, text("b", 30)], [7, 7, 9, 3, 11, 7, 12, None])
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(docs, words=3, percent=85).collect()), key=str)
+    assert got == sorted([(7, 48, 3, False), (7, 28, 3, False), (7, 0, 3, False), (9, 29, 3, False), (3, 49, 3, True), (11, 7, 11, True), (12, 0, 12, True), (None, 28, None, True)], key=str)
