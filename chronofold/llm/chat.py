@@ -1,7 +1,7 @@
 """Chat formatting by schema fingerprint.
 
-A record is a JSON object. The nested field paths it shares with the declared layouts are
-hashed; the hash picks a mapping, which is data, not code: where turns lie and which fields
+A record is a JSON object. Of the declared layouts whose required paths it has, the one that explains most of its
+paths is taken; the paths it shares with that layout are hashed, and the hash picks a mapping, which is data, not code: where turns lie and which fields
 hold role and text, or which fields make up single turns. The result is one
 canonical list of turns, written with one template. Control strings inside roles and
 texts, the template's own and those of other chat formats, are escaped so that
@@ -40,14 +40,23 @@ class Layout:
     optional: tuple[str, ...] = ()
     roles: dict[str, str] = field(default_factory=dict)
 
+    def required(self) -> set[str]:
+        return self.paths() - set(self.optional)
+
+    def own(self, paths: set[str]) -> set[str]:
+        """The paths of a record that belong to this layout; none if a required one is missing."""
+        if self.turns and f"{self.turns}[]" in paths and not paths & self.paths():
+            return paths & {f"{self.turns}[]", *self.optional}
+        return paths & (self.paths() | set(self.optional)) if self.required() <= paths else set()
+
     def paths(self) -> set[str]:
         return {f"{self.turns}[].{self.role}", f"{self.turns}[].{self.text}"} if self.turns else {f for f, _ in self.singles}
 
 
 _ALIASES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
 LAYOUTS = (
-    Layout("turns", "turns", "role", "text"),
-    Layout("messages", "messages", "role", "content", roles=_ALIASES),
+    Layout("turns", "turns", "role", "text", (("system", "system"),), ("system",)),
+    Layout("messages", "messages", "role", "content", (("system", "system"),), ("system",), roles=_ALIASES),
     Layout("from-value", "conversations", "from", "value", (("system", "system"),), ("system",), roles=_ALIASES),
     Layout("prompt-completion", singles=(("system", "system"), ("prompt", "user"), ("completion", "assistant")), optional=("system",)),
     Layout("prompt-response", singles=(("system", "system"), ("prompt", "user"), ("response", "assistant")), optional=("system",)),
@@ -69,21 +78,37 @@ def fingerprint(paths: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-def registry(layouts: tuple[Layout, ...] = LAYOUTS) -> tuple[set[str], dict[str, Layout]]:
-    """(paths that layouts know, layout by fingerprint), with and without each optional field."""
-    known, found = set(), {}
+def registry(layouts: tuple[Layout, ...] = LAYOUTS) -> dict[str, Layout]:
+    """Layout by fingerprint, with and without each optional field, and with an empty list of turns."""
+    found: dict[str, Layout] = {}
     for x in layouts:
-        own = x.paths() | set(x.optional)
-        known |= own
-        for n in range(len(x.optional) + 1):
-            for absent in itertools.combinations(x.optional, n):
-                found.setdefault(fingerprint(own - set(absent)), x)
-        if x.turns:
-            found.setdefault(fingerprint({f"{x.turns}[]"}), x)
-    return known | {f"{x.turns}[]" for x in layouts if x.turns}, found
+        for least in [x.required()] + ([{f"{x.turns}[]"}] if x.turns else []):
+            for n in range(len(x.optional) + 1):
+                for some in itertools.combinations(x.optional, n):
+                    found.setdefault(fingerprint(least | set(some)), x)
+    return found
+
 
+BY_FINGERPRINT = registry()
 
-KNOWN, BY_FINGERPRINT = registry()
+
+def layout_of(paths: set[str], layouts: tuple[Layout, ...] = LAYOUTS) -> Layout | None:
+    """The layout that holds most of the paths, the first of several."""
+    own = max((x.own(paths) for x in layouts), key=len)
+    return BY_FINGERPRINT.get(fingerprint(own))
+
+
+def reject_reason(record: str | None) -> str | None:
+    """Why ``canonical`` finds no layout; None if it finds one."""
+    if record is None:
+        return "null"
+    try:
+        value = json.loads(record)
+    except ValueError:
+        return "broken JSON"
+    if not isinstance(value, dict):
+        return "no object"
+    return "unknown layout" if layout_of(paths_of(value)) is None else None
 
 
 def canonical(record: str | None) -> tuple[str, list[tuple[str, str]]]:
@@ -94,7 +119,7 @@ def canonical(record: str | None) -> tuple[str, list[tuple[str, str]]]:
         return "", []
     if not isinstance(value, dict):
         return "", []
-    layout = BY_FINGERPRINT.get(fingerprint(paths_of(value) & KNOWN))
+    layout = layout_of(paths_of(value))
     if layout is None:
         return "", []
 
@@ -188,6 +213,13 @@ def format_chats(records: DataFrame, record_col: str = "record") -> DataFrame:
     return records.withColumn("_f", F.pandas_udf(_format, FORMATTED)(F.col(f"`{record_col}`"))).select(*rest, "_f.layout", "_f.formatted", "_f.mask")
 
 
+def rejects(records: DataFrame, record_col: str = "record") -> tuple[DataFrame, DataFrame]:
+    """(the rows of ``records`` without a layout, with ``reason``; the number n of them by reason)."""
+    reason = F.pandas_udf(lambda x: x.map(reject_reason, na_action=None), "string")(F.col(f"`{record_col}`"))
+    out = records.withColumn("reason", reason).where("reason is not null")
+    return out, out.groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def digests(formatted: Column | str = "formatted", mask: Column | str = "mask") -> Column:
     """Struct of what reading back gives; see ``DIGEST``."""
     return F.pandas_udf(_digest, DIGEST)(formatted, mask)

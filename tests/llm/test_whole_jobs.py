@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 
+import json
 import random
 
 import pytest
 from llm_tables import table
 
 import corpus_pipeline as pipeline
-from chronofold.llm import line_dedup, near_dup, queries, toxicity
+from chronofold.llm import chat, line_dedup, near_dup, queries, toxicity
 
 
 def test_lines_short_copies(spark, tmp_path):
@@ -85,3 +86,21 @@ def test_near_duplicates_all_texts_of_an_id_link(spark):
     docs = table(spark, [text("a", 50), text("b", 30), text("b", 30) + " more", text("a", 50) + " more", text("c", 9), "", None, text("b", 30)], [7, 7, 9, 3, 11, 7, 12, None])
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(docs, words=3, percent=85).collect()), key=str)
     assert got == sorted([(7, 48, 3, False), (7, 28, 3, False), (7, 0, 3, False), (9, 29, 3, False), (3, 49, 3, True), (11, 7, 11, True), (12, 0, 12, True), (None, 28, None, True)], key=str)
+
+
+def test_chat_fields_of_other_layouts(spark):
+    turns = [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]
+    records = [
+        ({"prompt": "q", "prompt_id": "x", "messages": turns}, "messages", [("user", "q"), ("assistant", "a")]),
+        ({"system": "s", "messages": turns}, "messages", [("system", "s"), ("user", "q"), ("assistant", "a")]),
+        ({"system": "s", "turns": [{"role": "user", "text": "q"}]}, "turns", [("system", "s"), ("user", "q")]),
+        ({"instruction": "q", "input": "i", "output": "a", "context": "c"}, "instruction", [("user", "q\n\ni"), ("assistant", "a")]),
+        ({"prompt": "q", "completion": "a", "messages": []}, "prompt-completion", [("user", "q"), ("assistant", "a")]),
+    ]
+    bad = [None, "", "{", "[1]", '{"prompt": "q"}', '{"messages": [{"role": "user"}]}']
+    rows = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _, _) in enumerate(records)] + [(90 + i, x) for i, x in enumerate(bad)], "conv_id long, record string")
+    got = {r["conv_id"]: (r["layout"], chat.read_back(r["formatted"])) for r in chat.format_chats(rows).collect()}
+    assert [got[i] for i in range(len(records))] == [(name, said) for _, name, said in records]
+    out, counts = chat.rejects(rows)
+    assert {r["conv_id"] for r in out.collect()} == {i for i, (name, _) in got.items() if not name} == set(range(90, 96))
+    assert {r["reason"]: r["n"] for r in counts.collect()} == {"null": 1, "broken JSON": 2, "no object": 1, "unknown layout": 2}
