@@ -4,7 +4,8 @@ Base patterns give spans of four kinds. They seed a bootstrap over identifier-li
 before a span or candidate are its lexical pattern, its text is an instance. Patterns
 and instances form a bipartite graph, aggregated before any join. In each round a
 pattern is scored for a kind by the share of its different instances that are known to be of that kind;
-confident patterns with enough support make their other instances known, which scores further patterns.
+confident patterns with enough support make their other instances known, which scores further patterns, until
+a round makes nothing known.
 Tokens under a confident pattern whose shape suits the kind are added to the base spans.
 
 The regular expressions can't backtrack over long runs: each may begin only where a run begins,
@@ -13,6 +14,8 @@ and loops over groups are bounded or replaced by one class after marking separat
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +34,8 @@ PATTERNS = {
 }
 #: Candidates: numbers with separators between digits, or words with a digit, an @ or an opening bracket.
 TOKEN = r"(?<![\w@.+-])\+?\(?[0-9](?:[ ().-]{0,2}[0-9])*+(?![\w@])|(?<!\S)[^\s0-9@\[({]*+[0-9@\[({]\S*+"
+OPENING = " ([{<\"'"
 TRIM = ".,;:!?\"'()<>[]{}"
-ROUNDS = 3
 SPAN = "struct<start:bigint,end:bigint,found:string,before:string>"
 
 
@@ -94,8 +97,9 @@ def base_spans(text: Column) -> Column:
 
 
 def _words_before(text: Column) -> Column:
-    """The last two words of a text: the lexical pattern of what follows."""
-    return F.lower(F.substring_index(F.trim(F.translate(F.right(text, F.lit(200)), "\n\t\r", "   ")), " ", -2))
+    """The last two words of a text: the lexical pattern of what follows. Brackets and quotes that open it don't count."""
+    near = F.translate(F.right(text, F.lit(200)), "\n\t\r", "   ")
+    return F.lower(F.substring_index(F.ltrim(F.rtrim(near, F.lit(OPENING))), " ", -2))
 
 
 def tokens(text: Column, base: Column) -> Column:
@@ -109,7 +113,7 @@ def tokens(text: Column, base: Column) -> Column:
     def candidate(x: Column) -> Column:
         start = x["start"] + F.length(x["found"]) - F.length(F.ltrim(x["found"], F.lit(TRIM)))
         bare = F.btrim(x["found"], F.lit(TRIM))
-        return F.struct(start.alias("start"), (start + F.length(bare)).alias("end"), F.lower(bare).alias("instance"), _words_before(x["before"]).alias("pattern"), F.lit(None).cast("int").alias("kind"))
+        return F.struct(start.alias("start"), (start + F.length(bare)).alias("end"), F.lower(bare).alias("instance"), _words_before(F.left(text, start.cast("int"))).alias("pattern"), F.lit(None).cast("int").alias("kind"))
 
     apart = F.filter(_spans(text, TOKEN), lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return F.concat(F.transform(base, seed), F.transform(apart, candidate))
@@ -121,16 +125,22 @@ def _suits(kind: Column, instance: Column) -> Column:
     return F.when(kind == 0, instance.rlike(r"@|[\[({ ]at[\])} ]")).when(kind == 1, instance.rlike(r"^[0-9a-f]{1,4}([.:][0-9a-f]{0,4}){3,7}$")).when(kind == 2, digits.between(12, 19)).otherwise(digits.between(7, 15))
 
 
-def bootstrap(graph: DataFrame, support: int = 3, confidence: float = 0.8, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(graph: DataFrame, support: int = 3, confidence: float = 0.8, rounds: int | None = None) -> DataFrame:
     """(pattern, kind): the confident patterns, from edges (pattern, instance, kind or null).
 
     A pattern is confident for a kind if at least ``support`` different instances and a share of ``confidence`` of
-    all its different instances are known to be of it.
+    all its different instances are known to be of it. Rounds end when nothing changes, or after ``rounds``: what is
+    known only grows, and its kinds only fall.
     """
     edges = cut(graph.where("pattern <> ''").groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-edges")
     known = edges.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind"))
-    for _ in range(rounds):
+    good, last = None, None
+    for n in itertools.count():
         known = cut(known, "pii-known")
+        state = known.agg(F.count("*"), F.sum("kind")).first()
+        if good is not None and (state == last or n == rounds):
+            break
+        last = state
         scored = edges.select("pattern", "instance").join(known, "instance", "left")
         scored = scored.groupBy("pattern", "kind").agg(F.count("*").alias("n"))
         whole = scored.groupBy("pattern").agg(F.sum("n").alias("all"))

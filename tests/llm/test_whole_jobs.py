@@ -10,7 +10,7 @@ import pytest
 from llm_tables import table
 
 import corpus_pipeline as pipeline
-from chronofold.llm import chat, line_dedup, near_dup, queries, toxicity
+from chronofold.llm import chat, line_dedup, near_dup, pii, queries, toxicity
 
 
 def test_lines_short_copies(spark, tmp_path):
@@ -104,3 +104,18 @@ def test_chat_fields_of_other_layouts(spark):
     out, counts = chat.rejects(rows)
     assert {r["conv_id"] for r in out.collect()} == {i for i, (name, _) in got.items() if not name} == set(range(90, 96))
     assert {r["reason"]: r["n"] for r in counts.collect()} == {"null": 1, "broken JSON": 2, "no object": 1, "unknown layout": 2}
+
+
+def test_pii_long_chains(spark):
+    edges, least = [], 6
+    for step in range(least):
+        edges += [(f"p{step}", f"+{step}55512340{i}", 3 if step == 0 else None) for i in range(4)]
+        edges += [(f"p{step + 1}", f"+{step}55512340{i}", None) for i in range(4)]
+    good = {(r["pattern"], r["learned"]) for r in pii.bootstrap(spark.createDataFrame(edges, "pattern string, instance string, kind int"), confidence=0.5).collect()}
+    assert good == {(f"p{i}", 3) for i in range(least + 1)}
+
+
+def test_pii_pattern_of_a_candidate_after_digits(spark):
+    texts = [f"on line2 call +1 555 123 {1000 + i} now" for i in range(8)] + ["on line2 call 555 123-2000, thanks", "on line2 call (555 123-2001) thanks"]
+    found = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(table(spark, texts))).collect()}
+    assert found[8] == "phone:14:26" and found[9] == "phone:15:27"
