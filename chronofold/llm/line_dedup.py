@@ -13,8 +13,9 @@ then finer ones): lines one edit apart agree in all parts but one. What shares n
 near line and emits no variants.
 
 For bounds of 2 and 3 whole parts are deleted instead of characters. All lines are compared by an end, or
-what stands beside it; few lines of one end are paired, many first compared by two of d + 2 parts at once, which
-d edits leave whole and move by no more than the edits before them. Pairs are verified on the texts.
+what stands beside it; few lines of one end are compared at once, many first told apart by two of d + 2 parts, which
+d edits leave whole and move by no more than the edits before them. The join on a key verifies the edit
+distance in its condition, so it makes links and no other pairs.
 The edits allowed grow with the shorter line: one
 for each ``CHARS_PER_EDIT`` characters, at least 1, at most the bound.
 """
@@ -36,8 +37,11 @@ from chronofold.llm.runtime import cut
 MIN_CHARS = 10
 PARTS = (16, 128)
 BOUND = 3
+PLACE = ("doc_id", "mark", "line_no")
 CHARS_PER_EDIT = 10
-FEW = 64
+FEW = 16
+#: White space that may stand at either end of a line.
+BLANKS = " \t\r"
 
 
 def _halves(line: Column) -> Column:
@@ -109,62 +113,78 @@ def _variants(rows: DataFrame) -> DataFrame:
 def duplicate_lines(docs: DataFrame, bound: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", min_equal: int | None = None) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no, distance) for each line to drop.
 
-    Lines end at \\n and are compared without blanks at either end; those of fewer than ``min_chars``
+    Lines end at \\n and are compared without blanks (space, tab, carriage return) at either end; those of fewer than ``min_chars``
     characters are not compared by edits, and those of fewer than ``min_equal`` (``min_chars`` unless given)
-    not at all. With ``min_equal``, lines of white space only are never dropped. A line is dropped if an earlier one, by doc_id (null first)
-    and line number, is equal or within the edits that ``bound`` (0 to 3) allows; ``kept_*`` names the earliest such line.
-    Lines of rows that repeat a doc_id have the same place and don't drop each other. Null texts have no lines.
+    not at all. With ``min_equal``, lines of white space only are never dropped. A line is dropped if an earlier one, by doc_id (null first),
+    hash of the text and line number, is equal or within the edits that ``bound`` (0 to 3) allows. ``distance`` counts the edits to the
+    earliest such line; ``kept_*`` names the line that stays at the end of the chain of earliest lines, so it is never dropped itself.
+    Equal rows have the same place and don't drop each other's lines. Null texts have no lines.
     """
+    return _dropped(docs, bound, min_chars, id_col, text_col, min_equal).drop("mark")
+
+
+def _dropped(docs: DataFrame, bound: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", min_equal: int | None = None) -> DataFrame:
+    """``duplicate_lines`` with the hash of the text (mark), which tells rows of one doc_id apart."""
     if bound not in range(BOUND + 1):
         raise ValueError(f"bound {bound} is not one of 0 to {BOUND}")
-    col = lambda c: F.col(f"`{c}`")
-    line = F.trim(F.col("raw"))
-    lines = docs.select(col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(col(text_col), "\n")).alias("line_no", "raw"))
-    lines = lines.select("doc_id", "line_no", line.alias("line")).where(F.length("line") >= (min_chars if min_equal is None else min(min_equal, min_chars)))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    lines = texts.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    lines = lines.select(*PLACE, F.trim("raw", F.lit(BLANKS)).alias("line")).where(F.length("line") >= (min_chars if min_equal is None else min(min_equal, min_chars)))
     if min_equal is not None:
         lines = lines.where(F.col("line").rlike(r"[^\s\p{Z}]"))
     compared = F.length("line") >= min_chars
     halves = F.when(compared & F.lit(bound == 1), _halves(F.col("line")))
-    hashed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), halves.alias("halves"))
+    hashed = lines.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), halves.alias("halves"))
     hashed = cut(hashed, "ld-lines")
-    classes = hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("pos"), F.count("*").alias("copies"), F.any_value("halves").alias("halves"))
+    classes = hashed.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("pos"), F.count("*").alias("copies"), F.any_value("halves").alias("halves"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "ld-classes")
     if bound == 0:
         known = classes.withColumns({"near": F.lit(None).cast(classes.schema["pos"].dataType), "edits": F.lit(None).cast("int")})
     elif bound == 1:
-        near = _near(docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")), classes).withColumn("edits", F.lit(1))
-        known = classes.join(near.hint("merge"), "cid", "left")
+        known = classes.join(_near(texts, classes).withColumn("edits", F.lit(1)).hint("merge"), "cid", "left")
     else:
-        texts = lines.where(compared).groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.any_value("line").alias("line"))
-        near = _near_by_parts(texts, bound)
-        known = classes.join(near.hint("merge"), ["h1", "h2"], "left")
+        found = lines.where(compared).groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.min(F.struct(*PLACE)).alias("place"), F.any_value("line").alias("line"))
+        known = classes.join(_near_by_parts(found, bound).hint("merge"), ["h1", "h2"], "left")
     known = known.where("copies > 1 or near < pos").select("h1", "h2", "pos", "near", "edits")
-    best = F.least("pos", "near")
-    out = hashed.select("doc_id", "line_no", "h1", "h2").join(known.hint("merge"), ["h1", "h2"]).where(F.struct("doc_id", "line_no") > best)
-    return out.select("doc_id", "line_no", best["doc_id"].alias("kept_doc_id"), best["line_no"].alias("kept_line_no"), F.when(F.col("near") < F.col("pos"), F.col("edits")).otherwise(0).alias("distance"))
+    if bound:
+        ends = _survivors(known.where("near < pos").select("pos", "near"))
+        known = known.drop("near").join(ends.hint("merge"), "pos", "left")
+    known = known.withColumn("near", F.coalesce("near", "pos"))
+    out = hashed.select(*PLACE, "h1", "h2").join(known.hint("merge"), ["h1", "h2"]).where(F.struct(*PLACE) > F.col("near"))
+    distance = F.when(F.col("near") < F.col("pos"), F.col("edits")).otherwise(0)
+    return out.select(*PLACE, F.col("near.doc_id").alias("kept_doc_id"), F.col("near.line_no").alias("kept_line_no"), distance.alias("distance"))
+
+
+def _survivors(links: DataFrame) -> DataFrame:
+    """(pos, near) of links to earlier lines, each moved to where its chain ends. Every round doubles the way."""
+    links = cut(links, "ld-chains")
+    while True:
+        up = links.select(F.col("pos").alias("near"), F.col("near").alias("far"))
+        moved = cut(links.join(up.hint("merge"), "near", "left").select("pos", F.coalesce("far", "near").alias("near"), F.col("far").isNotNull().alias("moved")), "ld-chains")
+        links = moved.select("pos", "near")
+        if moved.where("moved").isEmpty():
+            return links
 
 
 def _near(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(cid, near): the place of the earliest line one edit away from the line of a class, if it comes before the class."""
     some = cut(_sharing(classes.select("cid", F.explode("halves").alias("k"))), "ld-halves")
-    wanted = classes.join(some.hint("merge"), "cid").groupBy("pos.doc_id").agg(F.collect_list(F.struct(F.col("pos.line_no").alias("line_no"), "cid")).alias("wanted"))
-    texts = docs.join(wanted.hint("merge"), docs.doc_id.eqNullSafe(wanted.doc_id)).select(docs.doc_id, F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    texts = texts.select("doc_id", F.col("w.line_no").alias("line_no"), F.col("w.cid").alias("cid"), F.trim(F.get("lines", F.col("w.line_no"))).alias("line"))
-    # A doc_id that repeats with other texts gives lines of other classes here; the hash tells.
-    texts = texts.join(classes.select("cid", "h1").hint("merge"), "cid").where(F.xxhash64("line") == F.col("h1")).select("cid", "doc_id", "line_no", "line")
+    wanted = classes.join(some.hint("merge"), "cid").groupBy("pos.doc_id", "pos.mark").agg(F.collect_list(F.struct(F.col("pos.line_no").alias("line_no"), "cid")).alias("wanted"))
+    texts = docs.join(wanted.hint("merge"), docs.doc_id.eqNullSafe(wanted.doc_id) & (docs.mark == wanted.mark)).select(docs.doc_id, docs.mark, F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+    texts = texts.select("doc_id", "mark", F.col("w.line_no").alias("line_no"), F.col("w.cid").alias("cid"), F.trim(F.get("lines", F.col("w.line_no")), F.lit(BLANKS)).alias("line"))
     texts = cut(texts.dropDuplicates(["cid"]), "ld-texts")
     for parts in PARTS:
         close = cut(_sharing(_part_keys(texts, parts)), "ld-parts")
         texts = cut(texts.join(close.hint("merge"), "cid"), "ld-close")
     # From here on ids follow the places of the lines, so the least id is the earliest line.
-    placed = texts.repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no")
-    texts = cut(placed.select(F.monotonically_increasing_id().alias("cid"), F.col("cid").alias("was"), "doc_id", "line_no", "line"), "ld-placed")
+    placed = texts.repartitionByRange(*PLACE).sortWithinPartitions(*PLACE)
+    texts = cut(placed.select(F.monotonically_increasing_id().alias("cid"), F.col("cid").alias("was"), *PLACE, "line"), "ld-placed")
     made = _variants(texts)
     first = made.groupBy("k").agg(F.min("cid").alias("near"))
     other_side = F.when(F.col("k").bitwiseAND(F.lit(2)) == 0, F.col("k").bitwiseXOR(F.lit(1))).otherwise(F.col("k"))
     first = first.select(other_side.alias("k"), "near")
     pairs = made.join(first.hint("merge"), "k").where("near < cid").groupBy("cid").agg(F.min("near").alias("near"))
-    other = texts.select(F.col("cid").alias("near"), F.struct("doc_id", "line_no").alias("place"), F.col("line").alias("line2"))
+    other = texts.select(F.col("cid").alias("near"), F.struct(*PLACE).alias("place"), F.col("line").alias("line2"))
     checked = pairs.join(texts.select("cid", "was", "line"), "cid").join(other, "near").where(F.levenshtein("line", "line2", 1) >= 0)
     return checked.select(F.col("was").alias("cid"), F.col("place").alias("near"))
 
@@ -237,12 +257,15 @@ def _shared(keys: DataFrame, name: str) -> DataFrame:
     return cut(keys.select("*", *over).where("x <> y and any_own").drop("x", "y", "any_own"), name)
 
 
-def _pairs(shared: DataFrame, bound: int) -> DataFrame:
-    """(a, b): lines that share a key and are about as long."""
-    one = shared.where("own").select("k", F.col("cid").alias("a"), F.col("n").alias("n1"))
-    two = shared.select("k", F.col("cid").alias("b"), F.col("n").alias("n2"))
-    pairs = one.join(two.hint("merge"), "k").where((F.col("a") != F.col("b")) & (F.abs(F.col("n1") - F.col("n2")) <= bound))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _links(shared: DataFrame, texts: DataFrame, bound: int) -> DataFrame:
+    """(a, b, edits): lines that share a key and are within the edits allowed."""
+    rows = cut(shared.join(texts.select("cid", "line").hint("merge"), "cid"), "ld-keyed")
+    one = rows.where("own").select("k", F.col("cid").alias("a"), F.col("n").alias("n1"), F.col("line").alias("line1"))
+    two = rows.select("k", F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("line").alias("line2"))
+    edits = F.levenshtein("line1", "line2", bound)
+    near = (F.abs(F.col("n1") - F.col("n2")) <= bound) & (edits >= 0) & (edits <= _allowed(F.least("n1", "n2"), bound))
+    linked = one.join(two.hint("merge"), (one.k == two.k) & (F.col("a") != F.col("b")) & near)
+    return linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), edits.alias("edits"))
 
 
 def _near_by_parts(texts: DataFrame, bound: int) -> DataFrame:
@@ -250,16 +273,12 @@ def _near_by_parts(texts: DataFrame, bound: int) -> DataFrame:
     texts = cut(texts.withColumn("cid", F.monotonically_increasing_id()), "ld-texts")
     ends = _shared(_end_keys(texts, bound), "ld-ends")
     texts = cut(texts.join(ends.select("cid").distinct().hint("merge"), "cid"), "ld-near")
-    # Lines of a common end are told apart by two parts at once before they are paired.
+    # Lines of a common end are told apart by two parts at once before they are compared.
     often = texts.join(ends.where(F.col("size") > FEW).select("cid").distinct().hint("merge"), "cid")
     parts = _shared(_part_pair_keys(often, bound), "ld-parts")
-    pairs = _pairs(ends.where(F.col("size") <= FEW), bound).union(_pairs(parts, bound)).distinct()
-    pairs = cut(pairs, "ld-pairs")
-    one = texts.select(F.col("cid").alias("a"), F.col("place").alias("p1"), F.col("line").alias("line1"))
-    two = texts.select(F.col("cid").alias("b"), F.col("place").alias("p2"), F.col("line").alias("line2"))
-    checked = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").withColumn("edits", F.levenshtein("line1", "line2", bound))
-    shorter = F.least(F.length("line1"), F.length("line2"))
-    checked = checked.where((F.col("edits") >= 0) & (F.col("edits") <= _allowed(shorter, bound)) & (F.col("p1") != F.col("p2")))
+    links = cut(_links(ends.where(F.col("size") <= FEW), texts, bound).union(_links(parts, texts, bound)).distinct(), "ld-links")
+    one, two = texts.select(F.col("cid").alias("a"), F.col("place").alias("p1")), texts.select(F.col("cid").alias("b"), F.col("place").alias("p2"))
+    checked = links.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(F.col("p1") != F.col("p2"))
     first = F.struct(F.least("p1", "p2").alias("near"), "edits")
     checked = checked.select(F.when(F.col("p1") < F.col("p2"), F.col("b")).otherwise(F.col("a")).alias("cid"), first.alias("first"))
     earliest = checked.groupBy("cid").agg(F.min("first").alias("first"))
@@ -268,11 +287,12 @@ def _near_by_parts(texts: DataFrame, bound: int) -> DataFrame:
 
 def drop_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the lines to drop; n_chars (if there is one) follows. Texts without such lines stay as they are."""
-    gone = duplicate_lines(docs, **options).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    gone = cut(gone.withColumnRenamed("doc_id", "_id"), "ld-gone")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = _dropped(docs, **options).groupBy("doc_id", "mark").agg(F.collect_set("line_no").alias("gone"))
+    gone = cut(gone, "ld-gone")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    kept = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("gone", i))
+    joined = rows.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("mark")), "left")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    out = joined.select("row", text.alias("text"))
+    made = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
