@@ -6,12 +6,15 @@ with a fixed number of NumPy passes, so cost per text is small and memory is a
 constant number of bytes per byte of the chunk. Chunks are cut by bytes
 (``chunks``); a text is never divided, whatever its length.
 
-Hashes are polynomials modulo 2**64 with an odd base, finished with a 64-bit
-mixer. Null texts count as empty.
+Words are hashed in blocks of eight bytes, each followed by a 64-bit mixer; long words
+by BLAKE2. Rolling hashes of byte windows are polynomials modulo 2**64 with an odd base: fit for
+windows of a few hundred bytes, not for spans of a thousand and more, where regular
+(Thue-Morse) texts are equal under every base. Null texts count as empty.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,6 +86,27 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         at = end
 
 
+LONG = 64
+_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+
+
+def _hashed(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of raw[start:end] for each span."""
+    held = np.concatenate([raw, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=held, strides=(1,))
+    length = end - start
+    out = mix(length.astype(np.uint64) * BASE)
+    for at in range(0, LONG, 8):
+        there = np.flatnonzero((length > at) & (length <= LONG))
+        if not len(there):
+            break
+        block = eight[start[there] + at] & _BYTES[np.minimum(length[there] - at, 8)]
+        out[there] = mix(out[there] ^ block)
+    for i in np.flatnonzero(length > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 class Words:
     """Words of a chunk: start, end (bytes), doc (row of the chunk) and hash of each."""
 
@@ -100,10 +124,7 @@ class Words:
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
         self.doc = np.searchsorted(offsets, self.start, side="right") - 1
-        power, inverse = powers(BASE, n + 1)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start])
+        self.hash = _hashed(low, self.start, self.end)
         self.first = np.searchsorted(self.doc, np.arange(self.docs + 1))
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -22,6 +22,7 @@ for each ``CHARS_PER_EDIT`` characters, at least 1, at most the bound.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.llm import kernels as K
-from chronofold.llm.runtime import cut
+from chronofold.llm.runtime import cut, drop_cut
 
 MIN_CHARS = 10
 PARTS = (16, 128)
@@ -42,6 +43,8 @@ CHARS_PER_EDIT = 10
 FEW = 16
 #: White space that may stand at either end of a line.
 BLANKS = " \t\r"
+#: Characters that are counted before lines are compared.
+COUNTED = " eantio"
 
 
 def _halves(line: Column) -> Column:
@@ -257,26 +260,42 @@ def _shared(keys: DataFrame, name: str) -> DataFrame:
     return cut(keys.select("*", *over).where("x <> y and any_own").drop("x", "y", "any_own"), name)
 
 
+def _counts(line: Column) -> Column:
+    """How often each of the counted characters occurs (255 for more), a byte each."""
+    n = [F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("long") for c in COUNTED]
+    return functools.reduce(lambda a, b: a * 256 + b, n)
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """Sum of the differences of the counts: an edit makes 2 at most."""
+    byte = lambda x, i: F.shiftright(x, 8 * i).bitwiseAND(F.lit(255))
+    return functools.reduce(lambda x, y: x + y, [F.abs(byte(a, i) - byte(b, i)) for i in range(len(COUNTED))])
+
+
 def _links(shared: DataFrame, texts: DataFrame, bound: int) -> DataFrame:
     """(a, b, edits): lines that share a key and are within the edits allowed."""
-    rows = cut(shared.join(texts.select("cid", "line").hint("merge"), "cid"), "ld-keyed")
-    one = rows.where("own").select("k", F.col("cid").alias("a"), F.col("n").alias("n1"), F.col("line").alias("line1"))
-    two = rows.select("k", F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("line").alias("line2"))
+    rows = cut(shared.join(texts.select("cid", "line", "counts").hint("merge"), "cid"), "ld-keyed")
+    side = lambda i: [F.col(c).alias(f"{c}{i}") for c in ("n", "line", "counts")]
+    one = rows.where("own").select("k", F.col("cid").alias("a"), *side(1))
+    two = rows.select("k", F.col("cid").alias("b"), *side(2))
     edits = F.levenshtein("line1", "line2", bound)
-    near = (F.abs(F.col("n1") - F.col("n2")) <= bound) & (edits >= 0) & (edits <= _allowed(F.least("n1", "n2"), bound))
+    near = (F.abs(F.col("n1") - F.col("n2")) <= bound) & (_apart(F.col("counts1"), F.col("counts2")) <= 2 * bound) & (edits >= 0) & (edits <= _allowed(F.least("n1", "n2"), bound))
     linked = one.join(two.hint("merge"), (one.k == two.k) & (F.col("a") != F.col("b")) & near)
-    return linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), edits.alias("edits"))
+    linked = cut(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), edits.alias("edits")), "ld-links")
+    drop_cut(rows)
+    return linked
 
 
 def _near_by_parts(texts: DataFrame, bound: int) -> DataFrame:
     """(h1, h2, near, edits): the earliest earlier line within the edits allowed, from different lines (h1, h2, place, line)."""
-    texts = cut(texts.withColumn("cid", F.monotonically_increasing_id()), "ld-texts")
-    ends = _shared(_end_keys(texts, bound), "ld-ends")
-    texts = cut(texts.join(ends.select("cid").distinct().hint("merge"), "cid"), "ld-near")
+    every = cut(texts.withColumn("cid", F.monotonically_increasing_id()), "ld-texts")
+    ends = _shared(_end_keys(every, bound), "ld-ends")
+    texts = cut(every.join(ends.select("cid").distinct().hint("merge"), "cid").withColumn("counts", _counts(F.col("line"))), "ld-near")
+    drop_cut(every)
     # Lines of a common end are told apart by two parts at once before they are compared.
     often = texts.join(ends.where(F.col("size") > FEW).select("cid").distinct().hint("merge"), "cid")
     parts = _shared(_part_pair_keys(often, bound), "ld-parts")
-    links = cut(_links(ends.where(F.col("size") <= FEW), texts, bound).union(_links(parts, texts, bound)).distinct(), "ld-links")
+    links = _links(ends.where(F.col("size") <= FEW), texts, bound).union(_links(parts, texts, bound)).distinct()
     one, two = texts.select(F.col("cid").alias("a"), F.col("place").alias("p1")), texts.select(F.col("cid").alias("b"), F.col("place").alias("p2"))
     checked = links.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(F.col("p1") != F.col("p2"))
     first = F.struct(F.least("p1", "p2").alias("near"), "edits")

@@ -10,9 +10,10 @@
 4. Each list is linked as a star: members against one centre, the member with the
    fewest rare values. The sketch of the union estimates each pair's similarity; what may pass is
    verified by exact Jaccard on the full sets. Verified links give components.
-5. Lists whose members lie in more than one component are compared in blocks of
-   bounded size, exactly, and only links between components are kept. No pair within
-   a component is compared or emitted, and no partner is dropped.
+5. What is left are lists whose members lie in more than one component; of lists with the same
+   members one goes on. Pairs across components in lists of at most ``SMALL`` members are
+   estimated and verified like those of step 4. Longer lists are compared in blocks of
+   bounded size, exactly, and only links between components are kept. No partner is dropped.
 
 The chance to lose a pair at the threshold lies in step 3 alone: ``t`` is five standard
 deviations below the expected overlap; sets no larger than ``k`` are exact.
@@ -24,14 +25,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm import kernels as K
-from chronofold.llm.runtime import components, cut, fresh
+from chronofold.llm.runtime import components, cut, drop_cut, fresh
 
+SMALL = 16
 BLOCK = 1024
 COLUMNS = 4096
 
@@ -93,35 +94,76 @@ def full_sets(docs: DataFrame, words: int, text_col: str = "text") -> DataFrame:
     return docs.select("cid", text_col).mapInArrow(run, "cid long, set array<long>")
 
 
-def _across(percent: int):
-    """Links between components in one block pair of a list, as component pairs."""
-
-    def run(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-        same = key[1] == key[2]
-        members = members.sort_values("cid")
-        sets = [np.asarray(x) for x in members["set"]]
-        comp, side = members["comp"].to_numpy(), members["b"].to_numpy()
-        n = np.array([len(x) for x in sets])
-        values, place = np.unique(np.concatenate(sets), return_inverse=True)
-        shared = np.flatnonzero(np.bincount(place) > 1)
-        column = np.full(len(values), -1)
-        column[shared] = np.arange(len(shared))
-        place, row = column[place], np.repeat(np.arange(len(sets)), n)
-        row, place = row[place >= 0], place[place >= 0]
-        left = np.arange(len(sets)) if same else np.flatnonzero(side == key[1])
-        right = left if same else np.flatnonzero(side == key[2])
-        overlap = np.zeros((len(left), len(right)), dtype=np.float32)
-        for at in range(0, len(shared), COLUMNS):
-            here = (place >= at) & (place < at + COLUMNS)
-            m = np.zeros((len(sets), min(COLUMNS, len(shared) - at)), dtype=np.float32)
-            m[row[here], place[here] - at] = 1
-            overlap += m[left] @ m[right].T
-        union = n[left][:, None] + n[right][None, :] - overlap
-        i, j = np.nonzero((100 * overlap >= percent * union) & (comp[left][:, None] != comp[right][None, :]))
-        a, b = comp[left][i], comp[right][j]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+def _across(comp: np.ndarray, left: np.ndarray, right: np.ndarray, first: np.ndarray, sets: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of components that have a link between members ``left`` and ``right``, least first; sets[first[i]:first[i+1]] is a member's set."""
+    n = np.diff(first)
+    values, place = np.unique(sets, return_inverse=True)
+    shared = np.flatnonzero(np.bincount(place) > 1)
+    column = np.full(len(values), -1)
+    column[shared] = np.arange(len(shared))
+    place, row = column[place], np.repeat(np.arange(len(n)), n)
+    row, place = row[place >= 0], place[place >= 0]
+    overlap = np.zeros((len(left), len(right)), dtype=np.float32)
+    for at in range(0, len(shared), COLUMNS):
+        here = (place >= at) & (place < at + COLUMNS)
+        m = np.zeros((len(n), min(COLUMNS, len(shared) - at)), dtype=np.float32)
+        m[row[here], place[here] - at] = 1
+        overlap += m[left] @ m[right].T
+    union = n[left][:, None] + n[right][None, :] - overlap
+    i, j = np.nonzero((100 * overlap >= percent * union) & (comp[left][:, None] != comp[right][None, :]))
+    a, b = comp[left][i], comp[right][j]
+    return np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+
+
+def _block_links(placed: DataFrame, percent: int) -> DataFrame:
+    """(a, b): linked components, from rows (v, b1, b2, b, comp, set) dealt and sorted by their block pair."""
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        key = None
+
+        def links() -> pa.RecordBatch:
+            side, comp, n, sets = (np.concatenate(x) for x in zip(*held, strict=True))
+            rows = np.arange(len(side))
+            left, right = (rows, rows) if key[1] == key[2] else (np.flatnonzero(side == key[1]), np.flatnonzero(side == key[2]))
+            found = _across(comp, left, right, np.concatenate([[0], np.cumsum(n)]), sets, percent)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            keys = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)])
+            side, comp, lists = batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                if x == y:
+                    continue
+                if key != (now := tuple(keys[x].tolist())):
+                    if held:
+                        yield links()
+                    held, key = [], now
+                part = lists.slice(x, y - x)
+                held.append((side[x:y], comp[x:y], part.value_lengths().to_numpy().astype(np.int64), part.flatten().to_numpy()))
+        if held:
+            yield links()
+
+    return placed.select("v", "b1", "b2", "b", "comp", "set").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
+    """The rows of ``pairs`` (cid, other) at or above the threshold: estimated by the sketch of the union, then counted on the full sets."""
+    share = percent / 100
+    other = lambda df, *c: df.select(F.col("cid").alias("other"), *[F.col(x).alias(f"{x}2") for x in c])
+    # Union sketch: of the k least values of both, the part that both retain.
+    union = F.slice(F.array_sort(F.array_union("sketch", "sketch2")), 1, k)
+    common = F.size(F.array_intersect(union, F.array_intersect("sketch", "sketch2")))
+    slack = 5 * math.sqrt(share * (1 - share) / k)
+    near = pairs.join(classes.select("cid", "sketch").hint("merge"), "cid").join(other(classes, "sketch").hint("merge"), "other")
+    near = cut(near.where(common >= F.size(union) * (share - slack)).select("cid", "other"), "nd-near")
+    both = near.join(sets.hint("merge"), "cid").join(other(sets, "set").hint("merge"), "other")
+    inter = F.size(F.array_intersect("set", "set2"))
+    linked = both.where(inter * 100 >= (F.size("set") + F.size("set2") - inter) * percent)
+    linked = cut(linked.select("cid", "other"), "nd-links")
+    drop_cut(near)
+    return linked
 
 
 def link_classes(classes: DataFrame, sets_of, percent: int, k: int) -> DataFrame:
@@ -145,32 +187,29 @@ def link_classes(classes: DataFrame, sets_of, percent: int, k: int) -> DataFrame
     centre = index.groupBy("v").agg(F.count("*").alias("size"), F.min(rank).alias("c")).where("size > 1")
     centre = centre.select("v", "size", F.col("c.cid").alias("centre"), F.col("c.n").alias("cn"))
     lists = cut(index.join(centre, "v"), "nd-lists")
+    drop_cut(index)
     near = lists.where(f"cid <> centre and least(n, cn) * 100 >= greatest(n, cn) * {percent}").select("cid", "centre").distinct()
-    sk = classes.select("cid", "n", "sketch")
-    # Union sketch: of the k least values of both, the part that both retain.
-    both = F.array_sort(F.array_union("sketch", "sketch2"))
-    union = F.slice(both, 1, k)
-    common = F.size(F.array_intersect(union, F.array_intersect("sketch", "sketch2")))
-    slack = 5 * math.sqrt(share * (1 - share) / k)
-    near = near.join(sk.select("cid", "sketch"), "cid").join(sk.select(F.col("cid").alias("centre"), F.col("sketch").alias("sketch2")), "centre")
-    near = near.where(common >= F.size(union) * (share - slack)).select("cid", "centre")
-    near = cut(near, "nd-near")
-    candidates = lists.select("cid").distinct()
-    sets = cut(sets_of(candidates), "nd-sets")
-    pairs = near.join(sets.hint("merge"), "cid").join(sets.select(F.col("cid").alias("centre"), F.col("set").alias("set2")).hint("merge"), "centre")
-    inter = F.size(F.array_intersect("set", "set2"))
-    linked = pairs.where(inter * 100 >= (F.size("set") + F.size("set2") - inter) * percent)
-    links = cut(linked.select(F.col("cid").alias("a"), F.col("centre").alias("b")), "nd-links")
+    sets = cut(sets_of(lists.select("cid").distinct()), "nd-sets")
+    links = _verified(near.select("cid", F.col("centre").alias("other")), classes, sets, percent, k).select(F.col("cid").alias("a"), F.col("other").alias("b"))
     star = components(links)
     comp = F.coalesce("component", "cid").alias("comp")
-    placed = lists.select("v", "cid", "size").join(star, F.col("cid") == F.col("node"), "left").select("v", "cid", "size", comp)
-    split = placed.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("v")
-    placed = placed.join(split, "v")
+    placed = lists.select("v", "cid", "n", "size").join(star.hint("merge"), F.col("cid") == F.col("node"), "left").select("v", "cid", "n", "size", comp)
+    same = [F.count("*").alias("s0"), *[F.bit_xor(F.xxhash64(F.lit(i), "cid")).alias(f"s{i}") for i in (1, 2)]]
+    split = placed.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), *same).where("x <> y")
+    placed = cut(placed.join(split.groupBy("s0", "s1", "s2").agg(F.min("v").alias("v")).hint("merge"), "v").select("v", "cid", "n", "size", "comp"), "nd-split")
+    drop_cut(lists)
+    short = placed.where(F.col("size") <= SMALL)
+    two = short.select("v", F.col("cid").alias("other"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+    pairs = short.join(two.hint("merge"), "v").where(f"cid < other and comp <> comp2 and least(n, n2) * 100 >= greatest(n, n2) * {percent}")
+    few = _verified(pairs.select("cid", "other").distinct(), classes, sets, percent, k)
+    places = placed.select("cid", "comp").distinct()
+    few = few.join(places.hint("merge"), "cid").join(places.select(F.col("cid").alias("other"), F.col("comp").alias("comp2")).hint("merge"), "other").select(F.least("comp", "comp2").alias("a"), F.greatest("comp", "comp2").alias("b"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = placed.withColumn("b", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.join(sets.hint("merge"), "cid").select("v", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "b", "cid", "comp", "set")
-    more = placed.groupBy("v", "b1", "b2").applyInPandas(_across(percent), "a long, b long").distinct()
-    more = cut(more, "nd-more")
+    dealt = placed.where(F.col("size") > SMALL).withColumn("b", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.join(sets.hint("merge"), "cid").select("v", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "b", "comp", "set")
+    key = ["v", "b1", "b2"]
+    more = cut(few.union(_block_links(dealt.repartition(*key).sortWithinPartitions(*key), percent)).distinct(), "nd-more")
+    drop_cut(sets, placed)
     joined = components(more)
     out = links.select(F.explode(F.array("a", "b")).alias("node")).union(more.select(F.explode(F.array("a", "b")))).distinct()
     out = out.join(star, "node", "left").select("node", F.coalesce("component", "node").alias("mid"))

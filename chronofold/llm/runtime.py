@@ -43,12 +43,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a cut that nothing reads any more."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_cut(*cuts: DataFrame) -> None:
+    """Delete the files of cuts that nothing reads any more: whatever was made from them is written itself."""
+    for df in cuts:
+        context = df.sparkSession.sparkContext
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, *columns: str) -> DataFrame:
@@ -74,17 +75,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = None
     while not e.isEmpty():
         hook = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")).select(F.col("a").alias("x"), "p")
-        hook = cut(hook, "cc-hook")
+        first = hook = cut(hook, "cc-hook")
         for _ in range(2):
             up = hook.select(F.col("x").alias("p"), F.col("p").alias("q"))
             hook = hook.join(up, "p", "left").select("x", F.coalesce("q", "p").alias("p"))
         hook = cut(hook, "cc-jump")
+        done = [first, hook, e, *([labels] if labels is not None else [])]
         labels = hook.select(F.col("x").alias("node"), F.col("p").alias("component")) if labels is None else labels.join(hook, labels.component == hook.x, "left").select("node", F.coalesce("p", "component").alias("component"))
         labels = cut(labels, "cc-labels")
         left = hook.select(F.col("x").alias("a"), F.col("p").alias("pa"))
         right = hook.select(F.col("x").alias("b"), F.col("p").alias("pb"))
         e = e.join(left, "a").join(right, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
         e = cut(e, "cc-edges")
+        drop_cut(*done)
     if labels is None:
         return edges.select(F.col(a).alias("node"), F.col(b).alias("component")).limit(0)
     return labels

@@ -49,9 +49,16 @@ def brute_components(texts, k, percent):
     return {i: (len(sets[i]), root(i), root(i) == i) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
-def test_near_duplicates_brute_force(spark, k, percent):
-    texts = [*near_copies(), None, "", " \n\t", "one", "One", "ONE two", "É a b c", "É a b c"]
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize(("k", "percent", "small", "block"), [(3, 85, 16, 1024), (5, 80, 2, 5)])
+def test_near_duplicates_brute_force(spark, monkeypatch, k, percent, small, block):
+    monkeypatch.setattr(near_dup, "SMALL", small)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    regular = thue_morse(2048)
+    texts = [*near_copies(90), None, "", " \n\t", "one", "One", "ONE two", "É a b c", "É a b c", regular, regular.translate({97: "b", 98: "a"})]
     got = near_dup.near_duplicates(table(spark, texts), words=k, percent=percent).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute_components(texts, k, percent)
 
@@ -360,3 +367,12 @@ def test_kernel_words(texts):
         h, at = w.shingles(k)
         for d, t in enumerate(texts):
             assert len(set(h[w.doc[at] == d].tolist())) == len(shingles(t, k))
+
+
+def test_kernel_words_of_regular_texts():
+    import pyarrow as pa
+
+    words = [thue_morse(n) for n in (64, 65, 128, 1024, 4096, 1 << 16)]
+    words += [w.translate({97: "b", 98: "a"}) for w in words] + ["a" * n for n in (1, 7, 8, 9, 63, 64, 65)] + ["a\0", "a\0\0"]
+    raw, offsets = kernels.buffers(pa.array(words))
+    assert len(set(kernels.Words(raw, offsets).hash.tolist())) == len(words)
