@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 
 import pytest
 from llm_tables import edit_distance, survivor, table
@@ -124,3 +125,53 @@ def test_pii_pattern_of_a_candidate_after_digits(spark):
     texts = [f"on line2 call +1 555 123 {1000 + i} now" for i in range(8)] + ["on line2 call 555 123-2000, thanks", "on line2 call (555 123-2001) thanks"]
     found = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(table(spark, texts))).collect()}
     assert found[8] == "phone:14:26" and found[9] == "phone:15:27"
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_pii_bootstrap_brute_force(spark, seed):
+    rng = random.Random(seed)
+    edges = [(f"p{rng.randrange(9)}", "5" * rng.choice([8, 13, 16]) + str(i := rng.randrange(40)), rng.choice([2, 3]) if i < 24 else None) for _ in range(150)]
+    suits = {2: range(12, 20), 3: range(7, 16)}
+    pairs = {}
+    for p, x, k in edges:
+        pairs[p, x] = max((v for v in (k, pairs.get((p, x))) if v is not None), default=None)
+    known = {}
+    for (_, x), k in pairs.items():
+        if k is not None:
+            known[x] = min(k, known.get(x, 9))
+    while True:
+        good = set()
+        for p in {p for p, _ in pairs}:
+            kinds = [known.get(x) for q, x in pairs if q == p]
+            good |= {(p, k) for k in (2, 3) if kinds.count(k) >= 3 and kinds.count(k) >= 0.3 * len(kinds)}
+        more = dict(known)
+        for p, x in pairs:
+            for q, k in good:
+                if p == q and len(x) in suits[k]:
+                    more[x] = min(k, more.get(x, 9))
+        if more == known:
+            break
+        known = more
+    got = pii.bootstrap(spark.createDataFrame(edges, "pattern string, instance string, kind int"), support=3, confidence=0.3)
+    assert {tuple(r) for r in got.collect()} == good and good
+
+
+def test_pii_secrets_by_context(spark):
+    token = lambda i: f"{i:040x}".replace("0", "a", 20)
+    texts = [f'set token = "{token(i)}" here' for i in range(1000, 1006)] + ["TOKEN = 'Zx81kq0PmmR42vLw77Ty01', then", "token = none", f"commit {token(5000)} is fine", None, ""]
+    found = {r["doc_id"]: r for r in pii.digest(pii.find(table(spark, texts))).collect()}
+    assert [found[i]["spans"] for i in range(6)] == ["secret:13:53"] * 6
+    assert found[6]["spans"] == "secret:9:31" and found[6]["n_spans"] == 1
+    assert [found[i]["spans"] for i in range(7, 11)] == [""] * 4
+    assert found[0]["base_sha256"] == found[10]["base_sha256"]
+
+
+def test_pii_dense_texts_and_null_ids(spark):
+    dense = " ".join(f"a{i % 10}b" for i in range(60000)) + " me@mail.example.com" + " 10.0.0.1" * 20000
+    texts = [dense, dense, "write to me@mail.example.com, 10.0.0.1."]
+    began = time.time()
+    found = pii.digest(pii.find(table(spark, texts, [None, 4, None]))).collect()
+    assert time.time() - began < 100
+    at = dense.index("me@")
+    want = ",".join([f"email:{at}:{at + 19}", *(f"ip:{x}:{x + 8}" for x in range(at + 20, len(dense), 9))])
+    assert sorted((r["n_email"], r["n_ip"], r["spans"] == want) for r in found) == [(1, 1, False), (1, 20000, True), (1, 20000, True)]
