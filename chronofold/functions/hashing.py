@@ -65,15 +65,23 @@ def value_bits(value: Column) -> Column:
     return F.pandas_udf(run, "binary")(value.isNotNull(), F.coalesce(value, F.lit(0.0)))
 
 
-def batch_hash(series_code: str, rows: list[tuple[str, str, str]]) -> str:
-    """SHA-256 of (ts, as_of, payload hash) in order, bound to the series, each part with its length."""
-    h = hashlib.sha256()
-    for part in (series_code, *(x for row in sorted(rows) for x in row)):
-        raw = part.encode()
-        h.update(struct.pack(">I", len(raw)) + raw)
+def batch_hash(series_id: int, rows: list[tuple[str, str, str]]) -> str:
+    """SHA-256 of (ts, as_of, payload hash) by ts and as_of, each part with its length, after the eight bytes of the series id."""
+    h = hashlib.sha256(struct.pack(">Q", series_id))
+    for row in sorted(rows, key=lambda r: r[:2]):
+        for part in row:
+            raw = part.encode()
+            h.update(struct.pack(">I", len(raw)) + raw)
     return h.hexdigest()
 
 
+def batch_digest(series_id: Column, rows: Column) -> Column:
+    """``batch_hash`` of an array of (ts, as_of, payload hash) texts, as a column; a batch is bounded by its writer."""
+    part = lambda x: F.concat(F.lpad(F.hex(F.octet_length(x)), 8, "0"), F.hex(F.encode(x, "utf-8")))
+    body = F.array_join(F.transform(F.array_sort(rows), lambda r: F.concat(part(r["ts"]), part(r["as_of"]), part(r["payload_hash"]))), "")
+    return F.sha2(F.unhex(F.concat(F.lpad(F.hex(series_id.cast("long")), 16, "0"), body)), 256)
+
+
 def filters_hash(filters: dict) -> str:
     return hashlib.sha256(canonical_json(filters).encode()).hexdigest()[:32]
 

@@ -12,9 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-#: An email address; two or more title-case words, Turkish letters included.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-NAME = r"\b[A-ZÇĞİÖŞÜ][a-zçğıöşü]+(?: [A-ZÇĞİÖŞÜ][a-zçğıöşü]+)+\b"
+#: An email address; two title-case words, Turkish letters included, with a middle initial or without.
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{1,}"
+NAME = r"\b[A-ZÇĞİÖŞÜ][a-zçğıöşü]+(?:\s+[A-ZÇĞİÖŞÜ]\.?)?\s+[A-ZÇĞİÖŞÜ][a-zçğıöşü]+\b"
 PATTERNS = {"email": EMAIL, "name": NAME}
 _COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
 

@@ -37,23 +37,28 @@ def isin(text: Column) -> Column:
 
 
 def truncated_ip(ip: Column) -> Column:
-    """The /24 of an IPv4 and the /48 of an IPv6 address; a mark where there is none."""
+    """The /24 of an IPv4 and the /48 of an IPv6 address, zero groups at its end left out; a mark where there is none."""
     v4 = F.concat(F.substring_index(ip, ".", 3), F.lit(".0/24"))
-    full = F.when(ip.contains("::"), F.concat(F.substring_index(ip, "::", 1), F.lit(":0:0:0"))).otherwise(ip)
-    v6 = F.concat(F.substring_index(F.regexp_replace(full, "^:", "0:"), ":", 3), F.lit("::/48"))
+    groups = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ":"))
+    left, right = groups(F.substring_index(ip, "::", 1)), groups(F.substring_index(ip, "::", -1))
+    filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right))), right)
+    three = F.slice(F.when(ip.contains("::"), filled).otherwise(F.split(ip, ":")), 1, 3)
+    bare = F.transform(three, lambda g: F.coalesce(F.nullif(F.ltrim(F.lower(g), F.lit("0")), F.lit("")), F.lit("0")))
+    v6 = F.concat(F.regexp_replace(F.array_join(bare, ":"), "(^|:)0(:0)*$", ""), F.lit("::/48"))
     return F.when(ip.isNull(), F.lit("<no client_ip>")).when(ip.contains(":"), v6).otherwise(v4)
 
 
 def age(seconds: Column) -> Column:
-    """12s, 3m, 4h or 5d."""
-    whole = lambda unit, mark: F.concat(F.floor(seconds / unit).cast("string"), F.lit(mark))
-    return F.when(seconds < 60, whole(1, "s")).when(seconds < 3600, whole(60, "m")).when(seconds < 86400, whole(3600, "h")).otherwise(whole(86400, "d"))
+    """12s, 3m 12s, 2h 14m or 7d 3h; 0s below zero."""
+    s = F.floor(F.greatest(seconds, F.lit(0))).cast("long")
+    two = lambda unit, mark, part, small: F.format_string(f"%d{mark} %d{small}", F.floor(s / unit).cast("long"), F.floor(s % unit / part).cast("long"))
+    return F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, two(60, "m", 1, "s")).when(s < 86400, two(3600, "h", 60, "m")).otherwise(two(86400, "d", 3600, "h"))
 
 
 def size(n: Column) -> Column:
-    """Bytes with a binary unit and one decimal from a KiB on."""
-    unit = lambda scale, mark: F.concat(F.format_string("%.1f", n / float(scale)), F.lit(mark))
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, unit(1024, " KiB")).when(n < 1024**3, unit(1024**2, " MiB")).otherwise(unit(1024**3, " GiB"))
+    """Bytes, or KB, MB and GB of 1024 each with one decimal (a tie goes to the even digit)."""
+    unit = lambda scale, mark: F.concat(F.format_string("%.1f", F.bround(n / float(scale), 1)), F.lit(mark))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, unit(1024, " KB")).when(n < 1024**3, unit(1024**2, " MB")).otherwise(unit(1024**3, " GB"))
 
 
 def id_prefix(text: Column, width: int = 8) -> Column:
@@ -84,9 +89,14 @@ def next_message_id(message_id: Column) -> Column:
 
 
 def as_json(text: Column) -> Column:
-    """Text that is JSON, or the text as a JSON string."""
+    """Text that is JSON, or the text as a JSON string; null for an empty text."""
     wrapped = F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r'^\{"x":(.*)\}$', 1)
-    return F.when(F.try_parse_json(text).isNotNull(), text).otherwise(wrapped)
+    return F.when(F.trim(text) == "", F.lit("null")).when(F.try_parse_json(text).isNotNull(), text).otherwise(wrapped)
+
+
+def shortened(text: Column, most: int = 4000) -> Column:
+    """At most so many characters of a text."""
+    return F.left(text, F.lit(most))
 
 
 def seconds_between(a: Column, b: Column) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.functions import personal, text
+from chronofold.functions import hashing, personal, text
 from chronofold.operators import analytics, audit, dashboard, documents, entities, ingest, quality, series, temporal
 from chronofold.plans import research
 from chronofold.plans.views import collapsed, sql
@@ -323,7 +323,7 @@ def releasable_filings(spark, d):
 
 
 # Text and personal data
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS n_emails, sha256(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED:Art.17:email]', 'g')) AS scrubbed FROM documents")
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{1,}')) AS n_emails, sha256(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{1,}', '[REDACTED:Art.17:email]', 'g')) AS scrubbed FROM documents")
 def scrubbed_documents(spark, d):
     x = P.table(spark, d, "documents")
     return x.select("doc_id", personal.n_emails(F.col("text")).cast("long").alias("n_emails"), F.sha2(personal.scrubbed_emails(F.col("text")), 256).alias("scrubbed"))
@@ -335,11 +335,23 @@ def normalized_identifiers(spark, d):
     return x.select("c_custkey", text.tax_number(F.concat("c_name", F.lit("9"))).alias("tax"), text.ticker(F.col("c_mktsegment")).alias("ticker"), text.isin(F.col("c_mktsegment")).alias("isin"))
 
 
-@query("SELECT event_id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' WHEN s < 86400 THEN (s // 3600) || 'h' ELSE (s // 86400) || 'd' END AS age, CASE WHEN event_type IN ('view', 'click') THEN event_type WHEN starts_with(event_type, 'pur') THEN 'sale' ELSE 'other' END AS label, '10.' || (user_id % 256) || '.' || (event_id % 256) || '.0/24' AS ip FROM (SELECT *, CAST(event_id * 37 AS BIGINT) AS s FROM events)")
+_AGE = "CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' WHEN s < 86400 THEN (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' ELSE (s // 86400) || 'd ' || (s % 86400 // 3600) || 'h' END"
+_SIZE = "CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.1f GB', n / 1073741824) END"
+
+
+@query(f"SELECT event_id, {_AGE} AS age, {_SIZE} AS size, CASE WHEN event_type IN ('view', 'click') THEN event_type WHEN starts_with(event_type, 'pur') THEN 'sale' ELSE 'other' END AS label, '10.' || (user_id % 256) || '.' || (event_id % 256) || '.0/24' AS ip, CASE WHEN event_id % 3 = 0 THEN '2001:db8::/48' ELSE '2001:db8:' || (event_id % 3) || '::/48' END AS ip6, left(props, 12) AS props FROM (SELECT *, CAST(event_id * 37 AS BIGINT) AS s, CAST(event_id AS BIGINT) * event_id * 31 AS n FROM events)")
 def formatted_events(spark, d):
     x = P.table(spark, d, "events")
     ip = F.concat(F.lit("10."), F.col("user_id") % 256, F.lit("."), F.col("event_id") % 256, F.lit(".7"))
-    return x.select("event_id", text.age(F.col("event_id") * 37).alias("age"), text.label(F.col("event_type"), ["view", "click"], {"pur": "sale"}).alias("label"), text.truncated_ip(ip).alias("ip"))
+    ip6 = F.when(F.col("event_id") % 3 == 0, "2001:DB8::7").otherwise(F.concat(F.lit("2001:0db8:"), F.col("event_id") % 3, F.lit(":2::5")))
+    n = F.col("event_id") * F.col("event_id") * 31
+    return x.select("event_id", text.age(F.col("event_id") * 37).alias("age"), text.size(n).alias("size"), text.label(F.col("event_type"), ["view", "click"], {"pur": "sale"}).alias("label"), text.truncated_ip(ip).alias("ip"), text.truncated_ip(ip6).alias("ip6"), text.shortened(F.col("props"), 12).alias("props"))
+
+
+@query("SELECT k AS series_id, sha256(unhex(lpad(hex(k), 16, '0') || string_agg(printf('%08X', length(ts)) || hex(encode(ts)) || printf('%08X', length(as_of)) || hex(encode(as_of)) || printf('%08X', length(h)) || hex(encode(h)), '' ORDER BY ts, as_of))) AS digest FROM (SELECT user_id % 50 AS k, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS ts, lpad(CAST(event_id AS VARCHAR), 9, '0') AS as_of, sha256(props) AS h FROM events) GROUP BY 1")
+def batch_digests(spark, d):
+    x = P.table(spark, d, "events").select((F.col("user_id") % 50).alias("series_id"), F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).alias("ts"), F.lpad(F.col("event_id").cast("string"), 9, "0").alias("as_of"), F.sha2("props", 256).alias("payload_hash"))
+    return x.groupBy("series_id").agg(hashing.batch_digest(F.col("series_id"), F.collect_list(F.struct("ts", "as_of", "payload_hash"))).alias("digest"))
 
 
 @query("SELECT event_id, (event_id * 7) || '-' || (event_id % 3 + 1) AS next_id FROM events")
@@ -385,10 +397,9 @@ def dashboard_ingestion(spark, d):
 
 
 # Research reads
-@query("SELECT series_id, series_code, ts, as_of, value FROM (" + collapsed("observation", "series_id, ts", "as_of DESC, event_id DESC", f"as_of <= TIMESTAMP '{EVENT_PIT}' AND ts >= TIMESTAMP '2024-01-03' AND ts <= TIMESTAMP '2024-01-10'") + ") JOIN series_catalog USING (series_id) WHERE series_code = 'S7'")
+@query("SELECT series_id, series_code, ts, as_of, value FROM (" + collapsed("observation", "series_id, ts", "as_of DESC, event_id DESC", f"as_of <= TIMESTAMP '{EVENT_PIT}'") + ") JOIN series_catalog USING (series_id)")
 def research_observations(spark, d):
-    q = research.Read(as_of=EVENT_PIT, closed={"ts": ("2024-01-03", "2024-01-10")})
-    return research.observations(P.observation(spark, d), P.series_catalog(spark, d), q, "S7").select("series_id", "series_code", "ts", "as_of", "value")
+    return research.observations(P.observation(spark, d), P.series_catalog(spark, d), research.Read(as_of=EVENT_PIT)).select("series_id", "series_code", "ts", "as_of", "value")
 
 
 @query("SELECT entity_id, canonical_code, period_end, restatement_basis, value FROM (SELECT *, row_number() OVER (ORDER BY period_end DESC NULLS LAST, canonical_code, restatement_basis, entity_id, period_type, consolidation, currency_code, accounting_standard, cpi_base_date, mapping_version, as_of, row_no) AS n FROM (" + collapsed("canonical_financial", "entity_id, canonical_code, period_end, period_type, consolidation, currency_code, accounting_standard, restatement_basis, cpi_base_date, mapping_version", _BEST, f"as_of <= TIMESTAMP '{PIT}' AND entity_id = 7") + ")) WHERE n <= 50")
@@ -426,17 +437,33 @@ def research_quality(spark, d):
     return research.read(P.entity_quality_score(spark, d), "entity_quality_score", q).select("entity_id", "period_end", "restatement_basis", "score")
 
 
-@query("SELECT filing_id, event_type, event_seq, entity_id, '<REDACTED:counterparty>' AS counterparty FROM (" + collapsed("filing_event", "filing_id, event_type, event_seq", "as_of DESC, row_no DESC", f"as_of <= TIMESTAMP '{PIT}' AND (superseded_at IS NULL OR superseded_at > TIMESTAMP '{PIT}') AND event_type = 'A'") + ") WHERE entity_id = 7")
+@query("SELECT filing_id, event_type, event_seq, entity_id, '<REDACTED:counterparty>' AS counterparty FROM (" + collapsed("filing_event", "filing_id, event_type, event_seq", "as_of DESC, row_no DESC", f"as_of <= TIMESTAMP '{PIT}' AND (superseded_at IS NULL OR superseded_at > TIMESTAMP '{PIT}')") + ")")
 def research_events(spark, d):
-    x = research.events(P.filing_event(spark, d), research.Read(as_of=PIT, equal={"event_type": "A", "entity_id": 7}))
+    x = research.events(P.filing_event(spark, d), research.Read(as_of=PIT))
     return x.select("filing_id", "event_type", "event_seq", "entity_id", F.get_json_object("payload", "$.counterparty").alias("counterparty"))
 
 
 # Streams, as batches
-@query("SELECT event_id, kind, CASE WHEN schema_version > 1 THEN 'too_new' WHEN schema_version < 1 THEN 'too_old' ELSE 'ok' END AS outcome FROM (SELECT DISTINCT event_id, kind, schema_version FROM outbox)")
+_GATE = "CASE WHEN schema_version > 1 THEN 'too_new' WHEN schema_version < 1 THEN 'too_old' WHEN kind = 'click' THEN 'unknown_kind' WHEN event_id % 7 = 0 THEN 'extra_fields' WHEN event_id % 11 = 0 THEN 'missing_fields' WHEN event_id % 13 = 0 THEN 'bad_value' ELSE 'ok' END"
+
+
+@query(f"SELECT event_id, {_GATE} AS outcome, CASE WHEN {_GATE} = 'ok' AND kind = 'view' THEN event_id END AS filing FROM (SELECT DISTINCT event_id, kind, schema_version FROM outbox)")
 def stream_gate(spark, d):
+    from chronofold.streaming import events
+
     x = P.outbox(spark, d).dropDuplicates(["event_id"])
-    return x.select("event_id", "kind", F.when(F.col("schema_version") > 1, "too_new").when(F.col("schema_version") < 1, "too_old").otherwise("ok").alias("outcome"))
+    own = {k: [F.lit("x").alias(f) for f in fields] for k, fields in events.KINDS.items()}
+    uid = F.format_string("00000000-0000-0000-0000-%012d", F.col("event_id"))
+    wrong = lambda n: F.col("event_id") % n == 0
+    base = [
+        "schema_version", F.when(wrong(13), "no id").otherwise(uid).alias("event_id"), F.date_format("produced_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("produced_at"), F.lit(1).alias("producer_run_id"),
+        F.when(~wrong(11), "s").alias("source_id"), F.when(wrong(2), "system").alias("actor_kind"), F.when(wrong(7), "x").alias("more"),
+    ]
+    message = F.when(F.col("kind") == "view", F.to_json(F.struct(*base, F.lit("filing.new").alias("kind"), F.col("event_id").cast("string").alias("filing_id"), *own["filing.new"][1:])))
+    message = message.when(F.col("kind") == "click", F.to_json(F.struct(*base, "kind"))).otherwise(F.to_json(F.struct(*base, F.lit("entity.created").alias("kind"), *own["entity.created"])))
+    out = events.parse(x.select(F.col("event_id").alias("message_id"), message.alias("payload")))
+    filing = F.when(F.col("error").isNull() & (F.col("kind") == "filing.new"), F.col("fields")["filing_id"].cast("long"))
+    return out.select(F.col("message_id").alias("event_id"), F.coalesce("error", F.lit("ok")).alias("outcome"), filing.alias("filing"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 50 = 0 THEN '{\"redacted\":true}' ELSE props END AS payload, event_id % 50 = 0 AS is_redacted FROM events")

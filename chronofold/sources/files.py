@@ -136,7 +136,13 @@ def decode_cursor(cursor: str, filters: dict) -> list:
 
 
 def after(df: DataFrame, columns: list[str], anchor: list) -> DataFrame:
-    """Rows after the anchor in ascending order of the columns."""
+    """Rows after the anchor in the order of the columns; a leading - means descending. Nulls are last either way."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    held = F.struct(*[F.lit(v).cast(types[c] if not isinstance(types[c], T.NullType) else "string").alias(c) for c, v in zip(columns, anchor, strict=True)])
-    return df.where(F.struct(*columns) > held)
+    names = [c.lstrip("-") for c in columns]
+    held = [F.lit(v).cast(types[c] if not isinstance(types[c], T.NullType) else "string") for c, v in zip(names, anchor, strict=True)]
+    later, same = F.lit(False), F.lit(True)
+    for spec, c, v in zip(columns, names, held, strict=True):
+        beyond = F.col(c) < v if spec[0] == "-" else F.col(c) > v
+        later = later | (same & v.isNotNull() & F.coalesce(beyond, F.lit(True)))
+        same = same & F.col(c).eqNullSafe(v)
+    return df.where(later)

@@ -12,35 +12,45 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BASE = "schema_version INT, event_id STRING, produced_at TIMESTAMP, source_id STRING, kind STRING"
-#: Fields of each kind beyond the base; others are errors.
+BASE = "schema_version INT, event_id STRING, produced_at STRING, producer_run_id BIGINT, source_id STRING, actor_id STRING, actor_kind STRING, traceparent STRING, request_id STRING, kind STRING"
+#: Fields that every event has, those it may leave out, the actors, and the fields of each kind beyond them.
+REQUIRED = ("schema_version", "event_id", "produced_at", "producer_run_id", "source_id", "kind")
+OPTIONAL = ("actor_id", "actor_kind", "traceparent", "request_id")
+ACTORS = ("user", "service", "system")
 KINDS = {
-    "filing_received": ("filing_id", "sha256"),
-    "observation_written": ("series_id", "batch_size"),
-    "entity_changed": ("entity_id", "change"),
-    "price_tick": ("series_id", "value"),
-    "redaction": ("target_event_id", "reason"),
+    "filing.new": ("filing_id", "entity_id", "filing_kind", "title", "published_at", "primary_object_key", "bucket", "is_revision", "revision_no"),
+    "filing.amended": ("filing_id", "previous_filing_id", "entity_id", "revision_no", "title", "published_at"),
+    "observation.batch": ("series_code", "series_id", "ts_min", "ts_max", "as_of_min", "as_of_max", "n_observations", "batch_payload_hash"),
+    "entity.created": ("entity_id", "entity_type", "legal_name", "primary_identifier_namespace", "primary_identifier_value"),
+    "stream.entry_redacted": ("target_event_id", "target_stream", "redaction_reason"),
 }
-FIELDS = tuple(x.split()[0] for x in BASE.split(", "))
+UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+ZONED = r"(Z|[+-]\d{2}:?\d{2})$"
 
 
 def parse(payload: DataFrame, lowest: int = 1, highest: int = 1) -> DataFrame:
     """Columns message_id and payload (JSON) to typed events with ``error`` (null: fine).
 
-    Unknown kinds, unknown or missing fields and versions out of range are errors on sight.
+    Unknown kinds, unknown or missing fields, versions out of range and base fields of the wrong form (ids, numbers,
+    actors, times without a zone) are errors on sight.
     """
     base = F.from_json("payload", BASE)
     keys = F.json_object_keys("payload")
     x = payload.withColumn("e", base).withColumn("keys", keys).withColumn("fields", F.from_json("payload", "map<string,string>"))
-    allowed = F.lit(None).cast("array<string>")
+    needed = F.lit(None).cast("array<string>")
     for kind, own in KINDS.items():
-        allowed = F.when(F.col("e.kind") == kind, F.array(*[F.lit(f) for f in (*FIELDS, *own)])).otherwise(allowed)
-    x = x.withColumn("allowed", allowed)
+        needed = F.when(F.col("e.kind") == kind, F.array(*[F.lit(f) for f in (*REQUIRED, *own)])).otherwise(needed)
+    x = x.withColumn("needed", needed)
+    allowed = F.concat("needed", F.array(*[F.lit(f) for f in OPTIONAL]))
+    produced = F.try_to_timestamp(F.col("e.produced_at"))
+    fits = F.col("e.event_id").rlike(UUID) & produced.isNotNull() & F.col("e.produced_at").rlike(ZONED) & F.col("e.producer_run_id").isNotNull() & F.col("e.source_id").isNotNull()
+    fits = fits & (F.col("e.actor_kind").isNull() | F.col("e.actor_kind").isin(*ACTORS)) & (F.col("e.request_id").isNull() | F.col("e.request_id").rlike(UUID))
     error = (
         F.when(F.col("keys").isNull(), "not_json").when(F.col("e.schema_version").isNull(), "no_version").when(F.col("e.schema_version") > highest, "too_new").when(F.col("e.schema_version") < lowest, "too_old")
-        .when(F.col("allowed").isNull(), "unknown_kind").when(F.size(F.array_except("keys", "allowed")) > 0, "extra_fields").when(F.size(F.array_except("allowed", "keys")) > 0, "missing_fields")
+        .when(F.col("needed").isNull(), "unknown_kind").when(F.size(F.array_except("keys", allowed)) > 0, "extra_fields").when(F.size(F.array_except("needed", "keys")) > 0, "missing_fields")
+        .when(~F.coalesce(fits, F.lit(False)), "bad_value")
     )
-    return x.select("message_id", "payload", "e.*", "fields", error.alias("error"))
+    return x.select("message_id", "payload", "e.*", "fields", error.alias("error")).withColumn("produced_at", F.try_to_timestamp("produced_at"))
 
 
 def split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

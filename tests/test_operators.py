@@ -4,6 +4,8 @@ import datetime as dt
 import math
 import struct
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,12 +155,14 @@ def test_text_functions(spark):
     lit = F.lit
     assert one(text.truncated_ip(lit("10.1.2.3"))) == "10.1.2.0/24"
     assert one(text.truncated_ip(lit("2001:db8:1:2::5"))) == "2001:db8:1::/48"
-    assert one(text.truncated_ip(lit("2001:db8::5"))) == "2001:db8:0::/48"
+    assert one(text.truncated_ip(lit("2001:db8::5"))) == "2001:db8::/48"
+    assert [one(text.truncated_ip(lit(x))) for x in ("::1", "2001::5", "2001:0:1::", "2001:DB8:0:0:1::")] == ["::/48", "2001::/48", "2001:0:1::/48", "2001:db8::/48"]
     assert one(text.truncated_ip(lit(None).cast("string"))) == "<no client_ip>"
-    assert [one(text.age(lit(x))) for x in (5, 61, 7200, 200000)] == ["5s", "1m", "2h", "2d"]
-    assert [one(text.size(lit(x))) for x in (5, 2048, 3 * 1024**2)] == ["5 B", "2.0 KiB", "3.0 MiB"]
+    assert [one(text.age(lit(x))) for x in (-5.0, 0.4, 59.9, 60.0, 192.0, 3599.0, 8000.0, 86399.0, 86400.0, 615600.0)] == ["0s", "0s", "59s", "1m 0s", "3m 12s", "59m 59s", "2h 13m", "23h 59m", "1d 0h", "7d 3h"]
+    assert [one(text.size(lit(x))) for x in (0, 1023, 1280, 1500, 1024**2 - 1, 1024**2, 4_300_000, 3_700_000_000)] == ["0 B", "1023 B", "1.2 KB", "1.5 KB", "1024.0 KB", "1.0 MB", "4.1 MB", "3.4 GB"]
     assert one(text.id_prefix(lit("123456789"))) == "12345678…"
     assert one(text.next_message_id(lit("5-18446744073709551615"))) == "6-0" and one(text.next_message_id(lit("5-9"))) == "5-10"
+    assert one(text.as_json(lit(""))) == "null"
     assert one(text.as_json(lit('{"a":1}'))) == '{"a":1}' and one(text.as_json(lit('no "json'))) == '"no \\"json"'
     assert one(text.tax_number(lit("123-456-7890"))) == "1234567890" and one(text.tax_number(lit("123"))) is None
 
@@ -170,7 +174,11 @@ def test_payload_hash_keeps_bits(spark):
     assert len({r["h"] for r in got}) == len(values)
     assert [r["b"] and bytes(r["b"]) for r in got] == [None if v is None else struct.pack(">d", v) for v in values]
     assert hashing.payload_digest(1.5, None, 0, '{"a":"é","b":1}') == hashing.payload_digest(1.5, None, 0, '{"b":1,"a":"e\u0301"}')
-    assert hashing.batch_hash("s", [("1", "2", "3"), ("0", "2", "3")]) == hashing.batch_hash("s", [("0", "2", "3"), ("1", "2", "3")]) != hashing.batch_hash("t", [("0", "2", "3"), ("1", "2", "3")])
+    rows = [("1", "2", "3"), ("0", "2", "3")]
+    assert hashing.batch_hash(42, rows) == hashing.batch_hash(42, rows[::-1]) != hashing.batch_hash(43, rows)
+    assert hashing.batch_hash(42, rows) != hashing.batch_hash(42, [("1", "2", "4"), ("0", "2", "3")])
+    raw = (42).to_bytes(8, "big") + b"".join(len(x).to_bytes(4, "big") + x.encode() for r in sorted(rows) for x in r)
+    assert hashing.batch_hash(42, rows) == hashlib.sha256(raw).hexdigest()
 
 
 def test_ingest_conflicts(spark):
@@ -253,5 +261,30 @@ def test_blobs_cursor_envelope(spark, tmp_path):
     with pytest.raises(ValueError):
         files.decode_cursor(cursor, {"a": 2})
     assert [r["id"] for r in files.after(spark.range(8), ["id"], [5]).collect()] == [6, 7]
+    mixed = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "a"), (None, "c")], "n int, s string")
+    assert [tuple(r) for r in files.after(mixed, ["-n", "s"], [2, "a"]).collect()] == [(1, "a"), (2, "b"), (None, "c")]
     page = files.envelope(spark.range(2), {"as_of": "x"})
     assert page["data"] == [{"id": 0}, {"id": 1}] and len(page["etag"]) == 32
+
+
+def test_personal_patterns():
+    from chronofold.functions import personal
+
+    found = lambda t: [(k, t[a:b]) for k, a, b in personal.matches(t)]
+    assert found("mail a@b.c now") == [("email", "a@b.c")]
+    assert found("by John  A. Doe and İrem Yıldız") == [("name", "John  A. Doe"), ("name", "İrem Yıldız")]
+    assert found("exec.compensation.opaque") == [] and found("John") == []
+
+
+def test_research_filters(spark, sf):
+    from chronofold.plans import research
+    from chronofold.sources import projections as P
+
+    whole = research.observations(P.observation(spark, sf), P.series_catalog(spark, sf), research.Read(as_of="2024-01-20 00:00:00"))
+    code = whole.first()["series_code"]
+    kept = {(r["series_id"], r["ts"]) for r in whole.where((F.col("series_code") == code) & F.col("ts").between("2024-01-03", "2024-01-10")).collect()}
+    q = research.Read(as_of="2024-01-20 00:00:00", closed={"ts": ("2024-01-03", "2024-01-10")})
+    assert {(r["series_id"], r["ts"]) for r in research.observations(P.observation(spark, sf), P.series_catalog(spark, sf), q, code).collect()} == kept
+    events = research.events(P.filing_event(spark, sf), research.Read(as_of="2024-01-15 12:00:00"))
+    one = research.events(P.filing_event(spark, sf), research.Read(as_of="2024-01-15 12:00:00", equal={"event_type": "A", "entity_id": 7}))
+    assert one.count() == events.where("event_type = 'A' and entity_id = 7").count()

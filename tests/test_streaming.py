@@ -3,29 +3,34 @@
 import datetime as dt
 import hashlib
 import json
+import uuid
 
 import pytest
 
 from chronofold.streaming import events
 
 
-def message(i, event, kind="price_tick", version=1, **extra):
+def uid(event):
+    return str(uuid.UUID(int=ord(event)))
+
+
+def message(i, event, kind="entity.created", version=1, **extra):
     own = {f: "1" for f in events.KINDS.get(kind, ())}
-    body = {"schema_version": version, "event_id": event, "produced_at": "2024-01-01T00:00:00Z", "source_id": "s", "kind": kind} | own | extra
+    body = {"schema_version": version, "event_id": uid(event), "produced_at": "2024-01-01T00:00:00Z", "producer_run_id": 7, "source_id": "s", "kind": kind} | own | extra
     return (f"{i}-0", json.dumps(body))
 
 
 def test_drain(spark, tmp_path):
-    rows = [message(1, "a"), message(2, "a"), message(3, "b"), message(4, "c", version=2), message(5, "d", version=0), message(6, "e", kind="nope"), message(7, "f", more="x"), ("8-0", "not json"), message(9, "g", kind="redaction")]
+    rows = [message(1, "a"), message(2, "a"), message(3, "b"), message(4, "c", version=2), message(5, "d", version=0), message(6, "e", kind="nope"), message(7, "f", more="x"), ("8-0", "not json"), message(9, "g", kind="stream.entry_redacted", actor_kind="user", traceparent=None), message(10, "h", actor_kind="robot"), message(11, "i", produced_at="2024-01-01T00:00:00"), message(12, "j", event_id="j")]
     spark.createDataFrame(rows, "message_id string, payload string").write.parquet(f"{tmp_path}/in")
     put = '{"gone":true}'
-    registry = spark.createDataFrame([("b", put, hashlib.sha256(put.encode()).hexdigest())], "event_id string, replacement string, sha256 string")
+    registry = spark.createDataFrame([(uid("b"), put, hashlib.sha256(put.encode()).hexdigest())], "event_id string, replacement string, sha256 string")
     for _ in range(2):  # the second run finds nothing new
         events.drain(spark, f"{tmp_path}/in", "message_id string, payload string", f"{tmp_path}/out", f"{tmp_path}/dead", f"{tmp_path}/ck", registry)
     good = {r["event_id"]: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert set(good) == {"a", "b", "g"} and good["b"]["payload"] == put and good["b"]["is_redacted"] and not good["a"]["is_redacted"]
+    assert set(good) == {uid(x) for x in "abg"} and good[uid("b")]["payload"] == put and good[uid("b")]["is_redacted"] and not good[uid("a")]["is_redacted"]
     dead = {r["message_id"]: r["error"] for r in spark.read.parquet(f"{tmp_path}/dead").collect()}
-    assert dead == {"4-0": "too_new", "5-0": "too_old", "6-0": "unknown_kind", "7-0": "extra_fields", "8-0": "not_json"}
+    assert dead == {"4-0": "too_new", "5-0": "too_old", "6-0": "unknown_kind", "7-0": "extra_fields", "8-0": "not_json", "10-0": "bad_value", "11-0": "bad_value", "12-0": "bad_value"}
 
 
 def test_replay_writes_nothing(spark, tmp_path):
