@@ -26,6 +26,8 @@ from chronofold.llm import kernels as K
 from chronofold.llm.mixing import word_count
 
 FILTER_BITS = 22
+#: Pairs of equal runs that one text and one item may list at once; beyond them matches are searched for by length.
+PAIRS = 2_000_000
 SCHEMA = "doc_id long, item_id long, item_words long, covered_words long, tiles long, longest long"
 
 
@@ -42,6 +44,8 @@ def tiles(text: np.ndarray, item: np.ndarray, text_runs: np.ndarray, item_runs:
     if not len(at):
         return []
     reps = (high - low)[at]
+    if reps.sum() > PAIRS:
+        return _tiles_by_length(text, item, least)
     t = np.repeat(at, reps)
     i = order[np.repeat(low[at], reps) + np.arange(len(t)) - np.repeat(np.cumsum(reps) - reps, reps)]
     by = np.lexsort((t, t - i))
@@ -69,6 +73,54 @@ def tiles(text: np.ndarray, item: np.ndarray, text_runs: np.ndarray, item_runs:
     return out
 
 
+def _tiles_by_length(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """What ``tiles`` gives, in memory that grows with the words alone, whatever repeats in them.
+
+    The greatest length of a match of uncovered words is found by bisection over rolling hashes; matches only get shorter.
+    """
+    free_item, free_text = np.ones(len(item), dtype=bool), np.ones(len(text), dtype=bool)
+
+    def rolling(words: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(words) + 1, dtype=np.uint64)
+        np.cumsum(words * K.powers(K.BASE2, len(words) + 1)[0][: len(words)], out=sums[1:])
+        return sums
+
+    def open_windows(sums: np.ndarray, free: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, hashes) of the windows of n uncovered words."""
+        taken = np.concatenate([[0], np.cumsum(~free)])
+        at = np.flatnonzero(taken[n:] == taken[:-n]) if len(free) >= n else np.zeros(0, dtype=np.int64)
+        return at, K.mix((sums[at + n] - sums[at]) * K.powers(K.BASE2, len(free) + 1)[1][at])
+
+    in_item, in_text = rolling(item), rolling(text)
+
+    def first(n: int) -> tuple[int, int] | None:
+        a, ha = open_windows(in_item, free_item, n)
+        b, hb = open_windows(in_text, free_text, n)
+        seen, where = np.unique(hb, return_index=True)
+        for i in np.flatnonzero(np.isin(ha, seen)).tolist():
+            j = int(b[where[np.searchsorted(seen, ha[i])]])
+            if (item[a[i] : a[i] + n] == text[j : j + n]).all():
+                return int(a[i]), j
+        return None
+
+    out, most = [], min(len(item), len(text))
+    while most >= least:
+        low, high = least - 1, most
+        found = None
+        while low < high:
+            n = (low + high + 1) // 2
+            if hit := first(n):
+                low, found = n, hit
+            else:
+                high = n - 1
+        if found is None:
+            break
+        (a, b), most = found, low
+        free_item[a : a + low] = free_text[b : b + low] = False
+        out.append((a, b, low))
+    return out
+
+
 def _index(items: list[tuple[int, str]], least: int) -> dict:
     """What a task needs of a block of items: word hashes, run hashes and the items of each run hash."""
     raw, offsets = K.buffers(pa.array([t or "" for _, t in items], pa.large_string()))

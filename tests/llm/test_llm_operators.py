@@ -313,6 +313,16 @@ def test_tiles_brute_force(text, item):
     t, i = np.array(text, dtype=np.uint64), np.array(item, dtype=np.uint64)
     got = decontaminate.tiles(t, i, decontaminate._runs(t, 3), decontaminate._runs(i, 3), 3)
     assert got == brute_tiles(text, item, 3)
+    assert decontaminate._tiles_by_length(t, i, 3) == got
+
+
+def test_tiles_of_repetitive_texts():
+    import numpy as np
+
+    t, i = np.full(60_000, 7, dtype=np.uint64), np.full(4_000, 7, dtype=np.uint64)
+    i[[1000, 2500]] = 9
+    got = decontaminate.tiles(t, i, decontaminate._runs(t, 5), decontaminate._runs(i, 5), 5)
+    assert sorted(n for _, _, n in got) == [1000, 1499, 1499]
 
 
 def test_toxicity(spark):
