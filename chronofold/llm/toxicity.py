@@ -13,6 +13,8 @@ and hardly in others; repeats of one document therefore count as one.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import unicodedata
 from collections import Counter
@@ -96,8 +98,13 @@ def evidence(automaton, folded: str) -> tuple[float, float, int]:
     """(weight of the matches outside exceptions, the largest of them, words)."""
     hits, shields = [], []
     for end, (length, weight) in automaton.iter(folded):
-        (shields if weight is None else hits).append((end + 1 - length, end, weight))
-    found = [w for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in shields)] if shields else [w for _, _, w in hits]
+        (shields if weight is None else hits).append((end + 1 - length, end, weight or 0.0))
+    if shields:
+        # The furthest end of the exception phrases that begin at or before each place.
+        shields.sort()
+        starts, ends = [x for x, _, _ in shields], list(itertools.accumulate((y for _, y, _ in shields), max))
+        hits = [(a, b, w) for a, b, w in hits if not (i := bisect.bisect_right(starts, a)) or ends[i - 1] < b]
+    found = [w for _, _, w in hits]
     return sum(found), max(found, default=0.0), folded.count(" ") - 1
 
 

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 
 import json
+import math
 import random
 import time
+from collections import Counter
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from llm_tables import edit_distance, survivor, table
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
-from chronofold.llm import chat, line_dedup, near_dup, pii, queries, toxicity
+from chronofold.llm import chat, language, line_dedup, near_dup, pii, queries, simhash, toxicity
 
 
 def test_lines_short_copies(spark, tmp_path):
@@ -175,3 +182,68 @@ def test_pii_dense_texts_and_null_ids(spark):
     at = dense.index("me@")
     want = ",".join([f"email:{at}:{at + 19}", *(f"ip:{x}:{x + 8}" for x in range(at + 20, len(dense), 9))])
     assert sorted((r["n_email"], r["n_ip"], r["spans"] == want) for r in found) == [(1, 1, False), (1, 20000, True), (1, 20000, True)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("idiot id10t idiotic trash can trash bag proof stupid question a of Idiot, loser sore scum pond".split()), min_size=1, max_size=14))
+def test_toxicity_evidence_brute_force(words):
+    model = toxicity.default_model()
+    text = toxicity.fold(" ".join(words))
+    at = lambda e: {i for i in range(len(text)) if text.startswith(f" {e}", i)}
+    shields = [(i, i + len(e) + 1) for e in map(str.strip, map(toxicity.fold, model.exceptions)) for i in at(e)]
+    hits = [w for e, w in model.weights.items() for i in at(e) if not any(x <= i and i + len(e) + 1 <= y for x, y in shields)]
+    assert toxicity.evidence(model.automaton(), text) == (sum(hits), max(hits, default=0.0), len(text.split()))
+
+
+def test_toxicity_long_texts_of_many_matches():
+    began = time.time()
+    text = toxicity.fold("idiot proof idiot trash can scum " * 60000)
+    assert toxicity.evidence(toxicity.default_model().automaton(), text)[0] == 3.0 * 2 * 60000
+    assert time.time() - began < 20
+
+
+def test_language_ftrl_brute_force():
+    rng = np.random.default_rng(4)
+    bins, classes, a, b, l1, l2 = 12, 3, 0.5, 1.0, 0.05, 0.02
+    model = language.FTRL(bins, classes, a, b, l1, l2)
+    z, n = [[0.0] * classes for _ in range(bins)], [[0.0] * classes for _ in range(bins)]
+
+    def weight(i, c):
+        return 0.0 if abs(z[i][c]) <= l1 else -(z[i][c] - math.copysign(l1, z[i][c])) / ((b + math.sqrt(n[i][c])) / a + l2)
+
+    for _ in range(60):
+        at = np.sort(rng.choice(bins, 4, replace=False))
+        x, label = rng.random(4), int(rng.integers(classes))
+        logits = [sum(weight(i, c) * v for i, v in zip(at, x, strict=True)) for c in range(classes)]
+        whole = sum(math.exp(v) for v in logits)
+        for i, v in zip(at, x, strict=True):
+            for c in range(classes):
+                w, g = weight(i, c), v * (math.exp(logits[c]) / whole - (c == label))
+                z[i][c] += g - (math.sqrt(n[i][c] + g * g) - math.sqrt(n[i][c])) / a * w
+                n[i][c] += g * g
+        model.learn(at, x, label)
+    want = np.array([[weight(i, c) for c in range(classes)] for i in range(bins)])
+    assert np.allclose(model.weights(), want) and (want != 0).any()
+
+
+def test_held_out_recall(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet".replace("0.001", "0.01")) for t in ("documents", "labels"))
+    rows = toxicity.classify(docs, labels).where("held_out").join(labels.where("toxic = 1"), "doc_id").collect()
+    assert len(rows) >= 10 and sum(r["predicted"] for r in rows) >= 0.8 * len(rows)
+    rows = language.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) >= 100 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.9 * len(rows)
+
+
+def test_simhash_votes_brute_force(spark):
+    texts = ["one two two three", "Longwordshere AGAIN longwordshere again x", "a", "w " * 500 + "end of it"]
+    hashed = lambda *values: spark.createDataFrame([values]).select(F.xxhash64("*")).first()[0]
+    got = {r["k"]: r["bits"] for r in simhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), ["k"]).collect()}
+    for k, t in enumerate(texts):
+        words = t.lower().split()
+        votes = [0] * 64
+        for pair, count in Counter(zip(["", *words], words, strict=False)).items():
+            weight = max(1, min(simhash.HEAVIEST, (len(pair[0]) + len(pair[1])) // 2))
+            h = hashed((hashed(*pair) & -simhash.HEAVIEST) | (weight - 1))
+            for b in range(64):
+                votes[b] += count * weight * (1 if h >> b & 1 else -1)
+        assert got[k] & (2**64 - 1) == sum(1 << b for b in range(64) if votes[b] > 0)
