@@ -99,5 +99,10 @@ def shortened(text: Column, most: int = 4000) -> Column:
     return F.left(text, F.lit(most))
 
 
+def redaction_keys(event_id: Column) -> Column:
+    """The names of an event's redaction lock and cache entry."""
+    return F.struct(F.concat(F.lit("streams.redaction:"), event_id).alias("lock"), F.concat(F.lit("streams:redaction_registry:"), event_id).alias("cache"))
+
+
 def seconds_between(a: Column, b: Column) -> Column:
     return (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 1e6

@@ -118,6 +118,33 @@ def entity_overview(entities: DataFrame, identifiers: DataFrame, canonical: Data
     return out.select("entity_id", "legal_name", "ticker", "last_period", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "avg_score")
 
 
+def entity_page(overview: DataFrame, limit: int = 50, offset: int = 0, search: str | None = None) -> DataFrame:
+    """A page of the overview by name; equal names go by entity and ticker. Limits out of range are errors."""
+    if not 1 <= limit <= 100 or not 0 <= offset <= 10_000:
+        raise ValueError("limit must lie between 1 and 100, offset between 0 and 10000")
+    if search is not None and len(search) > 100:
+        raise ValueError("a search has at most 100 characters")
+    x = overview if search is None else overview.where(F.col("legal_name").ilike(f"%{search}%"))
+    return x.orderBy("legal_name", "entity_id", F.col("ticker").asc_nulls_last()).offset(offset).limit(limit)
+
+
+def metric_points(canonical: DataFrame, entity_id: int, code: str, basis: str | None = None, period_type: str = "q", consolidation: str = "consolidated", limit: int = 40) -> DataFrame:
+    """Points of one line of an entity: both bases newest first, or a single one oldest first; the limit follows that order."""
+    x = canonical.where((F.col("entity_id") == entity_id) & (F.col("period_type") == period_type) & (F.col("consolidation") == consolidation))
+    out = dual_series(x, code).orderBy(F.col("period_end").desc()) if basis is None else single_series(x, code, basis).orderBy("period_end")
+    return out.limit(limit)
+
+
+def series_by_code(observations: DataFrame, catalog: DataFrame, code: str, start: str | None = None, end: str | None = None, limit: int = 500) -> DataFrame:
+    """The newest points of a series by its code, both days in; 2000 at most, and nulls go after the limit."""
+    x = observations.join(catalog.where(F.col("series_code") == code).select("series_id"), "series_id", "left_semi")
+    day = F.col("ts").cast("date")
+    x = x if start is None else x.where(day >= F.lit(start).cast("date"))
+    x = x if end is None else x.where(day <= F.lit(end).cast("date"))
+    x = x.orderBy(F.col("ts").desc(), F.col("as_of").desc(), F.col("event_id").desc()).limit(min(limit, 2000))
+    return x.where("value is not null").select(day.alias("day"), "value", "event_id")
+
+
 def count_with(entities: DataFrame, canonical: DataFrame) -> DataFrame:
     """How many entities have financials: each counts once."""
     return entities.join(canonical.select("entity_id").distinct(), "entity_id", "left_semi").agg(F.count("*").alias("total"))

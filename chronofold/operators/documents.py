@@ -46,6 +46,28 @@ def releasable(stored: DataFrame) -> DataFrame:
     return stored.join(later, "offer_id", "left_anti")
 
 
+def attach_text(held: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bodies after, audit rows) of filing_id, body_text, body_lang, extracted_at: the latest extraction of a filing wins.
+
+    Incoming rows outrank held ones; among themselves extracted_at, then the text, decides. Audit rows carry the length
+    of a text, never the text.
+    """
+    best = first_per_key(new, ["filing_id"], F.col("extracted_at").desc_nulls_last(), F.col("body_text").desc_nulls_last(), F.col("body_lang").desc_nulls_last())
+    known = held.select("filing_id", F.lit(True).alias("_held"))
+    operation = F.when(F.col("_held"), "filing_body.update").otherwise("filing_body.create")
+    audit = best.join(known, "filing_id", "left").select("filing_id", operation.alias("operation"), "body_lang", F.coalesce(F.length("body_text"), F.lit(0)).alias("body_size_chars"))
+    return held.join(best.select("filing_id"), "filing_id", "left_anti").unionByName(best), audit
+
+
+def listing(filings: DataFrame, limit: int = 50, since: str | None = None, **equal) -> DataFrame:
+    """Newest filings with the filters that are set, then by id."""
+    for column, value in equal.items():
+        if value is not None:
+            filings = filings.where(F.col(column) == value)
+    x = filings if since is None else filings.where(F.col("published_at") >= F.lit(since).cast("timestamp_ntz"))
+    return x.orderBy(F.col("published_at").desc(), "offer_id").limit(limit)
+
+
 def attach(held: DataFrame, new: DataFrame) -> DataFrame:
     """Attachments to append: the first of each (filing, content) that isn't held."""
     one = first_per_key(new, ["filing_id", "sha256"], F.col("seq"), F.col("filename"))

@@ -44,6 +44,20 @@ def overlapping_values(identifiers: DataFrame) -> DataFrame:
     return x.where("valid_from < reach").groupBy("namespace", "value").agg(F.count("*").alias("n"))
 
 
+def overlap_counts(identifiers: DataFrame) -> DataFrame:
+    """(namespace, value, n): how many pairs of ranges overlap, counted without making them.
+
+    Ranges open at a start are those that started before and haven't ended by it; one running sum over starts and
+    ends (ends first, since they are exclusive) has them.
+    """
+    from pyspark.sql import Window
+
+    ends = F.inline(F.array(F.struct(F.col("valid_from").alias("day"), F.lit(1).alias("step")), F.struct(F.col("valid_to").alias("day"), F.lit(-1).alias("step"))))
+    w = Window.partitionBy("namespace", "value").orderBy("day", "step").rowsBetween(Window.unboundedPreceding, -1)
+    x = identifiers.where("valid_from < valid_to").select("namespace", "value", ends).withColumn("open", F.sum("step").over(w))
+    return x.where("step = 1 and open > 0").groupBy("namespace", "value").agg(F.sum("open").alias("n"))
+
+
 def resolve(identifiers: DataFrame, day: str) -> DataFrame:
     """The entity of each (namespace, value) on a day: primary first, then the newest identifier."""
     return first_per_key(valid_at(identifiers, day), ["namespace", "value"], F.col("is_primary").desc(), F.col("identifier_id").desc()).select("namespace", "value", "entity_id", "identifier_id")

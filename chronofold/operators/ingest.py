@@ -1,4 +1,4 @@
-"""Append-only ingest: validation, conflict detection, batch audit, watermarks.
+"""Append-only ingest: validation, conflict detection, batch audit.
 
 Parquet has neither transactions nor triggers: one writer per table is assumed, every check runs before the
 single append, and keys make a repeated batch a no-op.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.operators.entities import Conflict
@@ -55,28 +55,23 @@ def write(batch: DataFrame, stored: DataFrame, key: tuple[str, ...] = ("series_i
     return fresh, Outcome(attempted, n.get("inserted", 0), n.get("unchanged", 0), attempted - sum(n.values()))
 
 
-def batch_audit(done: DataFrame) -> DataFrame:
-    """One row on a batch: size, actions, and the ranges of its times."""
-    return done.agg(F.count("*").alias("batch_size"), F.count_if(F.col("action") == "inserted").alias("inserted"), F.count_if(F.col("action") == "unchanged").alias("unchanged"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.min("as_of").alias("min_as_of"), F.max("as_of").alias("max_as_of"))
-
+def _audit() -> list[Column]:
+    times = [f(c).alias(f"{f.__name__}_{c}") for c in ("ts", "as_of") for f in (F.min, F.max)]
+    return [F.count("*").alias("batch_size"), F.count_if(F.col("action") == "inserted").alias("inserted"), F.count_if(F.col("action") == "unchanged").alias("unchanged"), *times]
 
-class Watermarks:
-    """Source cursors by (job, key), advanced only from the value the caller saw."""
 
-    def __init__(self):
-        self._held: dict[tuple[str, str], str] = {}
+def batch_audit(done: DataFrame) -> DataFrame:
+    """One row on a batch: size, actions, and the ranges of its times."""
+    return done.agg(*_audit())
 
-    def get(self, job: str, key: str) -> str | None:
-        return self._held.get((job, key))
 
-    def advance(self, job: str, key: str, new: str, expected: str | None) -> bool:
-        if self._held.get((job, key)) != expected:
-            return False
-        self._held[job, key] = new
-        return True
+def batch_stats(batch: DataFrame, done: DataFrame, key: tuple[str, ...] = ("series_id", "ts", "as_of")) -> DataFrame:
+    """``batch_audit`` with the rows that came (attempted) and those that repeat a key of the batch (duplicates)."""
+    came = batch.groupBy(*key).agg(F.count("*").alias("n"))
+    x = done.join(came, list(key)).agg(*_audit(), F.coalesce(F.sum("n"), F.lit(0)).alias("attempted"))
+    return x.withColumn("duplicates", F.col("attempted") - F.col("batch_size"))
 
-    def set(self, job: str, key: str, value: str) -> None:
-        self._held[job, key] = value
 
-    def list_for_job(self, job: str) -> dict[str, str]:
-        return {k: v for (j, k), v in sorted(self._held.items()) if j == job}
+def batch_keys(done: DataFrame, batch_id: str, key: tuple[str, ...] = ("series_id", "ts", "as_of")) -> DataFrame:
+    """One audit row per key of a batch, as many as its batch_size."""
+    return done.select(F.lit(batch_id).alias("batch_id"), *key, "payload_hash", "action")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.operators.entities import overlaps
+from chronofold.operators.entities import overlap_counts
 from chronofold.schemas import Fact
 
 
@@ -21,15 +21,31 @@ def orphans(child: DataFrame, parent: DataFrame, keys: Sequence[str]) -> DataFra
     return child.join(parent.select(*keys), list(keys), "left_anti")
 
 
-def report(checks: dict[str, DataFrame]) -> DataFrame:
-    """(name, violations, status): one row per invariant."""
-    parts = [df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("name"), "violations") for name, df in checks.items()]
+def registry_gaps(tables: DataFrame, registered: DataFrame) -> DataFrame:
+    """(name, gap) of tables with a knowledge time that the registry lacks, and of registered tables without one or without a guard.
+
+    ``tables`` has name, has_as_of and guarded; ``registered`` has name.
+    """
+    unknown = tables.where("has_as_of").join(registered, "name", "left_anti").select("name", F.lit("unregistered").alias("gap"))
+    x = registered.join(tables, "name", "left")
+    gap = F.when(~F.coalesce("has_as_of", F.lit(False)), "no_as_of").when(~F.coalesce("guarded", F.lit(False)), "no_guard")
+    return unknown.unionByName(x.select("name", gap.alias("gap")).where("gap is not null"))
+
+
+def report(checks: dict[str, DataFrame], weights: dict[str, str] | None = None) -> DataFrame:
+    """(name, violations, status): one row per invariant; a weight names the column whose sum counts, else rows count."""
+    count = lambda name: F.coalesce(F.sum(weights[name]), F.lit(0)) if name in (weights or {}) else F.count("*")
+    parts = [df.agg(count(name).alias("violations")).select(F.lit(name).alias("name"), "violations") for name, df in checks.items()]
     return reduce(DataFrame.unionByName, parts).withColumn("status", F.when(F.col("violations") == 0, "ok").otherwise("FAIL"))
 
 
-def invariants(facts: dict[str, tuple[DataFrame, Fact]], identifiers: DataFrame) -> DataFrame:
+def invariants(facts: dict[str, tuple[DataFrame, Fact]], identifiers: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Duplicate natural keys per table, overlapping identifiers (pairs) and, where ``tables`` is given, gaps of the registry."""
     checks = {f"duplicate_{name}": duplicates(df, fact) for name, (df, fact) in facts.items()}
-    return report(checks | {"identifier_overlap": overlaps(identifiers)})
+    if tables is not None:
+        names = tables.sparkSession.createDataFrame([(n,) for n in facts], "name string")
+        checks["registry_gaps"] = registry_gaps(tables, names)
+    return report(checks | {"identifier_overlap": overlap_counts(identifiers)}, {"identifier_overlap": "n"})
 
 
 def derive_basis(lines: DataFrame, exempt: DataFrame, monetary: str, inflation: str, first_day: str = "2023-12-31") -> DataFrame:

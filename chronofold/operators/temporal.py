@@ -107,14 +107,17 @@ def series_range(df: DataFrame, start: str, end: str, at: str | None = None, lim
 def lineage_as_of(versions: DataFrame, lineage: DataFrame) -> DataFrame:
     """(version columns, lineage columns): lineage of an entity as each version of it knew.
 
-    The join on "from or into is the entity" is two equi-joins; an edge from an entity to itself counts once.
+    Versions of an edge become ranges of knowledge time that don't overlap, so the join yields each known edge of
+    a version once and nothing collapses after it. "From or into is the entity" is two equi-joins; an edge from an
+    entity to itself counts once.
     """
-    edges = lineage.select(*[F.col(c).alias(f"l_{c}") for c in lineage.columns])
-    on_from = versions.join(edges, versions.entity_id == edges.l_from_entity_id)
-    on_into = versions.join(edges, (versions.entity_id == edges.l_into_entity_id) & (F.col("l_from_entity_id") != F.col("l_into_entity_id")))
-    both = on_from.unionByName(on_into).where(F.col("l_as_of") <= F.col("as_of"))
-    key = ["entity_id", "as_of", "row_no", "l_event_kind", "l_from_entity_id", "l_into_entity_id", "l_event_at"]
-    return first_per_key(both, key, F.col("l_as_of").desc(), F.col("l_row_no").desc())
+    w = Window.partitionBy("event_kind", "from_entity_id", "into_entity_id", "event_at").orderBy("as_of", "row_no")
+    until = lineage.where("as_of is not null").withColumn("until", F.lead("as_of").over(w)).where("until is null or until > as_of")
+    edges = until.select(*[F.col(c).alias(f"l_{c}") for c in until.columns])
+    known = (F.col("l_as_of") <= F.col("as_of")) & (F.col("l_until").isNull() | (F.col("as_of") < F.col("l_until")))
+    on_from = versions.join(edges, (versions.entity_id == edges.l_from_entity_id) & known)
+    on_into = versions.join(edges, (versions.entity_id == edges.l_into_entity_id) & ~F.col("l_from_entity_id").eqNullSafe(F.col("l_into_entity_id")) & known)
+    return on_from.unionByName(on_into).drop("l_until")
 
 
 def amended(df: DataFrame, fact: Fact | str, before: str, after: str, value: str = "value") -> DataFrame:
@@ -160,6 +163,21 @@ def backfill(entities: DataFrame) -> DataFrame:
     return first_per_key(created.unionByName(updated), ["entity_id", "as_of"], F.col("rank")).drop("rank")
 
 
+_BODY = ("body_fetched_at",)
+
+
+def backfill_disclosures(disclosures: DataFrame, body: Sequence[str] = _BODY) -> DataFrame:
+    """First history of disclosures: indexed for each, without its body columns, and body_fetched where a body came; indexed wins a tie.
+
+    A disclosure without an index time has no knowledge time: its row says so and is never a tie.
+    """
+    index = F.col("index_fetched_at")
+    empty = {c: F.lit(None).cast(dict(disclosures.dtypes)[c]) for c in body}
+    indexed = disclosures.withColumns(empty).withColumns({"body_fetched": F.lit(False), "event_kind": F.lit("indexed"), "as_of": index, "provenance": F.when(index.isNotNull(), "index_fetched_at").otherwise("pre_bitemporal_unknown"), "_rank": F.lit(0)})
+    fetched = disclosures.where("body_fetched AND body_fetched_at IS NOT NULL").withColumns({"event_kind": F.lit("body_fetched"), "as_of": F.col("body_fetched_at"), "provenance": F.lit("body_fetched_at"), "_rank": F.lit(1)})
+    return first_per_key(indexed.unionByName(fetched), ["disclosure_id", "as_of"], F.col("_rank")).drop("_rank")
+
+
 _ISO = re.compile(r"^\d{4}-\d\d-\d\dT\d\d:\d\d(:\d\d(\.\d{1,6})?)?(Z|[+-]\d\d:\d\d)$")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.functions import hashing, personal, text
-from chronofold.operators import analytics, audit, dashboard, documents, entities, ingest, quality, series, temporal
+from chronofold.operators import analytics, audit, dashboard, documents, entities, ingest, mapping, quality, roles, series, temporal
 from chronofold.plans import research
 from chronofold.plans.views import collapsed, sql
 from chronofold.schemas import REGISTRY
@@ -550,3 +550,192 @@ def new_attachments(spark, d):
 def ingest_violations(spark, d):
     x = P.observation(spark, d).select("series_id", "ts", "as_of", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"), F.when(F.col("event_id") % 7 == 0, F.lit("x")).alias("value_text"), F.when(F.col("event_id") % 9 == 0, -1).otherwise(0).alias("quality_flag"))
     return ingest.violations(x).agg(F.count("*").alias("n"), F.count_if(F.col("rule") == "one_value").alias("one_value"), F.count_if(F.col("rule") == "quality_flag").alias("quality_flag"))
+
+
+# Readers' pages
+_OVERVIEW = "SELECT e.entity_id, legal_name, ticker, last_period, n_lines, avg_score FROM entity e LEFT JOIN (SELECT DISTINCT entity_id, value AS ticker FROM identifier WHERE namespace = 'ticker') t USING (entity_id) JOIN (SELECT entity_id, max(period_end) AS last_period, count(*) AS n_lines FROM canonical_financial GROUP BY 1) c USING (entity_id) LEFT JOIN (SELECT entity_id, CAST(round(avg(score)) AS INT) AS avg_score FROM entity_quality_score GROUP BY 1) s USING (entity_id)"
+
+
+@query(f"SELECT * FROM ({_OVERVIEW}) WHERE legal_name ILIKE '%00%' ORDER BY legal_name, entity_id, ticker NULLS LAST LIMIT 20 OFFSET 5")
+def entity_list_page(spark, d):
+    x = analytics.entity_overview(P.entity(spark, d), P.identifier(spark, d), P.canonical_financial(spark, d), P.entity_quality_score(spark, d))
+    return analytics.entity_page(x, 20, 5, "00")
+
+
+_ENTITY_SIDE = "(SELECT * FROM ({0}) WHERE entity_id = 43)"
+
+
+@query(f"SELECT entity_id, period_end, period_type, r.value AS reported, n.value AS normalized, CASE WHEN n.cpi_base_date <> DATE '9999-01-01' THEN n.cpi_base_date END AS cpi_base_date FROM {_ENTITY_SIDE.format(_side('as_reported'))} r FULL JOIN {_ENTITY_SIDE.format(_side('cpi_normalized'))} n USING (entity_id, period_end, period_type) ORDER BY period_end DESC LIMIT 40")
+def metric_points_both(spark, d):
+    return analytics.metric_points(P.canonical_financial(spark, d), 43, "is.1")
+
+
+@query(f"SELECT entity_id, period_end, period_type, value AS reported, CAST(NULL AS DOUBLE) AS normalized FROM {_ENTITY_SIDE.format(_side('as_reported'))} ORDER BY period_end LIMIT 3")
+def metric_points_single(spark, d):
+    return analytics.metric_points(P.canonical_financial(spark, d), 43, "is.1", "as_reported", limit=3)
+
+
+@query("SELECT day, value, event_id FROM (SELECT CAST(ts AS DATE) AS day, value, event_id FROM observation WHERE series_id = 7 AND CAST(ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-25' ORDER BY ts DESC, as_of DESC, event_id DESC LIMIT 500) WHERE value IS NOT NULL")
+def series_points_by_code(spark, d):
+    return analytics.series_by_code(P.observation(spark, d), P.series_catalog(spark, d), "S7", "2024-01-03", "2024-01-25")
+
+
+@query("SELECT entity_id, CAST(ts AS DATE) AS day, " + ", ".join(f"min_by(coalesce(value, 0), ts) FILTER (metric = '{m}') AS {m}" for m in ("price_open", "price_high", "price_low", "price_close", "volume")) + " FROM (SELECT * FROM price WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' ORDER BY ts DESC, event_id DESC LIMIT 137) GROUP BY ALL")
+def prices_ohlcv_limited(spark, d):
+    return analytics.ohlcv(P.price(spark, d), "2024-01-05", "2024-01-25", 137)
+
+
+# Research reads, continued
+@query("SELECT disclosure_id, entity_id, form_type, provenance = 'pre_bitemporal_unknown' AS pre_bitemporal, as_of, published_at FROM (" + collapsed("disclosures_version", "disclosure_id", "as_of DESC NULLS LAST, row_no DESC", f"(as_of <= TIMESTAMP '{PIT}' OR provenance = 'pre_bitemporal_unknown') AND event_kind <> 'deleted'") + ") WHERE published_at >= TIMESTAMP '1996-01-01' AND published_at <= TIMESTAMP '1999-12-31' AND form_type = '1-URGENT'")
+def research_disclosures(spark, d):
+    q = research.Read(as_of=PIT, equal={"form_type": "1-URGENT", "entity_id": None})
+    x = research.disclosures(P.disclosures_version(spark, d), q, published_from="1996-01-01 00:00:00", published_after="1990-01-01 00:00:00", published_before="1999-12-31 00:00:00", keep_unknown=True)
+    return x.select("disclosure_id", "entity_id", "form_type", "pre_bitemporal", "as_of", "published_at")
+
+
+@query("SELECT disclosure_id, event_kind, as_of FROM disclosures_version WHERE as_of >= TIMESTAMP '1999-01-01' AND as_of < TIMESTAMP '1999-07-01' AND published_at >= TIMESTAMP '1999-02-01'")
+def research_disclosure_versions(spark, d):
+    q = research.Read(between=("1999-01-01 00:00:00", "1999-07-01 00:00:00"))
+    return research.disclosures(P.disclosures_version(spark, d), q, published_after="1999-02-01 00:00:00", keep_unknown=True).select("disclosure_id", "event_kind", "as_of")
+
+
+@query("SELECT entity_id, row_no, event_kind, coalesce(n, 0) AS n_events, last_event FROM (SELECT * FROM entity_version WHERE as_of >= TIMESTAMP '1998-01-01' AND as_of < TIMESTAMP '1998-04-01') v LEFT JOIN (SELECT entity_id, row_no, count(*) AS n, max(event_at) AS last_event FROM (SELECT DISTINCT v.entity_id, v.row_no, l.event_kind, l.from_entity_id, l.into_entity_id, l.event_at FROM entity_version v JOIN entity_lineage l ON (l.from_entity_id = v.entity_id OR l.into_entity_id = v.entity_id) AND l.as_of <= v.as_of) GROUP BY 1, 2) USING (entity_id, row_no)")
+def research_entity_versions(spark, d):
+    x = research.entity_versions_with_lineage(P.entity_version(spark, d), P.entity_lineage(spark, d), ("1998-01-01 00:00:00", "1998-04-01 00:00:00"))
+    return x.select("entity_id", "row_no", "event_kind", F.size("lineage_events").cast("long").alias("n_events"), F.array_max("lineage_events.event_at").alias("last_event"))
+
+
+@query("SELECT entity_id, legal_name AS canonical_name, entity_type AS kind, status FROM entity")
+def research_entity_surface(spark, d):
+    return research.renamed(P.entity(spark, d), "entity").select("entity_id", "canonical_name", "kind", "status")
+
+
+@query("SELECT offer_id, source_id, kind, published_at FROM (SELECT *, CASE WHEN length(source_id) = 4 THEN 'exchange' ELSE 'regulator' END AS kind, CAST(DATE '2024-01-01' + CAST(offer_id % 90 AS INT) AS TIMESTAMP) AS published_at FROM filing) WHERE kind = 'regulator' AND published_at BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-02-10'")
+def research_filings_between(spark, d):
+    f = _published(spark, d)
+    sources = f.select("source_id").distinct().withColumn("kind", F.when(F.length("source_id") == 4, "exchange").otherwise("regulator"))
+    return research.filings(f, sources, "regulator", "2024-01-10 00:00:00", "2024-02-10 00:00:00").select("offer_id", "source_id", "kind", "published_at")
+
+
+def _published(spark: SparkSession, d: str) -> DataFrame:
+    return P.filing(spark, d).withColumn("published_at", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("offer_id") % 90).cast("int")).cast("timestamp_ntz"))
+
+
+@query("SELECT entity_id, identifier_id, CASE WHEN count(*) OVER () > 1 THEN 'ambiguous' ELSE 'found' END AS state FROM identifier WHERE namespace = 'ticker' AND value = 'T7' AND valid_from <= DATE '1997-06-15' AND valid_to > DATE '1997-06-15'")
+def research_identifier(spark, d):
+    return research.identifiers_at(P.identifier(spark, d), "ticker", "T7", "1997-06-15")
+
+
+# History of disclosures
+@query("SELECT id AS disclosure_id, CASE WHEN o.id IS NULL THEN 'created' WHEN n.id IS NULL THEN 'deleted' WHEN NOT o.has_body AND n.has_body THEN 'body_fetched' WHEN o.parent_id IS DISTINCT FROM n.parent_id THEN 'republished' ELSE 'updated' END AS event_kind FROM (SELECT o_orderkey AS id, o_orderpriority AS title, o_orderkey % 4 = 0 AS has_body, CAST(NULL AS BIGINT) AS parent_id FROM orders WHERE o_orderkey % 5 <> 0) o FULL JOIN (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'new' ELSE o_orderpriority END AS title, o_orderkey % 2 = 0 AS has_body, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS BIGINT) END AS parent_id FROM orders WHERE o_orderkey % 9 <> 0) n USING (id) WHERE o.id IS NULL OR n.id IS NULL OR (NOT o.has_body AND n.has_body) OR o.parent_id IS DISTINCT FROM n.parent_id OR o.title <> n.title")
+def capture_disclosure_changes(spark, d):
+    o, key = P.table(spark, d, "orders"), F.col("o_orderkey")
+    old = o.where(key % 5 != 0).select(key.alias("disclosure_id"), F.col("o_orderpriority").alias("title"), (key % 4 == 0).alias("has_body"), F.lit(None).cast("long").alias("parent_id"))
+    new = o.where(key % 9 != 0).select(key.alias("disclosure_id"), F.when(key % 7 == 0, "new").otherwise(F.col("o_orderpriority")).alias("title"), (key % 2 == 0).alias("has_body"), F.when(key % 3 == 0, F.col("o_custkey").cast("long")).alias("parent_id"))
+    return temporal.capture(old, new, "disclosure_id", temporal.disclosure_kind(), NOW).select("disclosure_id", "event_kind")
+
+
+@query("SELECT id AS disclosure_id, 'indexed' AS event_kind, indexed_at AS as_of, CASE WHEN indexed_at IS NULL THEN 'pre_bitemporal_unknown' ELSE 'index_fetched_at' END AS provenance, CAST(NULL AS TIMESTAMP) AS body_fetched_at FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderdate END AS indexed_at FROM orders) UNION ALL SELECT o_orderkey, 'body_fetched', o_orderdate + INTERVAL 2 DAY, 'body_fetched_at', o_orderdate + INTERVAL 2 DAY FROM orders WHERE o_orderkey % 4 = 0")
+def backfill_disclosure_history(spark, d):
+    key = F.col("o_orderkey")
+    x = P.table(spark, d, "orders").select(key.alias("disclosure_id"), F.when(key % 6 != 0, F.col("o_orderdate")).alias("index_fetched_at"), (key % 2 == 0).alias("body_fetched"), F.when(key % 4 == 0, F.col("o_orderdate") + F.make_dt_interval(F.lit(2))).alias("body_fetched_at"))
+    return temporal.backfill_disclosures(x).select("disclosure_id", "event_kind", "as_of", "provenance", "body_fetched_at")
+
+
+# Canonical lines
+_MANIFEST = [
+    mapping.Line("is.revenue", "is", "pick_first", ("is.1", "is.2", "is.3")),
+    mapping.Line("is.costs", "is", "sum_components", ("is.4", "is.5", "is.6")),
+    mapping.Line("bs.assets", "bs", "pick_first", ("bs.1", "bs.2", "bs.3", "bs.4")),
+    mapping.Line("bs.cash", "bs", "pick_first", ("bs.5", "bs.6")),
+    mapping.Line("bs.other", "bs", "residual", parent="bs.assets", components=("bs.cash",)),
+    mapping.Line("is.profit", "is", formula="is.revenue - is.costs"),
+    mapping.Line("is.double", "is", formula="is.profit + is.profit"),
+]
+_SRC = "(SELECT entity_id, period_end, line_code, min(value) AS v FROM financial_line_item GROUP BY 1, 2, 3)"
+_PICKED = "SELECT entity_id, period_end, " + ", ".join(f"coalesce({', '.join(f'max(v) FILTER (line_code = {chr(39)}{s}{chr(39)})' for s in x.sources)}) AS {x.code.split('.')[1]}" for x in _MANIFEST if x.mode == "pick_first") + f", sum(v) FILTER (line_code IN ('is.4', 'is.5', 'is.6')) AS costs FROM {_SRC} GROUP BY 1, 2"
+
+
+@query(f"SELECT entity_id, period_end, canonical_code, round(value, 4) AS value FROM (SELECT entity_id, period_end, unnest(['is.revenue', 'is.costs', 'bs.assets', 'bs.cash', 'bs.other', 'is.profit', 'is.double']) AS canonical_code, unnest([revenue, costs, assets, cash, assets - coalesce(cash, 0), revenue - costs, 2 * (revenue - costs)]) AS value FROM ({_PICKED})) WHERE value IS NOT NULL")
+def canonical_values(spark, d):
+    x = mapping.canonical_values(P.financial_line_item(spark, d), _MANIFEST, ["entity_id", "period_end"])
+    return x.select("entity_id", "period_end", "canonical_code", F.round("value", 4).alias("value"))
+
+
+@query("SELECT DISTINCT line_code AS code, statement_type FROM financial_line_item WHERE statement_type = 'is'")
+def canonical_lines(spark, d):
+    x = P.financial_line_item(spark, d).select(F.col("line_code").alias("code"), "statement_type").distinct()
+    return mapping.of_statement(x, "is")
+
+
+# Roles, audit of batches, extracted texts
+@query("SELECT event_id, schema_version, produced_at AS published_at FROM outbox")
+def outbox_for_role(spark, d):
+    return roles.visible(P.outbox(spark, d).withColumnRenamed("produced_at", "published_at"), "outbox")
+
+
+@query(f"SELECT 'b1' AS batch_id, series_id, ts, as_of, payload_hash, CASE WHEN event_id % 3 = 0 THEN 'inserted' WHEN event_id % 7 = 0 THEN 'conflict' ELSE 'unchanged' END AS action FROM ({_BATCH})")
+def ingest_audit_keys(spark, d):
+    batch, stored = _batch(spark, d)
+    return ingest.batch_keys(ingest.compare(batch, stored, ("series_id", "ts", "as_of")), "b1")
+
+
+@query("SELECT count(*) AS batch_size, count(*) FILTER (event_id % 3 = 0) AS inserted, count(*) FILTER (event_id % 3 <> 0 AND event_id % 7 <> 0) AS unchanged, min(ts) AS min_ts, max(ts) AS max_ts, min(as_of) AS min_as_of, max(as_of) AS max_as_of, count(*) + count(*) FILTER (event_id % 10 = 0) AS attempted, count(*) FILTER (event_id % 10 = 0) AS duplicates FROM observation")
+def ingest_batch_stats(spark, d):
+    batch, stored = _batch(spark, d)
+    return ingest.batch_stats(batch, ingest.compare(batch, stored, ("series_id", "ts", "as_of")))
+
+
+@query("SELECT offer_id AS filing_id, CASE WHEN offer_id % 3 = 0 THEN 'filing_body.update' ELSE 'filing_body.create' END AS operation, 'tr' AS body_lang, length(sha256) * CASE WHEN offer_id % 4 = 0 THEN 2 ELSE 1 END AS body_size_chars FROM filing WHERE offer_id % 2 = 0")
+def extracted_text_audit(spark, d):
+    f = P.filing(spark, d).select(F.col("offer_id").alias("filing_id"), F.col("sha256").alias("body_text"), F.lit("tr").alias("body_lang"), F.lit("2024-01-01").cast("timestamp_ntz").alias("extracted_at"))
+    later = f.where("filing_id % 4 = 0").withColumns({"body_text": F.concat("body_text", "body_text"), "extracted_at": F.lit("2024-01-02").cast("timestamp_ntz")})
+    _, audited = documents.attach_text(f.where("filing_id % 3 = 0"), f.where("filing_id % 2 = 0").unionByName(later))
+    return audited.withColumn("body_size_chars", F.col("body_size_chars").cast("long"))
+
+
+@query("SELECT offer_id, source_id, source_ref FROM (SELECT *, CAST(DATE '2024-01-01' + CAST(offer_id % 90 AS INT) AS TIMESTAMP) AS published_at FROM filing) WHERE published_at >= TIMESTAMP '2024-01-20' ORDER BY published_at DESC, offer_id LIMIT 40")
+def filing_listing(spark, d):
+    return documents.listing(_published(spark, d), 40, since="2024-01-20", kind=None).select("offer_id", "source_id", "source_ref")
+
+
+# Quality, continued
+@query("SELECT namespace, value, CAST(count(*) AS BIGINT) AS n FROM (" + _INVARIANTS["identifier_overlap"].replace("SELECT 1", "SELECT a.namespace, a.value") + ") GROUP BY 1, 2")
+def identifier_overlap_counts(spark, d):
+    return entities.overlap_counts(P.identifier(spark, d))
+
+
+@query("SELECT 'loose' AS name, 'unregistered' AS gap UNION ALL SELECT name, 'no_guard' FROM (VALUES ('filing_event')) t(name) UNION ALL SELECT 'entity_lineage', 'no_as_of'")
+def registry_gaps(spark, d):
+    names = sorted(REGISTRY)
+    tables = [(n, n != "entity_lineage", n != "filing_event") for n in names] + [("loose", True, True), ("plain", False, False)]
+    return quality.registry_gaps(spark.createDataFrame(tables, "name string, has_as_of boolean, guarded boolean"), spark.createDataFrame([(n,) for n in names], "name string"))
+
+
+# Dead letters
+_LETTERS = "SELECT event_id, 'events.' || event_type AS stream, 'f' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS failure_id FROM events WHERE event_id % 6 = 0"
+
+
+def _letters(spark: SparkSession, d: str) -> DataFrame:
+    return P.table(spark, d, "events").where("event_id % 6 = 0").select("event_id", F.concat(F.lit("events."), "event_type").alias("stream"), F.concat(F.lit("f"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("failure_id"))
+
+
+@query(f"SELECT failure_id, stream, event_id AS message_id FROM ({_LETTERS}) WHERE event_id % 4 = 0 ORDER BY failure_id LIMIT 1000")
+def indexed_letters(spark, d):
+    from chronofold.streaming import events
+
+    log = _letters(spark, d)
+    return events.indexed_letters(log.where("event_id % 4 = 0").select("failure_id", F.col("event_id").alias("message_id")), log)
+
+
+@query(f"SELECT DISTINCT stream FROM ({_LETTERS})")
+def streams_with_letters(spark, d):
+    from chronofold.streaming import events
+
+    return events.streams_with_letters(_letters(spark, d))
+
+
+@query("SELECT event_id, 'streams.redaction:' || event_id AS lock, 'streams:redaction_registry:' || event_id AS cache FROM events WHERE event_id % 50 = 0")
+def redaction_keys(spark, d):
+    x = P.table(spark, d, "events").where("event_id % 50 = 0")
+    return x.select("event_id", text.redaction_keys(F.col("event_id").cast("string")).alias("k")).select("event_id", "k.lock", "k.cache")

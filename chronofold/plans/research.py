@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.operators import temporal
@@ -80,12 +80,66 @@ def entities_with_lineage(versions: DataFrame, lineage: DataFrame, as_of: str, s
     return live.join(merged, "entity_id", "left").join(split, "entity_id", "left")
 
 
-def filings(filed: DataFrame, sources: DataFrame, kind: str | None = None) -> DataFrame:
-    """Filings with the kind of their source; they have no knowledge time, so as_of does nothing here."""
-    out = filed.join(sources, "source_id")
+#: Names on the surface by column of the table.
+SURFACE = {
+    "entity": {"legal_name": "canonical_name", "entity_type": "kind", "country_code": "country"},
+    "disclosure": {"kap_id": "kap_company_id", "parent_disclosure_id": "republished_as"},
+    "event": {"filing_event_id": "event_id", "event_ts": "occurred_at", "payload": "attributes"},
+}
+
+
+def renamed(df: DataFrame, surface: str) -> DataFrame:
+    """Columns under the names that readers see; others keep theirs."""
+    return df.withColumnsRenamed(SURFACE[surface])
+
+
+def entity_versions_with_lineage(versions: DataFrame, lineage: DataFrame, between: tuple[str, str]) -> DataFrame:
+    """Version chains of an interval, each version with the lineage events it knew, in order (an empty list without any)."""
+    chain = temporal.interval(versions, "entity_version", *between)
+    event = F.struct(F.col("l_event_at").alias("event_at"), F.col("l_event_kind").alias("event_kind"), F.col("l_from_entity_id").alias("from"), F.col("l_into_entity_id").alias("into"))
+    known = temporal.lineage_as_of(chain.select("entity_id", "as_of", "row_no"), lineage)
+    known = known.groupBy("entity_id", "as_of", "row_no").agg(F.array_sort(F.collect_list(event)).alias("lineage_events"))
+    out = chain.join(known, ["entity_id", "as_of", "row_no"], "left")
+    none = F.array().cast(known.schema["lineage_events"].dataType)
+    return out.withColumn("lineage_events", F.coalesce("lineage_events", none)).orderBy(*temporal.chain_order("entity_version"))
+
+
+def disclosures(df: DataFrame, query: Read, published_from: str | None = None, published_to: str | None = None, published_after: str | None = None, published_before: str | None = None, keep_unknown: bool = False) -> DataFrame:
+    """Disclosures with the surface's names; filters hold after the collapse, both ends of the publication range are in.
+
+    The older names of the range's ends count only where the newer ones aren't given. ``keep_unknown`` adds rows from
+    before knowledge times were kept to a point in time; an interval has none.
+    """
+    ends = (published_from or published_after, published_to or published_before)
+    asked = Read(query.as_of, query.between, query.equal, query.closed | ({"published_at": ends} if any(ends) else {}))
+    options = {"keep_unknown": "provenance = 'pre_bitemporal_unknown'"} if keep_unknown and not query.between else {}
+    out = read(df, "disclosures_version", asked, **options)
+    key = [F.col("disclosure_id"), F.col("as_of")]
+    order = [*key, F.col("row_no")] if query.between else [F.col("published_at").desc_nulls_first(), *key]
+    out = renamed(out.withColumn("pre_bitemporal", F.col("provenance") == "pre_bitemporal_unknown"), "disclosure").orderBy(*order)
+    return out if query.limit is None else out.limit(query.limit)
+
+
+def filings(filed: DataFrame, sources: DataFrame, kind: str | None = None, filed_from: str | None = None, filed_to: str | None = None, entity_id: int | None = None) -> DataFrame:
+    """Filings with the kind of their source; they have no knowledge time, so as_of does nothing here (see ``filings_warning``). Both ends of the range are in."""
+    x = filed if entity_id is None else filed.where(F.col("entity_id") == entity_id)
+    x = x if filed_from is None else x.where(F.col("published_at") >= moment(filed_from))
+    x = x if filed_to is None else x.where(F.col("published_at") <= moment(filed_to))
+    out = x.join(sources, "source_id")
     return out if kind is None else out.where(F.col("kind") == kind)
 
 
+#: What every answer with filings says.
+FILINGS_WARNING = {"code": "PRE_BITEMPORAL_TABLE", "table": "filing"}
+
+
+def identifiers_at(df: DataFrame, namespace: str, value: str, day: str) -> DataFrame:
+    """(entity_id, identifier_id, state): what an identifier leads to on a day; several rows are ambiguous."""
+    hits = temporal.valid_at(df.where((F.col("namespace") == namespace) & (F.col("value") == value)), day)
+    n = F.count("*").over(Window.partitionBy("namespace", "value"))
+    return hits.select("entity_id", "identifier_id", F.when(n > 1, "ambiguous").otherwise("found").alias("state"))
+
+
 def events(df: DataFrame, query: Read, keys: tuple[str, ...] = ("counterparty",), allowed: bool = False) -> DataFrame:
     """Events with personal keys of the payload masked."""
     from chronofold.operators.analytics import masked

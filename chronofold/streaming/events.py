@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,33 +73,68 @@ def redacted(events: DataFrame, registry: DataFrame) -> DataFrame:
     return x.withColumn("payload", checked).withColumn("is_redacted", F.col("replacement").isNotNull()).drop("replacement", "_sha")
 
 
-def append_new(batch: DataFrame, path: str, key: list[str]) -> None:
-    """Append the rows of a batch whose key the table at ``path`` doesn't hold: a replay writes nothing."""
+def append_new(batch: DataFrame, path: str, key: list[str], day: str | None = None) -> None:
+    """Append the rows of a batch whose key the table at ``path`` doesn't hold: a replay writes nothing.
+
+    With ``day``, a time that a key never changes, the table is kept by that day and only the days of the batch
+    are read; without it the whole table is.
+    """
     spark = batch.sparkSession
     fresh = batch.dropDuplicates(key)
     try:
-        held = spark.read.parquet(path).select(*key)
-    except Exception as e:
+        held = spark.read.parquet(path)
+    except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         held = None
-    (fresh if held is None else fresh.join(held, key, "left_anti")).write.mode("append").parquet(path)
+    if not day:
+        (fresh if held is None else fresh.join(held.select(*key), key, "left_anti")).write.mode("append").parquet(path)
+        return
+    # Kept while it is read twice, so that the state of a stream isn't computed again.
+    fresh = fresh.withColumn("_day", F.coalesce(F.col(day).cast("date"), F.lit("1970-01-01").cast("date"))).persist()
+    try:
+        ends = fresh.agg(F.min("_day").alias("lo"), F.max("_day").alias("hi")).first()
+        if ends["lo"] is not None:
+            new = fresh if held is None else fresh.join(held.where(F.col("_day").between(ends["lo"], ends["hi"])).select(*key), key, "left_anti")
+            new.write.mode("append").partitionBy("_day").parquet(path)
+    finally:
+        fresh.unpersist()
+
+
+DEAD = ["stream", "consumer_group", "message_id"]
+
 
+def dead_letters(bad: DataFrame, stream: str, group: str) -> DataFrame:
+    """Failed messages under the key of a dead letter (stream, group, message) and the id made of it; errors are cut to 8000 characters."""
+    x = bad.withColumns({"stream": F.lit(stream), "consumer_group": F.lit(group), "error": F.left("error", F.lit(8000))})
+    return x.withColumn("failure_id", F.sha2(F.to_json(F.array(*DEAD)), 256))
 
-def drain(spark: SparkSession, source: str, schema: str, sink: str, dead: str, checkpoint: str, registry: DataFrame | None = None) -> None:
+
+def drain(spark: SparkSession, source: str, schema: str, sink: str, dead: str, checkpoint: str, registry: DataFrame | None = None, stream: str = "events", group: str = "default") -> None:
     """All messages of a folder through gate, deduplication and redaction into ``sink`` and ``dead``, exactly once for the reader."""
     parsed = parse(spark.readStream.schema(schema).parquet(source))
     good, bad = split(parsed)
     good = once(good)
     good = redacted(good, registry) if registry is not None else good
+    bad = dead_letters(bad, stream, group)
     queries = [
-        good.writeStream.option("checkpointLocation", f"{checkpoint}/good").trigger(availableNow=True).foreachBatch(lambda b, _: append_new(b, sink, ["event_id"])).start(),
-        bad.writeStream.option("checkpointLocation", f"{checkpoint}/dead").trigger(availableNow=True).foreachBatch(lambda b, _: append_new(b, dead, ["message_id"])).start(),
+        good.writeStream.option("checkpointLocation", f"{checkpoint}/good").trigger(availableNow=True).foreachBatch(lambda b, _: append_new(b, sink, ["event_id"], "produced_at")).start(),
+        bad.writeStream.option("checkpointLocation", f"{checkpoint}/dead").trigger(availableNow=True).foreachBatch(lambda b, _: append_new(b, dead, DEAD)).start(),
     ]
     for q in queries:
         q.awaitTermination()
 
 
+def indexed_letters(index: DataFrame, log: DataFrame, limit: int = 1000) -> DataFrame:
+    """Copies of dead letters with the stream their log row names, by id."""
+    return index.join(log.select("failure_id", "stream"), "failure_id").orderBy("failure_id").limit(limit)
+
+
+def streams_with_letters(log: DataFrame) -> DataFrame:
+    """Names of the streams that have dead letters."""
+    return log.select("stream").distinct().orderBy("stream")
+
+
 def monthly(observations: DataFrame) -> DataFrame:
     """Streaming monthly rollup for update mode; state older than a year goes."""
     x = observations.withWatermark("ts", "366 days").where("value is not null")

@@ -191,13 +191,6 @@ def test_ingest_conflicts(spark):
             ingest.write(spark.createDataFrame(bad, schema), stored)
 
 
-def test_watermarks():
-    w = ingest.Watermarks()
-    assert w.advance("j", "k", "1", None) and not w.advance("j", "k", "2", None) and w.advance("j", "k", "2", "1")
-    w.set("j", "b", "9")
-    assert w.list_for_job("j") == {"b": "9", "k": "2"} and w.get("x", "k") is None
-
-
 def test_filings(spark):
     rows = [(1, "s", "r1", "A"), (2, "s", "r2", "A"), (3, "s", "r1", "B"), (4, "s", "r1", "A"), (5, "z", "r1", "A")]
     stored = documents.put_filings(spark.createDataFrame(rows, "offer_id long, source_id string, source_ref string, sha256 string"))

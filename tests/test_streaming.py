@@ -40,6 +40,22 @@ def test_replay_writes_nothing(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/t").count() == 2
 
 
+def test_days_of_a_batch_are_read(spark, tmp_path):
+    day = lambda d: dt.datetime(2024, 1, d)
+    schema = "k long, at timestamp"
+    for rows in ([(1, day(1)), (2, day(2)), (4, None)], [(2, day(2)), (3, day(2)), (4, None)], []):
+        events.append_new(spark.createDataFrame(rows, schema), f"{tmp_path}/t", ["k"], "at")
+    assert sorted(r["k"] for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [1, 2, 3, 4]
+
+
+def test_dead_letters_of_two_groups_and_a_replay(spark, tmp_path):
+    bad = spark.createDataFrame([("1-0", "p", "e" * 9000), ("2-0", None, "x")], "message_id string, payload string, error string")
+    for stream, group in (("s", "g"), ("s", "h"), ("s", "g")):
+        events.append_new(events.dead_letters(bad, stream, group), f"{tmp_path}/t", events.DEAD)
+    rows = spark.read.parquet(f"{tmp_path}/t").collect()
+    assert len(rows) == 4 and len({r["failure_id"] for r in rows}) == 4 and max(len(r["error"]) for r in rows) == 8000
+
+
 def test_wrong_redaction_hash_is_an_error(spark):
     e = spark.createDataFrame([("a", "p")], "event_id string, payload string")
     bad = spark.createDataFrame([("a", "q", "0")], "event_id string, replacement string, sha256 string")
