@@ -562,17 +562,17 @@ def entity_list_page(spark, d):
     return analytics.entity_page(x, 20, 5, "00")
 
 
-_ENTITY_SIDE = "(SELECT * FROM ({0}) WHERE entity_id = 43)"
+_ENTITY_SIDE = "(SELECT * FROM ({0}) WHERE entity_id = 57)"
 
 
 @query(f"SELECT entity_id, period_end, period_type, r.value AS reported, n.value AS normalized, CASE WHEN n.cpi_base_date <> DATE '9999-01-01' THEN n.cpi_base_date END AS cpi_base_date FROM {_ENTITY_SIDE.format(_side('as_reported'))} r FULL JOIN {_ENTITY_SIDE.format(_side('cpi_normalized'))} n USING (entity_id, period_end, period_type) ORDER BY period_end DESC LIMIT 40")
 def metric_points_both(spark, d):
-    return analytics.metric_points(P.canonical_financial(spark, d), 43, "is.1")
+    return analytics.metric_points(P.canonical_financial(spark, d), 57, "is.1")
 
 
 @query(f"SELECT entity_id, period_end, period_type, value AS reported, CAST(NULL AS DOUBLE) AS normalized FROM {_ENTITY_SIDE.format(_side('as_reported'))} ORDER BY period_end LIMIT 3")
 def metric_points_single(spark, d):
-    return analytics.metric_points(P.canonical_financial(spark, d), 43, "is.1", "as_reported", limit=3)
+    return analytics.metric_points(P.canonical_financial(spark, d), 57, "is.1", "as_reported", limit=3)
 
 
 @query("SELECT day, value, event_id FROM (SELECT CAST(ts AS DATE) AS day, value, event_id FROM observation WHERE series_id = 7 AND CAST(ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-25' ORDER BY ts DESC, as_of DESC, event_id DESC LIMIT 500) WHERE value IS NOT NULL")
