@@ -45,6 +45,7 @@ FEW = 16
 BLANKS = " \t\r"
 #: Characters that are counted before lines are compared.
 COUNTED = " eantio"
+COUNTED_TOO = "srldcum"
 
 
 def _halves(line: Column) -> Column:
@@ -260,9 +261,9 @@ def _shared(keys: DataFrame, name: str) -> DataFrame:
     return cut(keys.select("*", *over).where("x <> y and any_own").drop("x", "y", "any_own"), name)
 
 
-def _counts(line: Column) -> Column:
-    """How often each of the counted characters occurs (255 for more), a byte each."""
-    n = [F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("long") for c in COUNTED]
+def _counts(line: Column, chars: str) -> Column:
+    """How often each of at most seven characters occurs (255 for more), a byte each."""
+    n = [F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("long") for c in chars]
     return functools.reduce(lambda a, b: a * 256 + b, n)
 
 
@@ -275,12 +276,16 @@ def _apart(a: Column, b: Column) -> Column:
 def _links(shared: DataFrame, texts: DataFrame, bound: int) -> DataFrame:
     """(a, b, edits): lines that share a key and are within the edits allowed."""
     rows = cut(shared.join(texts.select("cid", "line", "counts").hint("merge"), "cid"), "ld-keyed")
-    side = lambda i: [F.col(c).alias(f"{c}{i}") for c in ("n", "line", "counts")]
-    one = rows.where("own").select("k", F.col("cid").alias("a"), *side(1))
-    two = rows.select("k", F.col("cid").alias("b"), *side(2))
+    counted = rows.withColumn("more", _counts(F.col("line"), COUNTED_TOO))
+    side = lambda i: [F.col(c).alias(f"{c}{i}") for c in ("n", "line", "counts", "more", "own")]
+    one = counted.where("own").select("k", F.col("cid").alias("a"), *side(1))
+    two = counted.select("k", F.col("cid").alias("b"), *side(2))
     edits = F.levenshtein("line1", "line2", bound)
-    near = (F.abs(F.col("n1") - F.col("n2")) <= bound) & (_apart(F.col("counts1"), F.col("counts2")) <= 2 * bound) & (edits >= 0) & (edits <= _allowed(F.least("n1", "n2"), bound))
-    linked = one.join(two.hint("merge"), (one.k == two.k) & (F.col("a") != F.col("b")) & near)
+    apart = _apart(F.col("counts1"), F.col("counts2"))
+    near = (F.abs(F.col("n1") - F.col("n2")) <= bound) & (apart <= 2 * bound) & (apart + _apart(F.col("more1"), F.col("more2")) <= 2 * bound) & (edits >= 0) & (edits <= _allowed(F.least("n1", "n2"), bound))
+    # Where both lines have the key as their own, one of the two orders is enough.
+    once = (F.col("a") < F.col("b")) | (~F.col("own2") & (F.col("a") != F.col("b")))
+    linked = one.join(two.hint("merge"), (one.k == two.k) & once & near)
     linked = cut(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), edits.alias("edits")), "ld-links")
     drop_cut(rows)
     return linked
@@ -290,7 +295,7 @@ def _near_by_parts(texts: DataFrame, bound: int) -> DataFrame:
     """(h1, h2, near, edits): the earliest earlier line within the edits allowed, from different lines (h1, h2, place, line)."""
     every = cut(texts.withColumn("cid", F.monotonically_increasing_id()), "ld-texts")
     ends = _shared(_end_keys(every, bound), "ld-ends")
-    texts = cut(every.join(ends.select("cid").distinct().hint("merge"), "cid").withColumn("counts", _counts(F.col("line"))), "ld-near")
+    texts = cut(every.join(ends.select("cid").distinct().hint("merge"), "cid").withColumn("counts", _counts(F.col("line"), COUNTED)), "ld-near")
     drop_cut(every)
     # Lines of a common end are told apart by two parts at once before they are compared.
     often = texts.join(ends.where(F.col("size") > FEW).select("cid").distinct().hint("merge"), "cid")
