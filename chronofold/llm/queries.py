@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import chat, decontaminate, language, line_dedup, mixing, near_dup, pii, simhash, suffixes, toxicity
+from chronofold.llm import bpe, chat, decontaminate, language, line_dedup, mixing, near_dup, pii, simhash, suffixes, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +58,16 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_docs(spark, sf_dir))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")) as lines:
+        vocabulary = bpe.Vocabulary.read(lines.read())
+    return bpe.digests(_docs(spark, sf_dir), vocabulary)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_lines, op3_chat, op4_mixing, op5_simhash, op6_suffixes, op7_pii, op8_minhash, op9_decontaminate, op10_language]
+    found = [op1_toxicity, op2_lines, op3_chat, op4_mixing, op5_simhash, op6_suffixes, op7_pii, op8_minhash, op9_decontaminate, op10_language, op11_bpe]
     return {f.__name__: f for f in found}
 
 

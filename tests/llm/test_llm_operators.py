@@ -8,7 +8,7 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from llm_tables import edit_distance, survivor, table
+from llm_tables import DOCS, edit_distance, survivor, table
 
 from chronofold.llm import chat, decontaminate, kernels, language, line_dedup, mixing, near_dup, pii, simhash, suffixes, toxicity
 
