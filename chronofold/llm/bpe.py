@@ -1,7 +1,8 @@
 """Byte-level BPE: encoding by ranked merges and decoding.
 
 Texts fall into the pieces of ``PATTERN``, found for whole chunks of texts at once from the classes of
-their code points. Each chunk hands on its distinct pieces only, and Spark's higher-order functions
+their code points. Each chunk hands on its distinct pieces only
+(those of a fixed list of frequent ones apart), and Spark's higher-order functions
 encode them: a literal map of ranks names the tokens within the bytes of a piece, and a fold over them in
 the order of rank, then place, takes each whose two halves are parts at that time. For the vocabulary of a byte pair
 encoding this one pass is the usual loop: a token of a lower rank can't become possible by a later merge, since
@@ -28,6 +29,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from chronofold.llm.kernels import buffers, chunks
 from chronofold.llm.runtime import fresh
@@ -36,6 +39,8 @@ from chronofold.llm.runtime import fresh
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text whose distinct pieces are encoded together (a longer text is a chunk of its own).
 CHUNK = 1 << 25
+#: Bytes of text that are cut into pieces at once.
+STEP = 1 << 21
 #: Bytes of a piece whose boundaries fit the bits of a long.
 SHORT = 56
 BUCKETS = 1 << 16
@@ -125,21 +130,38 @@ def pieces(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return place[start]
 
 
-def _distinct(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """A row for each chunk: ids, pieces of each text, places of the pieces among the distinct ones (first the short), and these."""
+def _split(rows: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Pieces of each text, and all of them; found some texts at a time."""
+    begins, at = [], 0
+    while at < len(offsets) - 1:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP, side="right")) - 1)
+        begins.append(pieces(raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]) + offsets[at])
+        at = end
+    bounds = np.append(np.concatenate(begins), len(raw)).astype(np.int64)
+    held = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw)))
+    return np.diff(np.searchsorted(bounds[:-1], offsets)), held.dictionary_encode()
+
+
+def _distinct(batches: Iterator[pa.RecordBatch], schema: pa.Schema, head: pa.Array) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk: ids, pieces of each text, places of the pieces among the distinct ones (those of ``head``, then short, then long), and the last two."""
     for batch in batches:
         for rows, raw, offsets in chunks(batch, "text", CHUNK):
-            begins = pieces(raw, offsets)
-            counts = np.diff(np.searchsorted(begins, offsets))
-            bounds = np.append(begins, len(raw)).astype(np.int64)
-            held = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))).dictionary_encode()
+            counts, held = _split(rows, raw, offsets)
+            known = np.asarray(pc.fill_null(pc.index_in(held.dictionary, value_set=head), -1)).astype(np.int32)
             long = np.asarray(pc.binary_length(held.dictionary)) > SHORT
-            order = np.argsort(long, kind="stable")
-            place = np.empty(len(order), dtype=np.int32)
-            place[order] = np.arange(len(order), dtype=np.int32)
-            words, few = held.dictionary.take(pa.array(order)).cast(pa.string()), len(order) - int(long.sum())
-            row = [rows.column(0), pa.array(counts, pa.int64()), pa.array(place[np.asarray(held.indices)], pa.int32()), words[:few], words[few:]]
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) if not isinstance(x, pa.Array) else pa.ListArray.from_arrays([0, len(x)], x).cast(f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+            new = np.argsort(np.where(known >= 0, 2, long), kind="stable")[: int((known < 0).sum())]
+            known[new] = len(head) + np.arange(len(new), dtype=np.int32)
+            words, few = held.dictionary.take(pa.array(new)).cast(pa.string()), len(new) - int(long[new].sum())
+            row = [rows.column(0), pa.array(counts, pa.int64()), pa.array(known[np.asarray(held.indices)], pa.int32()), words[:few], words[few:]]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(x)], x).cast(f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+
+
+def _sampled(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows, raw, offsets in chunks(batch, "text", CHUNK):
+            held = _split(rows, raw, offsets)[1]
+            f = np.bincount(np.asarray(held.indices), minlength=len(held.dictionary))
+            yield pa.RecordBatch.from_arrays([held.dictionary.cast(pa.string()), pa.array(f, pa.int64())], schema=schema)
 
 
 def _let(x: Column, f) -> Column:
@@ -173,7 +195,7 @@ def _bytes(word: Column) -> Column:
 
 def _rank(held: Column, key: Column) -> Column:
     """Rank of a token, null for other bytes."""
-    return F.element_at(F.get(held["ranks"], (F.crc32(F.encode(key, "utf-8")) % BUCKETS).cast("int")), key)
+    return F.element_at(F.get(held["ranks"], F.crc32(key).bitwiseAND(BUCKETS - 1).cast("int")), key)
 
 
 def boundaries(held: Column, word: Column) -> Column:
@@ -212,7 +234,7 @@ def _round(held: Column, s: Column) -> Column:
         pairs = F.zip_with(F.slice(parts, 1, F.greatest(n - 1, F.lit(0))), F.slice(parts, 2, n), lambda a, b: F.concat(a, b))
 
         def best(pairs: Column) -> Column:
-            found = F.array_compact(F.transform(F.array_distinct(pairs), lambda p: _let(F.element_at(F.get(held["pairs"], (F.crc32(F.encode(p, "utf-8")) % BUCKETS).cast("int")), p), lambda to: F.when(to.isNotNull(), F.struct(to.alias("to"), p.alias("p"))))))
+            found = F.array_compact(F.transform(F.array_distinct(pairs), lambda p: _let(F.element_at(F.get(held["pairs"], F.crc32(p).bitwiseAND(BUCKETS - 1).cast("int")), p), lambda to: F.when(to.isNotNull(), F.struct(to.alias("to"), p.alias("p"))))))
             return _let(F.array_min(found), lambda b: F.when(b.isNull(), F.struct(s.alias("s"), F.lit(False).alias("more"))).otherwise(F.struct(F.replace(s, b["p"], b["to"]).alias("s"), F.lit(True).alias("more"))))
 
         return _let(pairs, best)
@@ -232,50 +254,70 @@ def _pairs(vocabulary: Vocabulary) -> Column:
     return F.from_json(F.lit(json.dumps({"pairs": [b or None for b in buckets]}, ensure_ascii=False, separators=(",", ":"))), "pairs array<map<string,string>>")
 
 
-def _assembled(batches: Iterator[pa.RecordBatch], schema: pa.Schema, tokens: pa.Array) -> Iterator[pa.RecordBatch]:
+def _tokens(words: pa.Array, cuts: pa.Array, long: pa.Array, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pieces, one after another, and how many each has."""
+    data, base = buffers(words)
+    bits = np.unpackbits(np.asarray(cuts).astype(np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    word, at = np.nonzero(bits)
+    inside = at < np.diff(base)[word]
+    word, at = word[inside], at[inside]
+    bounds = np.append(base[word] + at, base[-1]).astype(np.int64)
+    parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(word), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+    more = [np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32).astype(np.int32) - FIRST for x in long.to_pylist()]
+    flat = np.concatenate([np.asarray(pc.index_in(parts, value_set=tokens)).astype(np.int32), *more])
+    return flat, np.concatenate([np.bincount(word, minlength=len(words)), [len(m) for m in more]]).astype(np.int64)
+
+
+def _assembled(batches: Iterator[pa.RecordBatch], schema: pa.Schema, tokens: pa.Array, head: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """The ids of each text, in the order of its pieces."""
     for batch in batches:
         for r in range(batch.num_rows):
-            ids, counts, places, words, cuts, long = (batch.column(i)[r].values for i in range(6))
-            data, base = buffers(words)
-            width = np.diff(base)
-            bits = np.unpackbits(np.asarray(cuts).astype(np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            word, at = np.nonzero(bits)
-            inside = at < width[word]
-            word, at = word[inside], at[inside]
-            bounds = np.append(base[word] + at, base[-1]).astype(np.int64)
-            parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(word), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
-            short = np.asarray(pc.index_in(parts, value_set=tokens)).astype(np.int32)
-            number = np.bincount(word, minlength=len(words))
-            more = [np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32).astype(np.int64) - FIRST for x in long.to_pylist()]
-            flat = np.concatenate([short, *[m.astype(np.int32) for m in more]])
-            number = np.concatenate([number, [len(m) for m in more]]).astype(np.int64)
-            first = np.cumsum(number) - number
-            place = np.asarray(places)
-            size = number[place]
-            ends = np.concatenate([[0], np.cumsum(size)])
-            out = flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - first[place], size)]
-            text = np.concatenate([[0], np.cumsum(np.asarray(counts))])
-            lists = pa.LargeListArray.from_arrays(pa.array(ends[text], pa.int64()), pa.array(out, pa.int32()))
-            for a in range(0, len(ids), 1000):
-                yield pa.RecordBatch.from_arrays([ids[a : a + 1000].cast(schema[0].type), lists[a : a + 1000].cast(schema[1].type)], schema=schema)
-
-
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) for each row: the token ids of its text, without special tokens. Other columns of ``docs`` are not read."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+            ids, counts, places, *words = (batch.column(i)[r].values for i in range(6))
+            flat, number = (np.concatenate(x) for x in zip(head, _tokens(words[0], words[2], words[1], tokens), strict=True))
+            first, text, places = np.cumsum(number) - number, np.concatenate([[0], np.cumsum(np.asarray(counts))]), np.asarray(places)
+            for a in range(0, len(ids), 500):
+                b = min(a + 500, len(ids))
+                place = places[text[a] : text[b]]
+                size = number[place]
+                ends = np.concatenate([[0], np.cumsum(size)])
+                out = flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - first[place], size)]
+                lists = pa.LargeListArray.from_arrays(pa.array(ends[text[a : b + 1] - text[a]], pa.int64()), pa.array(out, pa.int32()))
+                yield pa.RecordBatch.from_arrays([ids[a:b].cast(schema[0].type), lists.cast(schema[1].type)], schema=schema)
+
+
+def _folded(found: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``found`` with the boundaries in each of ``words`` as ``cuts``, and with each of ``long`` in characters of its tokens."""
+    cuts = _let(_literal(vocabulary), lambda held: F.transform(F.col("words"), lambda w: boundaries(held, w)))
+    long = F.when(F.size("long") > 0, _let(_pairs(vocabulary), lambda held: F.transform(F.col("long"), lambda w: _rounds(held, w, vocabulary)))).otherwise(F.array().cast("array<string>"))
+    return found.withColumns({"cuts": cuts, "long": long})
+
+
+def _head(rows: DataFrame, vocabulary: Vocabulary, sample: int, most: int) -> tuple[pa.Array, tuple[np.ndarray, np.ndarray]]:
+    """The most frequent short pieces of a sample, and their ids."""
+    kind = StructType.fromDDL("word string, f bigint")
+    arrow, documents = to_arrow_schema(kind), rows.count()
+    some = rows if documents <= sample else rows.sample(sample / documents, seed=11)
+    counts = some.mapInArrow(lambda batches: _sampled(batches, arrow), kind).groupBy("word").agg(F.sum("f").alias("f"))
+    often = counts.where((F.col("f") > 1) & (F.octet_length("word") <= SHORT)).orderBy(F.desc("f"), "word").limit(most)
+    held = _folded(often.select(F.array("word").alias("words"), F.array().cast("array<string>").alias("long")), vocabulary).select(F.col("words")[0].alias("word"), F.col("cuts")[0].alias("cut")).toArrow()
+    words = held["word"].combine_chunks().cast(pa.large_string())
+    return words, _tokens(words, held["cut"].combine_chunks(), pa.array([], pa.string()), vocabulary.tokens)
 
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", sample: int = 4096, head: int = 1 << 17) -> DataFrame:
+    """(id, ids array<int>) for each row: the token ids of its text, without special tokens. Other columns of ``docs`` are not read.
+
+    The ``head`` most frequent pieces of about ``sample`` documents are encoded once and sent to all tasks; they only save work.
+    """
     rows = fresh(docs, id_col, text_col).toDF("id", "text")
     kind = rows.schema["id"].dataType.simpleString()
     first = StructType.fromDDL(f"ids array<{kind}>, counts array<bigint>, places array<int>, words array<string>, long array<string>")
     last = StructType.fromDDL(f"id {kind}, ids array<int>")
     first_arrow, last_arrow, tokens = to_arrow_schema(first), to_arrow_schema(last), vocabulary.tokens
-    found = rows.mapInArrow(lambda batches: _distinct(batches, first_arrow), first)
-    cuts = _let(_literal(vocabulary), lambda held: F.transform(F.col("words"), lambda w: boundaries(held, w)))
-    long = F.when(F.size("long") > 0, _let(_pairs(vocabulary), lambda held: F.transform(F.col("long"), lambda w: _rounds(held, w, vocabulary)))).otherwise(F.array().cast("array<string>"))
-    found = found.select("ids", "counts", "places", "words", cuts.alias("cuts"), long.alias("long"))
-    return found.mapInArrow(lambda batches: _assembled(batches, last_arrow, tokens), last).withColumnRenamed("id", id_col)
+    known, encoded = _head(rows, vocabulary, sample, head)
+    found = rows.mapInArrow(lambda batches: _distinct(batches, first_arrow, known), first)
+    found = _folded(found, vocabulary).select("ids", "counts", "places", "words", "long", "cuts")
+    return found.mapInArrow(lambda batches: _assembled(batches, last_arrow, tokens, encoded), last).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
