@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import bpe, chat, decontaminate, language, line_dedup, mixing, near_dup, pii, simhash, suffixes, toxicity
+from chronofold.llm import bpe, chat, decontaminate, filter_audit, language, line_dedup, mixing, near_dup, phrases, pii, simhash, suffixes, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +66,16 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_docs(spark, sf_dir), vocabulary)
 
 
+def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_docs(spark, sf_dir), least=100, top=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_lines, op3_chat, op4_mixing, op5_simhash, op6_suffixes, op7_pii, op8_minhash, op9_decontaminate, op10_language, op11_bpe]
+    found = [op1_toxicity, op2_lines, op3_chat, op4_mixing, op5_simhash, op6_suffixes, op7_pii, op8_minhash, op9_decontaminate, op10_language, op11_bpe, op12_filters, op13_collocations]
     return {f.__name__: f for f in found}
 
 
@@ -113,6 +121,46 @@ SELECT doc_id, n AS n_bytes, n - CAST(sum(y - x) AS BIGINT) AS n_removed, count(
 FROM d JOIN pieces USING (doc_id) GROUP BY doc_id, n"""
 
 
+_FILTERS = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+flags AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+    CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN coalesce(doc_id > least, false) THEN 16 ELSE 0 END AS mask
+  FROM w LEFT JOIN flags USING (doc_id)),
+c AS (SELECT part, mask, good, bad, count(*) AS n FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (SELECT p.f || q.f || r.f || s.f || u.f AS filter_order, [p.b, q.b, r.b, s.b, u.b] AS bits FROM f p, f q, f r, f s, f u
+  WHERE p.f NOT IN (q.f, r.f, s.f, u.f) AND q.f NOT IN (r.f, s.f, u.f) AND r.f NOT IN (s.f, u.f) AND s.f <> u.f),
+steps AS (SELECT filter_order, CAST(i AS INTEGER) AS step, bits[i] AS b, CAST(coalesce(list_sum(bits[1:i - 1]), 0) AS INTEGER) AS past FROM o, range(1, 6) x(i)),
+found AS (SELECT part, filter_order, step, b,
+    coalesce(sum(n) FILTER (mask & (b | past) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & b <> 0 AND mask & past = 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & b <> 0 AND mask & past <> 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = b), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (mask & b <> 0 AND mask & past = 0 AND good), 0) AS good_lost, coalesce(sum(n) FILTER (mask & b <> 0 AND mask & past = 0 AND bad), 0) AS toxic_lost
+  FROM c, steps GROUP BY part, filter_order, step, b)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley
+FROM found"""
+
+
+_PHRASES = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) x(k)) GROUP BY ALL HAVING count(*) >= 100),
+own AS (SELECT lang, phrase, k, f AS a FROM g WHERE k > 1 AND NOT EXISTS (
+  FROM g AS y WHERE y.lang = g.lang AND y.k > g.k AND y.f >= g.f AND contains(' ' || y.phrase || ' ', ' ' || g.phrase || ' '))),
+cuts AS (SELECT lang, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS k FROM own),
+scored AS (SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, n, CAST((1000::HUGEINT * c.a * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cuts c JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:c.k], ' ') JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(w[c.k + 1:], ' ')
+  JOIN totals ON totals.lang = c.lang),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM worst QUALIFY rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL can express on whole tables; tests hold the others against brute force."""
-    return {"op3_chat": _CHAT, "op6_suffixes": _REPEATS, "op8_minhash": _NEAR}
+    return {"op3_chat": _CHAT, "op6_suffixes": _REPEATS, "op8_minhash": _NEAR, "op12_filters": _FILTERS, "op13_collocations": _PHRASES}
