@@ -32,7 +32,7 @@ from chronofold.llm.kernels import chunks, mix
 from chronofold.llm.runtime import cut, drop_cut, fresh
 
 LONGEST = 5
-CHUNK = 1 << 23
+CHUNK = 1 << 22
 #: What a cut of a phrase is scored by, as the phrase is scored by its worst one.
 SCALE = 1000
 
@@ -123,13 +123,13 @@ def _projections(batch: pa.RecordBatch, known: Dictionary) -> Iterator[tuple[np.
         for i, lang in enumerate(langs.dictionary.to_pylist()):
             there = of == i
             ids[there] = known.numbers(lang, words.dictionary)[place[there]] if known.whole else _only(known, lang, words.dictionary, place[there])
-        n = len(ids)
-        out = np.zeros((n, LONGEST), dtype=np.int64)
-        out[:, 0] = ids
+        begins = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0) & (piece[:-1] == piece[1:]))
+        out = np.zeros((len(begins), LONGEST), dtype=np.int64)
+        out[:, 0] = ids[begins]
         for k in range(1, LONGEST):
-            same = (piece[k:] == piece[: n - k]) & (out[: n - k, k - 1] != 0)
-            out[: n - k, k] = np.where(same, ids[k:], 0)
-        out = out[out[:, 1] != 0]
+            at = np.minimum(begins + k, len(ids) - 1)
+            goes_on = (begins + k < len(ids)) & (piece[at] == piece[begins]) & (out[:, k - 1] != 0)
+            out[:, k] = np.where(goes_on, ids[at], 0)
         if len(out):
             yield _merged(out, np.ones(len(out), dtype=np.int64))
 
