@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.functions.text import similarity
+from chronofold.functions.text import similarity, trigrams
+from chronofold.operators.intervals import overlap_pairs
 from chronofold.operators.temporal import first_per_key, valid_at
 
 
@@ -24,12 +25,9 @@ class Missing(LookupError):
 
 
 def overlaps(identifiers: DataFrame) -> DataFrame:
-    """Pairs of ranges of one (namespace, value) that overlap; empty ranges overlap nothing."""
-    x = identifiers.where("valid_from < valid_to")
-    a, b = x.alias("a"), x.alias("b")
-    same = (F.col("a.namespace") == F.col("b.namespace")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.identifier_id") < F.col("b.identifier_id"))
-    meet = (F.col("a.valid_from") < F.col("b.valid_to")) & (F.col("b.valid_from") < F.col("a.valid_to"))
-    return a.join(b, same & meet).select(F.col("a.namespace").alias("namespace"), F.col("a.value").alias("value"), F.col("a.identifier_id").alias("id_a"), F.col("b.identifier_id").alias("id_b"))
+    """Pairs of ranges of one (namespace, value) that overlap; empty ranges overlap nothing. A value with many ranges is spread over nodes of its time line."""
+    found = overlap_pairs(identifiers, ["namespace", "value"], "valid_from", "valid_to", "identifier_id")
+    return found.select("namespace", "value", F.least("earlier", "later").alias("id_a"), F.greatest("earlier", "later").alias("id_b"))
 
 
 def overlapping_values(identifiers: DataFrame) -> DataFrame:
@@ -37,8 +35,6 @@ def overlapping_values(identifiers: DataFrame) -> DataFrame:
 
     Unlike the pairs this stays linear for values with many ranges.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("namespace", "value").orderBy("valid_from", "identifier_id").rowsBetween(Window.unboundedPreceding, -1)
     x = identifiers.where("valid_from < valid_to").withColumn("reach", F.max("valid_to").over(w))
     return x.where("valid_from < reach").groupBy("namespace", "value").agg(F.count("*").alias("n"))
@@ -50,8 +46,6 @@ def overlap_counts(identifiers: DataFrame) -> DataFrame:
     Ranges open at a start are those that started before and haven't ended by it; one running sum over starts and
     ends (ends first, since they are exclusive) has them.
     """
-    from pyspark.sql import Window
-
     ends = F.inline(F.array(F.struct(F.col("valid_from").alias("day"), F.lit(1).alias("step")), F.struct(F.col("valid_to").alias("day"), F.lit(-1).alias("step"))))
     w = Window.partitionBy("namespace", "value").orderBy("day", "step").rowsBetween(Window.unboundedPreceding, -1)
     x = identifiers.where("valid_from < valid_to").select("namespace", "value", ends).withColumn("open", F.sum("step").over(w))
@@ -86,6 +80,45 @@ def search(entities: DataFrame, text: str, threshold: float = 0.3, limit: int =
     return x.orderBy(F.col("similarity").desc(), "legal_name", "entity_id").limit(limit).select("entity_id", "legal_name", "similarity")
 
 
+def _sized(names: DataFrame, id_col: str, name_col: str, prefix: str) -> DataFrame:
+    return names.select(F.col(id_col).alias(f"{prefix}_id"), trigrams(F.col(name_col)).alias(f"{prefix}_grams")).where(F.size(f"{prefix}_grams") > 0)
+
+
+def _prefixes(names: DataFrame, rarity: DataFrame, prefix: str, threshold: float) -> DataFrame:
+    """The rarest trigrams of each name, as many as a name that reaches the threshold must share one of."""
+    ids, grams = f"{prefix}_id", f"{prefix}_grams"
+    n = F.size(grams)
+    kept = n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1
+    ranked = names.select(ids, n.alias("n"), kept.alias("kept"), F.explode(grams).alias("gram")).join(rarity, "gram")
+    w = Window.partitionBy(ids).orderBy("names", "gram")
+    own = ranked.withColumn("place", F.row_number().over(w)).where("place <= kept")
+    return own.select(ids, "gram", F.col("n").alias(f"{prefix}_n"), F.col("place").alias(f"{prefix}_place"))
+
+
+def match_names(left: DataFrame, right: DataFrame, threshold: float = 0.3, id_cols: tuple[str, str] = ("entity_id", "entity_id"), name_cols: tuple[str, str] = ("legal_name", "legal_name")) -> DataFrame:
+    """(left_id, right_id, similarity): all pairs of names of two tables whose trigram similarity is ``threshold`` (above 0) or more.
+
+    An inverted index of trigrams holds only the rarest of each name: two names with a similarity of t share a trigram among the
+    n - ceil(t n) + 1 rarest of both. Candidates are met through these alone, never all with all; sizes
+    and places in the order bound what a pair can still share before it is compared in full. Ids must be unique; names without a letter or digit match nothing.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold lies above 0 and is 1 at most")
+    a, b = _sized(left, id_cols[0], name_cols[0], "left"), _sized(right, id_cols[1], name_cols[1], "right")
+    grams = a.select(F.explode("left_grams").alias("gram")).union(b.select(F.explode("right_grams").alias("gram")))
+    rarity = grams.groupBy("gram").agg(F.count("*").alias("names"))
+    met = _prefixes(a, rarity, "left", threshold).join(_prefixes(b, rarity, "right", threshold), "gram")
+    small, large = F.least("left_n", "right_n"), F.greatest("left_n", "right_n")
+    rest = 1 + F.least(F.col("left_n") - F.col("left_place"), F.col("right_n") - F.col("right_place"))
+    # a pair's first common trigram has all that they share after it; at its later ones the bound is lower, so some pairs go only if none of their meetings reach it
+    possible = (small >= threshold * large - 1e-9) & (F.least("left_place", "right_place") - 1 + rest >= threshold / (1 + threshold) * (F.col("left_n") + F.col("right_n")) - 1e-9)
+    pairs = met.where(possible).select("left_id", "right_id").distinct()
+    both = pairs.join(a, "left_id").join(b, "right_id")
+    shared = F.size(F.array_intersect("left_grams", "right_grams"))
+    score = F.round(shared / (F.size("left_grams") + F.size("right_grams") - shared), 6)
+    return both.select("left_id", "right_id", score.alias("similarity")).where(F.col("similarity") >= threshold)
+
+
 def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``current`` with the rows of ``incoming`` put in or over: last writer wins, unchanged rows stay the same rows."""
     kept = current.join(incoming.select(*keys), list(keys), "left_anti")

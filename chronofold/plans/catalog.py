@@ -36,11 +36,18 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def _more() -> None:
+    """The queries of other modules, which need this one."""
+    from chronofold.plans import changes  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _more()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _more()
     return dict(_oracles)
 
 

@@ -136,9 +136,10 @@ def streams_with_letters(log: DataFrame) -> DataFrame:
 
 
 def monthly(observations: DataFrame) -> DataFrame:
-    """Streaming monthly rollup for update mode; state older than a year goes."""
+    """Streaming monthly rollup for update mode; state older than a year goes. The last value is that of the newest ts, then as_of, then the greater value."""
     x = observations.withWatermark("ts", "366 days").where("value is not null")
-    return x.groupBy("series_id", F.date_trunc("month", "ts").alias("month")).agg(F.max_by("value", "ts").alias("last_value"), F.avg("value").alias("avg_value"), F.count("*").alias("n"))
+    last = F.max_by("value", F.struct("ts", "as_of", "value")) if "as_of" in observations.columns else F.max_by("value", F.struct("ts", "value"))
+    return x.groupBy("series_id", F.date_trunc("month", "ts").alias("month")).agg(last.alias("last_value"), F.avg("value").alias("avg_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.count("*").alias("n"))
 
 
 LIMIT = 5
