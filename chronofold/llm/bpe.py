@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import json
 import sys
 import unicodedata
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -38,12 +40,16 @@ from chronofold.llm.runtime import fresh
 #: The pieces that ``pieces`` finds.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text whose distinct pieces are encoded together (a longer text is a chunk of its own).
-CHUNK = 1 << 25
+CHUNK = 1 << 22
 #: Bytes of text that are cut into pieces at once.
 STEP = 1 << 21
 #: Bytes of a piece whose boundaries fit the bits of a long.
 SHORT = 56
+#: Documents that the frequent pieces are taken from, and how many of these pieces tasks hold.
+SAMPLE, HEAD = 1 << 15, 1 << 19
 BUCKETS = 1 << 16
+#: Places in each half of the table of ranks.
+SLOTS = 1 << 17
 #: First of the characters that stand for tokens in long pieces; the planes from here on have no surrogates.
 FIRST = 0x10000
 
@@ -169,23 +175,43 @@ def _let(x: Column, f) -> Column:
     return F.transform(F.array(x), f)[0]
 
 
+def _placed(keys: dict[int, int]) -> tuple[list[int | None], list[int | None]]:
+    """Keys, and what they stand for, in places of a table: each in one of the two that ``_sought`` looks at. Keys that find none move others on to their second place."""
+    held: list[int | None] = [None] * (2 * SLOTS)
+    for key in keys:
+        at, moves = key % SLOTS, 0
+        while key is not None:
+            held[at], key = key, held[at]
+            if key is not None:
+                first, second = key % SLOTS, SLOTS + (key >> 17) % SLOTS
+                at = second if at == first else first
+                if (moves := moves + 1) > 1000:
+                    raise ValueError("too many tokens for the table")
+    return held, [None if key is None else keys[key] for key in held]
+
+
 def _literal(vocabulary: Vocabulary) -> Column:
-    """The ranks as one literal. ``ranks`` is a map in buckets by CRC-32, since a map is searched from its front; keys have one character
-    for a byte. For pieces of n bytes: ``spans[n]`` (start, length, place), ``ends[n]`` and ``inner[n]``, bits of the boundaries at and inside each span, and ``all[n]``."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for token, rank in vocabulary.ranks.items():
-        key = token.decode("latin-1")
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
+    """The ranks as one literal: ``keys`` and ``ranks`` are a map by the 64-bit hash of a token, laid out in places since Spark searches a map from its front.
+
+    For pieces of n bytes there are ``spans[n]`` (start and length), ``ends[n]`` and ``inner[n]``, bits of the boundaries at and inside each span, and ``all[n]``.
+    Two texts of one hash would give a part that is no token, which ``_tokens`` refuses.
+    """
+    hashed = lambda token: (xxhash.xxh64_intdigest(token.decode("latin-1").encode(), 42) ^ 1 << 63) - (1 << 63)
+    by_hash = {hashed(t): r for t, r in vocabulary.ranks.items() if len(t) > 1}
+    if len(by_hash) + 256 != len(vocabulary.ranks):
+        raise ValueError("two tokens have one hash")
+    keys, ranks = _placed(by_hash)
     spans = [vocabulary.spans(n) for n in range(SHORT + 1)]
     held = {
-        "ranks": [b or None for b in buckets],
-        "spans": [[{"s": i + 1, "l": size, "at": k} for k, (i, size) in enumerate(s)] for s in spans],
+        "keys": keys,
+        "ranks": ranks,
+        "spans": [[{"s": i + 1, "l": size} for i, size in s] for s in spans],
         "ends": [[1 << i | 1 << i + size for i, size in s] for s in spans],
         "inner": [[(1 << i + size) - (2 << i) for i, size in s] for s in spans],
         "all": [(2 << n) - 1 for n in range(SHORT + 1)],
     }
-    kind = "ranks array<map<string,bigint>>, spans array<array<struct<s:int,l:int,at:int>>>, ends array<array<bigint>>, inner array<array<bigint>>, all array<bigint>"
-    return F.from_json(F.lit(json.dumps(held, ensure_ascii=False, separators=(",", ":"))), kind)
+    kind = "keys array<bigint>, ranks array<bigint>, spans array<array<struct<s:int,l:int>>>, ends array<array<bigint>>, inner array<array<bigint>>, all array<bigint>"
+    return F.from_json(F.lit(json.dumps(held, separators=(",", ":"))), kind)
 
 
 def _bytes(word: Column) -> Column:
@@ -193,9 +219,10 @@ def _bytes(word: Column) -> Column:
     return F.decode(F.encode(word, "utf-8"), "iso-8859-1")
 
 
-def _rank(held: Column, key: Column) -> Column:
-    """Rank of a token, null for other bytes."""
-    return F.element_at(F.get(held["ranks"], F.crc32(key).bitwiseAND(BUCKETS - 1).cast("int")), key)
+def _sought(held: Column, key: Column) -> Column:
+    """The rank of a token by its hash, null for other bytes."""
+    first, second = key.bitwiseAND(SLOTS - 1).cast("int"), F.shiftright(key, 17).bitwiseAND(SLOTS - 1).cast("int") + SLOTS
+    return F.when(F.get(held["keys"], first) == key, F.get(held["ranks"], first)).when(F.get(held["keys"], second) == key, F.get(held["ranks"], second))
 
 
 def boundaries(held: Column, word: Column) -> Column:
@@ -204,8 +231,8 @@ def boundaries(held: Column, word: Column) -> Column:
     many = 1 << 12
 
     def of(text: Column) -> Column:
-        ranked = F.transform(F.get(held["spans"], n), lambda s: _rank(held, F.substring(text, s["s"], s["l"])) * many + s["at"])
-        merges = F.array_sort(F.array_compact(ranked))
+        hashes = F.transform(F.get(held["spans"], n), lambda s: F.xxhash64(F.substring(text, s["s"], s["l"])))
+        merges = F.sort_array(F.array_compact(F.transform(hashes, lambda h, at: _sought(held, h) * many + at)))
 
         def fold(masks: Column) -> Column:
             def merge(parts: Column, m: Column) -> Column:
@@ -264,25 +291,24 @@ def _tokens(words: pa.Array, cuts: pa.Array, long: pa.Array, tokens: pa.Array) -
     bounds = np.append(base[word] + at, base[-1]).astype(np.int64)
     parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(word), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
     more = [np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32).astype(np.int32) - FIRST for x in long.to_pylist()]
-    flat = np.concatenate([np.asarray(pc.index_in(parts, value_set=tokens)).astype(np.int32), *more])
+    ids = pc.index_in(parts, value_set=tokens)
+    if ids.null_count:
+        raise ValueError("a part is no token: two texts have one hash")
+    flat = np.concatenate([np.asarray(ids).astype(np.int32), *more])
     return flat, np.concatenate([np.bincount(word, minlength=len(words)), [len(m) for m in more]]).astype(np.int64)
 
 
-def _assembled(batches: Iterator[pa.RecordBatch], schema: pa.Schema, tokens: pa.Array, head: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The ids of each text, in the order of its pieces."""
+def _assembled(batches: Iterator[pa.RecordBatch], tokens: pa.Array, head: tuple[np.ndarray, np.ndarray], finish) -> Iterator[pa.RecordBatch]:
+    """finish(ids, lists of token ids) for each chunk's texts, the token ids in the order of the pieces."""
     for batch in batches:
         for r in range(batch.num_rows):
             ids, counts, places, *words = (batch.column(i)[r].values for i in range(6))
             flat, number = (np.concatenate(x) for x in zip(head, _tokens(words[0], words[2], words[1], tokens), strict=True))
             first, text, places = np.cumsum(number) - number, np.concatenate([[0], np.cumsum(np.asarray(counts))]), np.asarray(places)
-            for a in range(0, len(ids), 500):
-                b = min(a + 500, len(ids))
-                place = places[text[a] : text[b]]
-                size = number[place]
-                ends = np.concatenate([[0], np.cumsum(size)])
-                out = flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - first[place], size)]
-                lists = pa.LargeListArray.from_arrays(pa.array(ends[text[a : b + 1] - text[a]], pa.int64()), pa.array(out, pa.int32()))
-                yield pa.RecordBatch.from_arrays([ids[a:b].cast(schema[0].type), lists.cast(schema[1].type)], schema=schema)
+            size = number[places]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            out = flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - first[places], size)]
+            yield finish(ids, pa.LargeListArray.from_arrays(pa.array(ends[text], pa.int64()), pa.array(out, pa.int32())))
 
 
 def _folded(found: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -298,26 +324,42 @@ def _head(rows: DataFrame, vocabulary: Vocabulary, sample: int, most: int) -> tu
     arrow, documents = to_arrow_schema(kind), rows.count()
     some = rows if documents <= sample else rows.sample(sample / documents, seed=11)
     counts = some.mapInArrow(lambda batches: _sampled(batches, arrow), kind).groupBy("word").agg(F.sum("f").alias("f"))
-    often = counts.where((F.col("f") > 1) & (F.octet_length("word") <= SHORT)).orderBy(F.desc("f"), "word").limit(most)
+    often = counts.where((F.col("f") > 1) & (F.octet_length("word") <= SHORT)).orderBy(F.desc("f"), "word").limit(most).repartition(64, "word")
     held = _folded(often.select(F.array("word").alias("words"), F.array().cast("array<string>").alias("long")), vocabulary).select(F.col("words")[0].alias("word"), F.col("cuts")[0].alias("cut")).toArrow()
     words = held["word"].combine_chunks().cast(pa.large_string())
     return words, _tokens(words, held["cut"].combine_chunks(), pa.array([], pa.string()), vocabulary.tokens)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", sample: int = 4096, head: int = 1 << 17) -> DataFrame:
-    """(id, ids array<int>) for each row: the token ids of its text, without special tokens. Other columns of ``docs`` are not read.
-
-    The ``head`` most frequent pieces of about ``sample`` documents are encoded once and sent to all tasks; they only save work.
-    """
+def _encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str, columns: str, finish, sample: int, head: int) -> DataFrame:
     rows = fresh(docs, id_col, text_col).toDF("id", "text")
     kind = rows.schema["id"].dataType.simpleString()
     first = StructType.fromDDL(f"ids array<{kind}>, counts array<bigint>, places array<int>, words array<string>, long array<string>")
-    last = StructType.fromDDL(f"id {kind}, ids array<int>")
+    last = StructType.fromDDL(f"id {kind}, {columns}")
     first_arrow, last_arrow, tokens = to_arrow_schema(first), to_arrow_schema(last), vocabulary.tokens
     known, encoded = _head(rows, vocabulary, sample, head)
     found = rows.mapInArrow(lambda batches: _distinct(batches, first_arrow, known), first)
     found = _folded(found, vocabulary).select("ids", "counts", "places", "words", "long", "cuts")
-    return found.mapInArrow(lambda batches: _assembled(batches, last_arrow, tokens, encoded), last).withColumnRenamed("id", id_col)
+    done = lambda ids, lists: pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip((ids, *finish(lists)), last_arrow, strict=True)], schema=last_arrow)
+    return found.mapInArrow(lambda batches: _assembled(batches, tokens, encoded, done), last).withColumnRenamed("id", id_col)
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, head: int = HEAD) -> DataFrame:
+    """(id, ids array<int>) for each row: the token ids of its text, without special tokens. Other columns of ``docs`` are not read.
+
+    The ``head`` most frequent pieces of about ``sample`` documents are encoded once and sent to all tasks; they only save work.
+    """
+    return _encoded(docs, vocabulary, id_col, text_col, "ids array<int>", lambda lists: [lists], sample, head)
+
+
+def joined(lists: pa.Array, pieces: pa.Array) -> pa.LargeBinaryArray:
+    """For each list of ids their binary pieces, concatenated; null for null."""
+    held = pieces.take(lists.flatten())
+    data = np.frombuffer(held.buffers()[2] or b"", dtype=np.uint8)
+    ends = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(held)))])
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+    text = ends[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int64)
+    out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(text), pa.py_buffer(np.ascontiguousarray(data))])
+    return pc.if_else(lists.is_null(), None, out) if lists.null_count else out
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -325,20 +367,22 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out
     tokens = vocabulary.tokens
 
     @F.arrow_udf("binary")
-    def joined(ids: pa.Array) -> pa.Array:
-        lists = ids.cast(pa.large_list(pa.int64()))
-        held = tokens.take(lists.flatten())
-        data = np.frombuffer(held.buffers()[2] or b"", dtype=np.uint8)
-        ends = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(held)))])
-        sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
-        text = ends[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int64)
-        out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(text), pa.py_buffer(np.ascontiguousarray(data))])
-        return pc.if_else(ids.is_null(), None, out).cast(pa.binary())
-
-    return encoded.withColumn(out_col, joined(ids_col))
-
-
-def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, number of ids, SHA-256 of the ids in decimal joined by commas, and of the decoded bytes."""
-    found = decode(encode(docs, vocabulary), vocabulary)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    def of(ids: pa.Array) -> pa.Array:
+        return joined(ids.cast(pa.large_list(pa.int64())), tokens).cast(pa.binary())
+
+    return encoded.withColumn(out_col, of(ids_col))
+
+
+def digests(docs: DataFrame, vocabulary: Vocabulary, sample: int = SAMPLE, head: int = HEAD) -> DataFrame:
+    """doc_id, number of ids, SHA-256 of the ids in decimal joined by commas, and of the bytes that they decode to.
+
+    The same as of ``decode(encode(docs))``, taken in the task that encodes, so that the ids needn't travel.
+    """
+    tokens = vocabulary.tokens
+    decimal = pa.array([f"{i},".encode() for i in range(len(tokens))], pa.large_binary())
+
+    def finish(lists: pa.Array) -> list[pa.Array]:
+        sha = lambda held, cut: pa.array([hashlib.sha256(b[: max(0, len(b) - cut)]).hexdigest() for b in held.to_pylist()], pa.string())
+        return [pc.list_value_length(lists), sha(joined(lists, decimal), 1), sha(joined(lists, tokens), 0)]
+
+    return _encoded(docs, vocabulary, "doc_id", "text", "n_tokens bigint, ids_sha256 string, decoded_sha256 string", finish, sample, head)
