@@ -46,10 +46,10 @@ STEP = 1 << 21
 #: Bytes of a piece whose boundaries fit the bits of a long.
 SHORT = 56
 #: Documents that the frequent pieces are taken from, and how many of these pieces tasks hold.
-SAMPLE, HEAD = 1 << 15, 1 << 19
+SAMPLE, HEAD = 1 << 15, 1 << 18
 BUCKETS = 1 << 16
 #: Places in each half of the table of ranks.
-SLOTS = 1 << 17
+SLOTS = 1 << 16
 #: First of the characters that stand for tokens in long pieces; the planes from here on have no surrogates.
 FIRST = 0x10000
 
