@@ -17,16 +17,19 @@ def latest_mapping(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return first_per_key(df, key, F.col("mapping_version").desc(), F.col("as_of").desc(), F.col("row_no").desc())
 
 
-def entity_financials(canonical: DataFrame, scores: DataFrame, basis: str = "as_reported", statement: str | None = None, limit: int = 20) -> DataFrame:
-    """Per entity the newest periods, each with its lines as a map and its quality score."""
-    x = canonical.where(F.col("restatement_basis") == basis)
+def entity_financials(canonical: DataFrame, scores: DataFrame, basis: str = "as_reported", statement: str | None = None, limit: int = 20, period_type: str | None = None, consolidation: str | None = None) -> DataFrame:
+    """Per entity the newest periods, each with its lines as a map and its quality score. ``period_type`` and ``consolidation`` hold for lines and scores alike."""
+    same = F.col("restatement_basis") == basis
+    for column, value in (("period_type", period_type), ("consolidation", consolidation)):
+        same = same if value is None else same & (F.col(column) == value)
+    x = canonical.where(same)
     if statement:
         x = x.where(F.col("canonical_code").like(f"{statement}.%"))
     x = latest_mapping(x, ["entity_id", "canonical_code", "period_end"])
     lines = x.groupBy("entity_id", "period_end").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("canonical_code", "value")))).alias("lines"))
     newest = Window.partitionBy("entity_id").orderBy(F.col("period_end").desc())
     lines = lines.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= limit).drop("n")
-    best = latest_mapping(scores.where(F.col("restatement_basis") == basis), ["entity_id", "period_end"]).select("entity_id", "period_end", "score")
+    best = latest_mapping(scores.where(same), ["entity_id", "period_end"]).select("entity_id", "period_end", "score")
     return lines.join(best, ["entity_id", "period_end"], "left")
 
 

@@ -48,6 +48,43 @@ def invariants(facts: dict[str, tuple[DataFrame, Fact]], identifiers: DataFrame,
     return report(checks | {"identifier_overlap": overlap_counts(identifiers)}, {"identifier_overlap": "n"})
 
 
+#: In the metadata of a table's knowledge-time column: writers may only append. Parquet files keep it.
+GUARD = "append_only"
+
+
+def guarded(df: DataFrame, as_of: str = "as_of") -> DataFrame:
+    """``df`` with the mark on its knowledge time."""
+    return df.withMetadata(as_of, df.schema[as_of].metadata | {GUARD: True})
+
+
+def described(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, has_as_of, guarded) of tables, from their own schemas."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = []
+    for name, df in tables.items():
+        field = next((f for f in df.schema.fields if f.name == "as_of" and f.dataType.typeName().startswith("timestamp")), None)
+        rows.append((name, field is not None, field is not None and bool(field.metadata.get(GUARD))))
+    return spark.createDataFrame(rows, "name string, has_as_of boolean, guarded boolean")
+
+
+#: The tables whose natural keys the invariants look at, and those whose knowledge time must be there.
+CHECKED = ("observation", "financial_line_item", "canonical_financial", "filing_event")
+TIMED = ("observation",)
+
+
+def bitemporal_invariants(tables: dict[str, DataFrame], registry: dict[str, Fact]) -> DataFrame:
+    """(name, violations, status) of every invariant: duplicates and missing knowledge times of the facts, overlapping identifiers (each pair
+    from both sides), tables with a knowledge time that the registry lacks, registered tables without the mark of append-only ones."""
+    checks = {f"{n}_no_duplicate_as_of": duplicates(tables[n], registry[n]) for n in CHECKED}
+    checks |= {f"{n}_as_of_not_null": tables[n].where(F.col(registry[n].as_of).isNull()) for n in TIMED}
+    checks["identifier_no_overlapping_pairs"] = overlap_counts(tables["identifier"]).withColumn("n", F.col("n") * 2)
+    spark = tables["identifier"].sparkSession
+    gaps = registry_gaps(described(tables), spark.createDataFrame([(n,) for n in registry], "name string"))
+    checks["registry_completeness"] = gaps.where("gap = 'unregistered'")
+    checks["append_only_marks"] = gaps.where("gap <> 'unregistered'")
+    return report(checks, {"identifier_no_overlapping_pairs": "n"})
+
+
 def derive_basis(lines: DataFrame, exempt: DataFrame, monetary: str, inflation: str, first_day: str = "2023-12-31") -> DataFrame:
     """Restatement basis of each line item by the first rule that holds for its filing.
 

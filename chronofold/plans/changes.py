@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.operators import entities, rollup, store
-from chronofold.plans import table_functions
-from chronofold.plans.catalog import _BATCH, _GRAMS, _STORED, EVENT_PIT, PIT, query
+from chronofold.functions import nested
+from chronofold.operators import analytics, entities, quality, rollup, store
+from chronofold.plans import research, table_functions
+from chronofold.plans.catalog import _BATCH, _BEST, _GRAMS, _INVARIANTS, _STORED, EVENT_PIT, PIT, query
 from chronofold.plans.views import collapsed
 from chronofold.schemas import REGISTRY
 from chronofold.session import scratch
 from chronofold.sources import projections as P
+from chronofold.streaming.outbox import Outbox
 
 # Point-in-time reads as SQL table functions
 _READ = {
@@ -128,3 +130,100 @@ def refreshed_months(spark, d):
     kept.refresh(x, kept.changed(x.where(late)))
     return kept.rows().withColumn("avg_value", F.round("avg_value", 6))
 
+
+# Pages by cursor
+@query("SELECT series_id, ts, as_of, value FROM (" + collapsed("observation", "series_id, ts", "as_of DESC, event_id DESC", f"as_of <= TIMESTAMP '{EVENT_PIT}' AND series_id >= 3") + ") WHERE value > 20 ORDER BY series_id, ts DESC LIMIT 300 OFFSET 300")
+def research_second_page(spark, d):
+    q = research.Read(as_of=EVENT_PIT, closed={"series_id": (3, None), "value": (20.001, None)})
+    obs = P.observation(spark, d)
+    _, cursor = research.page(obs, "observation", q, limit=300)
+    return research.page(obs, "observation", q, cursor, 300)[0].select("series_id", "ts", "as_of", "value")
+
+
+@query("SELECT filing_id, event_type, event_seq, as_of FROM filing_event WHERE as_of >= TIMESTAMP '1996-01-01' AND as_of < TIMESTAMP '1996-02-01' ORDER BY filing_id, event_type, event_seq, as_of, row_no LIMIT 200 OFFSET 400")
+def research_third_page_of_versions(spark, d):
+    q, x = research.Read(between=("1996-01-01 00:00:00", "1996-02-01 00:00:00")), P.filing_event(spark, d)
+    cursor = None
+    for _ in range(2):
+        _, cursor = research.page(x, "filing_event", q, cursor, 200)
+    return research.page(x, "filing_event", q, cursor, 200)[0].select("filing_id", "event_type", "event_seq", "as_of")
+
+
+# Events with their lineage; entity financials with all filters; every invariant
+_LIVE = collapsed("filing_event", "filing_id, event_type, event_seq", "as_of DESC, row_no DESC", f"as_of <= TIMESTAMP '{PIT}' AND (superseded_at IS NULL OR superseded_at > TIMESTAMP '{PIT}')")
+
+
+@query(f"SELECT 'm' || event_seq AS model_identity, event_type AS prompt_version, sha256(row_no) AS raw_bytes_sha256 FROM ({_LIVE}) WHERE event_ts BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1998-06-01' ORDER BY event_ts DESC, event_seq, filing_id, event_type, as_of, row_no LIMIT 1")
+def research_event_lineage(spark, d):
+    x = P.filing_event(spark, d).withColumns({"primary_model_version": F.concat(F.lit("m"), "event_seq"), "primary_prompt_version": F.col("event_type"), "input_text_sha256": F.unhex(F.sha2("row_no", 256))})
+    return research.events_with_lineage(x, research.Read(as_of=PIT), occurred_from="1994-01-01 00:00:00", event_after="1990-01-01 00:00:00", event_before="1998-06-01 00:00:00")[1]
+
+
+@query(f"SELECT filing_id, event_type, event_seq, event_ts FROM ({_LIVE}) WHERE event_ts BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1998-06-01'")
+def research_events_between(spark, d):
+    x = research.events(P.filing_event(spark, d), research.Read(as_of=PIT), occurred_from="1994-01-01 00:00:00", occurred_to="1998-06-01 00:00:00")
+    return x.select("filing_id", "event_type", "event_seq", "event_ts")
+
+
+_CPI = "restatement_basis = 'cpi_normalized' AND consolidation = 'consolidated' AND period_type = 'q'"
+
+
+@query("SELECT entity_id, period_end, canonical_code, value, score FROM (SELECT *, dense_rank() OVER (PARTITION BY entity_id ORDER BY period_end DESC) AS dr FROM (" + collapsed("canonical_financial", "entity_id, canonical_code, period_end", f"mapping_version DESC, {_BEST}", _CPI) + ")) c LEFT JOIN (" + collapsed("entity_quality_score", "entity_id, period_end", f"mapping_version DESC, {_BEST}", _CPI, "entity_id, period_end, score") + ") s USING (entity_id, period_end) WHERE dr <= 20")
+def entity_financials_filtered(spark, d):
+    x = analytics.entity_financials(P.canonical_financial(spark, d), P.entity_quality_score(spark, d), "cpi_normalized", period_type="q", consolidation="consolidated")
+    return x.select("entity_id", "period_end", F.explode("lines").alias("canonical_code", "value"), "score")
+
+
+_KEYS = {n: ", ".join(REGISTRY[n].natural_key()) for n in quality.CHECKED}
+
+
+@query(
+    "SELECT name, CAST(violations AS BIGINT) AS violations, CASE WHEN violations = 0 THEN 'ok' ELSE 'FAIL' END AS status FROM ("
+    + " UNION ALL ".join(f"SELECT '{n}_no_duplicate_as_of' AS name, (SELECT count(*) FROM (SELECT 1 FROM {n} GROUP BY {k} HAVING count(*) > 1)) AS violations" for n, k in _KEYS.items())
+    + f" UNION ALL SELECT 'observation_as_of_not_null', (SELECT count(*) FROM observation WHERE as_of IS NULL) UNION ALL SELECT 'identifier_no_overlapping_pairs', 2 * (SELECT count(*) FROM ({_INVARIANTS['identifier_overlap']}))"
+    + " UNION ALL SELECT 'registry_completeness', 0 UNION ALL SELECT 'append_only_marks', 1)"
+)
+def bitemporal_invariants(spark, d):
+    tables = {n: quality.guarded(f(spark, d)) if n in REGISTRY and n != "entity_version" else f(spark, d) for n, f in P.ALL.items()}
+    return quality.bitemporal_invariants(tables, REGISTRY)
+
+
+# Personal data in nested JSON
+_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{1,}"
+_SPOTS = f"SELECT doc_id, unnest(range(1, len(found) + 1)) AS i, found, between_ FROM (SELECT doc_id, regexp_extract_all(text, '{_EMAIL}') AS found, regexp_split_to_array(text, '{_EMAIL}') AS between_ FROM documents)"
+
+
+def _wrapped(spark: SparkSession, d: str) -> DataFrame:
+    x = P.table(spark, d, "documents")
+    return x.select("doc_id", F.to_json(F.struct(F.array(F.lit("x"), F.lit("y")).alias("list"), F.struct(F.array(F.struct("text")).alias("parts"), F.lit(1).alias("12")).alias("meta"), F.array("text").alias("subjects"))).alias("body"))
+
+
+@query(f"SELECT doc_id, '$.meta.parts[0].text' AS path, CAST(list_sum(list_transform(between_[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS start, found[i] AS found FROM ({_SPOTS})")
+def nested_findings(spark, d):
+    x = nested.findings(_wrapped(spark, d), "body", skip=("subjects", "list")).where("pattern = 'email'")
+    return x.select("doc_id", nested.json_path(F.col("path")).alias("path"), "start", "found")
+
+
+@query("SELECT doc_id, '$.meta.12' AS path FROM documents")
+def nested_numeric_keys(spark, d):
+    return nested.numeric_keys(_wrapped(spark, d), "body").select("doc_id", nested.json_path(F.col("path")).alias("path"))
+
+
+@query(f"SELECT doc_id, sha256(regexp_replace(text, '{_EMAIL}', '[REDACTED:Art.17:email]', 'g')) AS scrubbed FROM documents")
+def nested_scrubbed(spark, d):
+    x = _wrapped(spark, d)
+    out = nested.scrubbed(x, nested.findings(x, "body").where("pattern = 'email'"), "doc_id", "body")
+    return out.select("doc_id", F.sha2(F.get_json_object("body", "$.meta.parts[0].text"), 256).alias("scrubbed"))
+
+
+# The outbox
+@query("SELECT event_id AS outbox_id, least(fails, 3) AS failures, fails < 3 AS published, CASE WHEN fails > 0 THEN 'down ' || least(fails, 3) END AS last_error FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN event_id % 5 ELSE 0 END AS fails FROM events)")
+def drained_outbox(spark, d):
+    """Every event is to be sent; three drains, where each seventh event fails up to four times."""
+    box = Outbox(spark, scratch(spark, "outbox"), buckets=8)
+    e = P.table(spark, d, "events")
+    box.add("all", e.select(F.col("event_id").alias("outbox_id"), F.concat(F.lit("events."), "event_type").alias("stream_name"), F.col("event_id").cast("string").alias("event_id"), F.lit(1).alias("schema_version"), F.col("props").alias("payload"), F.col("ts").alias("created_at")))
+    for n in (1, 2, 3):
+        down = (F.col("outbox_id") % 7 == 0) & (F.col("outbox_id") % 5 >= n)
+        box.drain(f"r{n}", lambda rows, n=n, down=down: rows.select("outbox_id", F.when(~down, F.concat(F.lit(f"{n}-"), "outbox_id")).alias("message_id"), F.when(down, F.lit(f"down {n}")).alias("error")))
+    return box.state().select("outbox_id", "failures", F.col("published_at").isNotNull().alias("published"), "last_error")

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.operators import temporal
-from chronofold.operators.temporal import first_per_key, moment
+from chronofold.operators.temporal import PAGE, first_per_key, moment
 from chronofold.schemas import REGISTRY
+from chronofold.sources.files import after, beyond, decode_cursor, encode_cursor
 
 
 @dataclass(frozen=True)
@@ -56,6 +57,54 @@ def read(df: DataFrame, name: str, query: Read, **options) -> DataFrame:
     return out.orderBy(*temporal.chain_order(fact)).limit(query.limit) if query.between else temporal.page(out, fact, query.limit)
 
 
+def _places(name: str, query: Read) -> list[str]:
+    """The total order that a read is paged in, a leading - for descending: versions by key and knowledge time, a collapsed read in its reading order first."""
+    fact = REGISTRY[name]
+    rest = (*fact.key, fact.as_of, *fact.ties)
+    first = () if query.between else fact.order
+    return [*first, *[c for c in rest if c not in {f.lstrip("-") for f in first}]]
+
+
+def _asked(query: Read) -> dict:
+    """What a cursor belongs to: the filters and the point in time as they were asked for, so that pages of "now" go together."""
+    closed = {c: [None if v is None else str(v) for v in ends] for c, ends in query.closed.items()}
+    return {"as_of": query.as_of, "between": list(query.between) if query.between else None, "equal": {c: str(v) for c, v in query.equal.items() if v is not None}, "closed": closed}
+
+
+def page(df: DataFrame, name: str, query: Read, cursor: str | None = None, limit: int = 50, **options) -> tuple[DataFrame, str | None]:
+    """(rows, cursor of the next page or None): the rows of ``read`` after those that the cursor's pages had, in a total order.
+
+    The seek holds after the collapse. What it says of the leading key columns holds for all versions of a key alike, so that part goes to
+    the scan. A cursor of other filters, or of another time asked for, is an error. A page has ``PAGE`` rows at most.
+    """
+    if not 1 <= limit <= PAGE:
+        raise ValueError(f"limit must lie between 1 and {PAGE}")
+    fact, places = REGISTRY[name], _places(name, query)
+    anchor = decode_cursor(cursor, _asked(query)) if cursor else None
+    seek = df
+    if anchor is not None:
+        keys = next((i for i, c in enumerate(places) if c.lstrip("-") not in fact.key), len(places))
+        types = dict(df.dtypes)
+        if keys:
+            same = F.lit(True)
+            for c, v in zip(places[:keys], anchor, strict=False):
+                same = same & F.col(c.lstrip("-")).eqNullSafe(F.lit(v).cast(types[c.lstrip("-")]))
+            lead = places[0].lstrip("-")
+            first, held = F.col(lead), F.lit(anchor[0]).cast(types[lead])
+            # said of the first column alone as well, since readers take no condition on several
+            rest = F.lit(True) if anchor[0] is None else (first <= held if places[0][0] == "-" else first >= held)
+            seek = df.where((rest & F.lit(anchor[0] is not None)) | first.isNull()).where(beyond(df, places[:keys], anchor[:keys]) | same)
+    unpaged = Read(query.as_of, query.between, query.equal, query.closed)
+    rows = read(seek, name, unpaged, **options)
+    rows = rows if anchor is None else after(rows, places, anchor)
+    order = [F.col(c[1:]).desc_nulls_last() if c[0] == "-" else F.col(c).asc_nulls_last() for c in places]
+    rows = rows.orderBy(*order).limit(limit)
+    # one more row would tell a full last page apart; an empty page after it does as well
+    held = rows.select(*[F.col(c.lstrip("-")).cast("string").alias(f"_{i}") for i, c in enumerate(places)]).collect()
+    following = encode_cursor(list(held[-1]), query.as_of or "", _asked(query)) if len(held) == limit else None
+    return rows, following
+
+
 def observations(obs: DataFrame, catalog: DataFrame, query: Read, series_code: str | None = None) -> DataFrame:
     """Observations with their series; a code restricts the scan through the small catalog."""
     wanted = catalog if series_code is None else catalog.where(F.col("series_code") == series_code)
@@ -140,8 +189,26 @@ def identifiers_at(df: DataFrame, namespace: str, value: str, day: str) -> DataF
     return hits.select("entity_id", "identifier_id", F.when(n > 1, "ambiguous").otherwise("found").alias("state"))
 
 
-def events(df: DataFrame, query: Read, keys: tuple[str, ...] = ("counterparty",), allowed: bool = False) -> DataFrame:
-    """Events with personal keys of the payload masked."""
+def events(df: DataFrame, query: Read, keys: tuple[str, ...] = ("counterparty",), allowed: bool = False, occurred_from: str | None = None, occurred_to: str | None = None, event_after: str | None = None, event_before: str | None = None) -> DataFrame:
+    """Events with personal keys of the payload masked; both ends of the range of event_ts are in, and the older names of its ends count only where the newer ones aren't given."""
     from chronofold.operators.analytics import masked
 
-    return read(df, "filing_event", query).withColumn("payload", masked(F.col("payload"), keys, allowed))
+    ends = (occurred_from or event_after, occurred_to or event_before)
+    asked = Read(query.as_of, query.between, query.equal, query.closed | ({"event_ts": ends} if any(ends) else {}), query.limit)
+    return read(df, "filing_event", asked).withColumn("payload", masked(F.col("payload"), keys, allowed))
+
+
+def events_with_lineage(df: DataFrame, query: Read, **options) -> tuple[DataFrame, DataFrame]:
+    """(events, lineage): the events, and the model, prompt and input hash that the first of them in reading order came from (no row without events)."""
+    rows = events(df, query, **options)
+    order = temporal.chain_order("filing_event") if query.between else [F.col("event_ts").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in ("event_seq", "filing_id", "event_type", "as_of", "row_no")]]
+    first = rows.orderBy(*order).limit(1)
+    sha = F.col("input_text_sha256")
+    hexed = F.lower(F.hex(sha)) if dict(df.dtypes)["input_text_sha256"] == "binary" else sha
+    return rows, first.select(F.col("primary_model_version").alias("model_identity"), F.col("primary_prompt_version").alias("prompt_version"), hexed.alias("raw_bytes_sha256"))
+
+
+def warned(rows: DataFrame, warnings: DataFrame) -> DataFrame:
+    """``rows`` with the warnings (code, n) of the answer on each, as an array; empty without any."""
+    held = warnings.agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("warnings"))
+    return rows.withColumn("_one", F.lit(1)).join(held.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")

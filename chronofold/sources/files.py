@@ -7,7 +7,7 @@ import hashlib
 import json
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,14 +135,19 @@ def decode_cursor(cursor: str, filters: dict) -> list:
     return body["anchor"]
 
 
-def after(df: DataFrame, columns: list[str], anchor: list) -> DataFrame:
-    """Rows after the anchor in the order of the columns; a leading - means descending. Nulls are last either way."""
+def beyond(df: DataFrame, columns: list[str], anchor: list) -> Column:
+    """Whether a row comes after the anchor in the order of the columns; a leading - means descending. Nulls are last either way."""
     types = {f.name: f.dataType for f in df.schema.fields}
     names = [c.lstrip("-") for c in columns]
     held = [F.lit(v).cast(types[c] if not isinstance(types[c], T.NullType) else "string") for c, v in zip(names, anchor, strict=True)]
     later, same = F.lit(False), F.lit(True)
     for spec, c, v in zip(columns, names, held, strict=True):
-        beyond = F.col(c) < v if spec[0] == "-" else F.col(c) > v
-        later = later | (same & v.isNotNull() & F.coalesce(beyond, F.lit(True)))
+        further = F.col(c) < v if spec[0] == "-" else F.col(c) > v
+        later = later | (same & v.isNotNull() & F.coalesce(further, F.lit(True)))
         same = same & F.col(c).eqNullSafe(v)
-    return df.where(later)
+    return later
+
+
+def after(df: DataFrame, columns: list[str], anchor: list) -> DataFrame:
+    """The rows beyond the anchor."""
+    return df.where(beyond(df, columns, anchor))

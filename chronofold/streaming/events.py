@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BASE = "schema_version INT, event_id STRING, produced_at STRING, producer_run_id BIGINT, source_id STRING, actor_id STRING, actor_kind STRING, traceparent STRING, request_id STRING, kind STRING"
@@ -104,7 +104,7 @@ def append_new(batch: DataFrame, path: str, key: list[str], day: str | None = No
 DEAD = ["stream", "consumer_group", "message_id"]
 
 
-def dead_letters(bad: DataFrame, stream: str, group: str) -> DataFrame:
+def dead_letters(bad: DataFrame, stream: str | Column, group: str) -> DataFrame:
     """Failed messages under the key of a dead letter (stream, group, message) and the id made of it; errors are cut to 8000 characters."""
     x = bad.withColumns({"stream": F.lit(stream), "consumer_group": F.lit(group), "error": F.left("error", F.lit(8000))})
     return x.withColumn("failure_id", F.sha2(F.to_json(F.array(*DEAD)), 256))
