@@ -46,6 +46,26 @@ def documents_with_copies(filings: DataFrame, copies: DataFrame) -> DataFrame:
     return filings.join(n, "offer_id", "left").select("offer_id", "source_id", F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("redacted", F.lit(0)).alias("redacted"))
 
 
+def outbox_page(state: DataFrame, limit: int = 50, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(the newest outbox rows, without what their errors say; how many are pending in all)."""
+    rows = page(state.select("outbox_id", "stream_name", "event_id", "schema_version", "created_at", "published_at", "failures"), F.col("created_at").desc(), F.col("outbox_id").desc(), limit=limit, offset=offset)
+    return rows, state.agg(F.count_if(F.col("published_at").isNull()).alias("pending"))
+
+
+def redactions_page(registry: DataFrame, copies: DataFrame, limit: int = 50) -> DataFrame:
+    """The newest redactions with hashes in place of payloads, and how many copies their event had and how many are deleted."""
+    newest = page(registry.select("event_id", "redaction_reason", "original_stream", "redacted_at", "redacted_payload_hash", "original_payload_hash"), F.col("redacted_at").desc(), F.col("event_id"), limit=limit)
+    n = copies.join(newest.select("event_id"), "event_id", "left_semi").groupBy("event_id").agg(F.count("*").alias("copies"), F.count("redacted_at").alias("deleted"))
+    return newest.join(n, "event_id", "left").withColumns({"copies": F.coalesce("copies", F.lit(0)), "deleted": F.coalesce("deleted", F.lit(0))})
+
+
+def documents_page(filings: DataFrame, attachments: DataFrame, limit: int = 50) -> DataFrame:
+    """The newest filings with the number of their attachments."""
+    newest = page(filings.select("offer_id", "source_id", "published_at"), F.col("published_at").desc(), F.col("offer_id"), limit=limit)
+    n = attachments.withColumnRenamed("filing_id", "offer_id").join(newest.select("offer_id"), "offer_id", "left_semi").groupBy("offer_id").agg(F.count("*").alias("attachments"))
+    return newest.join(n, "offer_id", "left").withColumn("attachments", F.coalesce("attachments", F.lit(0)))
+
+
 def counts(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"))
 

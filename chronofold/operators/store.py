@@ -18,7 +18,7 @@ from dataclasses import asdict
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronofold.operators import ingest
+from chronofold.operators import entities, ingest
 from chronofold.operators.entities import Conflict
 from chronofold.operators.temporal import first_per_key
 
@@ -127,6 +127,48 @@ class Store:
         return n
 
 
+def upsert(held: Store, table: str, rows: DataFrame) -> dict[str, int]:
+    """Put rows, one for each key, in or over; how many were created, changed and unchanged. Only touched buckets are written anew, and none if nothing changes."""
+    key = list(held.tables[table][1])
+    rows = rows.persist()
+    try:
+        buckets = held.touched(rows, *key)
+        current = held.read(table, buckets)
+        found = {r["outcome"]: r["n"] for r in entities.changes(current, rows, key).groupBy("outcome").agg(F.count("*").alias("n")).collect()}
+        counts = {k: found.get(k, 0) for k in ("created", "changed", "unchanged")}
+        if counts["created"] or counts["changed"]:
+            held.commit(uuid.uuid4().hex, {table: entities.upsert(current, rows, key)}, remove=held.files(table, buckets))
+        return counts
+    finally:
+        rows.unpersist()
+
+
+class Dimensions(Store):
+    """Small reference tables that are seeded and seeded again: sources, currencies, sectors, and a snapshot that is replaced whole."""
+
+    #: Columns and key of each; fixed values where a surface names them.
+    TABLES = {
+        "source": ("source_id string, name string, kind string, base_url string, license_status string", ("source_id",)),
+        "currency": ("currency_code string, name string, minor_unit int", ("currency_code",)),
+        "sector": ("sector_id string, taxonomy string, code string, name_tr string, name_en string", ("sector_id",)),
+        "entity_snapshot": ("entity_id bigint, legal_name string, ticker string, last_filing timestamp_ntz, filings_30d bigint", ("entity_id",)),
+    }
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 4):
+        super().__init__(spark, root, self.TABLES, buckets)
+
+    def upsert(self, table: str, rows: DataFrame) -> dict[str, int]:
+        """``upsert`` with the last of rows that have one key."""
+        columns = self.spark.createDataFrame([], self.tables[table][0]).columns
+        numbered = rows.select(*columns, F.monotonically_increasing_id().alias("_n"))
+        return upsert(self, table, first_per_key(numbered, self.tables[table][1], F.col("_n").desc()).drop("_n"))
+
+    def replace(self, table: str, rows: DataFrame) -> int:
+        """The whole table anew, in one commit; readers see the old one or the new one. Returns its rows."""
+        self.commit(uuid.uuid4().hex, {table: rows}, remove=self.files(table))
+        return self.read(table).count()
+
+
 OBSERVATION_KEY = ("series_id", "ts", "as_of")
 _OBSERVATION = "series_id bigint, ts timestamp_ntz, as_of timestamp_ntz, value double, value_text string, quality_flag smallint, payload_hash string"
 

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.functions import nested
-from chronofold.operators import analytics, entities, quality, rollup, store
+from chronofold.operators import analytics, dashboard, entities, quality, rollup, store
+from chronofold.operators.temporal import first_per_key
 from chronofold.plans import research, table_functions
-from chronofold.plans.catalog import _BATCH, _BEST, _GRAMS, _INVARIANTS, _STORED, EVENT_PIT, PIT, query
+from chronofold.plans.catalog import _BATCH, _BEST, _GRAMS, _INVARIANTS, _STORED, EVENT_PIT, PIT, _published, query
 from chronofold.plans.views import collapsed
 from chronofold.schemas import REGISTRY
 from chronofold.session import scratch
 from chronofold.sources import projections as P
+from chronofold.streaming import events
 from chronofold.streaming.outbox import Outbox
 
 # Point-in-time reads as SQL table functions
@@ -227,3 +229,47 @@ def drained_outbox(spark, d):
         down = (F.col("outbox_id") % 7 == 0) & (F.col("outbox_id") % 5 >= n)
         box.drain(f"r{n}", lambda rows, n=n, down=down: rows.select("outbox_id", F.when(~down, F.concat(F.lit(f"{n}-"), "outbox_id")).alias("message_id"), F.when(down, F.lit(f"down {n}")).alias("error")))
     return box.state().select("outbox_id", "failures", F.col("published_at").isNotNull().alias("published"), "last_error")
+
+
+# Pages and reads of operators
+@query("SELECT offer_id, source_id, published_at, coalesce(n, 0) AS attachments FROM (SELECT *, CAST(DATE '2024-01-01' + CAST(offer_id % 90 AS INT) AS TIMESTAMP) AS published_at FROM filing) LEFT JOIN (SELECT doc_id AS offer_id, count(*) AS n FROM (SELECT doc_id, unnest(range(doc_id % 4)) FROM documents) GROUP BY 1) USING (offer_id) ORDER BY published_at DESC, offer_id LIMIT 60")
+def documents_page(spark, d):
+    attached = P.table(spark, d, "documents").where("doc_id % 4 > 0").select(F.col("doc_id").alias("filing_id"), F.explode(F.sequence(F.lit(1), F.col("doc_id") % 4)).alias("seq"))
+    return dashboard.documents_page(_published(spark, d), attached, 60)
+
+
+@query("SELECT event_id, copies, deleted FROM (SELECT event_id, ts FROM events WHERE event_id % 50 = 0 ORDER BY ts DESC, CAST(event_id AS VARCHAR) LIMIT 30) JOIN (SELECT event_id, 1 + event_id % 3 AS copies, CASE WHEN event_id % 100 = 0 THEN 1 ELSE 0 END AS deleted FROM events) USING (event_id)")
+def redactions_page(spark, d):
+    e = P.table(spark, d, "events").select(F.col("event_id").alias("number"), F.col("event_id").cast("string").alias("event_id"), "ts")
+    registry = e.where("number % 50 = 0").select("event_id", F.lit("art17").alias("redaction_reason"), F.lit("s").alias("original_stream"), F.col("ts").alias("redacted_at"), F.sha2("event_id", 256).alias("redacted_payload_hash"), F.lit("o").alias("original_payload_hash"))
+    copies = e.select("event_id", F.explode(F.sequence(F.lit(0), F.col("number") % 3)).alias("copy"), "number", "ts")
+    copies = copies.select("event_id", F.when((F.col("number") % 100 == 0) & (F.col("copy") == 0), F.col("ts")).alias("redacted_at"))
+    return dashboard.redactions_page(registry, copies, 30).select(F.col("event_id").cast("long").alias("event_id"), "copies", "deleted")
+
+
+@query("WITH m AS (SELECT event_type AS stream, event_id FROM events), d AS (SELECT stream, g, event_id, event_id % 4 = 0 AS acked, event_id % 3 AS consumer FROM m, (VALUES ('g1', 7), ('g2', 11)) v(g, k) WHERE event_id % k = 0) SELECT d.stream, g AS consumer_group, (SELECT count(*) FROM m WHERE m.stream = d.stream AND m.event_id > max(d.event_id)) AS lag, count(*) FILTER (NOT acked) AS pending, CAST(min(event_id) FILTER (NOT acked) AS VARCHAR) || '-0' AS min_pending, CAST(max(event_id) FILTER (NOT acked) AS VARCHAR) || '-0' AS max_pending, count(DISTINCT consumer) AS consumers, CAST(max(event_id) AS VARCHAR) || '-0' AS last_delivered_id FROM d GROUP BY d.stream, g")
+def stream_group_lag(spark, d):
+    e = P.table(spark, d, "events").select(F.col("event_type").alias("stream"), "event_id", F.concat(F.col("event_id").cast("string"), F.lit("-0")).alias("message_id"))
+    of = lambda group, k: e.where(F.col("event_id") % k == 0).select("stream", F.lit(group).alias("consumer_group"), (F.col("event_id") % 3).cast("string").alias("consumer"), "message_id", (F.col("event_id") % 4 == 0).alias("acked"))
+    return events.group_lag(e, of("g1", 7).unionByName(of("g2", 11)))
+
+
+# Seeds and the snapshot
+@query("SELECT o_custkey AS entity_id, 'Name ' || arg_max(o_orderkey, o_orderkey) AS legal_name FROM orders GROUP BY 1")
+def seeded_entities(spark, d):
+    """A dimension seeded from the older half of the orders, then from the newer, of which the last row of a key counts."""
+    held = store.Store(spark, scratch(spark, "dimension"), {"entity": ("entity_id bigint, legal_name string", ("entity_id",))}, buckets=4)
+    o = P.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("entity_id"), F.concat(F.lit("Name "), "o_orderkey").alias("legal_name"))
+    middle = o.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY o_orderkey)").alias("m")).first()["m"]
+    for part in (o.where(F.col("o_orderkey") <= middle), o.where(F.col("o_orderkey") > middle)):
+        store.upsert(held, "entity", first_per_key(part, ["entity_id"], F.col("o_orderkey").desc()))
+    return held.read("entity")
+
+
+@query("SELECT e.entity_id, legal_name, last_filing FROM entity e LEFT JOIN (SELECT entity_id, max(published_at) AS last_filing FROM disclosures_version GROUP BY 1) f USING (entity_id)")
+def refreshed_snapshot(spark, d):
+    """The snapshot of one day, replaced by that of a later one."""
+    held = store.Dimensions(spark, scratch(spark, "snapshot"))
+    for day in ("1996-01-01", "2000-06-15"):
+        held.replace("entity_snapshot", analytics.snapshot(P.entity(spark, d), P.identifier(spark, d), P.disclosures_version(spark, d), day))
+    return held.read("entity_snapshot").select("entity_id", "legal_name", "last_filing")

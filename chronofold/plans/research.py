@@ -209,6 +209,6 @@ def events_with_lineage(df: DataFrame, query: Read, **options) -> tuple[DataFram
 
 
 def warned(rows: DataFrame, warnings: DataFrame) -> DataFrame:
-    """``rows`` with the warnings (code, n) of the answer on each, as an array; empty without any."""
-    held = warnings.agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("warnings"))
-    return rows.withColumn("_one", F.lit(1)).join(held.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+    """``rows`` with the warnings (code, n) of the answer on each, as an array; empty without any. An answer has a handful of warnings, which are fetched."""
+    held = [F.struct(F.lit(w["code"]).alias("code"), F.lit(w["n"]).cast("long").alias("n")) for w in warnings.orderBy("code").collect()]
+    return rows.withColumn("warnings", F.array(*held).cast("array<struct<code:string,n:bigint>>"))

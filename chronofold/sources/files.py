@@ -53,7 +53,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_yaml(text: str) -> dict:
-    """Nested mappings of scalars, which is all that manifests and seeds use; by PyYAML where it is there."""
+    """Nested mappings of scalars and lists of mappings, which is all that manifests and seeds use; by PyYAML where it is there."""
     try:
         import yaml
     except ImportError:
@@ -67,15 +67,44 @@ def parse_yaml(text: str) -> dict:
         if not body.strip() or body.lstrip().startswith("#"):
             continue
         indent = len(body) - len(body.lstrip())
-        key, _, value = body.strip().partition(":")
+        item = body.lstrip().startswith("- ")
         while stack[-1][0] >= indent:
             stack.pop()
+        if item:  # a mapping of a list, which hangs on the key above
+            body = body.replace("- ", "  ", 1)
+            parent = stack[-1][1]
+            if not isinstance(parent.get(_ITEMS), list):
+                parent[_ITEMS] = []
+            parent[_ITEMS].append({})
+            stack.append((indent, parent[_ITEMS][-1]))
+        key, _, value = body.strip().partition(":")
         value = value.strip().strip("'\"")
         child: dict | str = value if value else {}
         stack[-1][1][key.strip("'\"")] = child
         if isinstance(child, dict):
-            stack.append((indent, child))
-    return root
+            stack.append((indent + 2 * item, child))
+    return _lists(root)
+
+
+_ITEMS = "- "
+
+
+def _lists(value):
+    if isinstance(value, dict):
+        return [_lists(v) for v in value[_ITEMS]] if _ITEMS in value else {k: _lists(v) for k, v in value.items()}
+    return value
+
+
+def read_sources(spark: SparkSession, path: str) -> DataFrame:
+    """Sources of a YAML manifest: id, name, kind, licence and perhaps a base_url each; one without a required key is an error."""
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    rows = []
+    for r in parse_yaml(text).get("sources") or []:
+        missing = {"id", "name", "kind", "license_status"} - set(r)
+        if missing:
+            raise ValueError(f"a source lacks {', '.join(sorted(missing))}")
+        rows.append((r["id"], r["name"], r["kind"], r.get("base_url"), r["license_status"]))
+    return spark.createDataFrame(rows, "source_id string, name string, kind string, base_url string, license_status string")
 
 
 def object_key(source: str, entity: str | None, day, filing: str, role: str, filename: str) -> str:

@@ -6,12 +6,15 @@ changes nothing.
 
 from __future__ import annotations
 
+import threading
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 BASE = "schema_version INT, event_id STRING, produced_at STRING, producer_run_id BIGINT, source_id STRING, actor_id STRING, actor_kind STRING, traceparent STRING, request_id STRING, kind STRING"
 #: Fields that every event has, those it may leave out, the actors, and the fields of each kind beyond them.
@@ -64,12 +67,15 @@ def once(events: DataFrame, window: str = "7 days") -> DataFrame:
     return events.withWatermark("produced_at", window).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def redacted(events: DataFrame, registry: DataFrame) -> DataFrame:
-    """Events with the payload a registry (event_id, replacement, sha256) holds in place of theirs; a wrong hash is an error."""
+def redacted(events: DataFrame, registry: DataFrame, strict: bool = False) -> DataFrame:
+    """Events with the payload a registry (event_id, replacement, sha256) holds in place of theirs; a wrong hash is an error, and so is a replacement that names another event or, if ``strict``, names none."""
     r = registry.select("event_id", "replacement", F.col("sha256").alias("_sha"))
     x = events.join(r, "event_id", "left")
     broken = F.col("replacement").isNotNull() & (F.sha2("replacement", 256) != F.col("_sha"))
-    checked = F.when(broken, F.raise_error(F.concat(F.lit("redaction hash mismatch: "), "event_id"))).otherwise(F.coalesce("replacement", "payload"))
+    named = F.get_json_object("replacement", "$.event_id")
+    other = F.col("replacement").isNotNull() & ~F.coalesce(named == F.col("event_id"), F.lit(not strict))
+    fail = lambda what: F.raise_error(F.concat(F.lit(what), "event_id"))
+    checked = F.when(broken, fail("redaction hash mismatch: ")).when(other, fail("redacted payload of another event: ")).otherwise(F.coalesce("replacement", "payload"))
     return x.withColumn("payload", checked).withColumn("is_redacted", F.col("replacement").isNotNull()).drop("replacement", "_sha")
 
 
@@ -110,19 +116,67 @@ def dead_letters(bad: DataFrame, stream: str | Column, group: str) -> DataFrame:
     return x.withColumn("failure_id", F.sha2(F.to_json(F.array(*DEAD)), 256))
 
 
-def drain(spark: SparkSession, source: str, schema: str, sink: str, dead: str, checkpoint: str, registry: DataFrame | None = None, stream: str = "events", group: str = "default") -> None:
-    """All messages of a folder through gate, deduplication and redaction into ``sink`` and ``dead``, exactly once for the reader."""
+class Counters(StreamingQueryListener):
+    """Sums of the metrics that streams observe, as ``name.metric``; complete for a query once it has ended and ``wait`` is over."""
+
+    def __init__(self):
+        self.totals: Counter[str] = Counter()
+        self._ended: dict[str, threading.Event] = defaultdict(threading.Event)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for name, row in event.progress.observedMetrics.items():
+            self.totals.update({f"{name}.{k}": v or 0 for k, v in row.asDict().items()})
+
+    def onQueryTerminated(self, event) -> None:
+        self._ended[str(event.runId)].set()
+
+    def wait(self, queries: list, seconds: float = 60) -> None:
+        for q in queries:
+            if not self._ended[str(q.runId)].wait(seconds):
+                raise TimeoutError("a stream's last metrics have not come")
+
+
+COUNTS = "run string, name string, n bigint"
+
+
+def drain(spark: SparkSession, source: str, schema: str, sink: str, dead: str, checkpoint: str, registry: DataFrame | None = None, stream: str = "events", group: str = "default", counts: str | None = None) -> dict[str, int]:
+    """All messages of a folder through gate, deduplication and redaction into ``sink`` and ``dead``, exactly once for the reader.
+
+    Returns what the streams counted on their way, with no pass of its own: messages, those that the gate refused, events, those left after
+    deduplication, redacted ones. ``counts`` is a table to append this to, by run.
+    """
     parsed = parse(spark.readStream.schema(schema).parquet(source))
-    good, bad = split(parsed)
-    good = once(good)
-    good = redacted(good, registry) if registry is not None else good
+    refused = F.col("error").isNotNull()
+    good, _ = split(parsed)
+    _, bad = split(parsed.observe("gate", F.count("*").alias("messages"), F.count_if(refused).alias("refused")))
+    good = once(good.observe("accepted", F.count("*").alias("events"))).observe("unique", F.count("*").alias("events"))
+    if registry is not None:
+        good = redacted(good, registry)
+        good = good.observe("redaction", F.count_if("is_redacted").alias("events"))
     bad = dead_letters(bad, stream, group)
-    queries = [
-        good.writeStream.option("checkpointLocation", f"{checkpoint}/good").trigger(availableNow=True).foreachBatch(lambda b, _: append_new(b, sink, ["event_id"], "produced_at")).start(),
-        bad.writeStream.option("checkpointLocation", f"{checkpoint}/dead").trigger(availableNow=True).foreachBatch(lambda b, _: append_new(b, dead, DEAD)).start(),
-    ]
-    for q in queries:
-        q.awaitTermination()
+    counters = Counters()
+    spark.streams.addListener(counters)
+    try:
+        queries = [
+            good.writeStream.option("checkpointLocation", f"{checkpoint}/good").trigger(availableNow=True).foreachBatch(lambda b, _: append_new(b, sink, ["event_id"], "produced_at")).start(),
+            bad.writeStream.option("checkpointLocation", f"{checkpoint}/dead").trigger(availableNow=True).foreachBatch(lambda b, _: append_new(b, dead, DEAD)).start(),
+        ]
+        for q in queries:
+            q.awaitTermination()
+        counters.wait(queries)
+    finally:
+        spark.streams.removeListener(counters)
+    t = counters.totals
+    found = {"messages": t["gate.messages"], "refused": t["gate.refused"], "events": t["accepted.events"], "duplicates": t["accepted.events"] - t["unique.events"], "redacted": t["redaction.events"]}
+    if counts:
+        spark.createDataFrame([(str(queries[0].runId), k, n) for k, n in found.items()], COUNTS).coalesce(1).write.mode("append").parquet(counts)
+    return found
 
 
 def indexed_letters(index: DataFrame, log: DataFrame, limit: int = 1000) -> DataFrame:
@@ -204,3 +258,44 @@ def pending(outbox: DataFrame, published: DataFrame) -> DataFrame:
 def retry(dead: DataFrame, message_ids: list[str]) -> DataFrame:
     """Messages of the dead-letter table to put back into the source."""
     return dead.where(F.col("message_id").isin(message_ids)).select("message_id", "payload")
+
+
+def tail(messages: DataFrame, start: str | None = None, count: int = 10) -> DataFrame:
+    """The first messages of a stream from an id on, by id; None is its beginning."""
+    from chronofold.functions.text import message_order
+
+    at = message_order(F.col("message_id"))
+    x = messages if start is None else messages.where(at >= message_order(F.lit(start)))
+    return x.orderBy(at).limit(count)
+
+
+def group_lag(messages: DataFrame, deliveries: DataFrame) -> DataFrame:
+    """For each stream and consumer group: lag, the messages after the last that was delivered; pending, those delivered and not acknowledged,
+    with the least and the greatest; how many consumers; the last delivered id.
+
+    ``messages`` has stream and message_id, ``deliveries`` stream, consumer_group, consumer, message_id and acked. A stream has a row for each of its groups.
+    """
+    from chronofold.functions.text import message_order
+
+    at = message_order(F.col("message_id"))
+    key = ["stream", "consumer_group"]
+    pending = F.when(~F.col("acked"), F.struct(at.alias("at"), "message_id"))
+    groups = deliveries.groupBy(*key).agg(
+        F.max(F.struct(at.alias("at"), "message_id")).alias("last"),
+        F.count_distinct(F.when(~F.col("acked"), F.col("message_id"))).alias("pending"),
+        F.min(pending)["message_id"].alias("min_pending"),
+        F.max(pending)["message_id"].alias("max_pending"),
+        F.count_distinct("consumer").alias("consumers"),
+    )
+    # messages of a stream after a group's last, in one ordered pass: what stands above it
+    marks = groups.select("stream", F.col("last.at").alias("at"), "consumer_group")
+    both = messages.select("stream", at.alias("at"), F.lit(None).cast("string").alias("consumer_group")).unionByName(marks)
+    upto = Window.partitionBy("stream").orderBy(F.col("at").desc(), F.col("consumer_group").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    lag = both.withColumn("lag", F.count_if(F.col("consumer_group").isNull()).over(upto)).where("consumer_group IS NOT NULL").select(*key, "lag")
+    return groups.join(lag, key).select(*key, "lag", "pending", "min_pending", "max_pending", "consumers", F.col("last.message_id").alias("last_delivered_id"))
+
+
+def letters_list(log: DataFrame, limit: int = 50, stream: str | None = None) -> DataFrame:
+    """The newest dead letters, of one stream if asked, without their payloads."""
+    x = log if stream is None else log.where(F.col("stream") == stream)
+    return x.orderBy(F.col("failed_at").desc_nulls_last(), "failure_id").limit(limit).drop("payload")
