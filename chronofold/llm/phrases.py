@@ -32,7 +32,7 @@ from chronofold.llm.kernels import chunks, mix
 from chronofold.llm.runtime import cut, drop_cut, fresh
 
 LONGEST = 5
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 #: What a cut of a phrase is scored by, as the phrase is scored by its worst one.
 SCALE = 1000
 
