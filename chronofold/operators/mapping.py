@@ -19,7 +19,7 @@ _TERM = re.compile(r"\s*([+-]?)\s*([A-Za-z][\w.]*)")
 
 @dataclass(frozen=True)
 class Line:
-    """``sources`` in order of preference; a residual is ``parent`` less the ``components`` that are there."""
+    """``sources`` in order of preference; a residual is ``parent`` less the ``components`` that are there. ``check`` is a sum that the value should equal."""
 
     code: str
     statement_type: str
@@ -28,6 +28,7 @@ class Line:
     formula: str | None = None
     parent: str | None = None
     components: tuple[str, ...] = ()
+    check: str | None = None
 
     def __post_init__(self):
         if self.formula is None and self.mode not in MODES:
@@ -89,3 +90,27 @@ def canonical_values(rows: DataFrame, lines: Sequence[Line], key: Sequence[str],
         got = got.withColumn("_values", F.when(value.isNotNull(), more).otherwise(F.col("_values")))
     out = got.select(*key, "_n", F.explode("_values").alias("canonical_code", "value"))
     return out.select(*key, "canonical_code", "value", F.coalesce(F.col("_n")[F.col("canonical_code")], F.lit(0)).alias("n_sources"))
+
+
+def from_manifest(manifest: dict) -> list[Line]:
+    """Lines of a parsed manifest (see ``sources.files.parse_yaml``), in its order."""
+    out = []
+    for code, x in (manifest.get("lines") or manifest).items():
+        out.append(Line(code, x["statement_type"], x.get("aggregation_mode"), tuple(x.get("sources") or ()), x.get("formula"), x.get("parent"), tuple(x.get("components") or ()), x.get("derived_check")))
+    return out
+
+
+def derived_checks(values: DataFrame, lines: Sequence[Line], key: Sequence[str], tolerance_pct: float = 1.0) -> DataFrame:
+    """(key, canonical_code, value, expected, delta_pct, state) of the lines that have a check and the keys that have any value.
+
+    State is unknown where the line or a code of its check is missing, pass within the tolerance (in per cent of what is expected, or none if that is 0), else fail.
+    """
+    held = values.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("canonical_code", "value"))).alias("_values"))
+    checks = [F.struct(F.lit(x.code).alias("canonical_code"), F.col("_values")[x.code].alias("value"), _formula(F.col("_values"), x.check).alias("expected")) for x in lines if x.check]
+    if not checks:
+        return held.select(*key, F.lit(None).cast("string").alias("canonical_code"), *[F.lit(None).cast(t).alias(c) for c, t in (("value", "double"), ("expected", "double"), ("delta_pct", "double"), ("state", "string"))]).limit(0)
+    x = held.select(*key, F.explode(F.array(*checks)).alias("c")).select(*key, "c.*")
+    gap = F.abs(F.col("value") - F.col("expected"))
+    delta = F.when(F.col("expected") != 0, 100 * gap / F.abs("expected"))
+    within = F.when(F.col("expected") != 0, delta <= tolerance_pct).otherwise(gap == 0)
+    return x.withColumns({"delta_pct": delta, "state": F.when(gap.isNull(), "unknown").when(within, "pass").otherwise("fail")})

@@ -144,13 +144,15 @@ def upsert(held: Store, table: str, rows: DataFrame) -> dict[str, int]:
 
 
 class Dimensions(Store):
-    """Small reference tables that are seeded and seeded again: sources, currencies, sectors, and a snapshot that is replaced whole."""
+    """Small reference tables that are seeded and seeded again: sources, currencies, sectors, who belongs to whom and to which sector, and a snapshot that is replaced whole."""
 
     #: Columns and key of each; fixed values where a surface names them.
     TABLES = {
         "source": ("source_id string, name string, kind string, base_url string, license_status string", ("source_id",)),
         "currency": ("currency_code string, name string, minor_unit int", ("currency_code",)),
         "sector": ("sector_id string, taxonomy string, code string, name_tr string, name_en string", ("sector_id",)),
+        "relationship": ("parent_entity_id bigint, child_entity_id bigint, kind string, valid_from date, valid_to date, ownership double", ("parent_entity_id", "child_entity_id", "kind", "valid_from")),
+        "entity_sector": ("entity_id bigint, sector_id string, valid_from date, is_primary boolean", ("entity_id", "sector_id", "valid_from")),
         "entity_snapshot": ("entity_id bigint, legal_name string, ticker string, last_filing timestamp_ntz, filings_30d bigint", ("entity_id",)),
     }
 
@@ -285,3 +287,34 @@ class Filings(Store):
         finally:
             free.unpersist()
             blobs.unpersist()
+
+
+class Processed(Store):
+    """Which events each consumer group is done with, so that a repeated delivery is known; an operator may clear one for another delivery."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
+        super().__init__(spark, root, {
+            "processed": ("stream string, consumer_group string, event_id string", ("event_id",)),
+            "audit": ("stream string, consumer_group string, event_id string, actor_id string, cause string", ("event_id",)),
+        }, buckets)
+
+    def unseen(self, events: DataFrame, stream: str, group: str) -> DataFrame:
+        """The events that the group isn't done with, one for each event_id."""
+        mine = self.read("processed", self.touched(events, "event_id")).where((F.col("stream") == stream) & (F.col("consumer_group") == group))
+        return events.dropDuplicates(["event_id"]).join(mine.select("event_id"), "event_id", "left_anti")
+
+    def done(self, batch_id: str, events: DataFrame, stream: str, group: str) -> bool:
+        """Events that the group is done with; a repeated batch adds nothing."""
+        if self.committed(batch_id):
+            return False
+        new = self.unseen(events, stream, group).select(F.lit(stream).alias("stream"), F.lit(group).alias("consumer_group"), "event_id")
+        return self.commit(batch_id, {"processed": new})
+
+    def clear(self, stream: str, group: str, event_id: str, actor_id: str) -> int:
+        """Forget one event, so that it may be delivered again: its audit row is committed first. Returns how many marks went."""
+        one = self.spark.createDataFrame([(stream, group, event_id)], "stream string, consumer_group string, event_id string")
+        self.commit(uuid.uuid4().hex, {"audit": one.select("*", F.lit(actor_id).alias("actor_id"), F.lit("processed_clear").alias("cause"))})
+        held = self.read("processed", self.touched(one, "event_id")).join(one, one.columns, "left_semi").count()
+        if held:
+            self.delete(uuid.uuid4().hex, {"processed": one.select("event_id", "stream", "consumer_group")})
+        return held

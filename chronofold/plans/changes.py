@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofold.functions import documents as docs
 from chronofold.functions import nested
-from chronofold.operators import analytics, dashboard, entities, quality, rollup, store
+from chronofold.operators import analytics, dashboard, entities, mapping, quality, rollup, store
 from chronofold.operators.temporal import first_per_key
 from chronofold.plans import research, table_functions
-from chronofold.plans.catalog import _BATCH, _BEST, _GRAMS, _INVARIANTS, _STORED, EVENT_PIT, PIT, _published, query
+from chronofold.plans.catalog import _BATCH, _BEST, _GRAMS, _INVARIANTS, _MANIFEST, _PICKED, _STORED, EVENT_PIT, PIT, _published, query
 from chronofold.plans.views import collapsed
 from chronofold.schemas import REGISTRY
 from chronofold.session import scratch
@@ -273,3 +276,31 @@ def refreshed_snapshot(spark, d):
     for day in ("1996-01-01", "2000-06-15"):
         held.replace("entity_snapshot", analytics.snapshot(P.entity(spark, d), P.identifier(spark, d), P.disclosures_version(spark, d), day))
     return held.read("entity_snapshot").select("entity_id", "legal_name", "last_filing")
+
+
+# JSON documents, derived checks, processed events
+@query("SELECT event_id, json_extract(props, '$.k') = 5 OR json_extract(props, '$.k') = 50 AS held, json_extract_string(props, '$.k') AS k, 'r' || event_id % 3 AS last_ref FROM events")
+def json_documents(spark, d):
+    e, props = P.table(spark, d, "events"), F.col("props")
+    listed = docs.appended(docs.with_key(props, "refs", F.lit('["r0"]')), "refs", "r1")
+    ref = F.when(F.col("event_id") % 3 == 0, docs.with_key(props, "refs", F.lit('["r0"]'))).when(F.col("event_id") % 3 == 1, listed).otherwise(docs.merged(listed, F.lit('{"refs":["r2"]}')))
+    held = docs.contains(props, {"k": 5}) | docs.contains(props, {"k": 50})
+    return e.select("event_id", held.alias("held"), F.get_json_object("props", "$.k").alias("k"), F.element_at(F.from_json(F.get_json_object(ref, "$.refs"), "array<string>"), -1).alias("last_ref"))
+
+
+@query("SELECT entity_id, period_end, canonical_code, round(value, 4) AS value, round(expected, 4) AS expected, CASE WHEN value IS NULL OR expected IS NULL THEN 'unknown' WHEN 100 * abs(value - expected) <= 40 * abs(expected) THEN 'pass' ELSE 'fail' END AS state FROM (SELECT entity_id, period_end, unnest(['is.revenue', 'bs.assets']) AS canonical_code, unnest([revenue, assets]) AS value, unnest([costs, cash]) AS expected FROM (" + _PICKED + ") WHERE coalesce(revenue, costs, assets, cash) IS NOT NULL)")
+def derived_checks(spark, d):
+    lines = [dataclasses.replace(x, check={"is.revenue": "is.costs", "bs.assets": "bs.cash"}.get(x.code)) for x in _MANIFEST if x.mode in ("pick_first", "sum_components")]
+    values = mapping.canonical_values(P.financial_line_item(spark, d), lines, ["entity_id", "period_end"])
+    x = mapping.derived_checks(values, lines, ["entity_id", "period_end"], 40.0)
+    return x.select("entity_id", "period_end", "canonical_code", F.round("value", 4).alias("value"), F.round("expected", 4).alias("expected"), "state")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS event_id, event_type FROM events WHERE event_id % 3 > 0")
+def unprocessed_events(spark, d):
+    """A group is done with every third event, told of them in two batches that share some, the second twice."""
+    held = store.Processed(spark, scratch(spark, "processed"), buckets=8)
+    e = P.table(spark, d, "events").select(F.col("event_id").cast("string").alias("event_id"), "event_type", F.col("event_id").alias("n"))
+    for batch, where in (("b1", "n % 6 = 0"), ("b2", "n % 3 = 0"), ("b2", "n % 3 = 0")):
+        held.done(batch, e.where(where), "events", "g")
+    return held.unseen(e, "events", "g").select("event_id", "event_type")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import datetime as dt
 import hashlib
 import json
+import re
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,16 +72,18 @@ def parse_yaml(text: str) -> dict:
         item = body.lstrip().startswith("- ")
         while stack[-1][0] >= indent:
             stack.pop()
-        if item:  # a mapping of a list, which hangs on the key above
+        if item:  # of a list, which hangs on the key above: a mapping or a scalar
             body = body.replace("- ", "  ", 1)
             parent = stack[-1][1]
             if not isinstance(parent.get(_ITEMS), list):
                 parent[_ITEMS] = []
+            if not re.search(r":(\s|$)", body):
+                parent[_ITEMS].append(_scalar(body.strip()))
+                continue
             parent[_ITEMS].append({})
             stack.append((indent, parent[_ITEMS][-1]))
         key, _, value = body.strip().partition(":")
-        value = value.strip().strip("'\"")
-        child: dict | str = value if value else {}
+        child = _scalar(value.strip()) if value.strip() else {}
         stack[-1][1][key.strip("'\"")] = child
         if isinstance(child, dict):
             stack.append((indent + 2 * item, child))
@@ -87,6 +91,11 @@ def parse_yaml(text: str) -> dict:
 
 
 _ITEMS = "- "
+_WORDS = {"null": None, "~": None, "[]": [], "true": True, "false": False}
+
+
+def _scalar(text: str):
+    return _WORDS[text] if text in _WORDS else text.strip("'\"")
 
 
 def _lists(value):
@@ -152,6 +161,14 @@ def envelope(df: DataFrame, metadata: dict) -> dict:
     return {"data": data, "metadata": metadata, "etag": hashlib.sha256(body.encode()).hexdigest()[:32]}
 
 
+SETTLED = dt.timedelta(minutes=5)
+
+
+def cacheability(as_of: dt.datetime, now: dt.datetime) -> str:
+    """Whether an answer for a point in time may be kept: for good once the point is five minutes old, since late rows have come by then; else only after asking again."""
+    return "public, max-age=31536000, immutable" if now - as_of >= SETTLED else "no-cache, must-revalidate"
+
+
 def encode_cursor(values: list, as_of: str, filters: dict) -> str:
     body = {"v": 1, "as_of": as_of, "anchor": values, "filters_hash": filters_hash(filters)}
     return base64.urlsafe_b64encode(json.dumps(body).encode()).decode()

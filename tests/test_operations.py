@@ -108,3 +108,74 @@ def test_source_manifest(spark, tmp_path):
     with pytest.raises(ValueError, match="license_status"):
         files.read_sources(spark, str(tmp_path / "t.yaml"))
     assert files.parse_yaml("a:\n  - x: 1\n    y:\n      z: 2\n  - x: 3\nb: 4\n") == {"a": [{"x": "1", "y": {"z": "2"}}, {"x": "3"}], "b": "4"} or files.parse_yaml("a: 1") == {"a": 1}
+
+
+def test_processed_events(spark, tmp_path):
+    p = store.Processed(spark, f"file://{tmp_path}/p", buckets=2)
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "event_id string")
+    assert p.done("b1", ids("a", "b", "a"), "s", "g") and not p.done("b1", ids("a"), "s", "g")
+    p.done("b2", ids("b", "c"), "s", "g")
+    left = lambda group: sorted(r["event_id"] for r in p.unseen(ids("a", "b", "c", "d"), "s", group).collect())
+    assert left("g") == ["d"] and left("other") == ["a", "b", "c", "d"]
+    assert p.clear("s", "g", "b", "ops") == 1 and p.clear("s", "g", "zz", "ops") == 0 and left("g") == ["b", "d"]
+    assert sorted((r["event_id"], r["actor_id"]) for r in p.read("audit").collect()) == [("b", "ops"), ("zz", "ops")]
+    assert p.read("processed").count() == 2
+
+
+def test_links_and_sectors(spark, tmp_path):
+    d = store.Dimensions(spark, f"file://{tmp_path}/d")
+    link = lambda own: spark.createDataFrame([(1, 2, "subsidiary", T.date(), None, own)], d.tables["relationship"][0])
+    assert [d.upsert("relationship", link(x)) for x in (0.5, 0.5, 0.6)] == [{"created": 1, "changed": 0, "unchanged": 0}, {"created": 0, "changed": 0, "unchanged": 1}, {"created": 0, "changed": 1, "unchanged": 0}]
+    assert d.read("relationship").first()["ownership"] == 0.6
+    assert d.upsert("entity_sector", spark.createDataFrame([(1, "x", T.date(), True)], d.tables["entity_sector"][0]))["created"] == 1
+
+
+def test_json_documents(spark):
+    from chronofold.functions import documents as D
+
+    rows = ['{"a":1,"b":[1,{"c":"x","d":null}],"e":{"f":true}}', '["a","b",[1]]', '"a"', "{}", "[]", "no json", None, '{"a":"1","b":[]}']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, j string")
+
+    def plain(value, part):
+        if isinstance(part, dict):
+            return isinstance(value, dict) and all(k in value and plain(value[k], v) for k, v in part.items())
+        if isinstance(part, list):
+            return isinstance(value, list) and all(any(plain(v, x) for v in value) for x in part)
+        return type(value) is type(part) and value == part
+
+    def held(text, part):
+        if text is None:
+            return None
+        try:
+            value = json.loads(text)
+        except ValueError:
+            return False
+        return plain(value, part) or (not isinstance(part, (dict, list)) and isinstance(value, list) and any(plain(v, part) for v in value))
+
+    for part in ({"a": 1}, {"a": "1"}, {"b": [{"c": "x"}]}, {"b": [1]}, {"b": []}, {"e": {}}, {"e": {"f": True}}, {"b": [{"d": None}]}, ["a"], ["b", "a"], [[1]], [], {}, "a", 1, {"zz": None}):
+        got = {r["i"]: r["x"] for r in df.select("i", D.contains(F.col("j"), part).alias("x")).collect()}
+        assert got == {i: held(r, part) for i, r in enumerate(rows)}, part
+    got = [r["x"] for r in df.orderBy("i").select(D.has_key(F.col("j"), "a").alias("x")).collect()]
+    assert got == [True, True, False, False, False, False, None, True]
+    one = df.where("i = 7").select(D.merged(F.col("j"), F.lit('{"b":{"k":2},"ş\\"":[1]}')).alias("m"), D.with_key(F.col("j"), "n", F.lit("[1,2]")).alias("n"), D.with_key(F.col("j"), "a", F.lit("null")).alias("o"), D.appended(F.col("j"), "b", "r2").alias("p")).first()
+    assert json.loads(one["m"]) == {"a": "1", "b": {"k": 2}, 'ş"': [1]} and json.loads(one["n"]) == {"a": "1", "b": [], "n": [1, 2]} and json.loads(one["o"]) == {"a": None, "b": []} and json.loads(one["p"]) == {"a": "1", "b": ["r2"]}
+    again = spark.createDataFrame([('{"republished_as":["r1"]}',), ("{}",)], "j string").select(D.appended(F.col("j"), "republished_as", "r1").alias("x")).collect()
+    assert [json.loads(r["x"]) for r in again] == [{"republished_as": ["r1"]}] * 2
+    assert df.where("i in (1, 5)").select(D.merged(F.col("j"), F.lit("{}")).alias("m")).where("m is not null").count() == 0
+
+
+def test_cacheability():
+    assert files.cacheability(T, T + dt.timedelta(minutes=5)).endswith("immutable") and files.cacheability(T, T + dt.timedelta(minutes=4)) == "no-cache, must-revalidate"
+
+
+def test_manifest_and_derived_checks(spark, tmp_path):
+    from chronofold.operators import mapping
+
+    text = "lines:\n  is.revenue:\n    statement_type: is\n    aggregation_mode: pick_first\n    sources:\n      - x_Revenue\n      - x:Sales\n    formula: null\n    mutual_exclusion: []\n    derived_check: null\n  is.costs:\n    statement_type: is\n    aggregation_mode: sum_components\n    sources:\n      - x_C1\n      - x_C2\n    derived_check: null\n  is.gross:\n    statement_type: is\n    aggregation_mode: pick_first\n    sources:\n      - x_Gross\n    derived_check: \"is.revenue - is.costs\"\n  is.net:\n    statement_type: is\n    aggregation_mode: null\n    sources: []\n    formula: \"is.gross - is.costs\"\n    derived_check: \"is.gross\"\n"
+    lines = mapping.from_manifest(files.parse_yaml(text))
+    assert lines[0] == mapping.Line("is.revenue", "is", "pick_first", ("x_Revenue", "x:Sales")) and lines[2].check == "is.revenue - is.costs" and lines[3].sources == ()
+    rows = [(1, "x_Revenue", 100.0), (1, "x_C1", 30.0), (1, "x_C2", 10.0), (1, "x_Gross", 60.5), (2, "x_Revenue", 100.0), (2, "x_Gross", 50.0), (3, "x_Gross", 0.0), (3, "x_C1", 0.0), (3, "x_Revenue", 0.0), (4, "other", 1.0)]
+    values = mapping.canonical_values(spark.createDataFrame(rows, "entity_id int, line_code string, value double"), lines, ["entity_id"])
+    got = {(r["entity_id"], r["canonical_code"]): (r["state"], r["delta_pct"]) for r in mapping.derived_checks(values, lines, ["entity_id"]).collect()}
+    assert got[1, "is.gross"] == ("pass", pytest.approx(100 / 120)) and got[1, "is.net"][0] == "fail" and got[2, "is.gross"] == ("unknown", None) and got[3, "is.gross"] == ("pass", None) and (4, "is.gross") not in got
+    assert mapping.derived_checks(values, lines[:2], ["entity_id"]).count() == 0
