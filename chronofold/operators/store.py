@@ -17,6 +17,7 @@ from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from chronofold.operators import entities, ingest
 from chronofold.operators.entities import Conflict
@@ -37,17 +38,23 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, tables: dict[str, tuple[str, tuple[str, ...]]], buckets: int = 64):
         self.spark, self.root, self.tables, self.buckets = spark, root.rstrip("/"), tables, buckets
+        self._records: dict[str, dict] = {}
         self._path = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     # The log
     def commits(self) -> list[dict]:
-        """Records in order: id, digest, added files by table as (path, bucket), removed paths, note."""
+        """Records in order: id, digest, added files by table as (path, bucket), removed paths, note. They never change, so each is read once."""
         folder = self._path(f"{self.root}/_log")
         if not self._fs.exists(folder):
             return []
         names = sorted(p for s in self._fs.listStatus(folder) if (p := s.getPath().toString()).endswith(".json"))
-        return [json.loads(r[0]) for r in sorted(self.spark.read.text(names, wholetext=True).select("value", F.input_file_name()).collect(), key=lambda r: r[1])] if names else []
+        for name in names:
+            if name not in self._records:
+                stream = self._fs.open(self._path(name))
+                self._records[name] = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+                stream.close()
+        return [self._records[n] for n in names]
 
     def committed(self, batch_id: str) -> dict | None:
         return next((c for c in self.commits() if c["id"] == batch_id), None)
@@ -87,7 +94,7 @@ class Store:
     def _written(self, table: str, rows: DataFrame) -> list[list]:
         schema, key = self.tables[table]
         path = f"{self.root}/{table}/{uuid.uuid4().hex}"
-        columns = [F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], schema).schema.fields]
+        columns = [F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(schema).fields]
         rows.select(*columns, self.bucket(*key).alias(BUCKET)).repartition(BUCKET).write.partitionBy(BUCKET).parquet(path)
         found, it = [], self._fs.listFiles(self._path(path), True)
         while it.hasNext():
@@ -161,7 +168,7 @@ class Dimensions(Store):
 
     def upsert(self, table: str, rows: DataFrame) -> dict[str, int]:
         """``upsert`` with the last of rows that have one key."""
-        columns = self.spark.createDataFrame([], self.tables[table][0]).columns
+        columns = StructType.fromDDL(self.tables[table][0]).fieldNames()
         numbered = rows.select(*columns, F.monotonically_increasing_id().alias("_n"))
         return upsert(self, table, first_per_key(numbered, self.tables[table][1], F.col("_n").desc()).drop("_n"))
 

@@ -33,7 +33,7 @@ def pages(df, name, query, limit, **options):
 
 
 @pytest.mark.parametrize("query", [research.Read(), research.Read(as_of="2024-01-01 00:20:00"), research.Read(between=("2024-01-01 00:05:00", "2024-01-01 00:30:00")), research.Read(equal={"series_id": 1, "value": 1.0})])
-@pytest.mark.parametrize("limit", [7, 500])
+@pytest.mark.parametrize("limit", [23, 500])
 def test_pages_are_the_read(obs, query, limit):
     got, n = pages(obs, "observation", query, limit)
     want = research.read(obs, "observation", query)
