@@ -137,21 +137,26 @@ def refreshed_months(spark, d):
 
 
 # Pages by cursor
+def _page(df: DataFrame, name: str, asked: research.Read, limit: int, number: int) -> DataFrame:
+    """A page by the cursors of those before it; empty after the last."""
+    rows, cursor = research.page(df, name, asked, None, limit)
+    for _ in range(number - 1):
+        if cursor is None:
+            return rows.limit(0)
+        rows, cursor = research.page(df, name, asked, cursor, limit)
+    return rows
+
+
 @query("SELECT series_id, ts, as_of, value FROM (" + collapsed("observation", "series_id, ts", "as_of DESC, event_id DESC", f"as_of <= TIMESTAMP '{EVENT_PIT}' AND series_id >= 3") + ") WHERE value > 20 ORDER BY series_id, ts DESC LIMIT 300 OFFSET 300")
 def research_second_page(spark, d):
     q = research.Read(as_of=EVENT_PIT, closed={"series_id": (3, None), "value": (20.001, None)})
-    obs = P.observation(spark, d)
-    _, cursor = research.page(obs, "observation", q, limit=300)
-    return research.page(obs, "observation", q, cursor, 300)[0].select("series_id", "ts", "as_of", "value")
+    return _page(P.observation(spark, d), "observation", q, 300, 2).select("series_id", "ts", "as_of", "value")
 
 
 @query("SELECT filing_id, event_type, event_seq, as_of FROM filing_event WHERE as_of >= TIMESTAMP '1996-01-01' AND as_of < TIMESTAMP '1996-02-01' ORDER BY filing_id, event_type, event_seq, as_of, row_no LIMIT 200 OFFSET 400")
 def research_third_page_of_versions(spark, d):
-    q, x = research.Read(between=("1996-01-01 00:00:00", "1996-02-01 00:00:00")), P.filing_event(spark, d)
-    cursor = None
-    for _ in range(2):
-        _, cursor = research.page(x, "filing_event", q, cursor, 200)
-    return research.page(x, "filing_event", q, cursor, 200)[0].select("filing_id", "event_type", "event_seq", "as_of")
+    q = research.Read(between=("1996-01-01 00:00:00", "1996-02-01 00:00:00"))
+    return _page(P.filing_event(spark, d), "filing_event", q, 200, 3).select("filing_id", "event_type", "event_seq", "as_of")
 
 
 # Events with their lineage; entity financials with all filters; every invariant
