@@ -75,8 +75,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     plan = plan.withColumn("whole", F.least(F.floor(ratio), F.lit(most)).cast("long")).withColumn("open", ratio > F.col("whole"))
     plan = plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("skey", _skey())
     plan = cut(plan, "mix-plan")
-    chances = cut(_chances(base, plan), "mix-chances")
-    rows = base.withColumn("skey", _skey()).drop("source").join(plan.join(chances, "skey", "left"), "skey")
+    # Written once more, so that the planner sees how few rows the next join meets.
+    plan = cut(plan.join(_chances(base, plan), "skey", "left"), "mix-chances")
+    rows = base.withColumn("skey", _skey()).drop("source").join(plan, "skey")
     certain = F.coalesce(F.col("open") & (F.col("level") > F.col("top")), F.lit(False))
     rows = rows.withColumn("p", F.when(F.col("open") & ~certain, F.coalesce(F.least(F.col("chance") * _weight("level"), F.lit(BELOW_1)), F.lit(0.0))).otherwise(0.0))
     rows = rows.withColumn("whole", F.col("whole") + certain.cast("long")).withColumn("left", F.col("rest") - F.coalesce("sure", F.lit(0)))
