@@ -12,8 +12,8 @@ To keep the variants few, lines are first compared with whole parts deleted (hal
 then finer ones): lines one edit apart agree in all parts but one. What shares no such key has no
 near line and emits no variants.
 
-For bounds of 2 and 3 whole parts are deleted instead of characters. All lines are compared by an end, or
-what stands beside it; few lines of one end are compared at once, many first told apart by two of d + 2 parts, which
+For bounds of 2 and 3 whole parts are deleted instead of characters. All lines are compared by hashes of an end, or
+of what stands beside it, so only the texts of lines that share one are fetched; few lines of one end are compared at once, many first told apart by two of d + 2 parts, which
 d edits leave whole and move by no more than the edits before them. The join on a key verifies the edit
 distance in its condition, so it makes links and no other pairs.
 The edits allowed grow with the shorter line: one
@@ -41,6 +41,8 @@ BOUND = 3
 PLACE = ("doc_id", "mark", "line_no")
 CHARS_PER_EDIT = 10
 FEW = 16
+#: Bytes of lines whose keys are made at once.
+KEYED_BYTES = 1 << 20
 #: White space that may stand at either end of a line.
 BLANKS = " \t\r"
 #: Characters that are counted before lines are compared.
@@ -132,23 +134,25 @@ def _dropped(docs: DataFrame, bound: int = 1, min_chars: int = MIN_CHARS, id_col
     if bound not in range(BOUND + 1):
         raise ValueError(f"bound {bound} is not one of 0 to {BOUND}")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    lines = texts.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    lines = lines.select(*PLACE, F.trim("raw", F.lit(BLANKS)).alias("line")).where(F.length("line") >= (min_chars if min_equal is None else min(min_equal, min_chars)))
+    # Trimmed within the array: once for each line, not in every filter.
+    lines = texts.select(*PLACE[:2], F.posexplode(F.transform(F.split("text", "\n"), _trimmed)).alias("line_no", "line"))
+    lines = lines.where(F.length("line") >= (min_chars if min_equal is None else min(min_equal, min_chars)))
     if min_equal is not None:
-        lines = lines.where(F.col("line").rlike(r"[^\s\p{Z}]"))
-    compared = F.length("line") >= min_chars
-    halves = F.when(compared & F.lit(bound == 1), _halves(F.col("line")))
-    hashed = lines.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), halves.alias("halves"))
-    hashed = cut(hashed, "ld-lines")
-    classes = hashed.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("pos"), F.count("*").alias("copies"), F.any_value("halves").alias("halves"))
+        # What begins with a printing ASCII character needs no search.
+        lines = lines.where(((F.col("line") >= "!") & (F.col("line") < "\x7f")) | F.col("line").rlike(r"[^\s\p{Z}]"))
+    halves = F.when((F.length("line") >= min_chars) & F.lit(bound == 1), _halves(F.col("line")))
+    keyed = lines.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), *([halves.alias("keys")] if bound < 2 else ["line"]))
+    keyed = cut(keyed if bound < 2 else _end_keys(keyed, bound, min_chars), "ld-keys")
+    classes = keyed.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("pos"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "ld-classes")
+    hashed = cut(keyed.drop("keys"), "ld-lines")
+    drop_cut(keyed)
     if bound == 0:
         known = classes.withColumns({"near": F.lit(None).cast(classes.schema["pos"].dataType), "edits": F.lit(None).cast("int")})
     elif bound == 1:
         known = classes.join(_near(texts, classes).withColumn("edits", F.lit(1)).hint("merge"), "cid", "left")
     else:
-        found = lines.where(compared).groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.min(F.struct(*PLACE)).alias("place"), F.any_value("line").alias("line"))
-        known = classes.join(_near_by_parts(found, bound).hint("merge"), ["h1", "h2"], "left")
+        known = classes.join(_near_by_parts(texts, classes, bound).hint("merge"), "cid", "left")
     known = known.where("copies > 1 or near < pos").select("h1", "h2", "pos", "near", "edits")
     if bound:
         ends = _survivors(known.where("near < pos").select("pos", "near"))
@@ -170,13 +174,23 @@ def _survivors(links: DataFrame) -> DataFrame:
             return links
 
 
-def _near(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cid, near): the place of the earliest line one edit away from the line of a class, if it comes before the class."""
-    some = cut(_sharing(classes.select("cid", F.explode("halves").alias("k"))), "ld-halves")
+def _trimmed(raw: Column) -> Column:
+    """``raw`` without blanks at either end; ``trim`` reads the whole line, so only lines with blanks there meet it."""
+    blank = functools.reduce(Column.__or__, [f(raw, F.lit(c)) for c in BLANKS for f in (F.startswith, F.endswith)])
+    return F.when(blank, F.trim(raw, F.lit(BLANKS))).otherwise(raw)
+
+
+def _texts(docs: DataFrame, classes: DataFrame, some: DataFrame) -> DataFrame:
+    """(*PLACE, cid, line) of the classes in ``some``; copies of a document may repeat them."""
     wanted = classes.join(some.hint("merge"), "cid").groupBy("pos.doc_id", "pos.mark").agg(F.collect_list(F.struct(F.col("pos.line_no").alias("line_no"), "cid")).alias("wanted"))
     texts = docs.join(wanted.hint("merge"), docs.doc_id.eqNullSafe(wanted.doc_id) & (docs.mark == wanted.mark)).select(docs.doc_id, docs.mark, F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    texts = texts.select("doc_id", "mark", F.col("w.line_no").alias("line_no"), F.col("w.cid").alias("cid"), F.trim(F.get("lines", F.col("w.line_no")), F.lit(BLANKS)).alias("line"))
-    texts = cut(texts.dropDuplicates(["cid"]), "ld-texts")
+    return texts.select("doc_id", "mark", F.col("w.line_no").alias("line_no"), F.col("w.cid").alias("cid"), F.trim(F.get("lines", F.col("w.line_no")), F.lit(BLANKS)).alias("line")).dropDuplicates(["cid"])
+
+
+def _near(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cid, near): the place of the earliest line one edit away from the line of a class, if it comes before the class."""
+    some = cut(_sharing(classes.select("cid", F.explode("keys").alias("k"))), "ld-halves")
+    texts = cut(_texts(docs, classes, some), "ld-texts")
     for parts in PARTS:
         close = cut(_sharing(_part_keys(texts, parts)), "ld-parts")
         texts = cut(texts.join(close.hint("merge"), "cid"), "ld-close")
@@ -218,27 +232,57 @@ def _longer(rows: DataFrame, bound: int) -> DataFrame:
     return rows.withColumn("m", F.col("n") - F.col("u")).withColumn("d", _allowed(F.col("m"), bound)).where("m >= 0 and u <= d")
 
 
-def _end_keys(rows: DataFrame, bound: int) -> DataFrame:
-    """(k, cid, n, own): hashes of an end of each line, or of what stands beside a changed end; own where a shorter line has them so.
+def _end_keys(rows: DataFrame, bound: int, min_chars: int) -> DataFrame:
+    """``rows`` with keys in place of line: hashes of an end of each line of ``min_chars``, or of what stands beside a changed end.
 
-    Of up to three edits at most one lies in the first half or in the second, so its outer quarter is
-    whole, or the inner one is and moved by one at most, seen from that end. Under 20 characters
-    one edit leaves a half whole. Lengths are rounded down, so lines in reach mostly have the same quarters.
+    The low bit of a key is set where a shorter line has it so. Of up to three edits at most one lies in the first half or in
+    the second, so its outer quarter is whole, or the inner one is and moved by one at most, seen from that end. Under 20
+    characters one edit leaves a half whole. Lengths are rounded down, so lines in reach mostly have the same quarters;
+    where a shorter line in reach is rounded to the length below, the keys of that length follow.
     """
-    rounded = lambda m: m - m % F.when(m < 2 * CHARS_PER_EDIT, 1).when(m < 64, 4).when(m < 128, 16).otherwise(32)
-    rows = _longer(rows, bound).withColumn("r", rounded(F.col("m"))).where((F.col("u") == 0) | (F.col("r") != rounded(F.col("m") + 1)))
-    some = F.when(F.col("r") < 2 * CHARS_PER_EDIT, F.array(F.lit(0), F.lit(4))).otherwise(F.sequence(F.lit(0), F.lit(7)))
-    rows = rows.select("cid", "line", "n", "u", "r", F.explode(some).alias("x"))
-    q = F.floor(F.col("r") / F.when(F.col("r") < 2 * CHARS_PER_EDIT, 2).otherwise(4)).cast("int")
-    inner = (F.col("x") % 4 != 0).cast("int")
-    shift = F.when(inner == 1, F.col("x") % 4 - 2).otherwise(0)
-    start = F.when(F.col("x") < 4, inner * q + shift).otherwise(F.col("n") - q - inner * q + shift)
-    key = F.xxhash64("r", inner, F.col("x") < 4, F.substring("line", start + 1, q))
-    return rows.select(key.alias("k"), "cid", "n", ((F.col("u") == 0) & (shift == 0)).alias("own"))
+    kept = [c for c in rows.columns if c != "line"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw, offsets in K.chunks(batch, "line", KEYED_BYTES):
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), _ends(raw, offsets, bound, min_chars)], [*kept, "keys"])
+
+    return rows.mapInArrow(run, rows.select(*kept, F.array().cast("array<long>").alias("keys")).schema)
+
+
+def _ends(raw: np.ndarray, offsets: np.ndarray, bound: int, min_chars: int) -> pa.ListArray:
+    """The keys of each line of a chunk, by differences of the prefix sums of a polynomial hash of its bytes."""
+    rounded = lambda m: m - m % np.select([m < 2 * CHARS_PER_EDIT, m < 64, m < 128], [1, 4, 16], 32)
+    char = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    first = np.searchsorted(char, offsets)
+    n = np.diff(first)
+    power, inverse = K.powers(K.BASE, len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
+    r = rounded(n)
+    below = r - 1
+    compared, reached = n >= min_chars, (below >= 0) & (n - below <= np.minimum(bound, np.maximum(1, below // CHARS_PER_EDIT)))
+    own, lower = np.flatnonzero(compared), np.flatnonzero(compared & reached)
+    line, r = np.concatenate([own, lower]), np.concatenate([r[own], rounded(below[lower])])
+    shorter = (np.arange(len(line)) < len(own)).astype(np.uint64)
+    q = np.where(r < 2 * CHARS_PER_EDIT, r // 2, r // 4)
+    quartered = np.flatnonzero(r >= 2 * CHARS_PER_EDIT)
+    lines, keys = [], []
+    for left, inner, shift in [(left, inner, shift) for left in (1, 0) for inner, shift in ((0, 0), (1, -1), (1, 0), (1, 1))]:
+        at = quartered if inner else np.arange(len(line))
+        x, size = line[at], q[at]
+        start = first[x] + inner * size + shift if left else first[x + 1] - size - inner * size + shift
+        a, b = char[start], char[start + size]
+        k = K.mix((sums[b] - sums[a]) * inverse[a] ^ K.mix(r[at].astype(np.uint64) * K.BASE2 + np.uint64(2 * inner + left)))
+        lines.append(x)
+        keys.append(k & ~np.uint64(1) | (shorter[at] if shift == 0 else np.uint64(0)))
+    lines, keys = np.concatenate(lines), np.concatenate(keys)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(lines, minlength=len(n)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[np.argsort(lines, kind="stable")].view(np.int64)))
 
 
 def _part_pair_keys(rows: DataFrame, bound: int) -> DataFrame:
-    """(k, cid, n, own): hashes of two parts of each line; own where the parts are the line's and not where a shorter line's may be."""
+    """(k, cid, own): hashes of two parts of each line; own where the parts are the line's and not where a shorter line's may be."""
     moves = F.from_json(F.lit(json.dumps(_moves(bound))), "array<array<array<int>>>")
     fits = F.filter(F.get(moves, F.col("d") - 1), lambda x: F.get(x, F.lit(0)) == F.col("u"))
     rows = _longer(rows, bound).select("cid", "line", "n", "m", "u", "d", F.explode(fits).alias("x"))
@@ -251,11 +295,11 @@ def _part_pair_keys(rows: DataFrame, bound: int) -> DataFrame:
 
     own = (F.col("u") == 0) & (at(2) == 0) & (at(4) == 0)
     key = F.xxhash64("m", at(1), at(3), part(at(1), at(2)), part(at(3), at(4)))
-    return rows.select(key.alias("k"), "cid", "n", own.alias("own"))
+    return rows.select(key.alias("k"), "cid", own.alias("own"))
 
 
 def _shared(keys: DataFrame, name: str) -> DataFrame:
-    """(k, cid, n, own, size) of the keys that a line has as its own and another has too; size counts a key's rows."""
+    """(k, cid, own, size) of the keys that a line has as its own and another has too; size counts a key's rows."""
     by_key = Window.partitionBy("k")
     over = [F.min("cid").over(by_key).alias("x"), F.max("cid").over(by_key).alias("y"), F.max("own").over(by_key).alias("any_own"), F.count("*").over(by_key).alias("size")]
     return cut(keys.select("*", *over).where("x <> y and any_own").drop("x", "y", "any_own"), name)
@@ -275,11 +319,10 @@ def _apart(a: Column, b: Column) -> Column:
 
 def _links(shared: DataFrame, texts: DataFrame, bound: int) -> DataFrame:
     """(a, b, edits): lines that share a key and are within the edits allowed."""
-    rows = cut(shared.join(texts.select("cid", "line", "counts").hint("merge"), "cid"), "ld-keyed")
-    counted = rows.withColumn("more", _counts(F.col("line"), COUNTED_TOO))
+    rows = cut(shared.join(texts.select("cid", "line", "n", "counts", "more").hint("merge"), "cid"), "ld-keyed")
     side = lambda i: [F.col(c).alias(f"{c}{i}") for c in ("n", "line", "counts", "more", "own")]
-    one = counted.where("own").select("k", F.col("cid").alias("a"), *side(1))
-    two = counted.select("k", F.col("cid").alias("b"), *side(2))
+    one = rows.where("own").select("k", F.col("cid").alias("a"), *side(1))
+    two = rows.select("k", F.col("cid").alias("b"), *side(2))
     edits = F.levenshtein("line1", "line2", bound)
     apart = _apart(F.col("counts1"), F.col("counts2"))
     near = (F.abs(F.col("n1") - F.col("n2")) <= bound) & (apart <= 2 * bound) & (apart + _apart(F.col("more1"), F.col("more2")) <= 2 * bound) & (edits >= 0) & (edits <= _allowed(F.least("n1", "n2"), bound))
@@ -291,12 +334,13 @@ def _links(shared: DataFrame, texts: DataFrame, bound: int) -> DataFrame:
     return linked
 
 
-def _near_by_parts(texts: DataFrame, bound: int) -> DataFrame:
-    """(h1, h2, near, edits): the earliest earlier line within the edits allowed, from different lines (h1, h2, place, line)."""
-    every = cut(texts.withColumn("cid", F.monotonically_increasing_id()), "ld-texts")
-    ends = _shared(_end_keys(every, bound), "ld-ends")
-    texts = cut(every.join(ends.select("cid").distinct().hint("merge"), "cid").withColumn("counts", _counts(F.col("line"), COUNTED)), "ld-near")
-    drop_cut(every)
+def _near_by_parts(docs: DataFrame, classes: DataFrame, bound: int) -> DataFrame:
+    """(cid, near, edits): the place of the earliest earlier line within the edits allowed of the line of a class."""
+    keys = classes.select("cid", F.explode("keys").alias("key"))
+    ends = _shared(keys.select(F.shiftright("key", 1).alias("k"), "cid", (F.col("key").bitwiseAND(F.lit(1)) == 1).alias("own")), "ld-ends")
+    texts = _texts(docs, classes, ends.select("cid").distinct())
+    texts = texts.select("cid", F.struct(*PLACE).alias("place"), "line", F.length("line").alias("n"), _counts(F.col("line"), COUNTED).alias("counts"), _counts(F.col("line"), COUNTED_TOO).alias("more"))
+    texts = cut(texts, "ld-near")
     # Lines of a common end are told apart by two parts at once before they are compared.
     often = texts.join(ends.where(F.col("size") > FEW).select("cid").distinct().hint("merge"), "cid")
     parts = _shared(_part_pair_keys(often, bound), "ld-parts")
@@ -305,8 +349,7 @@ def _near_by_parts(texts: DataFrame, bound: int) -> DataFrame:
     checked = links.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(F.col("p1") != F.col("p2"))
     first = F.struct(F.least("p1", "p2").alias("near"), "edits")
     checked = checked.select(F.when(F.col("p1") < F.col("p2"), F.col("b")).otherwise(F.col("a")).alias("cid"), first.alias("first"))
-    earliest = checked.groupBy("cid").agg(F.min("first").alias("first"))
-    return texts.select("cid", "h1", "h2").join(earliest.hint("merge"), "cid").select("h1", "h2", "first.near", "first.edits")
+    return checked.groupBy("cid").agg(F.min("first").alias("first")).select("cid", "first.near", "first.edits")
 
 
 def drop_lines(docs: DataFrame, **options) -> DataFrame:
