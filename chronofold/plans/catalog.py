@@ -255,7 +255,7 @@ def upsert_outcomes(spark, d):
 @query("SELECT offer_id, CASE WHEN n = 0 THEN 'insert' WHEN n = 1 AND NOT coalesce(foreign_held, FALSE) THEN 'existing' ELSE 'merge_required' END AS outcome, CASE WHEN n = 1 THEN entity_id END AS entity_id FROM (SELECT o.offer_id, count(DISTINCT i.entity_id) AS n, min(i.entity_id) AS entity_id, bool_or(i.held_by <> o.source_id) AS foreign_held FROM (SELECT c_custkey AS offer_id, 'src' || (c_custkey % 2) AS source_id, 'T' || (c_custkey % 500) AS value FROM customer) o LEFT JOIN (SELECT DISTINCT value, entity_id, 'src' || (entity_id % 2) AS held_by FROM identifier WHERE namespace = 'ticker' AND entity_id % 3 = 0) i USING (value) GROUP BY o.offer_id, o.source_id)")
 def match_offered_entities(spark, d):
     offers = P.table(spark, d, "customer").select(F.col("c_custkey").alias("offer_id"), F.concat(F.lit("src"), F.col("c_custkey") % 2).alias("source_id"), F.lit("ticker").alias("namespace"), F.concat(F.lit("T"), F.col("c_custkey") % 500).alias("value"))
-    known = P.identifier(spark, d).where("namespace = 'ticker' AND entity_id % 3 = 0").withColumn("source_id", F.concat(F.lit("src"), F.col("entity_id") % 2)).select("namespace", "value", "entity_id", "source_id").distinct()
+    known = P.identifier(spark, d).where("namespace = 'ticker' AND entity_id % 3 = 0").withColumn("source_id", F.concat(F.lit("src"), F.col("entity_id") % 2)).select("namespace", "value", "entity_id", "source_id")
     return entities.match_entities(offers, known)
 
 
